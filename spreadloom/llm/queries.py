@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spreadloom.llm import bpe, decontaminate, exactdedup, sharding
+from spreadloom.llm import bpe, decontaminate, exactdedup, minhash, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,11 +23,15 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.classes(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op3_bpe, op4_decontamination, op7_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op3_bpe, op4_decontamination, op6_near_dedup, op7_exact_dedup)}
 
 ORACLE = {
     "op7_exact_dedup": r"""
