@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spreadloom.llm import bpe, decontaminate, exactdedup, minhash, sharding, substring
+from spreadloom.llm import bpe, decontaminate, exactdedup, langid, licenses, minhash, sharding, substring
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,13 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), [1.0] * 24)
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    settings = langid.Settings()
+    net = langid.train(langid.sample(docs.where(~langid.held_out()), settings), settings)
+    return langid.predict(docs.select("doc_id", "text").withColumn("held_out", langid.held_out()), net, ("doc_id", "held_out"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"))
 
@@ -35,7 +42,11 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.without_repeats(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op3_bpe, op4_decontamination, op6_near_dedup, op7_exact_dedup, op9_substring_dedup)}
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("detections")
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_language_id, op3_bpe, op4_decontamination, op6_near_dedup, op7_exact_dedup, op9_substring_dedup, op10_license_scan)}
 
 ORACLE = {
     "op9_substring_dedup": r"""
