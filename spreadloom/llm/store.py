@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only if a count shows at most so many (thin) rows; beyond that it is shuffled.
@@ -32,6 +32,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``limit`` rows, else as it is. ``df`` should be a stored table."""
-    return F.broadcast(df) if df.count() <= limit else df
+def small_side(df: DataFrame, limit: int = BROADCAST_ROWS, each: Column | None = None) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``limit`` rows (or the sum of ``each`` does), else as it is.
+
+    ``df`` should be a stored table, as it is read for the check.
+    """
+    size = df.count() if each is None else df.agg(F.sum(each)).first()[0] or 0
+    return F.broadcast(df) if size <= limit else df

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spreadloom.llm import cqf
 from spreadloom.llm.store import small_side, stored
 from spreadloom.llm.textscan import Words, steps
 
@@ -30,7 +31,9 @@ WIDTH, RUN = 20, 8
 #: Words of the prefixes that groups can go by, and slots of the census of each.
 PREFIXES, CENSUS = (1, 4, 12), 1 << 16
 #: Suffixes that a task holds before it hands them on, and documents for each block of anchors.
-HELD, BLOCK_DOCS = 1_500_000, 8192
+HELD, BLOCK_DOCS = 400_000, 8192
+#: The most bits of the filter of repeated anchors, as a power of two.
+MOST_BITS = 30
 #: A null doc_id comes before all others.
 NULL_ID = -(2**63) + 1
 
@@ -76,33 +79,36 @@ def _prefix_slots(w: Words, h: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def _repeated_anchors(docs: DataFrame, n_docs: int, width: int, run: int) -> tuple[DataFrame, np.ndarray]:
-    """(did, pos) of the anchors that occur more than once, and the census of the prefixes."""
-    blocks = 1 << max(6, (n_docs // BLOCK_DOCS).bit_length())
+class Filter:
+    """A bitmap of hashes, of bounded size: what it lacks is surely absent; what it has may be."""
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        census = np.zeros((len(PREFIXES), CENSUS), np.int64)
-        held: list[tuple] = []
-        size = turn = 0
+    def __init__(self, bits: int):
+        self.shift, self.set = np.uint64(64 - bits), np.zeros(1 << max(0, bits - 3), np.uint8)
 
-        def close():
-            """One of equal anchors goes to its block; all of several are sure to repeat (they go without a hash)."""
-            h, did, pos = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.argsort(h)
-            hs = h[order]
-            same = hs[1:] == hs[:-1]
-            many = np.zeros(len(h), bool)
-            many[order[1:]] |= same
-            many[order[:-1]] |= same
-            first = np.ones(len(h), bool)
-            first[order[1:]] = ~same
-            send = list(_packed((h[first] % np.uint64(blocks)).astype(np.int64), h[first], did[first], pos[first]))
-            send += [(g, [b"", *c]) for g, c in _packed(did[many] % blocks, did[many], pos[many])]
-            return _batch(send, 3)
+    def add(self, h: np.ndarray) -> None:
+        at = h >> self.shift
+        np.bitwise_or.at(self.set, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        at = h >> self.shift
+        return (self.set[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
+
+def _repeated_anchors(docs: DataFrame, n_docs: int, width: int, run: int) -> tuple[Filter, np.ndarray]:
+    """A filter with all anchors that occur more than once, and the census of the prefixes.
+
+    Each task counts its anchors in a counting quotient filter, whose blocks merge without loss. What reaches the driver
+    is one bitmap of at most 2 ** MOST_BITS bits and CENSUS numbers a prefix length, however large the corpus. If more
+    anchors repeat than the bitmap can tell apart, more windows go on to the subtrees and the result is the same.
+    """
+    bits = max(6, (n_docs // BLOCK_DOCS).bit_length())
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        census = np.zeros((len(PREFIXES), CENSUS), np.int64)
+        held, size = [], 0
+        close = lambda: _batch([(g, [f.to_bytes()]) for g, f in cqf.blocks(np.concatenate(held), bits)], 1)
         for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False)
-            for a, buf, offs in steps(b.column(1)):
+            for _, buf, offs in steps(b.column(0)):
                 w = Words(buf, offs, "space")
                 h = w.hashes()
                 at, anchor, g = _anchors(w, h, width, run)
@@ -110,37 +116,21 @@ def _repeated_anchors(docs: DataFrame, n_docs: int, width: int, run: int) -> tup
                     continue
                 for k, slot in enumerate(_prefix_slots(w, h, at)):
                     census[k] += np.bincount(slot, minlength=CENSUS)
-                anchor = np.unique(anchor)
-                row = w.rows_of(anchor)
-                held.append((g[anchor], ids[a + row].astype(np.int64), (anchor - w.first[row]).astype(np.int32)))
-                size += len(anchor)
+                held.append(g[np.unique(anchor)])
+                size += len(held[-1])
                 if size >= HELD:
                     yield close()
-                    held, size, turn = [], 0, turn + 1
+                    held, size = [], 0
         if held:
             yield close()
         if census.any():
-            yield _batch([(-1, [census.tobytes(), b"", b""])], 3)
+            yield _batch([(-1, [census.tobytes()])], 1)
 
     def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        sure = [len(x) == 0 for x in pdf["c0"]]
-        h = np.frombuffer(b"".join(pdf["c0"]), np.uint64)
-        did = [np.frombuffer(x, np.int64) for x in pdf["c1"]]
-        pos = [np.frombuffer(x, np.int32) for x in pdf["c2"]]
-        join = lambda parts, which, kind: np.concatenate([p for p, s in zip(parts, sure, strict=True) if s is which] or [np.empty(0, kind)])
-        d, p = join(did, False, np.int64), join(pos, False, np.int32)
-        order = np.argsort(h)
-        same = h[order][1:] == h[order][:-1]
-        again = np.zeros(len(h), bool)
-        again[order[1:]] |= same
-        again[order[:-1]] |= same
-        return pd.DataFrame({"did": np.concatenate([join(did, True, np.int64), d[again]]), "pos": np.concatenate([join(pos, True, np.int32), p[again]])})
-
-    found = stored(docs.select("did", "text").mapInArrow(find, "group int, c0 binary, c1 binary, c2 binary"), "passage-anchors")
-    # One fixed-size table a task, summed by Spark slot by slot; CENSUS * len(PREFIXES) numbers reach the driver.
-    tables = found.where("group = -1").select("c0")
-
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values, counts = cqf.merged(list(pdf["c0"]), int(key[0]), bits)
+        return pd.DataFrame({"group": [int(key[0])], "hashes": [values[counts > 1].tobytes()], "n": [int((counts > 1).sum())]})
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(PREFIXES) * CENSUS, np.int64)
         for b in batches:
             for x in b.column(0):
@@ -148,18 +138,35 @@ def _repeated_anchors(docs: DataFrame, n_docs: int, width: int, run: int) -> tup
         k = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(total[k])], ["slot", "n"])
 
-    summed = tables.mapInArrow(unpack, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    found = stored(docs.select("text").mapInArrow(find, "group int, c0 binary"), "passage-anchors")
+    summed = found.where("group = -1").select("c0").mapInArrow(add_up, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
     census = np.zeros(len(PREFIXES) * CENSUS, np.int64)
     census[summed["slot"].to_numpy()] = summed["n"].to_numpy()
-    return found.where("group >= 0").groupBy("group").applyInPandas(merge, "did long, pos int"), census.reshape(len(PREFIXES), CENSUS)
+    repeated = stored(found.where("group >= 0").groupBy("group").applyInPandas(merge, "group int, hashes binary, n long"), "passage-repeated")
+    n = repeated.agg(F.sum("n")).first()[0] or 0
+    size = min(MOST_BITS, max(20, (32 * n).bit_length()))
+    known = Filter(size)
+    cut = max(0, size - 3 - bits)  # a block's hashes share their top bits, so they fill one stretch of the bitmap
 
+    def stretch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for group, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                part = Filter(size - bits)
+                h = np.frombuffer(x.as_buffer(), np.uint64)
+                part.add(h << np.uint64(bits))
+                yield pa.RecordBatch.from_arrays([pa.array([group], pa.int32()), pa.array([part.set.tobytes()], pa.binary())], ["group", "set"])
+
+    for r in repeated.select("group", "hashes").mapInArrow(stretch, "group int, set binary").toLocalIterator():
+        known.set[r["group"] << cut : (r["group"] + 1) << cut] = np.frombuffer(r["set"], np.uint8)
+    return known, census.reshape(len(PREFIXES), CENSUS)
 
-def _later_windows(docs: DataFrame, anchors: DataFrame, census: np.ndarray, n_docs: int, width: int, run: int) -> DataFrame:
+
+def _later_windows(docs: DataFrame, anchors: Filter, census: np.ndarray, n_docs: int, width: int, run: int) -> DataFrame:
     """(did, start, length): runs of window starts whose windows also start earlier."""
-    room = max(4 * HELD, int(census[0].sum()) // CENSUS * 16)
-    parts = 1 << max(6, (n_docs // BLOCK_DOCS).bit_length())
-    per_doc = stored(anchors.groupBy("did").agg(F.sort_array(F.collect_set("pos")).alias("anchors")), "passage-candidates")
+    room = max(10 * HELD, int(census[0].sum()) // CENSUS * 16)
+    parts = 1 << max(8, (n_docs // BLOCK_DOCS * 8).bit_length())
     large = docs.sparkSession.sparkContext.broadcast(census > room)
+    known = docs.sparkSession.sparkContext.broadcast(anchors)
 
     def runs(did: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         order = np.lexsort((pos, did))
@@ -191,20 +198,13 @@ def _later_windows(docs: DataFrame, anchors: DataFrame, census: np.ndarray, n_do
 
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
-            lists = b.column(2)
-            flat, offs_l = lists.flatten().to_numpy(zero_copy_only=False), np.asarray(lists.offsets)
-            offs_l = offs_l - offs_l[0]
             for a, buf, offs in steps(b.column(1)):
                 w = Words(buf, offs, "space")
                 h = w.hashes()
-                at, anchor, _ = _anchors(w, h, width, run)
+                at, anchor, g = _anchors(w, h, width, run)
                 if not len(at):
                     continue
-                rows = len(offs) - 1
-                wanted = np.zeros(len(h), bool)
-                mine = flat[offs_l[a] : offs_l[a + rows]] + np.repeat(w.first[:-1], np.diff(offs_l[a : a + rows + 1]))
-                wanted[mine[mine < len(h)]] = True
-                pick = wanted[anchor]
+                pick = known.value.has(g[anchor])
                 if not pick.any():
                     continue
                 slots = _prefix_slots(w, h, at)
@@ -236,8 +236,7 @@ def _later_windows(docs: DataFrame, anchors: DataFrame, census: np.ndarray, n_do
         did, start, n = (np.concatenate(x) for x in zip(*out, strict=True))
         return pd.DataFrame({"did": did, "start": start.astype(np.int32), "length": n.astype(np.int32)})
 
-    near = docs.join(small_side(per_doc), "did").select("did", "text", "anchors")
-    return near.mapInArrow(suffixes, "group int, c0 binary, c1 binary, c2 binary, c3 binary").groupBy("group").applyInPandas(subtree, "did long, start int, length int")
+    return docs.select("did", "text").mapInArrow(suffixes, "group int, c0 binary, c1 binary, c2 binary, c3 binary").groupBy("group").applyInPandas(subtree, "did long, start int, length int")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -290,5 +289,5 @@ def without_repeats(docs: DataFrame, width: int = WIDTH, with_text: bool = False
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=False))], names)
 
     names = ["doc_id", "n_words", "n_removed", "kept_sha256", *(["kept_text"] if with_text else [])]
-    joined = docs.join(small_side(per_doc), "did", "left").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "runs")
+    joined = docs.join(small_side(per_doc, each=F.size("runs") + 1), "did", "left").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "runs")
     return joined.mapInArrow(rest, "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else ""))
