@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spreadloom.functions import kernels as K
 from spreadloom.operators import rolling
@@ -51,15 +52,12 @@ def atr(bars: DataFrame, period: int = 14) -> DataFrame:
 
 def unit_root(rows: DataFrame, keys: list[str], value: str = "x") -> DataFrame:
     """The augmented unit-root test by key: statistic, pvalue, n_lags, n_obs, is_stationary, error."""
-    fields = rows.select(*keys).schema
-
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         t = K.unit_root_test(pdf.sort_values("idx")["v"].to_numpy(float))
         return pd.DataFrame({**{k: [v] for k, v in zip(keys, key, strict=True)}, **{k: [v] for k, v in t.items()}, "is_stationary": [t["pvalue"] < rolling.P_LIMIT and not t["error"]]})
 
-    schema = fields
-    for name, kind in (("statistic", "double"), ("pvalue", "double"), ("n_lags", "int"), ("n_obs", "int"), ("error", "string"), ("is_stationary", "boolean")):
-        schema = schema.add(name, kind)
+    own = [T.StructField(n, k) for n, k in (("statistic", T.DoubleType()), ("pvalue", T.DoubleType()), ("n_lags", T.IntegerType()), ("n_obs", T.IntegerType()), ("error", T.StringType()), ("is_stationary", T.BooleanType()))]
+    schema = T.StructType([*rows.select(*keys).schema.fields, *own])
     return rows.select(*keys, "idx", F.col(value).alias("v")).groupBy(*keys).applyInPandas(run, schema)
 
 
@@ -87,7 +85,7 @@ def entry_thresholds(fits: DataFrame) -> DataFrame:
         for pdf in batches:
             yield pdf.assign(threshold=[K.entry_threshold(t, s, e, bool(v)) for t, s, e, v in zip(pdf["theta"], pdf["sigma"], pdf["sigma_eq"], pdf["is_valid"], strict=True)])
 
-    return fits.mapInPandas(run, fits.schema.add("threshold", "double"))
+    return fits.mapInPandas(run, T.StructType([*fits.schema.fields, T.StructField("threshold", T.DoubleType())]))
 
 
 MODEL = "pi array<double>, trans array<double>, mu array<double>, sigma array<double>, n_iters int, n_train int, converged boolean, log_like double, is_valid boolean"

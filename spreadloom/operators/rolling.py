@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -138,7 +140,10 @@ def hurst(rows: DataFrame, keys: list[str], value: str = "x") -> DataFrame:
 
 
 def chi2_tail(q: Column, k: int) -> Column:
-    """P(chi-squared with ``k`` degrees > q), in closed form for even k and for 5."""
+    """P(chi-squared with ``k`` degrees > q): a short sum for even k, else one less the incomplete gamma series.
+
+    ``q`` should be a column, not a large expression, as it is used in several places.
+    """
     x = q / 2.0
     if k % 2 == 0:
         term, total = F.lit(1.0), F.lit(1.0)
@@ -146,23 +151,10 @@ def chi2_tail(q: Column, k: int) -> Column:
             term = term * x / float(i)
             total = total + term
         return F.exp(-x) * total
-    if k != 5:
-        raise ValueError("5 or an even number of degrees")
-    return erfc(F.sqrt(x)) + F.exp(-x) * (F.sqrt(x) / 0.886226925452758 + F.pow(x, F.lit(1.5)) / 1.329340388179137)
-
-
-def erfc(x: Column) -> Column:
-    """Complementary error function for x >= 0: a continued fraction beyond 2, a power series before."""
-    series, term = x, x
-    for n in range(1, 60):
-        term = term * (-x * x) / float(n)
-        series = series + term / float(2 * n + 1)
-    near = 1.0 - series * 1.1283791670955126
-    tail = F.lit(0.0)
-    for n in range(60, 0, -1):
-        tail = (n / 2.0) / (x + tail)
-    far = F.exp(-x * x) / (x + tail) * 0.5641895835477563
-    return F.when(x < 2.0, near).otherwise(far)
+    start = F.struct(F.lit(2.0 / k).alias("term"), F.lit(2.0 / k).alias("total"))
+    add = lambda a, n: F.struct((a["term"] * x / (k / 2 + n)).alias("term"), (a["total"] + a["term"] * x / (k / 2 + n)).alias("total"))
+    below = F.pow(x, F.lit(k / 2)) * F.exp(-x) / math.gamma(k / 2) * F.aggregate(F.sequence(F.lit(1), F.lit(400)), start, add)["total"]
+    return F.when(x > 100, 0.0).otherwise(1.0 - below)
 
 
 def ljung_box(rows: DataFrame, keys: list[str], value: str = "x", lags: tuple[int, ...] = LB_LAGS) -> DataFrame:
@@ -174,8 +166,9 @@ def ljung_box(rows: DataFrame, keys: list[str], value: str = "x", lags: tuple[in
     sums = lagged.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(F.col("d") * F.col("d")).alias("c0"), *[F.sum(F.col("d") * F.col(f"d{k}")).alias(f"c{k}") for k in range(1, max(lags) + 1)])
     q = lambda m: F.col("n") * (F.col("n") + 2) * sum((F.pow(F.try_divide(F.col(f"c{k}"), F.col("c0")), F.lit(2.0)) / (F.col("n") - k) for k in range(1, m + 1)), F.lit(0.0))
     ok = F.col("n") >= MIN_SERIES
-    p = lambda m: G.clamp(chi2_tail(q(m), m), 0.0, 1.0)
-    out = sums.select(*keys, "n", ok.alias("ok"), F.array(*[F.when(ok, q(m)) for m in lags]).alias("stats"), F.array(*[F.when(ok, p(m)) for m in lags]).alias("pvalues"))
+    out = sums.select(*keys, "n", ok.alias("ok"), *[F.when(ok, q(m)).alias(f"q{m}") for m in lags])
+    out = out.withColumns({f"p{m}": chi2_tail(F.col(f"q{m}"), m) for m in lags})
+    out = out.select(*keys, "ok", F.array(*[f"q{m}" for m in lags]).alias("stats"), F.array(*[F.when(F.col("ok"), G.clamp(F.col(f"p{m}"), 0.0, 1.0)) for m in lags]).alias("pvalues"))
     least = F.coalesce(F.array_min("pvalues"), F.lit(1.0))
     return out.select(*keys, F.array(*[F.lit(m) for m in lags]).alias("lags"), "stats", "pvalues", least.alias("min_pvalue"), (least < P_LIMIT).alias("has_autocorr"), F.when(F.col("ok"), "").otherwise("too short").alias("error"))
 

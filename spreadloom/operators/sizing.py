@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spreadloom.functions import guards as G
@@ -19,13 +19,14 @@ def _simpson(depth: Column) -> Column:
     return F.when(depth < 1e-12, 0.0).otherwise(total * depth / float(SIMPSON) / 3.0)
 
 
-def win_probability(theta: Column, sigma: Column, a: Column) -> Column:
-    """The share of the scale function's rise from twice the entry distance that lies within it; 0.5 without a fit."""
-    equal = sigma / F.sqrt(F.greatest(2.0 * theta, F.lit(G.MIN_DENOMINATOR)))
-    near, far = _simpson(a / equal), _simpson(2.0 * a / equal)
-    p = G.clamp(G.bounded(G.ratio(near, far, 0.5), 0.5), 0.0, 1.0)
-    neutral = (theta <= G.MIN_DENOMINATOR) | (sigma <= G.MIN_DENOMINATOR) | (a <= 0) | (equal < G.MIN_DENOMINATOR) | (F.abs(far) < G.MIN_DENOMINATOR)
-    return F.when(neutral, 0.5).otherwise(p)
+def with_win_probability(df: DataFrame, theta: Column, sigma: Column, a: Column, name: str = "win_prob") -> DataFrame:
+    """``df`` with the share of the scale function's rise from twice the entry distance that lies within it; 0.5 without
+    a fit. The steps are columns of their own, so no integral is worked out more than once."""
+    df = df.withColumn("__depth", F.when((theta > G.MIN_DENOMINATOR) & (sigma > G.MIN_DENOMINATOR) & (a > 0), a / (sigma / F.sqrt(F.greatest(2.0 * theta, F.lit(G.MIN_DENOMINATOR))))))
+    df = df.withColumn("__near", _simpson(F.col("__depth"))).withColumn("__far", _simpson(2.0 * F.col("__depth")))
+    df = df.withColumn("__p", G.ratio(F.col("__near"), F.col("__far"), 0.5))
+    none = F.col("__depth").isNull() | (F.abs("__far") < G.MIN_DENOMINATOR)
+    return df.withColumn(name, F.when(none, 0.5).otherwise(G.clamp(F.col("__p"), 0.0, 1.0))).drop("__depth", "__near", "__far", "__p")
 
 
 def kelly(p: Column, reward_risk: Column) -> Column:
@@ -34,21 +35,24 @@ def kelly(p: Column, reward_risk: Column) -> Column:
     return F.when(reward_risk < G.MIN_DENOMINATOR, 0.0).otherwise(f)
 
 
-def position(capital: Column, atr: Column, price: Column, theta: Column, sigma: Column, ou_valid: Column, scale: Column, no_trade: Column, risk: float = RISK) -> Column:
-    """A struct with the size and all that it comes from; is_valid is false, with the first reason, where there is none."""
-    stop, target = STOP_MULT * atr, TARGET_MULT * atr
-    rr = G.bounded(G.ratio(target, stop))
-    p = win_probability(theta, sigma, G.bounded(G.ratio(stop, price), 0.01))
-    f = kelly(p, rr)
-    scaled = G.clamp(f * G.bounded(scale), 0.0, MAX_KELLY)
-    cap = capital * MAX_SHARE
-    by_kelly = G.clamp(scaled * capital, 0.0, cap)
-    by_atr = G.clamp(G.ratio(capital * risk, stop) * price, 0.0, cap)
-    size = F.least(by_kelly, by_atr)
+def sized(df: DataFrame, risk: float = RISK) -> DataFrame:
+    """``df`` with the position of each row and all that it comes from; is_valid is false, with the first reason, where
+    there is none.
+
+    Reads capital, atr, price, theta, sigma, ou_valid, scale (of the regime) and no_trade. The columns come one after
+    another, each from those before, so that guards around guards do not multiply one expression.
+    """
+    c = F.col
+    df = df.withColumn("stop_dist", STOP_MULT * c("atr")).withColumn("reward_risk", G.ratio(TARGET_MULT * c("atr"), c("stop_dist")))
+    df = df.withColumn("__a", G.ratio(c("stop_dist"), c("price")))
+    df = with_win_probability(df, c("theta"), c("sigma"), c("__a")).withColumn("kelly_fraction", kelly(c("win_prob"), c("reward_risk")))
+    df = df.withColumn("kelly_hmm", G.clamp(c("kelly_fraction") * G.bounded(c("scale")), 0.0, MAX_KELLY)).withColumn("__cap", c("capital") * MAX_SHARE)
+    df = df.withColumn("pos_kelly_usd", G.clamp(c("kelly_hmm") * c("capital"), 0.0, c("__cap")))
+    df = df.withColumn("pos_atr_usd", G.clamp(G.ratio(c("capital") * risk, c("stop_dist")) * c("price"), 0.0, c("__cap")))
+    df = df.withColumn("position_usd", F.least("pos_kelly_usd", "pos_atr_usd"))
     why = (
-        F.when(no_trade, "no trade in this regime").when(~ou_valid, "no valid fit").when(~G.finite(capital) | (capital < 1), "capital").when(~G.finite(atr) | (atr <= 0), "range")
-        .when(~G.finite(price) | (price <= 0), "price").when(stop < G.MIN_DENOMINATOR, "stop").when(rr < 0.1, "reward").when(size < capital * MIN_SHARE, "too small").otherwise("")
+        F.when(c("no_trade"), "no trade in this regime").when(~c("ou_valid"), "no valid fit").when(~G.finite(c("capital")) | (c("capital") < 1), "capital").when(~G.finite(c("atr")) | (c("atr") <= 0), "range")
+        .when(~G.finite(c("price")) | (c("price") <= 0), "price").when(c("stop_dist") < G.MIN_DENOMINATOR, "stop").when(c("reward_risk") < 0.1, "reward").when(c("position_usd") < c("capital") * MIN_SHARE, "too small").otherwise("")
     )
-    ok = why == ""
-    keep = lambda v, name: F.when(ok, v).otherwise(0.0).alias(name)
-    return F.struct(keep(size, "position_usd"), keep(by_kelly, "pos_kelly_usd"), keep(by_atr, "pos_atr_usd"), keep(p, "win_prob"), keep(f, "kelly_fraction"), keep(scaled, "kelly_hmm"), keep(rr, "reward_risk"), keep(stop, "stop_dist"), ok.alias("is_valid"), why.alias("reason"))
+    df = df.withColumn("reason", why).withColumn("is_valid", c("reason") == "").drop("__a", "__cap")
+    return df.withColumns({k: F.when(c("is_valid"), c(k)).otherwise(0.0) for k in ("position_usd", "pos_kelly_usd", "pos_atr_usd", "win_prob", "kelly_fraction", "kelly_hmm", "reward_risk", "stop_dist")})

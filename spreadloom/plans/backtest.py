@@ -93,7 +93,8 @@ def regime_fits(windows: DataFrame, s: Settings) -> DataFrame:
                     i, own = int(at[k]), slice(k + 1 - s.hmm_rows, k + 1)
                     # The volumes are those of the bars up to the one before.
                     rows.append((r.pair, r.window_id, i, spread[own].tolist(), innov[own].tolist(), volume[max(0, i - s.hmm_rows) : i].tolist()))
-            yield pd.DataFrame(rows, columns=["pair", "window_id", "at", "spread", "innov", "volume"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["pair", "window_id", "at", "spread", "innov", "volume"])
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

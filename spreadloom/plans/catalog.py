@@ -1,4 +1,505 @@
-"""The registered queries and their SQL."""
+"""The registered queries of the analytics engine, and SQL with the same rows."""
 
-QUERIES = {}
-ORACLE = {}
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from spreadloom.functions import guards as G
+from spreadloom.operators import metrics, models, pairs, quality, rolling, sizing
+from spreadloom.plans import backtest, fixtures
+from spreadloom.plans.fixtures import table
+from spreadloom.sources import bars, sinks
+from spreadloom.streaming import online
+
+QUERIES: dict = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its name, with the SQL that gives the same rows."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles rounded, so that the last bits of two engines do not matter; -0.0 is 0.0."""
+    kind = dict(df.dtypes)
+    return df.select(*[(F.round(F.col(c), digits) + 0.0).alias(c) if kind[c] == "double" else F.col(c) for c in df.columns])
+
+
+def day(df: DataFrame) -> DataFrame:
+    return df.withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+
+
+B0 = "b0 AS (SELECT l_returnflag AS symbol, l_shipdate::TIMESTAMP AS ts, round(sum(l_extendedprice) / sum(l_quantity), 6) AS close, sum(l_quantity)::DOUBLE AS volume FROM lineitem GROUP BY 1, 2)"
+BARS = B0 + """,
+    sm AS (SELECT symbol, ts, volume, row_number() OVER w AS k, round(avg(close) OVER (PARTITION BY symbol ORDER BY ts ROWS 59 PRECEDING), 8) AS close FROM b0 WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
+    op AS (SELECT symbol, ts, close, volume, coalesce(lag(close) OVER (PARTITION BY symbol ORDER BY ts), close) AS open FROM sm WHERE k >= 60),
+    bars AS (SELECT symbol, ts, open, greatest(open, close) AS high, least(open, close) AS low, close, volume FROM op)"""
+ROWS = BARS + """,
+    al AS (SELECT a.symbol || '-' || b.symbol AS pair, a.ts, a.close AS close_a, b.close AS close_b, a.volume AS volume, ln(greatest(a.close, 1e-8)) AS lp_a, ln(greatest(b.close, 1e-8)) AS lp_b FROM bars a JOIN bars b ON a.ts = b.ts AND a.symbol < b.symbol),
+    r AS (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY ts) - 1 AS idx FROM al)"""
+HEDGE = ROWS + """,
+    fit AS (SELECT pair, count(*) AS n, regr_slope(lp_a, lp_b) AS beta, regr_intercept(lp_a, lp_b) AS alpha, regr_r2(lp_a, lp_b) AS r2 FROM r GROUP BY 1),
+    sp AS (SELECT r.pair, idx, ts, volume, lp_a, lp_b, lp_a - beta * lp_b - alpha AS spread, pow(lp_a - lp_b, 2) + 1e-6 AS innov_var FROM r JOIN fit USING (pair))"""
+
+def sql_n(v: str, fb: str = "0.0") -> str:
+    return f"(CASE WHEN isfinite({v}) AND abs({v}) <= 999 THEN {v} ELSE {fb} END)"
+
+
+def sql_div(n: str, d: str, fb: str = "0.0") -> str:
+    a, b = sql_n(n, fb), sql_n(d)
+    return f"(CASE WHEN abs({b}) < 1e-10 THEN {fb} ELSE {sql_n(f'({a} / {b})', fb)} END)"
+
+
+def sql_clamp(v: str, lo: str, hi: str) -> str:
+    return f"(CASE WHEN isfinite({v}) THEN greatest({lo}, least({hi}, {v})) ELSE {lo} END)"
+
+
+# ---- bars -----------------------------------------------------------------------------------------------------------
+@query(f"WITH {BARS} SELECT symbol, strftime(ts, '%Y-%m-%d') AS day, open, high, low, close, volume FROM bars")
+def bars_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return day(fixtures.smooth(spark, sf_dir)).select("symbol", "day", "open", "high", "low", "close", "volume")
+
+
+@query("""SELECT symbol, day, close FROM (SELECT l_returnflag AS symbol, strftime(l_shipdate, '%Y-%m-%d') AS day, l_extendedprice / l_quantity AS close,
+    row_number() OVER (PARTITION BY l_returnflag, l_shipdate ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS k FROM lineitem) WHERE k = 1""")
+def bars_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    raw = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("symbol"), F.col("l_shipdate").cast("timestamp").alias("ts"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("close"), *order)
+    return day(quality.deduplicated(raw, [F.col(c) for c in order])).select("symbol", "day", "close")
+
+
+DIRTY = B0 + """,
+    kb AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS k FROM b0),
+    db AS (SELECT symbol, ts, CASE WHEN k % 89 = 0 THEN -500.0 ELSE close END AS open, CASE WHEN k % 83 = 0 THEN close * 0.9 - 10 ELSE close * 1.01 END AS high, close * 0.99 AS low,
+        CASE WHEN k % 97 = 0 THEN 0.0 WHEN k % 79 = 0 THEN close + 500 ELSE close END AS close, CASE WHEN k % 71 = 0 THEN -1.0 ELSE volume END AS volume FROM kb),
+    c1 AS (SELECT *, (open <= 0)::INT + (high <= 0)::INT + (low <= 0)::INT + (close <= 0)::INT AS np FROM db),
+    c2 AS (SELECT *, CASE WHEN np > 0 THEN NULL WHEN high < open THEN 'high<open' WHEN high < close THEN 'high<close' WHEN low > open THEN 'low>open' WHEN low > close THEN 'low>close' WHEN high < low THEN 'high<low' END AS oe FROM c1),
+    c3 AS (SELECT *, np = 0 AND oe IS NULL AND volume >= 0 AS fine FROM c2),
+    c4 AS (SELECT *, last_value(CASE WHEN fine THEN close END IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, lag(ts) OVER (PARTITION BY symbol ORDER BY ts) AS pts FROM c3),
+    c5 AS (SELECT *, CASE WHEN fine AND before IS NOT NULL THEN ln(close / before) END AS lr FROM c4),
+    v AS (SELECT *, coalesce(abs(lr) > 0.2, false) AS spike, concat_ws('|', CASE WHEN open <= 0 THEN 'open<=0' END, CASE WHEN high <= 0 THEN 'high<=0' END, CASE WHEN low <= 0 THEN 'low<=0' END, CASE WHEN close <= 0 THEN 'close<=0' END, oe, CASE WHEN volume < 0 THEN 'volume<0' END, CASE WHEN coalesce(abs(lr) > 0.2, false) THEN 'spike' END) AS reason FROM c5)"""
+
+
+@query(f"WITH {DIRTY} SELECT symbol, strftime(ts, '%Y-%m-%d') AS day, fine AND NOT spike AS valid_bar, reason AS invalid_reason FROM v")
+def bars_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return day(quality.validated(fixtures.dirty(spark, sf_dir))).select("symbol", "day", "valid_bar", "invalid_reason")
+
+
+@query(f"WITH {DIRTY} SELECT symbol, strftime(ts, '%Y-%m-%d') AS day, round(lr, 6) + 0.0 AS log_return FROM v WHERE lr IS NOT NULL")
+def bars_log_return(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(day(quality.validated(fixtures.dirty(spark, sf_dir))).select("symbol", "day", "log_return").where("log_return is not null"))
+
+
+@query(f"WITH {DIRTY} SELECT symbol, strftime(ts, '%Y-%m-%d') AS day FROM v WHERE spike")
+def bars_spikes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return day(quality.validated(fixtures.dirty(spark, sf_dir)).where("spike")).select("symbol", "day")
+
+
+@query("""WITH b AS (SELECT DISTINCT event_type AS symbol, time_bucket(INTERVAL '1 minute', ts) AS ts FROM events)
+    SELECT symbol, count(*) AS n_bars, count(*) FILTER (WHERE gap > 120) AS n_gaps FROM (SELECT symbol, epoch(ts) - epoch(lag(ts) OVER (PARTITION BY symbol ORDER BY ts)) AS gap FROM b) GROUP BY 1""")
+def bars_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.validated(bars.event_bars(table(spark, sf_dir, "events"), "1 minute"))
+    return found.groupBy("symbol").agg(F.count("*").alias("n_bars"), F.count_if("gap").alias("n_gaps"))
+
+
+@query("""SELECT symbol, strftime(ts, '%Y-%m-%d %H:%M') AS at, open, high, low, close, volume FROM (SELECT event_type AS symbol, time_bucket(INTERVAL '1 hour', ts) AS ts, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low,
+    arg_max(value, (ts, event_id)) AS close, count(*)::DOUBLE AS volume FROM events GROUP BY 1, 2)""")
+def bars_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bars.event_bars(table(spark, sf_dir, "events")).withColumn("at", F.date_format("ts", "yyyy-MM-dd HH:mm")).drop("ts")
+
+
+@query(f"""WITH {DIRTY} SELECT symbol, count(*) AS n_raw, count(*) FILTER (WHERE fine AND NOT spike) AS n_valid, count(*) FILTER (WHERE NOT (fine AND NOT spike)) AS n_invalid,
+    count(*) FILTER (WHERE epoch(ts) - epoch(pts) > 120) AS n_gaps, 0::BIGINT AS n_duplicates, sum(np + (oe IS NOT NULL)::INT)::BIGINT AS n_ohlc_errors, count(*) FILTER (WHERE spike) AS n_spikes,
+    count(*) FILTER (WHERE fine AND NOT spike) >= 800 AS ok FROM v GROUP BY 1""")
+def bars_quality_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = fixtures.dirty(spark, sf_dir)
+    return quality.summary(raw, quality.validated(quality.deduplicated(raw)), 800).drop("error_message", "warnings")
+
+
+@query(f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round({sql_n('l_extendedprice')}, 6) + 0.0 AS n, round({sql_div('l_extendedprice', '(l_quantity - 25)', '7.0')}, 6) + 0.0 AS q,
+    round({sql_clamp('(l_tax * 1000 - 40)', '0.0', '20.0')}, 6) + 0.0 AS c, CASE WHEN l_discount - 0.02 > 1e-8 THEN round(ln(l_discount - 0.02), 6) + 0.0 END AS l,
+    round(CASE WHEN l_discount >= 0.055 THEN sqrt(l_discount - 0.05) ELSE 0.0 END, 6) AS s, round(exp(least(l_tax, 700)), 6) AS e, CASE WHEN l_discount > 1e-8 AND l_tax > 1e-8 THEN round(ln(l_discount / l_tax), 6) + 0.0 END AS r,
+    round(greatest(-l_quantity * 50, least(l_quantity * 50, l_extendedprice - 30000)), 6) + 0.0 AS p,
+    round(CASE WHEN l_extendedprice - 40000 < 1 THEN 1.0 WHEN l_extendedprice - 40000 > l_quantity * 1000 THEN l_quantity * 100 ELSE l_extendedprice - 40000 END, 6) AS k,
+    round(CASE WHEN l_quantity - 2 < 1 THEN 0.0 ELSE {sql_n('(exp(ln(0.95 + l_discount) * 365.0 / (l_quantity - 2)) - 1)')} END, 5) + 0.0 AS y FROM lineitem""")
+def guard_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x, q, d, t = (F.col(f"l_{c}") for c in ("extendedprice", "quantity", "discount", "tax"))
+    real = lambda c: F.when(~F.isnan(c), c)
+    out = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", G.bounded(x).alias("n"), G.ratio(x, q - 25, 7.0).alias("q"), G.clamp(t * 1000 - 40, 0.0, 20.0).alias("c"), real(G.safe_log(d - 0.02)).alias("l"),
+        G.safe_sqrt(F.when(d >= 0.055, d - 0.05).otherwise(-1.0)).alias("s"), G.safe_exp(t).alias("e"), real(G.log_return(d, t)).alias("r"), G.clamp_pnl(x - 30000, q * 100).alias("p"), G.next_capital(x - 40000, q * 100).alias("k"),
+        F.round(G.annualised(d - 0.05, q - 2), 5).alias("y"),
+    )
+    return rounded(out)
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 3 THEN 'unsupported symbol' WHEN o_orderkey % 7 = 0 THEN 'times must have a zone' WHEN d <= 0 THEN 'end must be after start' WHEN d < 30 THEN 'range too short' WHEN d > 730 THEN 'range too long' ELSE '' END AS error
+    FROM (SELECT o_orderkey, o_custkey % 900 - 50 AS d FROM orders)""")
+def arg_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    start = F.col("o_orderdate").cast("timestamp")
+    symbol = F.element_at(F.array(*[F.lit(s) for s in (*bars.SYMBOLS, "DOGE/USD")]), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    end = F.timestamp_seconds(F.unix_seconds(start) + (F.col("o_custkey") % 900 - 50) * 86400)
+    return o.select("o_orderkey", bars.request_error(symbol, start, end, F.col("o_orderkey") % 7 != 0).alias("error"))
+
+
+# ---- pairs ----------------------------------------------------------------------------------------------------------
+@query(f"WITH {ROWS} SELECT pair, strftime(ts, '%Y-%m-%d') AS day, idx, close_a, close_b, round(lp_a, 6) AS lp_a, round(lp_b, 6) AS lp_b FROM r")
+def pair_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return day(fixtures.rows(spark, sf_dir)).select("pair", "day", "idx", "close_a", "close_b", F.round("lp_a", 6).alias("lp_a"), F.round("lp_b", 6).alias("lp_b"))
+
+
+@query("SELECT DISTINCT a.l_returnflag AS symbol_a, b.l_returnflag AS symbol_b FROM (SELECT DISTINCT l_returnflag FROM lineitem) a JOIN (SELECT DISTINCT l_returnflag FROM lineitem) b ON a.l_returnflag < b.l_returnflag")
+def pair_enumerate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.all_pairs(table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("symbol")))
+
+
+@query(f"WITH {B0} SELECT strftime(ts, '%Y-%m-%d') AS day FROM (SELECT ts FROM b0 WHERE symbol = 'A' INTERSECT SELECT ts FROM b0 WHERE symbol = 'N')")
+def ts_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = bars.daily_bars(table(spark, sf_dir, "lineitem"))
+    return day(b.where("symbol = 'A'").select("ts").intersect(b.where("symbol = 'N'").select("ts"))).select("day")
+
+
+@query(f"WITH {HEDGE} SELECT pair, n, round(beta, 6) AS beta, round(alpha, 6) AS alpha, round(r2, 6) AS r2 FROM fit")
+def static_hedge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(pairs.static_hedge(fixtures.rows(spark, sf_dir)))
+
+
+@query(f"WITH {HEDGE} SELECT pair, idx, round(spread, 6) + 0.0 AS spread FROM sp")
+def static_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(pairs.static_spread(fixtures.rows(spark, sf_dir)).select("pair", "idx", "spread"))
+
+
+NOISE = ROWS + """,
+    hd AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY pair) AS n FROM r) WHERE idx < greatest(floor(n * 0.3), 110)),
+    nz AS (SELECT pair, greatest((regr_syy(lp_a, lp_b) - regr_slope(lp_a, lp_b) * regr_sxy(lp_a, lp_b)) / (count(*) - 2), 1e-10) AS r FROM hd GROUP BY 1)"""
+
+
+@query(f"WITH {NOISE} SELECT pair, round(greatest(r * 0.01, 1e-8), 9) AS q, round(r, 8) AS r FROM nz")
+def noise_params(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.noise_params(fixtures.rows(spark, sf_dir)).select("pair", F.round("q", 9).alias("q"), F.round("r", 8).alias("r"))
+
+
+KALMAN = ROWS.replace("b0 AS", "RECURSIVE b0 AS", 1) + """,
+    kf AS (
+        SELECT pair, -1::BIGINT AS idx, 1.0::DOUBLE AS be, 0.0::DOUBLE AS al, 1.0::DOUBLE AS p00, 0.0::DOUBLE AS p01, 1.0::DOUBLE AS p11, 0.0::DOUBLE AS e, 0.0::DOUBLE AS s, 0.0::DOUBLE AS spread FROM (SELECT DISTINCT pair FROM r)
+        UNION ALL
+        SELECT pair, idx, be, al, greatest(t00 * (1 - k0 * b) - t01 * k0 + k0 * k0 * 1e-3, 1e-10), ((-t00 * k1 * b + t01 * (1 - k1) + k0 * k1 * 1e-3) + (t10 * (1 - k0 * b) - t11 * k0 + k0 * k1 * 1e-3)) / 2,
+            greatest(-t10 * k1 * b + t11 * (1 - k1) + k1 * k1 * 1e-3, 1e-10), e, s, a - be * b - al
+        FROM (SELECT *, (1 - k0 * b) * q00 - k0 * p01 AS t00, (1 - k0 * b) * p01 - k0 * q11 AS t01, -k1 * b * q00 + (1 - k1) * p01 AS t10, -k1 * b * p01 + (1 - k1) * q11 AS t11, be0 + k0 * e AS be, al0 + k1 * e AS al
+        FROM (SELECT *, (b * q00 + p01) / s AS k0, (b * p01 + q11) / s AS k1
+        FROM (SELECT *, greatest((b * q00 + p01) * b + b * p01 + q11 + 1e-3, 1e-8) AS s
+        FROM (SELECT r.pair, r.idx, r.lp_a AS a, r.lp_b AS b, be AS be0, al AS al0, p00 + 1e-5 AS q00, p01, p11 + 1e-5 AS q11, r.lp_a - (r.lp_b * be + al) AS e FROM kf JOIN r ON r.pair = kf.pair AND r.idx = kf.idx + 1))))
+    )"""
+KALMAN_ROWS = f"WITH {KALMAN} SELECT pair, idx, round(be, 5) + 0.0 AS beta, round(al, 5) + 0.0 AS alpha, round(spread, 5) + 0.0 AS spread, round(e, 5) + 0.0 AS innovation, round(s, 5) AS innov_var, round(p00, 5) AS p00, round(p11, 5) AS p11, idx >= 100 AS is_warmed_up FROM kf WHERE idx >= 0"
+
+
+@query(KALMAN_ROWS)
+def kalman_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(models.kalman_states(fixtures.rows(spark, sf_dir)), 5)
+
+
+@query(f"""WITH {KALMAN} SELECT pair, count(*) AS n_bars, count(*) FILTER (WHERE idx >= 100) AS n_warmed_up, round(min(spread), 5) AS spread_min, round(max(spread), 5) AS spread_max, round(avg(spread), 5) + 0.0 AS spread_mean, round(stddev_pop(spread), 5) AS spread_std,
+    round(arg_max(be, idx), 5) AS beta_last, round(arg_max(al, idx), 5) AS alpha_last FROM kf WHERE idx >= 0 GROUP BY 1""")
+def kalman_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(models.kalman_summary(models.kalman_states(fixtures.rows(spark, sf_dir))), 5)
+
+
+@query(KALMAN_ROWS)
+def stream_kalman(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hedge filter on a stream of the same rows, several files a batch, read to the end."""
+    home = (spark.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/spreadloom-{uuid.uuid4().hex}").rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+    rows = fixtures.rows(spark, sf_dir).select("pair", "idx", "lp_a", "lp_b")
+    for k in range(2):  # two batches, in order
+        rows.where(F.col("idx") >= 1000 if k else F.col("idx") < 1000).coalesce(1).write.mode("append").parquet(f"{home}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{home}/in")
+    online.hedge(stream).writeStream.format("parquet").option("path", f"{home}/out").option("checkpointLocation", f"{home}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return rounded(spark.read.parquet(f"{home}/out"), 5)
+
+
+# ---- rolling statistics ---------------------------------------------------------------------------------------------
+TR = BARS + """,
+    tr AS (SELECT symbol, ts, row_number() OVER w AS k, greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)) AS tr FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts))"""
+
+
+@query(f"WITH {TR} SELECT symbol, strftime(ts, '%Y-%m-%d') AS day, round(tr, 6) AS tr FROM tr")
+def true_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(day(rolling.true_range(fixtures.smooth(spark, sf_dir))).select("symbol", "day", "tr"))
+
+
+@query(f"""WITH {TR.replace("b0 AS", "RECURSIVE b0 AS", 1)}, em AS (SELECT symbol, k, tr AS atr FROM tr WHERE k = 1 UNION ALL SELECT tr.symbol, tr.k, tr.tr * (2.0 / 15) + em.atr * (1 - 2.0 / 15) FROM em JOIN tr ON tr.symbol = em.symbol AND tr.k = em.k + 1)
+    SELECT symbol, strftime(ts, '%Y-%m-%d') AS day, round(atr, 6) AS atr FROM em JOIN tr USING (symbol, k)""")
+def atr_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(day(models.atr(fixtures.smooth(spark, sf_dir))).select("symbol", "day", "atr"))
+
+
+OU_STEPS = f"""
+    o1 AS (SELECT *, n * (sxx - sxy) - (sx * sx - sx * sy) AS dm FROM os),
+    o2 AS (SELECT *, {sql_div('(sy * sxx - sx * sxy)', 'dm')} AS mu FROM o1),
+    o3 AS (SELECT *, sxx - 2 * mu * sx + n * mu * mu AS da FROM o2),
+    o4 AS (SELECT *, {sql_div('(sxy - mu * sx - mu * sy + n * mu * mu)', 'da')} AS a FROM o3),
+    o5 AS (SELECT *, CASE WHEN a > 1e-8 THEN {sql_n('(-ln(CASE WHEN a > 1e-8 THEN a ELSE 1 END))')} ELSE 0.0 END AS theta FROM o4),
+    o6 AS (SELECT *, (syy - 2 * a * sxy + a * a * sxx - 2 * mu * (1 - a) * (sy - a * sx) + n * mu * mu * (1 - a) * (1 - a)) / n AS al FROM o5),
+    o7 AS (SELECT *, {sql_div('(al * 2 * theta)', '(1 - a * a)')} AS va FROM o6),
+    o8 AS (SELECT *, CASE WHEN va >= 0 THEN sqrt(CASE WHEN va >= 0 THEN va ELSE 0 END) ELSE 0.0 END AS sg FROM o7),
+    o9 AS (SELECT *, CASE WHEN n < 50 THEN 'too few transitions' WHEN abs(dm) < 1e-10 THEN 'mean is undetermined' WHEN abs(da) < 1e-10 THEN 'degenerate series' WHEN NOT (a > 0 AND a < 1) THEN 'no mean reversion' WHEN theta <= 1e-6 THEN 'negligible mean reversion'
+        WHEN al <= 0 THEN 'no variance' WHEN 1 - a * a < 1e-10 THEN 'mean reversion too slow' WHEN va <= 0 THEN 'no diffusion' WHEN sg <= 1e-10 THEN 'diffusion too small' ELSE '' END AS error FROM o8),
+    ou AS (SELECT *, CASE WHEN error = '' THEN {sql_n(sql_div('ln(2.0::DOUBLE)', 'theta'), '121.0')} ELSE 0.0 END AS half_life, CASE WHEN error = '' THEN {sql_div('sg', 'sqrt(2 * greatest(theta, 0))')} ELSE 0.0 END AS sigma_eq FROM o9)"""
+OU_SUMS = "count(x)::DOUBLE AS n, coalesce(sum(x), 0) AS sx, coalesce(sum(y) FILTER (WHERE x IS NOT NULL), 0) AS sy, coalesce(sum(x * x), 0) AS sxx, coalesce(sum(y * y) FILTER (WHERE x IS NOT NULL), 0) AS syy, coalesce(sum(x * y), 0) AS sxy"
+OU_ROLL = HEDGE + f""",
+    wn AS (SELECT pair, count(*) AS n FROM sp GROUP BY 1), ws AS (SELECT pair, CASE WHEN n < 500 THEN 0 ELSE unnest(range(0, greatest(1, (n - 500) // 100 + 1))) END AS w FROM wn),
+    wr AS (SELECT DISTINCT sp.pair, w + 1 AS window_id, idx, spread FROM sp JOIN wn USING (pair) JOIN ws ON ws.pair = sp.pair AND (n < 500 OR idx BETWEEN w * 100 AND w * 100 + 499)),
+    wl AS (SELECT pair, window_id, spread AS y, lag(spread) OVER (PARTITION BY pair, window_id ORDER BY idx) AS x FROM wr),
+    os AS (SELECT pair, window_id, {OU_SUMS} FROM wl GROUP BY 1, 2), {OU_STEPS}"""
+OU_OUT = "round(CASE WHEN error = '' THEN theta ELSE 0 END, 5) AS theta, round(CASE WHEN error = '' THEN mu ELSE 0 END, 5) + 0.0 AS mu, round(CASE WHEN error = '' THEN sg ELSE 0 END, 5) AS sigma, round(half_life, 4) AS half_life, round(sigma_eq, 5) AS sigma_eq, error = '' AND half_life <= 120 AS is_valid, error"
+
+
+def _ou_out(df: DataFrame, *keys: str) -> DataFrame:
+    return rounded(df.withColumn("half_life", F.round("half_life", 4)), 5).select(*keys, "theta", "mu", "sigma", "half_life", "sigma_eq", "is_valid", "error")
+
+
+@query(f"WITH {HEDGE}, wl AS (SELECT pair, spread AS y, lag(spread) OVER (PARTITION BY pair ORDER BY idx) AS x FROM sp), os AS (SELECT pair, {OU_SUMS} FROM wl GROUP BY 1), {OU_STEPS} SELECT pair, {OU_OUT} FROM ou")
+def ou_fit_global(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ou_out(rolling.fit_ou(fixtures.spreads(spark, sf_dir), ["pair"]), "pair")
+
+
+def _rolling_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rolling.fit_ou(pairs.windowed(fixtures.spreads(spark, sf_dir), 500, 100, whole_if_short=True), ["pair", "window_id"])
+
+
+@query(f"WITH {OU_ROLL} SELECT pair, window_id::INT AS window_id, {OU_OUT} FROM ou")
+def ou_fit_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ou_out(_rolling_fits(spark, sf_dir), "pair", "window_id")
+
+
+@query(f"WITH {OU_ROLL} SELECT pair, window_id::INT AS window_id, CASE WHEN NOT (error = '' AND half_life <= 120) THEN 0.0 WHEN half_life < 5 THEN 0.5 WHEN half_life <= 20 THEN 1.0 WHEN half_life <= 60 THEN 0.75 ELSE 0.0 END::DOUBLE AS scale FROM ou")
+def half_life_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rolling_fits(spark, sf_dir).select("pair", "window_id", rolling.half_life_scale(F.col("is_valid"), F.col("half_life")).alias("scale"))
+
+
+@query(f"""WITH {HEDGE}, w AS (SELECT pair, idx, spread, volume, innov_var, row_number() OVER o AS k, lag(spread) OVER o AS ps, avg(spread) OVER p AS m, stddev_samp(spread) OVER p AS sd, count(*) OVER p AS c, avg(CASE WHEN volume > 0 THEN volume END) OVER p AS mv, avg(CASE WHEN innov_var > 0 THEN innov_var END) OVER p AS mi
+    FROM sp WINDOW o AS (PARTITION BY pair ORDER BY idx), p AS (PARTITION BY pair ORDER BY idx ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)),
+    f AS (SELECT pair, idx, CASE WHEN ok THEN abs((spread - m) / sd) END AS f0, CASE WHEN ok THEN abs(spread - ps) END AS f1, CASE WHEN ok THEN greatest(0, least(10, volume / mv)) END AS f2, CASE WHEN ok THEN greatest(0, least(10, innov_var / mi)) END AS f3 FROM (SELECT *, k > 20 AND c >= 2 AND sd >= 1e-10 AS ok FROM w))
+    SELECT pair, idx, round(coalesce(f0, avg(f0) OVER (PARTITION BY pair)), 5) AS f0, round(coalesce(f1, avg(f1) OVER (PARTITION BY pair)), 5) AS f1, round(coalesce(f2, avg(f2) OVER (PARTITION BY pair)), 5) AS f2, round(coalesce(f3, avg(f3) OVER (PARTITION BY pair)), 5) AS f3 FROM f""")
+def hmm_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(rolling.features(fixtures.spreads(spark, sf_dir)).select("pair", "idx", "f0", "f1", "f2", "f3"), 5)
+
+
+def _steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("pair").orderBy("idx")
+    return fixtures.rows(spark, sf_dir).select("pair", "idx", (F.col("lp_a") - F.lag("lp_a").over(w)).alias("x")).where("x is not null")
+
+
+STEPS = ROWS + ", d AS (SELECT * FROM (SELECT pair, idx, lp_a - lag(lp_a) OVER (PARTITION BY pair ORDER BY idx) AS x FROM r) WHERE x IS NOT NULL)"
+
+
+@query(f"""WITH {STEPS}, dn AS (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY idx) - 1 AS j, count(*) OVER (PARTITION BY pair) AS n FROM d),
+    sz AS (SELECT DISTINCT n, size FROM (SELECT n, CASE WHEN k = 19 THEN n // 2 ELSE floor(pow(10, log10(20.0::DOUBLE) + k * (log10((n // 2)::DOUBLE) - log10(20.0::DOUBLE)) / 19) + 1e-9)::BIGINT END AS size FROM (SELECT DISTINCT n FROM dn WHERE n >= 500), range(20) t(k)) WHERE size >= 20),
+    ch AS (SELECT pair, size, j // size AS chunk, j, x FROM dn JOIN sz USING (n) WHERE j // size < n // size),
+    de AS (SELECT *, x - avg(x) OVER (PARTITION BY pair, size, chunk) AS dv FROM ch), cu AS (SELECT *, sum(dv) OVER (PARTITION BY pair, size, chunk ORDER BY j ROWS UNBOUNDED PRECEDING) AS c FROM de),
+    rs AS (SELECT pair, size, chunk, (max(c) - min(c)) / stddev_samp(x) AS rs FROM cu GROUP BY ALL HAVING stddev_samp(x) >= 1e-10), pt AS (SELECT pair, size, avg(rs) AS rs, count(*) AS k FROM rs WHERE rs > 0 GROUP BY ALL HAVING count(*) >= 2)
+    SELECT pair, round(regr_slope(ln(rs), ln(size)), 5) AS exponent, round(regr_r2(ln(rs), ln(size)), 5) AS r_squared, count(*) AS n_windows, '' AS error FROM pt GROUP BY 1""")
+def hurst_rs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(rolling.hurst(_steps(spark, sf_dir), ["pair"]), 5)
+
+
+LB = STEPS + ", dm AS (SELECT pair, idx, x - avg(x) OVER (PARTITION BY pair) AS d FROM d), lg AS (SELECT pair, d, " + ", ".join(f"lag(d, {k}) OVER w AS d{k}" for k in range(1, 21)) + " FROM dm WINDOW w AS (PARTITION BY pair ORDER BY idx)), ac AS (SELECT pair, count(*) AS n, " + ", ".join(f"pow(sum(d * d{k}) / sum(d * d), 2) AS r{k}" for k in range(1, 21)) + " FROM lg GROUP BY 1)"
+_q = lambda m: "n * (n + 2) * (" + " + ".join(f"r{k} / (n - {k})" for k in range(1, m + 1)) + ")"
+
+
+@query(f"WITH {LB} SELECT pair, round({_q(5)}, 4) AS q5, round({_q(10)}, 4) AS q10, round({_q(20)}, 4) AS q20 FROM ac")
+def ljung_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rolling.ljung_box(_steps(spark, sf_dir), ["pair"])
+    return found.select("pair", *[F.round(F.col("stats")[k], 4).alias(f"q{m}") for k, m in enumerate(rolling.LB_LAGS)])
+
+
+@query(f"WITH {HEDGE}, st AS (SELECT pair, lag(spread) OVER w AS x, spread - lag(spread) OVER w AS dy FROM sp WINDOW w AS (PARTITION BY pair ORDER BY idx)) SELECT pair, count(x) AS n, round(regr_slope(dy, x) / sqrt((regr_syy(dy, x) - regr_slope(dy, x) * regr_sxy(dy, x)) / (count(x) - 2) / regr_sxx(dy, x)), 5) AS statistic FROM st WHERE x IS NOT NULL GROUP BY 1")
+def adf_lag0_stat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(rolling.unit_root_stat(fixtures.spreads(spark, sf_dir), ["pair"], "spread"), 5)
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, NOT (l_discount >= 0.05) AND NOT (l_tax >= 0.05) AND (l_quantity < 22.5 OR l_quantity > 27.5) AS edge_confirmed,
+    CASE WHEN l_discount >= 0.05 OR l_tax >= 0.05 THEN 'none' WHEN l_quantity < 22.5 THEN 'mean_reverting' WHEN l_quantity > 27.5 THEN 'trending' ELSE 'none' END AS edge_type FROM lineitem""")
+def edge_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edge = rolling.edge_class(F.col("l_discount"), F.col("l_tax"), F.col("l_quantity") / 50, F.lit(True))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", edge.alias("e")).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "e.edge_confirmed", "e.edge_type")
+
+
+@query(f"WITH {HEDGE}, pm AS (SELECT pair, idx, spread AS theta FROM sp WHERE idx % 100 = 0) SELECT sp.pair, sp.idx, round(theta, 6) + 0.0 AS theta FROM sp ASOF JOIN pm ON sp.pair = pm.pair AND sp.idx >= pm.idx")
+def asof_params(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = fixtures.spreads(spark, sf_dir)
+    return rounded(pairs.as_of(s, s.where("idx % 100 = 0").select("pair", "idx", F.col("spread").alias("theta"))))
+
+
+# ---- sizing ---------------------------------------------------------------------------------------------------------
+def sql_area(depth: str) -> str:
+    return f"(list_sum(list_transform(range(201), lambda i: exp(least(500, pow({depth} * (i / 200.0::DOUBLE - 1), 2))) * CASE WHEN i IN (0, 200) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)) * ({depth}) / 600)"
+
+
+def sql_win(theta: str, sigma: str, a: str) -> tuple[str, str]:
+    depth = f"(({a}) / (({sigma}) / sqrt(2 * ({theta}))))"
+    return sql_clamp(sql_div("near", "far", "0.5"), "0.0", "1.0"), f"{sql_area(depth)} AS near, {sql_area('(2 * ' + depth + ')')} AS far"
+
+
+CASES = "cs AS (SELECT DISTINCT l_quantity AS qy, l_discount AS dc, l_tax AS tx FROM lineitem)"
+_WIN, _AREAS = sql_win("(dc * 5 + 0.01)", "(tx + 0.01)", "qy / 500")
+
+
+@query(f"WITH {CASES}, ar AS (SELECT *, {_AREAS} FROM cs) SELECT qy, dc, tx, round({_WIN}, 6) AS p FROM ar")
+def win_prob_simpson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "lineitem").select(F.col("l_quantity").alias("qy"), F.col("l_discount").alias("dc"), F.col("l_tax").alias("tx")).distinct()
+    return rounded(sizing.with_win_probability(c, F.col("dc") * 5 + 0.01, F.col("tx") + 0.01, F.col("qy") / 500, "p"))
+
+
+@query(f"WITH {CASES} SELECT qy, dc, tx, round({sql_clamp(sql_div('(qy / 10 * (dc * 5 + 0.3) - (1 - (dc * 5 + 0.3)))', 'qy / 10'), '0.0', '0.25')}, 6) AS f FROM cs")
+def kelly_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "lineitem").select(F.col("l_quantity").alias("qy"), F.col("l_discount").alias("dc"), F.col("l_tax").alias("tx")).distinct()
+    return rounded(c.select("qy", "dc", "tx", sizing.kelly(F.col("dc") * 5 + 0.3, F.col("qy") / 10).alias("f")))
+
+
+_WIN2, _AREAS2 = sql_win("(dc * 5 + 0.01)", "(tx + 0.01)", "(1.5 * qy / 900)")
+
+
+@query(f"""WITH {CASES}, ar AS (SELECT *, {_AREAS2} FROM cs), pw AS (SELECT *, {_WIN2} AS p FROM ar), kf AS (SELECT *, greatest(0.0, least(0.25, (2.5 / 1.5 * p - (1 - p)) / (2.5 / 1.5))) AS f FROM pw),
+    sz AS (SELECT *, least(3000.0, least(0.25, f * 0.5) * 10000) AS pk, least(3000.0, 100 / (1.5 * qy) * 900) AS pa FROM kf)
+    SELECT qy, dc, tx, round(CASE WHEN least(pk, pa) < 50 THEN 0 ELSE least(pk, pa) END, 4) AS position_usd, NOT least(pk, pa) < 50 AS is_valid FROM sz""")
+def position_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "lineitem").select(F.col("l_quantity").alias("qy"), F.col("l_discount").alias("dc"), F.col("l_tax").alias("tx")).distinct()
+    case = {"capital": F.lit(10_000.0), "atr": F.col("qy"), "price": F.lit(900.0), "theta": F.col("dc") * 5 + 0.01, "sigma": F.col("tx") + 0.01, "ou_valid": F.lit(True), "scale": F.lit(0.5), "no_trade": F.lit(False)}
+    return rounded(sizing.sized(c.withColumns(case)).select("qy", "dc", "tx", "position_usd", "is_valid"), 4)
+
+
+# ---- metrics --------------------------------------------------------------------------------------------------------
+TRADES = """tr AS (SELECT l_returnflag AS pair, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS k, round((l_discount - 0.05) * 1000 - 2, 6) AS pnl, l_linenumber % 3 AS state, l_quantity::BIGINT AS held FROM lineitem),
+    tw AS (SELECT *, ((k - 1) // 500 + 1)::INT AS window_id, pnl / 10000 AS r FROM tr)"""
+_sharpe = "CASE WHEN count(*) < 2 OR NOT stddev_samp(r) >= 1e-10 THEN 0.0 ELSE avg(r) / stddev_samp(r) * sqrt(greatest(count(*) * 365 / 250.0::DOUBLE, 1)) END"
+_sortino = "CASE WHEN count(*) FILTER (WHERE r < 0) < 2 THEN 0.0 ELSE avg(r) / sqrt(avg(r * r) FILTER (WHERE r < 0)) * sqrt(greatest(count(*) * 365 / 250.0::DOUBLE, 1)) END"
+_gw, _gl = "coalesce(sum(pnl) FILTER (WHERE pnl > 0), 0)", "coalesce(-sum(pnl) FILTER (WHERE pnl < 0), 0)"
+_pf = f"CASE WHEN {_gl} > 1e-10 THEN {sql_clamp(sql_div(_gw, _gl), '0.0', '9.99')} WHEN {_gw} > 0 THEN 9.99 ELSE 0.0 END"
+WINDOWS = TRADES + f""",
+    eq AS (SELECT *, 10000 + sum(pnl) OVER (PARTITION BY pair, window_id ORDER BY k ROWS UNBOUNDED PRECEDING) AS eq FROM tw), pk AS (SELECT *, max(eq) OVER (PARTITION BY pair, window_id ORDER BY k ROWS UNBOUNDED PRECEDING) AS pk FROM eq),
+    wr AS (SELECT pair, window_id, count(*) AS n, sum(pnl) / 10000 AS tret, {_sharpe} AS sharpe, {_sortino} AS sortino, max((pk - eq) / greatest(pk, 1)) AS mdd, count(*) FILTER (WHERE pnl > 0) / count(*) AS wrate FROM pk GROUP BY 1, 2),
+    wc AS (SELECT *, CASE WHEN mdd < 1e-10 THEN 0.0 ELSE {sql_div('(tret * (365.0::DOUBLE / 250))', 'mdd')} END AS calmar, n >= 100 AS ok FROM wr)"""
+
+
+@query(f"WITH {TRADES} SELECT pair, count(*) AS total_trades, count(*) FILTER (WHERE pnl > 0) AS wins, round(count(*) FILTER (WHERE pnl > 0) / count(*), 6) AS win_rate, round(sum(pnl) / count(*), 6) AS avg_trade_usd, round(avg(held), 6) AS avg_holding_bars FROM tw GROUP BY 1")
+def trade_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(metrics.trade_metrics(fixtures.trades(spark, sf_dir), ["pair"], F.lit(fixtures.DAYS)).select("pair", "total_trades", "wins", "win_rate", "avg_trade_usd", "avg_holding_bars"))
+
+
+@query(f"WITH {TRADES} SELECT pair, window_id, round({_sharpe}, 6) AS sharpe, round({_sortino}, 6) AS sortino FROM tw GROUP BY 1, 2")
+def sharpe_sortino(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(metrics.trade_metrics(fixtures.trades(spark, sf_dir), ["pair", "window_id"], F.lit(fixtures.DAYS)).select("pair", "window_id", "sharpe", "sortino"))
+
+
+@query(f"WITH {TRADES} SELECT pair, window_id, round({_pf}, 5) AS profit_factor FROM tw GROUP BY 1, 2")
+def profit_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(metrics.trade_metrics(fixtures.trades(spark, sf_dir), ["pair", "window_id"], F.lit(fixtures.DAYS)).select("pair", "window_id", "profit_factor"), 5)
+
+
+@query(f"WITH {WINDOWS} SELECT pair, window_id, k::INT AS k, round(eq, 4) AS equity, round((pk - eq) / greatest(pk, 1), 6) AS drawdown FROM pk")
+def drawdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("pair", "window_id").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    t = fixtures.trades(spark, sf_dir).withColumn("equity", F.lit(10_000.0) + F.sum("net_pnl").over(w))
+    return rounded(metrics.drawdowns(t, ["pair", "window_id"], order=("k",)).select("pair", "window_id", "k", F.round("equity", 4).alias("equity"), "drawdown"))
+
+
+@query(f"WITH {TRADES} SELECT pair, round(count(*) FILTER (WHERE state = 0) / count(*) * 100, 6) AS pct_high_mr, round(count(*) FILTER (WHERE state = 1) / count(*) * 100, 6) AS pct_low_mr, round(count(*) FILTER (WHERE state = 2) / count(*) * 100, 6) AS pct_breakdown FROM tw GROUP BY 1")
+def regime_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(metrics.regime_share(fixtures.trades(spark, sf_dir), ["pair"]))
+
+
+@query(f"WITH {ROWS}, wn AS (SELECT pair, count(*) AS n FROM r GROUP BY 1), ws AS (SELECT pair, w, n FROM (SELECT pair, n, unnest(range(0, CASE WHEN n < 900 THEN 0 ELSE (n - 900) // 300 + 1 END)) AS w FROM wn)) SELECT ws.pair, (w + 1)::INT AS window_id, count(*) AS n_rows, min(idx) AS first_idx, max(idx) AS last_idx FROM ws JOIN r ON r.pair = ws.pair AND idx BETWEEN w * 300 AND w * 300 + 899 GROUP BY 1, 2")
+def wf_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = pairs.windowed(fixtures.rows(spark, sf_dir), 900, 300)
+    return w.groupBy("pair", "window_id").agg(F.count("*").alias("n_rows"), F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx"))
+
+
+VERDICT = WINDOWS + """,
+    ag AS (SELECT pair, count(*) AS n_windows, count(*) FILTER (WHERE ok) AS n_valid, median(tret) FILTER (WHERE ok) AS mr, median(sharpe) FILTER (WHERE ok) AS ms, median(sortino) FILTER (WHERE ok) AS mo, median(calmar) FILTER (WHERE ok) AS mc, median(mdd) FILTER (WHERE ok) AS md, median(wrate) FILTER (WHERE ok) AS mw,
+        count(*) FILTER (WHERE ok AND tret > 0) / count(*) FILTER (WHERE ok) * 100 AS pp, count(*) FILTER (WHERE ok AND sharpe >= 0.5) / count(*) FILTER (WHERE ok) * 100 AS ph, count(*) FILTER (WHERE ok AND sharpe >= 1) / count(*) FILTER (WHERE ok) * 100 AS po, count(*) FILTER (WHERE ok AND sharpe < -1) AS n_fragile FROM wc GROUP BY 1)"""
+_keep = lambda c, name: f"round(CASE WHEN n_valid >= 3 THEN {c} ELSE 0 END, 6) + 0.0 AS {name}"
+
+
+@query(f"WITH {VERDICT} SELECT pair, n_windows, n_valid, {_keep('mr', 'median_return')}, {_keep('ms', 'median_sharpe')}, {_keep('mo', 'median_sortino')}, {_keep('mc', 'median_calmar')}, {_keep('md', 'median_maxdd')}, {_keep('mw', 'median_winrate')} FROM ag")
+def wf_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(metrics.verdict(fixtures.window_results(spark, sf_dir)).select("pair", "n_windows", "n_valid", "median_return", "median_sharpe", "median_sortino", "median_calmar", "median_maxdd", "median_winrate"))
+
+
+@query(f"""WITH {VERDICT} SELECT pair, {_keep('pp', 'pct_profitable')}, {_keep('ph', 'pct_sharpe_gt_half')}, {_keep('po', 'pct_sharpe_gt_one')}, n_fragile,
+    CASE WHEN n_valid < 3 THEN 'INSUFFICIENT_DATA' WHEN pp < 60 THEN 'NOT_ROBUST' WHEN ms >= 1 THEN 'STRONG_EDGE' WHEN ms >= 0.5 THEN 'DEPLOYABLE' ELSE 'WEAK_EDGE' END AS verdict, n_valid >= 3 AND pp >= 60 AND ms >= 0.5 AS deployable FROM ag""")
+def wf_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(metrics.verdict(fixtures.window_results(spark, sf_dir)).select("pair", "pct_profitable", "pct_sharpe_gt_half", "pct_sharpe_gt_one", "n_fragile", "verdict", "deployable"))
+
+
+@query(f"WITH {WINDOWS} SELECT pair, window_id, round(sharpe, 6) AS sharpe FROM (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY round(sharpe, 9) DESC, window_id) AS k FROM wc WHERE ok) WHERE k = 1")
+def best_window_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(metrics.best_window(fixtures.window_results(spark, sf_dir).withColumn("sharpe", F.round("sharpe", 9))).select("pair", "window_id", "sharpe"))
+
+
+#: A stop close enough for the win probability to leave room for trades on the derived pairs.
+TRADING = backtest.Settings(stop_mult=0.5)
+
+
+# ---- models without SQL ---------------------------------------------------------------------------------------------
+@query()
+def adf_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(models.unit_root(fixtures.spreads(spark, sf_dir), ["pair"], "spread"))
+
+
+@query()
+def stationarity_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.stationarity(pairs.windowed(fixtures.spreads(spark, sf_dir), 500, 100, whole_if_short=True), ["pair", "window_id"], "spread")
+
+
+@query()
+def bertram_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(models.entry_thresholds(_rolling_fits(spark, sf_dir)).select("pair", "window_id", "sigma_eq", "threshold"))
+
+
+@query()
+def hmm_train(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.train_regimes(rolling.features(fixtures.spreads(spark, sf_dir)))
+
+
+@query()
+def hmm_regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = rolling.features(fixtures.spreads(spark, sf_dir))
+    return models.regimes(f, models.train_regimes(f))
+
+
+@query()
+def backtest_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backtest.trades(backtest.backtest(fixtures.reverting(spark, sf_dir), TRADING)[1])
+
+
+@query()
+def backtest_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backtest.backtest(fixtures.reverting(spark, sf_dir), TRADING)[0]
+
+
+@query()
+def walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backtest.walk_forward(fixtures.reverting(spark, sf_dir), 600, 300, 300, TRADING)[0]
+
+
+@query()
+def walk_forward_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backtest.walk_forward(fixtures.reverting(spark, sf_dir), 600, 300, 300, TRADING)[1]
+
+
+@query()
+def trade_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, made, runs = backtest.walk_forward(fixtures.reverting(spark, sf_dir), 600, 300, 300, TRADING)
+    return sinks.trade_log(backtest.trades(runs), made)
