@@ -103,5 +103,6 @@ def without_copies(docs: DataFrame) -> DataFrame:
     bad = dropped.unionByName(mixed)
     rest = keyed.join(small_side(bad), ["__id", "__none"], "left_anti")
     odd = fingerprinted(keyed.join(small_side(bad), ["__id", "__none"], "left_semi"))
-    odd = odd.join(small_side(found).select("__sha", "keep_id", "group_size"), "__sha", "left").where("group_size is null or doc_id <=> keep_id")
+    firsts = found.select("__sha", F.col("keep_id").alias("__keep_id"), F.lit(True).alias("__grouped"))
+    odd = odd.join(small_side(firsts), "__sha", "left").where("__grouped is null or doc_id <=> __keep_id")
     return rest.unionByName(odd.dropDuplicates(["__id", "__none", "__sha"]).select(rest.columns)).drop("__id", "__none")
