@@ -70,11 +70,11 @@ def _batch(rows: list[tuple[int, list[bytes]]], n: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([g for g, _ in rows], pa.int32()), *(pa.array([c[k] for _, c in rows], pa.binary()) for k in range(n))], ["group", *(f"c{k}" for k in range(n))])
 
 
-def _prefix_slots(w: Words, h: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
-    """For each length in PREFIXES, the census slot of the suffix at each window start."""
+def _prefix_slots(w: Words, h: np.ndarray, at: np.ndarray, width: int) -> list[np.ndarray]:
+    """For each length in PREFIXES (at most a window's), the census slot of the suffix at each window start."""
     out = []
     for p in PREFIXES:
-        pos, ph = w.windows(h, p)
+        pos, ph = w.windows(h, min(p, width))
         out.append((ph[np.searchsorted(pos, at)] >> np.uint64(48)).astype(np.int64))
     return out
 
@@ -114,7 +114,7 @@ def _repeated_anchors(docs: DataFrame, n_docs: int, width: int, run: int) -> tup
                 at, anchor, g = _anchors(w, h, width, run)
                 if not len(at):
                     continue
-                for k, slot in enumerate(_prefix_slots(w, h, at)):
+                for k, slot in enumerate(_prefix_slots(w, h, at, width)):
                     census[k] += np.bincount(slot, minlength=CENSUS)
                 held.append(g[np.unique(anchor)])
                 size += len(held[-1])
@@ -207,7 +207,7 @@ def _later_windows(docs: DataFrame, anchors: Filter, census: np.ndarray, n_docs:
                 pick = known.value.has(g[anchor])
                 if not pick.any():
                     continue
-                slots = _prefix_slots(w, h, at)
+                slots = _prefix_slots(w, h, at, width)
                 group = slots[0] + 1
                 for k in range(1, len(PREFIXES)):
                     group = np.where(large.value[k - 1][slots[k - 1]] & (group > (k - 1) * CENSUS), k * CENSUS + slots[k] + 1, group)
