@@ -58,12 +58,12 @@ NAMES = [
     ("cc-by-nc", "cc by", r"cc by nc(?: [1-4] [05])?", r"cc by nc [1-4] [05]"),
     ("cc-by-nc-sa", "cc by", r"cc by nc sa(?: [1-4] [05])?", r"cc by nc sa [1-4] [05]"),
     ("cc-by-nc-nd", "cc by", r"cc by nc nd(?: [1-4] [05])?", r"cc by nc nd [1-4] [05]"),
-    ("cc-by", "creative commons", r"creative commons attribution(?: [1-4] [05])?", r"creativecommons org licenses by [1-4] [05]"),
-    ("cc-by-sa", "creative commons", r"creative commons attribution share ?alike(?: [1-4] [05])?", r"creativecommons org licenses by sa [1-4] [05]"),
-    ("cc-by-nd", "creative commons", r"creative commons attribution no ?deriv(?:ative|ativework)s?(?: [1-4] [05])?", r"creativecommons org licenses by nd [1-4] [05]"),
-    ("cc-by-nc", "creative commons", r"creative commons attribution non ?commercial(?: [1-4] [05])?", r"creativecommons org licenses by nc [1-4] [05]"),
-    ("cc-by-nc-sa", "creative commons", r"creative commons attribution non ?commercial share ?alike(?: [1-4] [05])?", r"creativecommons org licenses by nc sa [1-4] [05]"),
-    ("cc-by-nc-nd", "creative commons", r"creative commons attribution non ?commercial no ?deriv(?:ative|ativework)s?(?: [1-4] [05])?", r"creativecommons org licenses by nc nd [1-4] [05]"),
+    ("cc-by", "creative commons", r"creative commons attribution(?: [1-4] [05])?", r"by [1-4] [05]"),
+    ("cc-by-sa", "creative commons", r"creative commons attribution share ?alike(?: [1-4] [05])?", r"by sa [1-4] [05]"),
+    ("cc-by-nd", "creative commons", r"creative commons attribution no ?deriv(?:ative|ativework)s?(?: [1-4] [05])?", r"by nd [1-4] [05]"),
+    ("cc-by-nc", "creative commons", r"creative commons attribution non ?commercial(?: [1-4] [05])?", r"by nc [1-4] [05]"),
+    ("cc-by-nc-sa", "creative commons", r"creative commons attribution non ?commercial share ?alike(?: [1-4] [05])?", r"by nc sa [1-4] [05]"),
+    ("cc-by-nc-nd", "creative commons", r"creative commons attribution non ?commercial no ?deriv(?:ative|ativework)s?(?: [1-4] [05])?", r"by nc nd [1-4] [05]"),
     ("unlicense", "unlicense", r"(?:the )?unlicense", r"unlicense"),
     ("wtfpl", "wtfpl", r"wtfpl(?: version 2)?", r"wtfpl"),
     ("zlib", "zlib", r"zlib(?: libpng)? licen[cs]e", r"zlib"),
@@ -113,7 +113,7 @@ PHRASES = [
 #: How a name is put: kind, pattern around it, priority, confidence. The identifier stands in tags and addresses.
 GRANT = r"(?:licen[cs]ed|released|distributed|available|published|provided|made available|licen[cs]e[sd]? is granted|covered) under (?:the |a |an )?(?:terms of (?:the )?|conditions of (?:the )?)?(?:{name})"
 FORMS = [("grant", GRANT, 80, 0.95), ("name", "(?:{name})(?: licen[cs]e)?", 60, 0.8)]
-TAGS = [("tag", "spdx license identifier (?:{id})", 90, 1.0), ("address", "(?:opensource org licenses?|spdx org licenses|licenses|choosealicense com licenses) (?:{id})(?: php| html| txt)?", 70, 0.9)]
+TAGS = [("tag", "spdx license identifier (?:{id})", 90, 1.0), ("address", "(?:opensource org licenses?|spdx org licenses|licenses|choosealicense com licenses|creativecommons org) (?:{id})(?: php| html| txt)?", 70, 0.9)]
 #: Words of which a document needs one to be looked at further.
 GATE = r"(?i) (?:[a-z]*licen[cs]\S*|spdx|copyright\S*|(?:cc|by) (?:by|nc)|cc0|wtfpl|[al]?gpl\S*|gnu|mozilla|creativecommons|all rights|(?:the|is) public domain|creative commons|commercial use|bsd|proprietary|hereby granted|permission to|redistribution and|free software|express or) "
 
@@ -123,7 +123,7 @@ def rules() -> list[dict]:
     out = [{"kw": p, "rx": p, "label": label, "priority": 100, "confidence": 1.0, "base": True} for p, label in BASE.items()]
     for label, keyword, name, ident in NAMES:
         out += [{"kw": keyword, "rx": form.format(name=name), "label": label, "priority": pr, "confidence": c, "base": False} for _, form, pr, c in FORMS]
-        out += [{"kw": "spdx" if kind == "tag" else "licenses", "rx": form.format(id=ident), "label": label, "priority": pr, "confidence": c, "base": False} for kind, form, pr, c in TAGS]
+        out += [{"kw": "spdx" if kind == "tag" else "creativecommons" if ident.startswith("publicdomain") else "licenses", "rx": form.format(id=ident), "label": label, "priority": pr, "confidence": c, "base": False} for kind, form, pr, c in TAGS]
     out += [{"kw": keyword, "rx": rx, "label": label, "priority": pr, "confidence": c, "base": False} for label, keyword, rx, pr, c in PHRASES]
     for k, r in enumerate(sorted(out, key=lambda r: -r["priority"])):
         r["id"] = k
