@@ -66,7 +66,9 @@ def reverting(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rows(spark, sf_dir)
     w = Window.partitionBy("pair").orderBy("idx")
     gap = F.avg("volume_a").over(w.rowsBetween(-9, 0)) / F.avg("volume_a").over(w.rowsBetween(-99, 0)) - 1
-    # Prices near 1 keep their logs near 0, where the filter's hedge moves slowly enough to leave the spread alone.
+    # Logs near 0 are where the filter's hedge moves slowly enough to leave the spread alone; prices are in thousandths of
+    # what the logs count, as a stop of next to nothing has no bounded volatility size.
     flat = 0.1 * (F.col("lp_b") - float(np.log(2500.0)))
     lp = flat + 0.1 * gap
-    return found.withColumn("lp_b", flat).withColumn("lp_a", lp).withColumn("close_a", F.exp(lp)).withColumn("high_a", F.exp(lp) * 1.0005).withColumn("low_a", F.exp(lp) * 0.9995)
+    price = 1000 * F.exp(lp)
+    return found.withColumn("lp_b", flat).withColumn("lp_a", lp).withColumn("close_a", price).withColumn("high_a", price * 1.0005).withColumn("low_a", price * 0.9995)
