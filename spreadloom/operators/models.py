@@ -118,5 +118,5 @@ def regimes(rows: DataFrame, models: DataFrame) -> DataFrame:
         out = [f.step(o) for o in pdf[["f0", "f1", "f2", "f3"]].to_numpy(float)]
         return pd.DataFrame({"pair": key[0], "idx": pdf["idx"].to_numpy(), "gamma": [g.tolist() for g, *_ in out], "state": [s for _, s, *_ in out], "kelly_scale": [k for _, _, k, _ in out], "is_no_trade": [n for *_, n in out], "confidence": [float(g.max()) for g, *_ in out]})
 
-    both = rows.select("pair", "idx", "f0", "f1", "f2", "f3").join(F.broadcast(models.where("is_valid").select("pair", "pi", "trans", "mu", "sigma")), "pair")
+    both = rows.select("pair", "idx", "f0", "f1", "f2", "f3").join(models.where("is_valid").select("pair", "pi", "trans", "mu", "sigma"), "pair")
     return both.groupBy("pair").applyInPandas(run, "pair string, idx long, gamma array<double>, state int, kelly_scale double, is_no_trade boolean, confidence double")

@@ -47,7 +47,7 @@ def static_hedge(rows: DataFrame) -> DataFrame:
 def static_spread(rows: DataFrame) -> DataFrame:
     """What the static hedge leaves of lp_a."""
     fit = static_hedge(rows).select("pair", "beta", "alpha")
-    return rows.join(F.broadcast(fit), "pair").withColumn("spread", F.col("lp_a") - F.col("beta") * F.col("lp_b") - F.col("alpha"))
+    return rows.join(fit, "pair").withColumn("spread", F.col("lp_a") - F.col("beta") * F.col("lp_b") - F.col("alpha"))
 
 
 def noise_params(rows: DataFrame, share: float = 0.3) -> DataFrame:

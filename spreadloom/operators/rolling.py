@@ -123,10 +123,10 @@ def hurst(rows: DataFrame, keys: list[str], value: str = "x") -> DataFrame:
     v = F.col(value)
     clean = rows.where(G.finite(v)).select(*keys, v.alias("v"), (F.row_number().over(Window.partitionBy(*keys).orderBy("idx")) - 1).alias("j"), F.count("*").over(Window.partitionBy(*keys)).alias("n"))
     lengths = clean.groupBy(*keys).agg(F.first("n").alias("n")).where(F.col("n") >= MIN_SERIES)
-    # n -> sizes by the logarithmic grid, as a table of the distinct lengths (one row a length that occurs).
-    by_length = lengths.select("n").distinct().select("n", F.expr(f"""array_distinct(filter(transform(sequence(0, {HURST_SIZES - 1}), k -> cast(
+    # The sizes of the logarithmic grid, worked out once a key; the join keeps the partitioning by key.
+    sized = lengths.select(*keys, F.expr(f"""array_distinct(filter(transform(sequence(0, {HURST_SIZES - 1}), k -> cast(
         if(k = {HURST_SIZES - 1}, floor(n / 2), floor(power(10D, log10({HURST_LEAST}D) + k * (log10(floor(n / 2)) - log10({HURST_LEAST}D)) / {HURST_SIZES - 1}) + 1e-9)) as int)), s -> s >= {HURST_LEAST}))""").alias("sizes"))
-    chunked = clean.join(F.broadcast(by_length), "n").withColumn("size", F.explode("sizes")).withColumn("chunk", F.floor(F.col("j") / F.col("size")))
+    chunked = clean.join(sized, keys).withColumn("size", F.explode("sizes")).withColumn("chunk", F.floor(F.col("j") / F.col("size")))
     chunked = chunked.where(F.col("chunk") < F.floor(F.col("n") / F.col("size")))
     one = [*keys, "size", "chunk"]
     centred = chunked.withColumn("d", F.col("v") - F.avg("v").over(Window.partitionBy(*one)))

@@ -23,7 +23,7 @@ def smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of smoothed bars, aligned and indexed."""
     b = smooth(spark, sf_dir)
-    return pairs.indexed(pairs.aligned(b, F.broadcast(pairs.all_pairs(b))))
+    return pairs.indexed(pairs.aligned(b, pairs.all_pairs(b)))
 
 
 def spreads(spark: SparkSession, sf_dir: str) -> DataFrame:
