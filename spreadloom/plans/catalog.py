@@ -40,7 +40,7 @@ def day(df: DataFrame) -> DataFrame:
     return df.withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
 
 
-B0 = "b0 AS (SELECT l_returnflag AS symbol, l_shipdate::TIMESTAMP AS ts, round(sum(l_extendedprice) / sum(l_quantity), 6) AS close, sum(l_quantity)::DOUBLE AS volume FROM lineitem GROUP BY 1, 2)"
+B0 = "b0 AS (SELECT l_returnflag AS symbol, l_shipdate::TIMESTAMP AS ts, floor(sum(round(l_extendedprice * 100)::BIGINT)::DOUBLE / (sum(l_quantity) * 100) * 1e6 + 0.5) / 1e6 AS close, sum(l_quantity)::DOUBLE AS volume FROM lineitem GROUP BY 1, 2)"
 BARS = B0 + """,
     sm AS (SELECT symbol, ts, volume, row_number() OVER w AS k, round(avg(close) OVER (PARTITION BY symbol ORDER BY ts ROWS 59 PRECEDING), 8) AS close FROM b0 WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
     op AS (SELECT symbol, ts, close, volume, coalesce(lag(close) OVER (PARTITION BY symbol ORDER BY ts), close) AS open FROM sm WHERE k >= 60),

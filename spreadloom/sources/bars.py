@@ -70,7 +70,9 @@ def request_error(symbol: Column, start: Column, end: Column, zoned: Column) ->
 
 def daily_bars(lineitem: DataFrame) -> DataFrame:
     """B0: one bar a return flag and ship date, with the mean price of a unit and the units as volume."""
-    price = F.round(F.sum("l_extendedprice") / F.sum("l_quantity"), 6)
+    # Summed in whole cents, so the price does not depend on the order of rows.
+    cents = F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).cast("double")
+    price = F.floor(cents / (F.sum("l_quantity") * 100) * 1e6 + 0.5) / 1e6
     return lineitem.groupBy(F.col("l_returnflag").alias("symbol"), F.col("l_shipdate").cast("timestamp").alias("ts")).agg(price.alias("close"), F.sum("l_quantity").alias("volume"))
 
 
