@@ -27,7 +27,7 @@ class Settings:
     A shingle in at most ``rare`` of the documents weighs 1; one in all documents ``1 - damping``. Texts of at most
     ``long`` shingles draw every sample from all of them; texts of at least ``short`` draw each from a part of their own
     (so a long text costs one draw a shingle). Between the two both are drawn, so similar texts always share a way.
-    ``turns`` is how many members lead a bucket one after another before many lead at once.
+    ``turns`` is how many members lead a bucket one after another before all that are open are compared with all others.
     """
 
     width: int = 5
@@ -48,6 +48,8 @@ class Settings:
 
 #: Documents after which a task closes a chunk when it looks for frequent shingles, and shingles after which it must.
 CHUNK_ROWS, CHUNK_SHINGLES = 4096, 1 << 23
+#: Open members and members of a crowded bucket that a task compares at a time.
+OPEN_BLOCK, MEMBER_BLOCK = 512, 2048
 
 _grid = np.linspace(0, 40, 400_001)
 _quantiles = np.interp((np.arange(1 << 16) + 0.5) / (1 << 16), 1 - (1 + _grid) * np.exp(-_grid), _grid)
@@ -208,9 +210,8 @@ def signatures(row: np.ndarray, h: np.ndarray, weight: np.ndarray, s: Settings)
 
 
 def _signed(docs: DataFrame, weights, s: Settings) -> DataFrame:
-    """did, c1, c2 (what a text's weighted set hashes to), its band keys, and 16 bits of each sample it drew in either way
-    (``deal0``, ``deal1``; null if it did not); texts without words are left out."""
-    names = ["did", "c1", "c2", "keys", "deal0", "deal1"]
+    """did, c1, c2 (what a text's weighted set hashes to) and its band keys; texts without words are left out."""
+    names = ["did", "c1", "c2", "keys"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = Weights(*weights.value, s)
@@ -220,21 +221,18 @@ def _signed(docs: DataFrame, weights, s: Settings) -> DataFrame:
                 if not len(h):
                     continue
                 keys: list = [[] for _ in range(n)]
-                deal: list = [[None] * n, [None] * n]
                 for way, rows, samples in signatures(row, h, w, s):
-                    short = (samples >> np.uint64(48)).astype(np.uint16).view(np.int16)
-                    for r, k, d in zip(rows.tolist(), _bands(samples, s, way).view(np.int64).tolist(), short, strict=True):
+                    for r, k in zip(rows.tolist(), _bands(samples, s, way).view(np.int64).tolist(), strict=True):
                         keys[r] += k
-                        deal[way][r] = d
                 rows, first = np.unique(row, return_index=True)
                 count = np.round(w * 4096).astype(np.uint64)
                 c1 = np.add.reduceat(mix(h ^ _SEEDS[210]) * count, first).view(np.int64)
                 c2 = np.add.reduceat(mix(h ^ _SEEDS[211]) * count, first).view(np.int64)
                 some = rows.tolist()
-                lists = [pa.array([keys[r] for r in some], pa.list_(pa.int64())), *(pa.array([d[r] for r in some], pa.list_(pa.int16())) for d in deal)]
-                yield pa.RecordBatch.from_arrays([pa.array(did[a + rows]), pa.array(c1), pa.array(c2), *lists], names)
+                lists = pa.array([keys[r] for r in some], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(did[a + rows]), pa.array(c1), pa.array(c2), lists], names)
 
-    return docs.select("did", "text").mapInArrow(run, "did long, c1 long, c2 long, keys array<long>, deal0 array<short>, deal1 array<short>")
+    return docs.select("did", "text").mapInArrow(run, "did long, c1 long, c2 long, keys array<long>")
 
 
 # ---- candidates and verification ------------------------------------------------------------------------------------
@@ -264,16 +262,74 @@ def _similarities(pairs: DataFrame, texts: DataFrame, weights, s: Settings) -> D
     return pairs.select("a", "b").join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, similarity double")
 
 
-def _links(buckets: DataFrame, reps: DataFrame, texts: DataFrame, weights, s: Settings) -> DataFrame:
+def _forest(rep: np.ndarray, leads: np.ndarray, row: np.ndarray, h: np.ndarray, w: np.ndarray, similarity: float) -> list[tuple[int, int, float]]:
+    """Links (a, b, similarity) that join what all pairs of an open member (``leads``) and another one at or over the
+    threshold join: each such pair is compared, and of those that close a ring none is given."""
+    n = len(rep)
+    total = np.bincount(row, w, n)
+    place = np.empty(n, np.int64)
+    order = np.argsort(total, kind="stable")
+    place[order] = np.arange(n)
+    rep, leads, total = rep[order], leads[order], total[order]
+    by = np.argsort(place[row], kind="stable")
+    row, w = place[row][by], w[by]
+    _, word = np.unique(h[by], return_inverse=True)
+    at = np.searchsorted(row, np.arange(n + 1))
+    own, label, out = np.zeros(int(word.max()) + 1 if len(word) else 0), np.arange(n), []
+    for x in np.flatnonzero(leads).tolist():
+        lo, hi = np.searchsorted(total, [total[x] * similarity * (1 - 1e-9), total[x] / similarity * (1 + 1e-9)])
+        hi = min(int(hi) + 1, n)
+        mine = word[at[x] : at[x + 1]]
+        own[mine] = w[at[x] : at[x + 1]]
+        both = np.add.reduceat(np.minimum(w[at[lo] : at[hi]], own[word[at[lo] : at[hi]]]), at[lo:hi] - at[lo])
+        own[mine] = 0
+        like = both / np.maximum(total[x] + total[lo:hi] - both, 1e-12)
+        near = lo + np.flatnonzero(like >= similarity)
+        near = near[label[near] != label[x]]
+        for y in near[np.unique(label[near], return_index=True)[1]].tolist():
+            if rep[x] != rep[y]:
+                out.append((int(min(rep[x], rep[y])), int(max(rep[x], rep[y])), float(like[y - lo])))
+            label[label == label[y]] = label[x]
+    return out
+
+
+def _crowded(is_open: DataFrame, members: DataFrame, texts: DataFrame, weights, s: Settings) -> DataFrame:
+    """Links among the members (key, rep) of crowded buckets, from comparing each one in ``is_open`` with all of its bucket.
+
+    Blocks of open members meet blocks of members, so no task holds a bucket; a pair makes no row unless it is a link
+    that joins two parts of its blocks.
+    """
+    size = lambda df, name, block: df.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
+    blocks = stored(size(is_open, "na", OPEN_BLOCK).join(size(members, "nb", MEMBER_BLOCK), "key"), "near-blocks")
+    deal = lambda n, k: F.pmod(F.xxhash64("rep", F.lit(k)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    leads = is_open.join(blocks, "key").select("key", "rep", deal("na", 1).alias("a"), every("nb").alias("b"), F.lit(True).alias("leads"))
+    others = members.join(blocks, "key").select("key", "rep", deal("nb", 2).alias("b"), every("na").alias("a"), F.lit(False).alias("leads"))
+    rows = leads.unionByName(others).groupBy("key", "a", "b", "rep").agg(F.max("leads").alias("leads"))
+    rows = rows.join(texts.withColumnRenamed("did", "rep"), "rep").select("key", "a", "b", "rep", "leads", "text")
+
+    def run(table: pa.Table) -> pa.Table:
+        made = Weights(*weights.value, s)
+        got, first = [], 0
+        for b in table.select(["text"]).to_batches():
+            got += [(first + a + row, h, w) for a, _, row, h, w in made.sets(b.column(0))]
+            first += b.num_rows
+        row, h, w = (np.concatenate(x) for x in zip(*got, strict=True))
+        links = _forest(table["rep"].to_numpy(), table["leads"].to_numpy(), row, h, w.astype(np.float64), s.similarity)
+        return pa.table(dict(zip(["a", "b", "similarity"], ([x[k] for x in links] for k in range(3)), strict=True)), pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64())]))
+
+    return rows.groupBy("key", "a", "b").applyInArrow(run, "a long, b long, similarity double")
+
+
+def _links(buckets: DataFrame, texts: DataFrame, weights, s: Settings) -> DataFrame:
     """Verified links (a, b) among the members (key, rep) of each bucket.
 
     In each turn the most central open member of a bucket (the one in the fullest buckets) leads: every other member is
     compared with it, which is one row a member and no pair of members. Those at or over the threshold close, and so does
     the leader; the others wait for their own turn to lead, and find the links that closed members have to them.
 
-    A bucket that is still open after ``s.turns`` turns holds that many different texts. From then on it has many leaders
-    a turn, one for each value of some of the members' samples: one sample in the first such turn, one more in each
-    later one. Each turn deals the whole bucket anew, so members that one turn parts meet in another.
+    A bucket that is still open after ``s.turns`` turns holds that many different texts. Each of its open members is then
+    compared with all members (``_crowded``).
     """
     spark = buckets.sparkSession
     sizes = buckets.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
@@ -281,15 +337,10 @@ def _links(buckets: DataFrame, reps: DataFrame, texts: DataFrame, weights, s: Se
     central = members.groupBy("rep").agg(F.sum(F.log("size")).alias("central"))
     members = stored(members.drop("size").join(central, "rep"), "near-members")
     links = seen = spark.createDataFrame([], "a long, b long, similarity double")
-    is_open, turn = members, 0
-
-    def dealt(df: DataFrame) -> DataFrame:
-        picks = [F.pmod(F.xxhash64("key", F.lit(64 * turn + k)), F.lit(s.samples)).cast("int") for k in range(turn - s.turns + 1)]
-        return df.withColumn("part", F.xxhash64(F.lit(0), *[F.element_at("deal", p + 1) for p in picks]))
-
-    while True:
-        lead = dealt(is_open).groupBy("key", "part").agg(F.max(F.struct("central", (-F.col("rep")).alias("minus"))).alias("top")).select("key", "part", (-F.col("top.minus")).alias("lead"))
-        asked = dealt(members).join(lead, ["key", "part"]).where("lead <> rep").select("key", "rep", "lead")
+    is_open = members
+    for _ in range(s.turns):
+        lead = is_open.groupBy("key").agg(F.max(F.struct("central", (-F.col("rep")).alias("minus"))).alias("top")).select("key", (-F.col("top.minus")).alias("lead"))
+        asked = members.join(lead, "key").where("lead <> rep").select("key", "rep", "lead")
         pairs = asked.select(F.least("lead", "rep").alias("a"), F.greatest("lead", "rep").alias("b")).distinct().join(seen, ["a", "b"], "left_anti")
         found = stored(_similarities(pairs, texts, weights, s), "near-pairs")
         seen = seen.unionByName(found)
@@ -300,13 +351,9 @@ def _links(buckets: DataFrame, reps: DataFrame, texts: DataFrame, weights, s: Se
         is_open = stored(is_open.join(closed, ["key", "rep"], "left_anti"), "near-open")
         if is_open.isEmpty():
             return stored(links, "near-links")
-        turn += 1
-        if turn == s.turns:
-            way = F.when(F.col("key").bitwiseAND(1) == 0, F.col("deal0")).otherwise(F.col("deal1"))
-            drawn = lambda df: df.join(reps.select("rep", "deal0", "deal1"), "rep").withColumn("deal", way).drop("deal0", "deal1")
-            members, is_open = drawn(members), stored(drawn(is_open), "near-open")
-        if turn >= s.turns:
-            members = stored(members.join(is_open.select("key").distinct(), "key", "left_semi"), "near-members")
+    members = members.join(is_open.select("key").distinct(), "key", "left_semi")
+    found = stored(_crowded(is_open, members, texts, weights, s), "near-crowded")
+    return stored(links.unionByName(found).dropDuplicates(["a", "b"]), "near-links")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -337,14 +384,14 @@ def classes(docs: DataFrame, s: Settings = Settings()) -> DataFrame:  # noqa: B0
     weights = spark.sparkContext.broadcast(frequent_shingles(rows, n, s))
     signed = stored(_signed(rows, weights, s), "near-signed")
     same = ["c1", "c2"]
-    first = F.min(F.struct("did", "keys", "deal0", "deal1")).alias("r")
-    reps = stored(signed.groupBy(*same).agg(first, F.count("*").alias("copies")).select(*same, F.col("r.did").alias("rep"), "r.keys", "r.deal0", "r.deal1", "copies"), "near-reps")
+    first = F.min(F.struct("did", "keys")).alias("r")
+    reps = stored(signed.groupBy(*same).agg(first, F.count("*").alias("copies")).select(*same, F.col("r.did").alias("rep"), "r.keys", "copies"), "near-reps")
     buckets = reps.select("rep", F.explode("keys").alias("key"))
     once = buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     buckets = stored(buckets.join(once, "key", "left_semi"), "near-buckets")
     wanted = stored(buckets.select(F.col("rep").alias("did")).distinct(), "near-wanted")
     texts = stored(rows.join(small_side(wanted), "did", "left_semi").dropDuplicates(["did"]), "near-texts")
-    links = _links(buckets, reps, texts, weights, s)
+    links = _links(buckets, texts, weights, s)
     label = small_side(components(links))
     per = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("own"))
     named = reps.join(label.withColumnRenamed("node", "rep"), "rep", "left").join(small_side(stored(per, "near-per")), "rep", "left")

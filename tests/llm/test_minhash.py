@@ -79,6 +79,25 @@ def test_crowded_buckets_keep_their_links(spark, turns):
     assert got == want
 
 
+def test_pairs_at_the_threshold_in_one_crowded_bucket(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "OPEN_BLOCK", 50)
+    monkeypatch.setattr(minhash, "MEMBER_BLOCK", 70)
+    rng = random.Random(8)
+    rows = list(enumerate(family(rng, 240, 104, 0.7)))
+    for k in range(60):  # one changed stretch of words, similarities of 0.80 to 0.85
+        words = rows[k * 4][1].split()
+        words[80:86] = [f"v{rng.randrange(10**7)}" for _ in range(4 + k % 2)] + words[84 + k % 2 : 86]
+        rows.append((1000 + k, " ".join(words)))
+    s = minhash.Settings()
+    want, links = brute(rows, s)
+    assert len(links) == 60
+    texts = spark.createDataFrame(rows, "did long, text string")
+    weights = spark.sparkContext.broadcast(minhash.frequent_shingles(texts, len(rows), s))
+    bucket = texts.selectExpr("2L as key", "did as rep").repartition(4)
+    got = minhash._links(bucket, texts, weights, s).collect()
+    assert {(r.a, r.b) for r in got} == set(links) and all(r.similarity >= s.similarity for r in got)
+
+
 def test_texts_of_either_way_meet(spark):
     rng = random.Random(6)
     rows = []
