@@ -84,7 +84,7 @@ def _passes(items: DataFrame, width: int) -> Iterator[dict[bytes, list[str]]]:
                 if len(block) >= PASS_PATTERNS and w not in block:
                     yield block
                     block = defaultdict(set)
-                block[w].add(r["i"])
+                block[w].update([] if r["i"] is None else [r["i"]])
         yield block
 
 
@@ -114,12 +114,12 @@ def hits(docs: DataFrame, items: DataFrame, carry: tuple[str, ...] = ("doc_id",)
     """For each document: words, words inside any occurrence of an item's window, and the items found.
 
     Adds n_words, n_hit, n_items, items_sha256 (of the sorted, comma-joined item ids), contaminated and spans (start and
-    end words of the occurrences, in pairs). A null or empty text has no words and is clean; a null item id is skipped
-    as its text has no name, a null or empty item text has no windows; repeated rows and items count once each; empty
+    end words of the occurrences, in pairs). A null or empty text has no words and is clean; an item with a null
+    id is searched for but gives no id, a null or empty item text has no windows; repeated rows and items count once each; empty
     tables are allowed on either side. The items are a stated query set: each pass over the documents searches for a
     bounded block of windows, and passes follow one another within the same tasks, without a shuffle.
     """
-    blocks = [dict(b) for b in _passes(items.where("item_id is not null"), width)] or [{}]
+    blocks = [dict(b) for b in _passes(items, width)] or [{}]
     ints, texts = T.ArrayType(T.IntegerType()), T.ArrayType(T.StringType())
     for k, block in enumerate(blocks):
         more = k < len(blocks) - 1

@@ -73,3 +73,10 @@ def test_search_finds_all_occurrences(patterns, text):
     p, t = [x.encode() for x in patterns], text.encode()
     want = sorted((k, x) for x in set(p) for k in range(len(t)) if t.startswith(x, k))
     assert sorted(decontaminate.WuManber(p).search(t)) == want
+
+
+def test_items_without_an_id_are_searched_for(spark):
+    passage = " ".join(f"w{k}" for k in range(12))
+    docs = spark.createDataFrame([(1, f"a {passage} b", "x", 1), (2, "clean", "x", 1)], DOCS)
+    got = {r.doc_id: r for r in decontaminate.hits(docs, spark.createDataFrame([(None, passage, 1)], ITEMS)).collect()}
+    assert got[1].contaminated and got[1].n_hit == 12 and got[1].n_items == 0 and not got[2].contaminated
