@@ -124,21 +124,3 @@ class Words:
     def rows_of(self, at: np.ndarray) -> np.ndarray:
         """The rows that word positions belong to."""
         return np.searchsorted(self.first, at, "right") - 1
-
-
-class Known:
-    """A sorted set of 64-bit values with a small bitmap before it, for looking up many values of which few are in it."""
-
-    def __init__(self, values: np.ndarray):
-        self.values = np.sort(values)
-        self.bits = np.zeros(1 << 20, bool)
-        self.bits[(self.values >> np.uint64(44)).astype(np.int64)] = True
-
-    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(positions in ``h``, positions in the set) of the values that are in it."""
-        if not len(self.values):
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        maybe = np.flatnonzero(self.bits[(h >> np.uint64(44)).astype(np.int64)])
-        k = np.minimum(np.searchsorted(self.values, h[maybe]), len(self.values) - 1)
-        ok = self.values[k] == h[maybe]
-        return maybe[ok], k[ok]

@@ -23,10 +23,8 @@ def brute(rows: list, s: minhash.Settings = minhash.Settings()) -> tuple[dict, l
         if w:
             sets[k] = Counter(tuple(w[i : i + s.width]) for i in range(max(1, len(w) - s.width + 1)))
             often.update(sets[k].keys())
-    floor = max(s.least_frequent, math.ceil(s.rare * len(rows)))
-    scale = max(1e-9, math.log(max(len(rows), 2) / floor))
-    weight = {x: 1 - s.damping * min(1.0, max(0.0, math.log(n / floor) / scale)) if n > floor else 1.0 for x, n in often.items()}
-    own = {k: {x: c * weight[x] for x, c in v.items()} for k, v in sets.items()}
+    idf = lambda n: (math.log((2 + len(rows)) / (1 + n)) / math.log((2 + len(rows)) / 2)) ** s.power
+    own = {k: {x: c * idf(often[x]) for x, c in v.items()} for k, v in sets.items()}
     total = {k: sum(v.values()) for k, v in own.items()}
     label = {k: k for k, _ in rows}
 
@@ -63,8 +61,10 @@ def family(rng: random.Random, n: int, size: int, share: float) -> list[str]:
     return [" ".join(passage + [f"w{rng.randrange(10**7)}" for _ in range(size - len(passage))]) for _ in range(n)]
 
 
-@pytest.mark.parametrize("turns", [1, 4])
-def test_crowded_buckets_keep_their_links(spark, turns):
+@pytest.mark.parametrize("block", [1 << 9, 1 << 15])
+def test_crowded_buckets_keep_their_links(spark, monkeypatch, block):
+    monkeypatch.setattr(minhash, "OPEN_BLOCK", block)
+    monkeypatch.setattr(minhash, "MEMBER_BLOCK", 2 * block)
     rng = random.Random(4)
     rows = list(enumerate(family(rng, 120, 120, 0.75)))  # in common buckets, yet no pair is near enough
     for k in range(30):  # near copies of some of them
@@ -73,32 +73,63 @@ def test_crowded_buckets_keep_their_links(spark, turns):
         rows.append((1000 + k, " ".join(words)))
     rows += [(2000 + k, "hot copy of one text with a few more words " + "and so on " * 20) for k in range(100)]
     rng.shuffle(rows)
-    s = minhash.Settings(turns=turns)
-    want, _ = brute(rows, s)
-    got = {r.doc_id: r.class_id for r in minhash.classes(spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA).repartition(4), s).collect()}
+    want, _ = brute(rows)
+    got = {r.doc_id: r.class_id for r in minhash.classes(spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA).repartition(4)).collect()}
     assert got == want
 
 
-def test_pairs_at_the_threshold_in_one_crowded_bucket(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "OPEN_BLOCK", 50)
-    monkeypatch.setattr(minhash, "MEMBER_BLOCK", 70)
+def bucketed(spark, rows: list, s: minhash.Settings):
+    """(members, sets) of one bucket that holds all rows."""
+    sets = minhash.signed(spark.createDataFrame(rows, "did long, text string"), s).cache()
+    return sets.selectExpr("2L as key", f"{len(rows)}L as n", "did as rep", "c1", "size").repartition(4), sets.select("did", "hashes", "weights")
+
+
+def joined(links) -> dict:
+    label: dict = {}
+
+    def root(k):
+        while label.setdefault(k, k) != k:
+            k = label[k]
+        return k
+
+    for a, b in links:
+        x, y = root(a), root(b)
+        label[max(x, y)] = min(x, y)
+    return {k: root(k) for k in label}
+
+
+def test_no_link_of_a_crowded_bucket_is_lost(spark, monkeypatch):
+    """A thousand different texts in one bucket, pairs of similarities of 0.80 to 0.85 among them: all are found."""
+    monkeypatch.setattr(minhash, "OPEN_BLOCK", 5000)
+    monkeypatch.setattr(minhash, "MEMBER_BLOCK", 12_000)
     rng = random.Random(8)
-    rows = list(enumerate(family(rng, 240, 104, 0.7)))
-    for k in range(60):  # one changed stretch of words, similarities of 0.80 to 0.85
+    rows = list(enumerate(family(rng, 800, 104, 0.3)))
+    for k in range(200):  # one changed stretch of words
         words = rows[k * 4][1].split()
-        words[80:86] = [f"v{rng.randrange(10**7)}" for _ in range(4 + k % 2)] + words[84 + k % 2 : 86]
+        words[90:96] = [f"v{rng.randrange(10**7)}" for _ in range(3 + k % 3)] + words[93 + k % 3 : 96]
         rows.append((1000 + k, " ".join(words)))
     s = minhash.Settings()
-    want, links = brute(rows, s)
-    assert len(links) == 60
-    texts = spark.createDataFrame(rows, "did long, text string")
-    weights = spark.sparkContext.broadcast(minhash.frequent_shingles(texts, len(rows), s))
-    bucket = texts.selectExpr("2L as key", "did as rep").repartition(4)
-    got = minhash._links(bucket, texts, weights, s).collect()
-    assert {(r.a, r.b) for r in got} == set(links) and all(r.similarity >= s.similarity for r in got)
-
-
-def test_texts_of_either_way_meet(spark):
+    _, want = brute(rows, s)
+    assert len(want) >= 100
+    got = minhash.links(*bucketed(spark, rows, s), s).collect()
+    assert joined((r.a, r.b) for r in got) == joined(want)
+
+
+def test_links_between_linked_members_are_found(spark):
+    """Chains of near copies of which no end is near the next one's: every step is compared, whoever leads."""
+    rng = random.Random(5)
+    words, rows = [f"w{k}" for k in range(150)], []
+    for k in range(40):
+        rows.append((k, " ".join(words)))
+        at = rng.randrange(140)
+        words[at : at + 3] = [f"x{rng.randrange(10**7)}" for _ in range(3)]
+    s = minhash.Settings(power=0)
+    _, want = brute(rows, s)
+    got = minhash.links(*bucketed(spark, rows, s), s).collect()
+    assert joined((r.a, r.b) for r in got) == joined(want) and len(joined(want)) == 40
+
+
+def test_texts_of_all_lengths_meet(spark):
     rng = random.Random(6)
     rows = []
     for k, n in enumerate([190, 198, 204, 230, 320, 390, 402, 410, 600]):
@@ -121,22 +152,33 @@ def test_nulls_short_and_repeated_rows(spark):
     assert minhash.classes(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-def test_frequent_shingles_are_counted_exactly(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "CHUNK_ROWS", 16)
-    s = minhash.Settings(rare=0.1, least_frequent=5)
-    rows = [(k, " ".join(["a b c d e"] * (k % 3 == 0) + ["q r s t u"] * (k < 21) + ["f g h i j"] * (k < 20) + [f"w{k} x{k} y{k} z{k} v{k}"])) for k in range(200)]
-    h, weight = minhash.frequent_shingles(spark.createDataFrame(rows, "did long, text string").repartition(7), 200, s)
-    counts = Counter()
+def test_every_shingle_is_counted(spark):
+    rng = random.Random(2)
+    rows = [(k, " ".join(["a b c d e"] * (k % 3 == 0) + ["q r s t u"] * (k < 21) + [f"w{rng.randrange(40)}" for _ in range(12)])) for k in range(300)]
+    s = minhash.Settings(chunk_bytes=2000, block_hashes=300)
+    often: Counter = Counter()
     for _, text in rows:
         w = text.split()
-        counts.update({" ".join(w[i : i + 5]) for i in range(len(w) - 4)})
-    often = {x: n for x, n in counts.items() if n > 20}
-    hashes = {int(v) for x in often for _, _, v in minhash._shingles(pa.array([x]), 5)}
-    assert set(h.tolist()) == hashes and np.all(weight < 1) and len(often) == 2
+        often.update({" ".join(w[i : i + 5]) for i in range(len(w) - 4)})
+    for r in minhash.signed(spark.createDataFrame(rows, "did long, text string"), s).collect():
+        w = rows[r.did][1].split()
+        own = Counter(" ".join(w[i : i + 5]) for i in range(len(w) - 4))
+        _, h, _ = minhash.shingles(pa.array(list(own)), 5)
+        want = dict(zip((h >> np.uint64(16)).tolist(), (c * minhash.idf(np.array([often[x]]), 300, s.power)[0] for x, c in own.items()), strict=True))
+        _, h, w = minhash._held(pa.array([r.hashes]), pa.array([r.weights]))
+        assert dict(zip((h >> np.uint64(16)).tolist(), w.tolist(), strict=True)) == pytest.approx(want)
+
+
+def test_rows_that_share_a_doc_id(spark):
+    words = [f"w{k}" for k in range(60)]
+    one, near, other = " ".join(words), " ".join([*words, "more"]), " ".join(f"v{k}" for k in range(60))
+    docs = spark.createDataFrame([(1, one, None, None), (5, near, None, None), (5, other, None, None), (7, other, None, None), (7, other, None, None)], SCHEMA)
+    got = sorted((r.doc_id, r.class_id, r.kept) for r in minhash.classes(docs).collect())
+    assert got == [(1, 1, True), (5, 1, False), (5, 1, False), (7, 1, False), (7, 1, False)]  # doc 5's texts are one document's
+    assert [r.doc_id for r in minhash.without_near_copies(docs).collect()] == [1]
 
 
 def test_signatures_estimate_weighted_similarity():
-    s = minhash.Settings()
     rng = np.random.default_rng(9)
     h = rng.integers(0, 1 << 63, 120, dtype=np.uint64)
     w = rng.uniform(0.5, 6, (2, 120)).astype(np.float32)
@@ -144,7 +186,7 @@ def test_signatures_estimate_weighted_similarity():
     same = []
     for seed in range(40):
         hh = minhash.mix(h + np.uint64(seed))
-        (_, _, samples), = minhash.signatures(np.repeat([0, 1], 120), np.tile(hh, 2), w.ravel(), s)
+        samples = minhash.signatures(np.array([0, 120]), np.tile(hh, 2), w.ravel(), 48)
         same.append((samples[0] == samples[1]).mean())
     assert abs(np.mean(same) - want) < 0.03
 
