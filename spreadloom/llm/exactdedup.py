@@ -42,7 +42,7 @@ def repeated_fingerprints(rows: DataFrame, n_rows: int) -> DataFrame:
         parts = [b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for b in batches]
         if parts:
             made = list(cqf.blocks(np.concatenate(parts), bits))
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in made], pa.int32()), pa.array([f.to_bytes() for _, f in made], pa.binary())], ["block", "filter"])
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in made], pa.int32()), pa.array([f.to_bytes(bits) for _, f in made], pa.binary())], ["block", "filter"])
 
     def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         values, counts = cqf.merged(list(pdf["filter"]), int(key[0]), bits)

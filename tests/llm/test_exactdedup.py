@@ -65,10 +65,28 @@ def test_filters_merge_without_loss():
     parts: dict = {}
     for piece in np.array_split(rng.permutation(values), 7):
         for k, f in cqf.blocks(piece, 4):
-            parts.setdefault(k, []).append(f.to_bytes())
+            parts.setdefault(k, []).append(f.to_bytes(4))
     got = {}
     for k, ps in parts.items():
         v, n = cqf.merged(ps, k, 4)
         got.update(zip(v.tolist(), n.tolist(), strict=True))
     found, counts = np.unique(values, return_counts=True)
     assert got == dict(zip(found.tolist(), counts.tolist(), strict=True))
+
+
+def test_filters_stay_small_however_many_blocks():
+    rng = np.random.default_rng(4)
+    values = rng.integers(0, 1 << 63, 60_000, dtype=np.uint64) * np.uint64(2)
+    values = np.concatenate([values, values[:500], np.repeat(values[7], 200_000)])
+    want = dict(zip(*(x.tolist() for x in np.unique(values, return_counts=True)), strict=True))
+    for bits in (4, 11, 18):
+        parts = [(k, f.to_bytes(bits)) for k, f in cqf.blocks(values, bits)]
+        assert sum(len(p) for _, p in parts) < 20 * len(want)
+        got: dict = {}
+        for k, p in parts:
+            v, n = cqf.merged([p], k, bits)
+            got |= dict(zip(v.tolist(), n.tolist(), strict=True))
+        assert got == want
+    many = np.arange(200_000, dtype=np.uint64)  # one quotient's run is longer than an entry tells
+    (k, f), = cqf.blocks(many, 4)
+    assert cqf.merged([f.to_bytes(4)], k, 4)[0].tolist() == many.tolist()
