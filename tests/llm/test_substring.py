@@ -4,6 +4,10 @@ import hashlib
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
+import pytest
+
 from spreadloom.llm import queries, substring
 
 SCHEMA = "doc_id long, text string, n_words string, did int"
@@ -42,15 +46,36 @@ def test_repeats_of_all_kinds(spark):
     assert sorted(map(tuple, substring.without_repeats(docs, 5).collect())) == sorted(brute(rows, 5))
 
 
-def test_small_groups_and_small_tasks(spark, monkeypatch):
+@pytest.mark.parametrize("crowded", [3, 1 << 40])
+def test_small_groups_and_small_tasks(spark, monkeypatch, crowded):
+    """Few suffixes a task, groups of a few bytes, and anchors that go by whole windows (or none of them)."""
     rng = random.Random(3)
     rows = [(k, " ".join(rng.choice("abc") for _ in range(120))) for k in range(80)] + [(100 + k, "x y z " * 40) for k in range(40)]
-    monkeypatch.setattr(substring, "HELD", 50)
-    monkeypatch.setattr(substring, "CENSUS", 1 << 16)
+    rows += [(200 + k, f"start {k} " + "all of us say the same few words again and again " * 2 + f"then {k % 5} comes what {k % 3} is not the same") for k in range(60)]
+    for name, value in (("HELD", 50), ("HELD_SUFFIXES", 70), ("GROUP_BYTES", 400), ("CROWDED", crowded)):
+        monkeypatch.setattr(substring, name, value)
     docs = spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA).repartition(4)
     assert sorted(map(tuple, substring.without_repeats(docs, 8).collect())) == sorted(brute(rows, 8))
 
 
+def test_subtrees_go_by_words():
+    """The tree of a group against a plain version; no hash tells suffixes apart."""
+    rng = random.Random(7)
+    for vocabulary in (["a", "b", "ab"], [f"w{k}" for k in range(70_000)]):
+        base = [rng.choice(vocabulary) for _ in range(40_000 if len(vocabulary) > 9 else 300)]
+        cut = [(rng.randrange(len(base) - 30), rng.randrange(1, 14)) for _ in range(6000 if len(vocabulary) > 9 else 200)]
+        did = np.array([rng.randrange(50) for _ in cut])
+        start, n = np.arange(len(cut)) * 100, np.array([m for _, m in cut])
+        words = [" ".join(base[k : k + m + 7]).encode() for k, m in cut]
+        segment, nth, later = substring.Segments(pa.array(words, pa.binary()), did, start, n).subtree(8)
+        first: dict = {}
+        for s in sorted(range(len(cut)), key=lambda s: (did[s], start[s])):
+            for k in range(n[s]):
+                first.setdefault(tuple(base[cut[s][0] + k : cut[s][0] + k + 8]), (s, k))
+        want = [first[tuple(base[cut[s][0] + k : cut[s][0] + k + 8])] != (s, k) for s, k in zip(segment.tolist(), nth.tolist(), strict=True)]
+        assert later.tolist() == want and any(want) and not all(want)
+
+
 def test_repeated_and_null_ids_and_empty(spark):
     text = " ".join(f"t{k}" for k in range(30))
     rows = [(1, text), (1, text), (1, "other"), (None, text), (2, text)]
