@@ -143,12 +143,26 @@ def train(rows: list[tuple[str, str]], s: Settings = Settings()) -> Network | No
     return Network(labels, symbol, {n: v.astype(np.float32) for n, v in w.items()}, s)
 
 
+def lowest(docs: DataFrame, key: str, counts: dict, most: int) -> DataFrame:
+    """doc_id and ``key`` of the ``most`` rows of each value in ``counts`` (its rows) whose doc_id hashes lowest.
+
+    Rows whose hash stands beyond four times their share go before any are ranked, so a value that most rows have brings
+    some ``4 * most`` of them to the task that ranks it.
+    """
+    h = F.xxhash64("doc_id")
+    share = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, 4 * most / n))])
+    few = docs.select("doc_id", key).where(h / 2.0**64 + 0.5 <= share[F.col(key)])
+    return few.withColumn("k", F.row_number().over(Window.partitionBy(key).orderBy(h, "doc_id"))).where(F.col("k") <= most).drop("k")
+
+
 def sample(docs: DataFrame, s: Settings) -> list[tuple[str, str]]:
     """At most ``s.sample`` labelled rows of each language, those whose doc_id hashes lowest."""
-    k = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = docs.where("lang is not null").select("doc_id", "lang").withColumn("k", k).where(F.col("k") <= s.sample).select("doc_id").distinct()
+    labelled = docs.where("lang is not null")
+    counts = {r[0]: r[1] for r in labelled.groupBy("lang").count().toLocalIterator()}  # one for each of the network's outputs
+    if not counts:
+        return []
     # At most s.sample rows a language, so the broadcast is small whatever the table.
-    rows = docs.where("lang is not null").join(F.broadcast(ids), "doc_id", "left_semi")
+    rows = labelled.join(F.broadcast(lowest(labelled, "lang", counts, s.sample).select("doc_id").distinct()), "doc_id", "left_semi")
     return [(r[0], r[1]) for r in rows.select("text", "lang").toLocalIterator() if r[0]]
 
 

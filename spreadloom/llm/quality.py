@@ -6,11 +6,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spreadloom.llm.arrow import with_columns_from_text
+from spreadloom.llm.langid import lowest
+from spreadloom.llm.store import dropped, stored
 from spreadloom.llm.textscan import Words, mix, steps
 
 
@@ -148,27 +150,31 @@ def features(buf: np.ndarray, offs: np.ndarray, s: Settings) -> tuple[np.ndarray
     return _grams(buf, s.buckets), _cells(measures(buf, offs), s.buckets)
 
 
-def _dense(texts: list[str], s: Settings) -> np.ndarray:
-    out = np.zeros((len(texts), 2 * s.buckets), np.float32)
-    for a, buf, offs in steps(pa.array(texts, pa.large_string())):
+def _sparse(texts: list[str], s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(where each text's features start, their numbers, their values); the last one of each text is the constant."""
+    starts, at, values, n = [], [], [], 0
+    for _, buf, offs in steps(pa.array(texts, pa.large_string())):
         g, cells = features(buf, offs, s)
         for k in range(len(offs) - 1):
-            own = g[offs[k] : max(offs[k], min(offs[k + 1] - 2, len(g)))]
-            out[a + k, : s.buckets] = np.bincount(own, minlength=s.buckets) / max(1, len(own))
-            np.add.at(out[a + k], s.buckets + cells[k], 1 / cells.shape[1])
-    return out
+            own, count = np.unique(g[offs[k] : max(offs[k], min(offs[k + 1] - 2, len(g)))], return_counts=True)
+            starts.append(n)
+            at += [own, s.buckets + cells[k], [2 * s.buckets]]
+            values += [count / max(1, count.sum()), np.full(cells.shape[1], 1 / cells.shape[1]), [1.0]]
+            n += len(own) + cells.shape[1] + 1
+    return np.array(starts), np.concatenate(at).astype(np.int32), np.concatenate(values).astype(np.float32)
 
 
 def train(texts: list[str], target: np.ndarray, weight: np.ndarray, s: Settings) -> np.ndarray | None:
     """Weights of a logistic scorer (the last is the constant) fitted to soft labels."""
     if not len(texts):
         return None
-    x = np.hstack([_dense(texts, s), np.ones((len(texts), 1), np.float32)])
-    w, m1, m2 = (np.zeros(x.shape[1], np.float32) for _ in range(3))
-    weight = (weight / weight.sum()).astype(np.float32)
+    starts, at, values = _sparse(texts, s)
+    size = np.diff(np.append(starts, len(at)))
+    w, m1, m2 = (np.zeros(2 * s.buckets + 1) for _ in range(3))
+    weight = weight / weight.sum()
     for k in range(1, s.steps + 1):
-        p = 1 / (1 + np.exp(-(x @ w)))
-        g = x.T @ ((p - target) * weight) + s.penalty * np.append(w[:-1], 0)
+        p = 1 / (1 + np.exp(-np.add.reduceat(values * w[at], starts)))
+        g = np.bincount(at, values * np.repeat((p - target) * weight, size), len(w)) + s.penalty * np.append(w[:-1], 0)
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.999 * m2 + 0.001 * g * g
         w = w - 10 * s.rate * (m1 / (1 - 0.9**k)) / (np.sqrt(m2 / (1 - 0.999**k)) + 1e-8)
     return w.astype(np.float32)
@@ -195,18 +201,18 @@ def scored(docs: DataFrame, s: Settings = Settings()) -> DataFrame:  # noqa: B00
     those of the labellers. An empty table gives an empty one. Other columns, and true labels, are not looked at.
     """
     spark = docs.sparkSession
-    voted = _voted(docs)
+    voted = stored(_voted(docs), "quality-votes")
     found = voted.groupBy("pattern").count().toPandas().sort_values("pattern")
     patterns, counts = found["pattern"].to_numpy(np.int64), found["count"].to_numpy(np.float64)
     posterior = fit_labellers(patterns, counts, s.rounds) if len(patterns) else np.empty(0)
     by = dict(zip(patterns.tolist(), posterior.tolist(), strict=True))
     top = found.sort_values(["count", "pattern"], ascending=[False, True]).head(s.patterns)["pattern"].tolist()
-    k = F.row_number().over(Window.partitionBy("pattern").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = voted.where(F.col("pattern").isin(top)).withColumn("k", k).where(F.col("k") <= s.per_pattern).groupBy("doc_id").agg(F.min("pattern").alias("pattern"))
+    size = dict(zip(patterns.tolist(), counts.tolist(), strict=True))
+    ids = lowest(voted, "pattern", {p: size[p] for p in top}, s.per_pattern).groupBy("doc_id").agg(F.min("pattern").alias("pattern")) if top else None
     # At most per_pattern * patterns rows.
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").where("text is not null").dropDuplicates(["doc_id"]).orderBy("doc_id").select("text", "pattern").toLocalIterator() if top else []
     rows = [(r[0], r[1]) for r in rows]
-    size = dict(zip(patterns.tolist(), counts.tolist(), strict=True))
+    dropped(voted)
     seen: dict[int, int] = {}
     for _, p in rows:
         seen[p] = seen.get(p, 0) + 1
@@ -237,5 +243,3 @@ def scored(docs: DataFrame, s: Settings = Settings()) -> DataFrame:  # noqa: B00
 
     new = T.StructType().add("weak_label", T.DoubleType()).add("score", T.DoubleType())
     return with_columns_from_text(docs, ["doc_id"], new, make).withColumn("kept", F.col("score") >= s.keep)
-
-
