@@ -318,10 +318,19 @@ LB = STEPS + ", dm AS (SELECT pair, idx, x - avg(x) OVER (PARTITION BY pair) AS
 _q = lambda m: "n * (n + 2) * (" + " + ".join(f"r{k} / (n - {k})" for k in range(1, m + 1)) + ")"
 
 
-@query(f"WITH {LB} SELECT pair, round({_q(5)}, 4) AS q5, round({_q(10)}, 4) AS q10, round({_q(20)}, 4) AS q20 FROM ac")
+def sql_tail(q: str, k: int) -> str:
+    """P(chi-squared with ``k`` degrees > q): a sum for even k; for odd k one less a power series."""
+    x = f"({q} / 2)"
+    if k % 2 == 0:
+        return f"(exp(-{x}) * list_sum(list_transform(range({k // 2}), lambda i: pow({x}, i) / gamma(i + 1.0::DOUBLE))))"
+    return f"(CASE WHEN {x} > 100 THEN 0.0 ELSE 1 - list_sum(list_transform(range(400), lambda i: exp((i + {k / 2}) * ln(greatest({x}, 1e-300)) - {x} - lgamma(i + 1 + {k / 2}::DOUBLE)))) END)"
+
+
+@query(f"WITH {LB}, qs AS (SELECT pair, {_q(5)} AS q5, {_q(10)} AS q10, {_q(20)} AS q20 FROM ac), ps AS (SELECT *, {sql_tail('q5', 5)} AS p5, {sql_tail('q10', 10)} AS p10, {sql_tail('q20', 20)} AS p20 FROM qs) SELECT pair, round(q5, 4) AS q5, round(q10, 4) AS q10, round(q20, 4) AS q20, round(p5, 6) + 0.0 AS p5, round(p10, 6) + 0.0 AS p10, round(p20, 6) + 0.0 AS p20, round(least(p5, p10, p20), 6) + 0.0 AS min_pvalue, least(p5, p10, p20) < 0.05 AS has_autocorr FROM ps")
 def ljung_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rolling.ljung_box(_steps(spark, sf_dir), ["pair"])
-    return found.select("pair", *[F.round(F.col("stats")[k], 4).alias(f"q{m}") for k, m in enumerate(rolling.LB_LAGS)])
+    stats = [F.round(F.col("stats")[k], 4).alias(f"q{m}") for k, m in enumerate(rolling.LB_LAGS)]
+    return found.select("pair", *stats, *[(F.round(F.col("pvalues")[k], 6) + 0.0).alias(f"p{m}") for k, m in enumerate(rolling.LB_LAGS)], (F.round("min_pvalue", 6) + 0.0).alias("min_pvalue"), "has_autocorr")
 
 
 @query(f"WITH {HEDGE}, st AS (SELECT pair, lag(spread) OVER w AS x, spread - lag(spread) OVER w AS dy FROM sp WINDOW w AS (PARTITION BY pair ORDER BY idx)) SELECT pair, count(x) AS n, round(regr_slope(dy, x) / sqrt((regr_syy(dy, x) - regr_slope(dy, x) * regr_sxy(dy, x)) / (count(x) - 2) / regr_sxx(dy, x)), 5) AS statistic FROM st WHERE x IS NOT NULL GROUP BY 1")
@@ -448,10 +457,61 @@ def best_window_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(metrics.best_window(fixtures.window_results(spark, sf_dir).withColumn("sharpe", F.round("sharpe", 9))).select("pair", "window_id", "sharpe"))
 
 
+# ---- models and trades ----------------------------------------------------------------------------------------------
 #: A stop close enough for the win probability to leave room for trades on the derived pairs.
 TRADING = backtest.Settings(stop_mult=0.5)
 
 
+def sql_psi(x: str) -> str:
+    """exp(z * z) * erfc(-z) at z = x / sqrt(2), times sqrt(pi / 2): 1 - erf(-z) by its power series, whose terms are all positive."""
+    z = f"(({x}) / sqrt(2.0::DOUBLE))"
+    return f"(sqrt(pi() / 2) * (exp({z} * {z}) + list_sum(list_transform(range(90), lambda n: pow({z}, 2 * n + 1) / gamma(n + 1.5::DOUBLE)))))"
+
+
+def sql_threshold(source: str, keys: str, out: str) -> str:
+    """CTEs up to ``out`` (keys, threshold): the best entry distance of each fit in ``source`` (theta, sigma, sigma_eq, is_valid)."""
+    return f"""{out}_g AS (SELECT *, CASE WHEN sigma_eq > 0 THEN 1.5 * sigma_eq ELSE 0.01 END AS fb, 0.002 + 1e-6 AS lo, greatest(4 * sigma_eq, 0.002 + 1e-6 + 0.001) AS hi FROM {source}),
+    {out}_a AS (SELECT *, g, lo + (hi - lo) / 199 * g AS lv FROM {out}_g, range(200) t(g) WHERE is_valid AND sigma_eq >= 1e-10 AND sigma >= 1e-10),
+    {out}_v AS (SELECT *, {sql_psi('lv / sigma_eq')} - {sql_psi('0.002 / sigma_eq')} AS gap FROM {out}_a),
+    {out}_w AS (SELECT *, CASE WHEN abs(gap) < 1e-10 THEN 0.0 ELSE {sql_div('(2 * (lv - 0.002) * theta)', 'gap')} END AS value FROM {out}_v),
+    {out}_b AS (SELECT {keys}, arg_max(lv, (value, -g)) AS lv, max(value) AS value FROM {out}_w GROUP BY ALL),
+    {out} AS (SELECT s.*, CASE WHEN b.value > 0 AND b.lv > 0.002 THEN b.lv ELSE fb END AS threshold FROM {out}_g s LEFT JOIN {out}_b b USING ({keys}))"""
+
+
+@query(f"WITH {OU_ROLL}, fits AS (SELECT pair, window_id, CASE WHEN error = '' THEN theta ELSE 0.0 END AS theta, CASE WHEN error = '' THEN sg ELSE 0.0 END AS sigma, sigma_eq, error = '' AND half_life <= 120 AS is_valid FROM ou), {sql_threshold('fits', 'pair, window_id', 'th')} SELECT pair, window_id::INT AS window_id, round(sigma_eq, 6) + 0.0 AS sigma_eq, round(threshold, 6) AS threshold FROM th")
+def bertram_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(models.entry_thresholds(_rolling_fits(spark, sf_dir)).select("pair", "window_id", "sigma_eq", "threshold"))
+
+
+#: A fixed model of three regimes, for inference without training: start, transitions, means and deviations of four features.
+FIXED = {
+    "pi": [0.5, 0.3, 0.2], "trans": [[0.9, 0.07, 0.03], [0.1, 0.8, 0.1], [0.05, 0.15, 0.8]],
+    "mu": [[0.3, 0.001, 1.0, 1.0], [1.0, 0.003, 1.0, 0.8], [2.5, 0.01, 2.5, 3.0]], "sigma": [[0.8, 0.05, 0.8, 0.8], [1.2, 0.1, 0.9, 0.8], [2.0, 0.2, 1.5, 2.0]],
+}
+_dens = ", ".join("exp(-0.5 * (" + " + ".join(f"pow((f{j} - {FIXED['mu'][k][j]}) / {FIXED['sigma'][k][j]}, 2) + 2 * ln({FIXED['sigma'][k][j]}) + ln(2 * pi())" for j in range(4)) + f")) AS e{k}" for k in range(3))
+_ahead = ", ".join(f"e{k} * (" + " + ".join(f"g{i} * {FIXED['trans'][i][k]}" for i in range(3)) + f") AS a{k}" for k in range(3))
+
+
+def _fixed_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The features at six digits, so that both engines start from the same numbers."""
+    f = rolling.features(fixtures.spreads(spark, sf_dir)).select("pair", "idx", *[F.round(f"f{k}", 6).alias(f"f{k}") for k in range(4)])
+    return f.where(" and ".join(f"f{k} is not null" for k in range(4)))
+
+
+HMM = ORACLE["hmm_features"].replace("WITH b0 AS", "WITH RECURSIVE b0 AS", 1).replace(", 5) AS f", ", 6) AS f")
+HMM = HMM[: HMM.rindex("SELECT pair, idx, round(")] + ", ft AS (" + HMM[HMM.rindex("SELECT pair, idx, round(") :] + f"), dn AS (SELECT pair, idx, {_dens} FROM ft), hm AS (SELECT DISTINCT pair, -1::BIGINT AS idx, {', '.join(f'{p}::DOUBLE AS g{k}' for k, p in enumerate(FIXED['pi']))} FROM dn UNION ALL SELECT pair, idx, a0 / (a0 + a1 + a2), a1 / (a0 + a1 + a2), a2 / (a0 + a1 + a2) FROM (SELECT dn.pair, dn.idx, {_ahead} FROM hm JOIN dn ON dn.pair = hm.pair AND dn.idx = hm.idx + 1))"
+
+
+@query(HMM + " SELECT pair, idx, round(g0, 5) + 0.0 AS g0, round(g1, 5) + 0.0 AS g1, round(g2, 5) + 0.0 AS g2, CASE WHEN g0 >= g1 AND g0 >= g2 THEN 0 WHEN g1 >= g2 THEN 1 ELSE 2 END AS state, CASE WHEN g0 >= g1 AND g0 >= g2 THEN 1.0 WHEN g1 >= g2 THEN 0.5 ELSE 0.0 END::DOUBLE AS kelly_scale, g2 > g0 AND g2 > g1 AS is_no_trade FROM hm WHERE idx >= 0")
+def hmm_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filtered regimes under a fixed model: emission, recursion and the state's scale, without training."""
+    flat = {k: [float(x) for r in v for x in r] if isinstance(v[0], list) else v for k, v in FIXED.items()}
+    f = _fixed_features(spark, sf_dir)
+    model = f.select("pair").distinct().select("pair", *[F.array(*[F.lit(x) for x in v]).alias(k) for k, v in flat.items()], F.lit(True).alias("is_valid"))
+    out = models.regimes(f, model)
+    return rounded(out.select("pair", "idx", *[F.col("gamma")[k].alias(f"g{k}") for k in range(3)], "state", "kelly_scale", "is_no_trade"), 5)
+
+
 # ---- models without SQL ---------------------------------------------------------------------------------------------
 @query()
 def adf_full(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -463,11 +523,6 @@ def stationarity_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.stationarity(pairs.windowed(fixtures.spreads(spark, sf_dir), 500, 100, whole_if_short=True), ["pair", "window_id"], "spread")
 
 
-@query()
-def bertram_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(models.entry_thresholds(_rolling_fits(spark, sf_dir)).select("pair", "window_id", "sigma_eq", "threshold"))
-
-
 @query()
 def hmm_train(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.train_regimes(rolling.features(fixtures.spreads(spark, sf_dir)))
