@@ -234,10 +234,11 @@ def results(windows: DataFrame, runs: DataFrame, s: Settings) -> DataFrame:
 def backtest(rows: DataFrame, s: Settings = Settings()) -> tuple[DataFrame, DataFrame]:  # noqa: B008
     """(results, runs) of aligned and indexed rows, one window a pair that holds all of them."""
     one = rows.withColumn("window_id", F.lit(1)).withColumn("i", F.col("idx"))
-    return _run(one, s)
+    return run(one, s)
 
 
-def _run(rows: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
+def run(rows: DataFrame, s: Settings = Settings()) -> tuple[DataFrame, DataFrame]:  # noqa: B008
+    """(results, runs) of rows that have their ``window_id`` and ``i``, the place within it."""
     windows = filtered(rows, s).persist()
     runs = simulated(windows, regime_fits(windows, s), s).persist()
     return results(windows, runs, s), runs
@@ -250,7 +251,7 @@ def walk_forward(rows: DataFrame, train: int = 2000, test: int = 500, step: int
     """
     if train < 500 or test < 100:
         raise ValueError("at least 500 rows to train and 100 to test")
-    made, runs = _run(pairs.windowed(rows, train + test, step), s)
+    made, runs = run(pairs.windowed(rows, train + test, step), s)
     return metrics.verdict(made), made, runs
 
 
