@@ -111,12 +111,14 @@ def regimes(rows: DataFrame, models: DataFrame) -> DataFrame:
     """pair, idx, gamma, state, kelly_scale, is_no_trade, confidence: filtered regimes of each row under its pair's
     model."""
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("idx")
-        first = pdf.iloc[0]
+        if model.empty:
+            return pd.DataFrame({c: [] for c in ("pair", "idx", "gamma", "state", "kelly_scale", "is_no_trade", "confidence")})
+        first = model.iloc[0]
         f = K.Regimes(first["pi"], first["trans"], first["mu"], first["sigma"])
         out = [f.step(o) for o in pdf[["f0", "f1", "f2", "f3"]].to_numpy(float)]
         return pd.DataFrame({"pair": key[0], "idx": pdf["idx"].to_numpy(), "gamma": [g.tolist() for g, *_ in out], "state": [s for _, s, *_ in out], "kelly_scale": [k for _, _, k, _ in out], "is_no_trade": [n for *_, n in out], "confidence": [float(g.max()) for g, *_ in out]})
 
-    both = rows.select("pair", "idx", "f0", "f1", "f2", "f3").join(models.where("is_valid").select("pair", "pi", "trans", "mu", "sigma"), "pair")
-    return both.groupBy("pair").applyInPandas(run, "pair string, idx long, gamma array<double>, state int, kelly_scale double, is_no_trade boolean, confidence double")
+    own = rows.select("pair", "idx", "f0", "f1", "f2", "f3").groupBy("pair")
+    return own.cogroup(models.where("is_valid").select(F.col("pair").alias("of_pair"), "pi", "trans", "mu", "sigma").groupBy("of_pair")).applyInPandas(run, "pair string, idx long, gamma array<double>, state int, kelly_scale double, is_no_trade boolean, confidence double")

@@ -12,7 +12,11 @@ DEFAULT_Q, DEFAULT_R, WARM_UP = 1e-5, 1e-3, 100
 
 
 def all_pairs(bars: DataFrame) -> DataFrame:
-    """(symbol_a, symbol_b) of all symbols, each pair once."""
+    """(symbol_a, symbol_b) of all symbols, each pair once: a nested loop over the symbols' names, not over bars.
+
+    Aligning n symbols in all pairs reads every bar n - 1 times; where fewer pairs are wanted, give ``aligned`` a list of
+    those (``bars.PAIRS``, say) instead.
+    """
     s = bars.select("symbol").distinct()
     return s.select(F.col("symbol").alias("symbol_a")).join(s.select(F.col("symbol").alias("symbol_b")), F.col("symbol_a") < F.col("symbol_b"))
 
@@ -34,9 +38,27 @@ def aligned(bars: DataFrame, pairs: DataFrame) -> DataFrame:
     )
 
 
+def numbered(rows: DataFrame, key: str, bucket: Column, order: tuple[str, ...], name: str = "idx") -> DataFrame:
+    """``name``: the place of each row within its key, from 0, in the order of ``bucket`` and then of ``order``.
+
+    Rows are ranked within their bucket and moved on by the counts of the buckets before, so a key is spread over as many
+    tasks as it has buckets; only the counts of a key meet in one. A row whose bucket is null has no place and goes.
+    """
+    some = rows.withColumn("__bucket", bucket).where("__bucket is not null")
+    past = Window.partitionBy(key).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = some.groupBy(key, "__bucket").agg(F.count("*").alias("__n")).select(key, "__bucket", F.coalesce(F.sum("__n").over(past), F.lit(0)).alias("__before"))
+    rank = F.row_number().over(Window.partitionBy(key, "__bucket").orderBy(*order)) - 1
+    return some.join(before, [key, "__bucket"]).withColumn(name, (F.col("__before") + rank).cast("long")).drop("__bucket", "__before")
+
+
 def indexed(rows: DataFrame, key: str = "pair") -> DataFrame:
-    """``idx``: the place of each row in time within its key, from 0."""
-    return rows.withColumn("idx", (F.row_number().over(Window.partitionBy(key).orderBy("ts")) - 1).cast("long"))
+    """``idx``: the place of each row in time within its key, from 0; rows are ranked month by month."""
+    return numbered(rows, key, F.date_trunc("month", F.col("ts")), ("ts",))
+
+
+def counted(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` with ``__n``, how many their key has: a count by key, joined."""
+    return rows.join(rows.groupBy(key).agg(F.count("*").alias("__n")), key)
 
 
 def static_hedge(rows: DataFrame) -> DataFrame:
@@ -52,8 +74,7 @@ def static_spread(rows: DataFrame) -> DataFrame:
 
 def noise_params(rows: DataFrame, share: float = 0.3) -> DataFrame:
     """(pair, q, r): filter noise from the residuals of a hedge on the first rows (``idx`` below a share of all)."""
-    n = F.count("*").over(Window.partitionBy("pair"))
-    head = rows.withColumn("n", n).where(F.col("idx") < F.greatest(F.floor(F.col("n") * share), F.lit(WARM_UP + 10)))
+    head = counted(rows, "pair").where(F.col("idx") < F.greatest(F.floor(F.col("__n") * share), F.lit(WARM_UP + 10)))
     head = head.where(G.finite(F.col("lp_a")) & G.finite(F.col("lp_b")))
     f = head.groupBy("pair").agg(F.count("*").alias("m"), F.regr_slope("lp_a", "lp_b").alias("b"), F.regr_sxy("lp_a", "lp_b").alias("sxy"), F.regr_syy("lp_a", "lp_b").alias("syy"))
     var = F.greatest(F.try_divide(F.col("syy") - F.col("b") * F.col("sxy"), F.col("m") - 2), F.lit(G.MIN_DENOMINATOR))
@@ -75,8 +96,7 @@ def windowed(rows: DataFrame, length: int, step: int, key: str = "pair", whole_i
     The containment is computed, not joined: a row goes to at most ceil(length / step) windows. Rows of a key with fewer
     than ``length`` rows are in no window, or all in one if ``whole_if_short``.
     """
-    n = F.count("*").over(Window.partitionBy(key))
-    some = rows.withColumn("__n", n)
+    some = counted(rows, key)
     ids = window_ids(F.col("idx"), length, step, F.col("__n"))
     if whole_if_short:
         ids = F.when(F.col("__n") < length, F.array(F.lit(0))).otherwise(ids)

@@ -183,6 +183,12 @@ def unit_root_stat(rows: DataFrame, keys: list[str], value: str = "x") -> DataFr
     return f.select(*keys, "n", (F.col("b") / F.sqrt(s2 / F.col("sxx"))).alias("statistic"))
 
 
+def edge_ratio(reports: DataFrame, keys: list[str]) -> DataFrame:
+    """How many of each key's reports confirm an edge: n_reports, n_confirmed and their ratio."""
+    n, yes = F.count("*"), F.count_if("edge_confirmed")
+    return reports.groupBy(*keys).agg(n.alias("n_reports"), yes.alias("n_confirmed"), (yes / n).alias("confirmed_ratio"))
+
+
 def edge_class(adf_p: Column, lb_min_p: Column, exponent: Column, hurst_ok: Column) -> Column:
     """(edge_confirmed, edge_type, reason) of a series from its three tests, in their order."""
     none = lambda why: F.struct(F.lit(False).alias("edge_confirmed"), F.lit("none").alias("edge_type"), F.lit(why).alias("reason"))

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from spreadloom.functions import guards as G
 from spreadloom.functions import kernels as K
 from spreadloom.operators import metrics, models, pairs
+from spreadloom.sources.scratch import stored
 
 
 @dataclass(frozen=True)
@@ -238,9 +239,12 @@ def backtest(rows: DataFrame, s: Settings = Settings()) -> tuple[DataFrame, Data
 
 
 def run(rows: DataFrame, s: Settings = Settings()) -> tuple[DataFrame, DataFrame]:  # noqa: B008
-    """(results, runs) of rows that have their ``window_id`` and ``i``, the place within it."""
-    windows = filtered(rows, s).persist()
-    runs = simulated(windows, regime_fits(windows, s), s).persist()
+    """(results, runs) of rows that have their ``window_id`` and ``i``, the place within it.
+
+    The hedge's spreads and the runs are written to the shared folder, so that a lost executor costs no fit twice.
+    """
+    windows = stored(filtered(rows, s), "backtest-windows")
+    runs = stored(simulated(windows, regime_fits(windows, s), s), "backtest-runs")
     return results(windows, runs, s), runs
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +9,7 @@ from spreadloom.functions import guards as G
 from spreadloom.operators import metrics, models, pairs, quality, rolling, sizing
 from spreadloom.plans import backtest, fixtures
 from spreadloom.plans.fixtures import table
-from spreadloom.sources import bars, sinks
+from spreadloom.sources import bars, scratch, sinks
 from spreadloom.streaming import online
 
 QUERIES: dict = {}
@@ -165,10 +163,19 @@ def pair_enumerate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.all_pairs(table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("symbol")))
 
 
-@query(f"WITH {B0} SELECT strftime(ts, '%Y-%m-%d') AS day FROM (SELECT ts FROM b0 WHERE symbol = 'A' INTERSECT SELECT ts FROM b0 WHERE symbol = 'N')")
+@query(f"WITH {B0} SELECT strftime(ts, '%Y-%m-%d') AS day FROM (SELECT ts FROM b0 GROUP BY 1 HAVING count(DISTINCT symbol) = (SELECT count(DISTINCT symbol) FROM b0))")
 def ts_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = bars.daily_bars(table(spark, sf_dir, "lineitem"))
-    return day(b.where("symbol = 'A'").select("ts").intersect(b.where("symbol = 'N'").select("ts"))).select("day")
+    """The times that all symbols have."""
+    b = bars.daily_bars(table(spark, sf_dir, "lineitem")).select("symbol", "ts").distinct()
+    n = b.agg(F.count_distinct("symbol").alias("n"))
+    return day(b.groupBy("ts").agg(F.count("*").alias("n")).join(F.broadcast(n), "n")).select("day")
+
+
+@query(f"WITH {DIRTY}, ok AS (SELECT symbol, ts, fine AND NOT spike AS valid FROM v) SELECT a.symbol || '-' || b.symbol AS pair, strftime(a.ts, '%Y-%m-%d') AS day, a.valid AND b.valid AS valid FROM ok a JOIN ok b ON a.ts = b.ts AND a.symbol < b.symbol")
+def pair_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether both bars of each aligned row are valid."""
+    b = quality.validated(fixtures.dirty(spark, sf_dir))
+    return day(pairs.aligned(b, pairs.all_pairs(b))).select("pair", "day", "valid")
 
 
 @query(f"WITH {HEDGE} SELECT pair, n, round(beta, 6) AS beta, round(alpha, 6) AS alpha, round(r2, 6) AS r2 FROM fit")
@@ -218,13 +225,13 @@ def kalman_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(KALMAN_ROWS)
 def stream_kalman(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The hedge filter on a stream of the same rows, several files a batch, read to the end."""
-    home = (spark.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/spreadloom-{uuid.uuid4().hex}").rstrip("/") + f"/stream-{uuid.uuid4().hex}"
-    rows = fixtures.rows(spark, sf_dir).select("pair", "idx", "lp_a", "lp_b")
-    for k in range(2):  # two batches, in order
-        rows.where(F.col("idx") >= 1000 if k else F.col("idx") < 1000).coalesce(1).write.mode("append").parquet(f"{home}/in")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{home}/in")
-    online.hedge(stream).writeStream.format("parquet").option("path", f"{home}/out").option("checkpointLocation", f"{home}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    """The hedge filter on a stream of the same rows, several files a batch, with a restart in between."""
+    home = scratch.new_path(spark, "stream")
+    rows = scratch.stored(fixtures.rows(spark, sf_dir).select("pair", "idx", "lp_a", "lp_b"), "stream-rows")
+    for k in range(2):  # two runs, the second from the state of the first; files are dealt by pair
+        rows.where(F.col("idx") >= 1000 if k else F.col("idx") < 1000).repartition("pair").write.mode("append").parquet(f"{home}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{home}/in")
+        online.hedge(stream).writeStream.format("parquet").option("path", f"{home}/out").option("checkpointLocation", f"{home}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return rounded(spark.read.parquet(f"{home}/out"), 5)
 
 
@@ -345,6 +352,14 @@ def edge_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", edge.alias("e")).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "e.edge_confirmed", "e.edge_type")
 
 
+@query("""SELECT l_returnflag AS pair, count(*) AS n_reports, count(*) FILTER (WHERE ok) AS n_confirmed, round(count(*) FILTER (WHERE ok) / count(*), 6) AS confirmed_ratio
+    FROM (SELECT l_returnflag, NOT (l_discount >= 0.05) AND NOT (l_tax >= 0.05) AND (l_quantity < 22.5 OR l_quantity > 27.5) AS ok FROM lineitem) GROUP BY 1""")
+def edge_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edge = rolling.edge_class(F.col("l_discount"), F.col("l_tax"), F.col("l_quantity") / 50, F.lit(True))
+    reports = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("pair"), edge.alias("e")).select("pair", "e.*")
+    return rounded(rolling.edge_ratio(reports, ["pair"]))
+
+
 @query(f"WITH {HEDGE}, pm AS (SELECT pair, idx, spread AS theta FROM sp WHERE idx % 100 = 0) SELECT sp.pair, sp.idx, round(theta, 6) + 0.0 AS theta FROM sp ASOF JOIN pm ON sp.pair = pm.pair AND sp.idx >= pm.idx")
 def asof_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = fixtures.spreads(spark, sf_dir)
@@ -458,6 +473,13 @@ def best_window_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---- models and trades ----------------------------------------------------------------------------------------------
+@query("""SELECT pair, round(m, 6) AS median_sharpe FROM (SELECT c_mktsegment AS pair, median(c_acctbal) / 4000 AS m FROM customer GROUP BY 1) WHERE m >= 0.5 ORDER BY m DESC, pair LIMIT 1""")
+def best_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The deployable one of derived verdicts with the highest median."""
+    v = table(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("pair")).agg((F.median("c_acctbal") / 4000).alias("median_sharpe"))
+    return rounded(metrics.best_pair(v.withColumn("deployable", F.col("median_sharpe") >= metrics.SHARPE_DEPLOY)).select("pair", "median_sharpe"))
+
+
 #: A stop close enough for the win probability to leave room for trades on the derived pairs.
 TRADING = backtest.Settings(stop_mult=0.5)
 

@@ -45,9 +45,10 @@ def dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each line item as a trade of a thousand dollars, in order (``k``), in windows of five hundred."""
-    order = ("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    order = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     pnl = F.round((F.col("l_discount") - 0.05) * 1000 - 2, 6)
-    t = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("pair"), F.row_number().over(Window.partitionBy("l_returnflag").orderBy(*order)).alias("k"), pnl.alias("net_pnl"), (F.col("l_linenumber") % 3).alias("state"), F.col("l_quantity").cast("long").alias("held"))
+    t = pairs.numbered(table(spark, sf_dir, "lineitem"), "l_returnflag", F.col("l_shipdate"), order, "k")
+    t = t.select(F.col("l_returnflag").alias("pair"), (F.col("k") + 1).alias("k"), pnl.alias("net_pnl"), (F.col("l_linenumber") % 3).alias("state"), F.col("l_quantity").cast("long").alias("held"))
     return t.select("pair", "k", (F.floor((F.col("k") - 1) / 500) + 1).cast("int").alias("window_id"), "net_pnl", (F.col("net_pnl") / 10_000).alias("trade_return"), F.col("k").alias("bar_entry"), (F.col("k") + F.col("held")).alias("bar_exit"), "state")
 
 

@@ -55,6 +55,29 @@ def read_csv(spark: SparkSession, path: str, symbol: str | None = None) -> DataF
     return df.withColumnRenamed("timestamp", "ts").withColumn("symbol", F.lit(symbol))
 
 
+def read_cache(spark: SparkSession, path: str, symbol: str, least: int = MIN_BARS) -> tuple[DataFrame, DataFrame]:
+    """(validated bars, verdict) of a CSV cache: bars are validated again, and too few of them, missing columns or a file
+    that cannot be read make ok false with the reason in error_message, and no bars."""
+    from spreadloom.operators import quality
+
+    def refused(why: str) -> tuple[DataFrame, DataFrame]:
+        none = quality.validated(spark.createDataFrame([], BARS))
+        return none, spark.createDataFrame([(symbol, 0, 0, False, why)], "symbol string, n_raw long, n_valid long, ok boolean, error_message string")
+
+    try:
+        header = [c.lower() for c in spark.read.option("header", True).csv(path).columns]
+        if missing := missing_columns(header):
+            return refused(f"missing columns: {', '.join(missing)}")
+        types = {"timestamp": T.TimestampType(), **dict.fromkeys(REQUIRED, T.DoubleType())}
+        raw = spark.read.option("header", True).schema(T.StructType([T.StructField(c, types.get(c, T.StringType())) for c in header])).csv(path)
+        raw = raw.select(F.lit(symbol).alias("symbol"), F.col("timestamp").alias("ts"), *REQUIRED)
+        checked = quality.validated(quality.deduplicated(raw))
+        verdict = quality.summary(raw, checked, least).select("symbol", "n_raw", "n_valid", "ok", "error_message")
+        return (checked, verdict) if not raw.isEmpty() else refused(f"only 0 valid bars, {least} needed")
+    except Exception as e:  # whatever is wrong with a cache is its verdict
+        return refused(f"cache cannot be read: {type(e).__name__}")
+
+
 def request_error(symbol: Column, start: Column, end: Column, zoned: Column) -> Column:
     """Why a request for bars is refused (the first reason), or an empty string."""
     days = F.floor((F.unix_micros(end) - F.unix_micros(start)) / F.lit(86_400_000_000))

@@ -59,6 +59,31 @@ def walk_forward_report(verdicts: DataFrame) -> DataFrame:
     return verdicts.select("pair", line("%s: %s, %d of %d windows valid, median Sharpe %.3f, %.1f%% profitable", "pair", "verdict", "n_valid", "n_windows", "median_sharpe", "pct_profitable").alias("line"))
 
 
+def stationarity_report(reports: DataFrame) -> DataFrame:
+    """A line for each report of the three tests and the edge they confirm."""
+    tests = line("unit root %.4f (p %.4f), exponent %.4f (r2 %.4f), least portmanteau p %.4f", "adf.statistic", "adf.pvalue", "hurst.exponent", "hurst.r_squared", "ljung_box.min_pvalue")
+    keys = [c for c in reports.columns if c in ("pair", "symbol", "window_id")]
+    return reports.select(*keys, F.concat_ws(" ", line("%s, %d rows:", F.col(keys[0]), "series_length"), F.when(F.col("edge_confirmed"), line("edge (%s),", "edge_type")).otherwise(line("no edge (%s),", "reason")), tests).alias("line"))
+
+
+def hedge_report(summary: DataFrame) -> DataFrame:
+    """A line for each pair's hedge filter."""
+    return summary.select("pair", line("%s: %d rows, %d warmed up, spread %.6f to %.6f (mean %.6f, deviation %.6f), last beta %.4f and alpha %.6f", "pair", "n_bars", "n_warmed_up", "spread_min", "spread_max", "spread_mean", "spread_std", "beta_last", "alpha_last").alias("line"))
+
+
+def mean_reversion_report(fits: DataFrame) -> DataFrame:
+    """A line for each fit; failed ones say why."""
+    text = line("theta %.6f, mu %.6f, sigma %.6f, half-life %.2f rows, equilibrium deviation %.6f", "theta", "mu", "sigma", "half_life", "sigma_eq")
+    keys = [c for c in fits.columns if c in ("pair", "symbol", "window_id")]
+    return fits.select(*keys, F.when(F.col("error") == "", F.concat(text, F.when(F.col("is_valid"), "").otherwise(" (too slow)"))).otherwise(line("no fit: %s", "error")).alias("line"))
+
+
+def size_report(sizes: DataFrame) -> DataFrame:
+    """A line for each sized position; others say why there is none."""
+    text = line("position %.2f, growth fraction %.4f, win probability %.4f, reward to risk %.4f", "position_usd", "kelly_fraction", "win_prob", "reward_risk")
+    return sizes.select(F.when(F.col("is_valid"), text).otherwise(line("no position: %s", "reason")).alias("line"))
+
+
 def write_report(lines: DataFrame, path: str) -> None:
     """Lines as text files."""
     lines.select("line").write.mode("overwrite").text(path)

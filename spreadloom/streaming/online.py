@@ -30,17 +30,23 @@ def bars(events: DataFrame, width: str = "1 minute", late: str = "10 minutes") -
 
 def hedge(stream: DataFrame, q: float = 1e-5, r: float = 1e-3) -> DataFrame:
     """The dynamic hedge of each pair, bar by bar (pair, idx, lp_a, lp_b). Rows of a batch are taken in order of ``idx``;
-    the state is six numbers a pair, so a restart goes on where the last batch ended."""
+    the state is six numbers a pair, so a restart goes on where the last batch ended. Where the stream has a boolean
+    ``reset``, a row that has it true starts its pair's filter anew, before the row is taken in."""
+    resets = "reset" in stream.columns
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         f = K.Hedge(q, r, state=tuple(state.get) if state.exists else None)
         rows = pd.concat(list(parts)).sort_values("idx")
-        out = pd.DataFrame([f.step(a, b) for a, b in zip(rows["lp_a"], rows["lp_b"], strict=True)], columns=K.HEDGE_COLUMNS)
+        out = []
+        for a, b, anew in zip(rows["lp_a"], rows["lp_b"], rows["reset"] if resets else [False] * len(rows), strict=True):
+            f = K.Hedge(q, r) if anew else f
+            out.append(f.step(a, b))
+        out = pd.DataFrame(out, columns=K.HEDGE_COLUMNS)
         state.update(f.state)
         yield pd.concat([rows[["pair", "idx"]].reset_index(drop=True), out], axis=1)
 
     held = "beta double, alpha double, p00 double, p01 double, p11 double, n long"
-    return stream.select("pair", "idx", "lp_a", "lp_b").groupBy("pair").applyInPandasWithState(run, f"pair string, idx long, {STATE_FIELDS}", held, "append", GroupStateTimeout.NoTimeout)
+    return stream.select("pair", "idx", "lp_a", "lp_b", *["reset"] * resets).groupBy("pair").applyInPandasWithState(run, f"pair string, idx long, {STATE_FIELDS}", held, "append", GroupStateTimeout.NoTimeout)
 
 
 def regimes(stream: DataFrame, model: dict) -> DataFrame:
@@ -54,3 +60,21 @@ def regimes(stream: DataFrame, model: dict) -> DataFrame:
         yield pd.DataFrame({"pair": rows["pair"], "idx": rows["idx"], "state": [s for _, s, *_ in out], "kelly_scale": [k for _, _, k, _ in out], "is_no_trade": [n for *_, n in out]})
 
     return stream.groupBy("pair").applyInPandasWithState(run, "pair string, idx long, state int, kelly_scale double, is_no_trade boolean", "log_alpha array<double>", "append", GroupStateTimeout.NoTimeout)
+
+
+def windowed(stream: DataFrame, length: int, step: int, value: str = "x") -> DataFrame:
+    """Count-based sliding windows: (pair, window_id, first_idx, last_idx, values) each time ``length`` rows of a pair are
+    there, one every ``step`` rows. The state is a pair's last rows, fewer than ``length`` + ``step``, and how many came."""
+
+    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        idx, values, seen = (list(x) if isinstance(x, (list, tuple, np.ndarray)) else x for x in state.get) if state.exists else ([], [], 0)
+        out = []
+        for r in pd.concat(list(parts)).sort_values("idx").itertuples():
+            idx, values, seen = [*idx, int(r.idx)][-length:], [*values, float(r.x)][-length:], seen + 1
+            if seen >= length and (seen - length) % step == 0:
+                out.append((key[0], (seen - length) // step + 1, idx[0], idx[-1], values))
+        state.update((idx, values, seen))
+        yield pd.DataFrame(out, columns=["pair", "window_id", "first_idx", "last_idx", "values"])
+
+    schema = "pair string, window_id long, first_idx long, last_idx long, values array<double>"
+    return stream.selectExpr("pair", "idx", f"{value} AS x").groupBy("pair").applyInPandasWithState(run, schema, "idx array<long>, vals array<double>, seen long", "append", GroupStateTimeout.NoTimeout)

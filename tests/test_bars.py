@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from spreadloom.operators import pairs, quality, rolling
+from spreadloom.operators import metrics, models, pairs, quality, rolling, sizing
 from spreadloom.sources import bars, sinks
 
 START = dt.datetime(2024, 1, 1)
@@ -93,3 +93,54 @@ def test_as_of(spark):
 def test_true_range(spark):
     rows = [("A", START + dt.timedelta(minutes=k), 0.0, h, low, c, 1.0) for k, (h, low, c) in enumerate([(10.0, 8.0, 9.0), (12.0, 11.0, 11.5), (11.0, 7.0, 8.0)])]
     assert [r.tr for r in rolling.true_range(frame(spark, rows)).orderBy("ts").collect()] == [2, 3, 4.5]
+
+
+def test_cached_bars_are_validated_again(spark, tmp_path):
+    rows = clean(900)
+    changed(rows, 3, close=0.0)
+    path = sinks.write_csv(frame(spark, rows + rows[:5]), "A", str(tmp_path))
+    checked, verdict = bars.read_cache(spark, path, "A", 800)
+    v = verdict.first()
+    assert (v.symbol, v.n_raw, v.n_valid, v.ok, v.error_message) == ("A", 905, 899, True, "") and checked.count() == 900
+    v = bars.read_cache(spark, path, "A")[1].first()
+    assert not v.ok and v.n_valid == 899 and "899 valid" in v.error_message
+    frame(spark, rows).drop("volume").withColumnRenamed("ts", "timestamp").write.option("header", True).csv(f"{tmp_path}/short.csv")
+    none, verdict = bars.read_cache(spark, f"{tmp_path}/short.csv", "A")
+    assert verdict.first().error_message == "missing columns: volume" and none.count() == 0
+    assert not bars.read_cache(spark, f"{tmp_path}/nowhere.csv", "A")[1].first().ok
+
+
+def test_numbers_do_not_depend_on_buckets(spark):
+    rows = [("A" if k % 3 else "B", START + dt.timedelta(days=k * 7 % 400), float(k)) for k in range(400)]
+    df = spark.createDataFrame(rows, "pair string, ts timestamp, x double").repartition(5)
+    got = {(r.pair, r.ts): r.idx for r in pairs.indexed(df).collect()}
+    want = {}
+    for p in "AB":
+        want |= {(p, t): k for k, t in enumerate(sorted(t for q, t, _ in rows if q == p))}
+    assert got == want
+
+
+def test_reports_and_trade_log(spark, tmp_path):
+    verdict = spark.createDataFrame([("A", 10, 9, 1, 0, 0, 1, 0)], "symbol string, n_raw long, n_valid long, n_invalid long, n_gaps long, n_duplicates long, n_ohlc_errors long, n_spikes long")
+    assert sinks.quality_report(verdict).first().line == "A: 10 raw, 9 valid, 1 invalid, 0 gaps, 0 duplicates, 1 OHLC errors, 0 spikes"
+    made = spark.createDataFrame([("p", 1, 0.5, 1.25, 3, True, ""), ("p", 2, -0.5, 0.0, 0, True, ""), ("p", 3, 0.0, 0.0, 0, False, "too few")], "pair string, window_id int, total_return double, sharpe double, total_trades int, ok boolean, error string")
+    assert [r.line for r in sinks.backtest_report(made).orderBy("window_id").collect()] == ["Window 1: return=+50.00%  Sharpe=1.250  trades=3  PROFIT", "Window 2: return=-50.00%  Sharpe=0.000  trades=0  LOSS", "Window 3: FAILED (too few)"]
+    steps = spark.createDataFrame([("p", k, float((k * 7919) % 101) / 100) for k in range(600)], "pair string, idx long, x double")
+    assert "p, 600 rows:" in sinks.stationarity_report(models.stationarity(steps, ["pair"])).first().line
+    hedge = spark.createDataFrame([("p", 5, 4, -1.0, 1.0, 0.0, 0.5, 1.5, 0.25)], "pair string, n_bars long, n_warmed_up long, spread_min double, spread_max double, spread_mean double, spread_std double, beta_last double, alpha_last double")
+    assert sinks.hedge_report(hedge).first().line.endswith("last beta 1.5000 and alpha 0.250000")
+    fits = spark.createDataFrame([("p", 1, 0.1, 0.0, 0.2, 6.9, 0.4, True, ""), ("p", 2, 0.0, 0.0, 0.0, 0.0, 0.0, False, "degenerate series")], "pair string, window_id int, theta double, mu double, sigma double, half_life double, sigma_eq double, is_valid boolean, error string")
+    assert [r.line for r in sinks.mean_reversion_report(fits).orderBy("window_id").collect()] == ["theta 0.100000, mu 0.000000, sigma 0.200000, half-life 6.90 rows, equilibrium deviation 0.400000", "no fit: degenerate series"]
+    case = spark.createDataFrame([(10_000.0, 50.0, 900.0, 0.5, 0.05, True, 1.0, False), (10_000.0, 50.0, 900.0, 0.5, 0.05, True, 1.0, True)], "capital double, atr double, price double, theta double, sigma double, ou_valid boolean, scale double, no_trade boolean")
+    lines = [r.line for r in sinks.size_report(sizing.sized(case)).collect()]
+    assert lines[0].startswith("position ") and lines[1] == "no position: no trade in this regime"
+    sinks.write_report(sinks.size_report(sizing.sized(case)), f"{tmp_path}/report")
+    assert sorted(r.value for r in spark.read.text(f"{tmp_path}/report").collect()) == sorted(lines)
+    trade = [("p", w, e, e + 3, d, 0.1, 0.2, 100.0, 10.0, 9.98, 0.000998, "target", 1, 5.0, 10_009.98) for w, e, d in ((1, 5, 1), (1, 2, -1), (2, 7, 1))]
+    log = spark.createDataFrame(trade, "pair string, window_id int, bar_entry int, bar_exit int, direction int, entry_spread double, exit_spread double, position_usd double, raw_pnl double, net_pnl double, trade_return double, exit_reason string, regime_state int, half_life double, capital_after double")
+    sinks.write_trade_log(log, made, f"{tmp_path}/log")
+    back = spark.read.option("header", True).option("inferSchema", True).csv(f"{tmp_path}/log")
+    assert sorted((r.pair, r.bar_entry, r.direction, r.trade_return) for r in back.collect()) == [("p", 2, "short", 0.0998), ("p", 5, "long", 0.0998)]
+    ranked = spark.createDataFrame([("a", 0.7, True), ("b", 0.9, True), ("c", 2.0, False), ("d", 0.9, True)], "pair string, median_sharpe double, deployable boolean")
+    assert [r.pair for r in metrics.best_pair(ranked).collect()] == ["b"]
+    assert sinks.walk_forward_report(spark.createDataFrame([("p", "WEAK_EDGE", 3, 4, 0.25, 66.67)], "pair string, verdict string, n_valid long, n_windows long, median_sharpe double, pct_profitable double")).first().line == "p: WEAK_EDGE, 3 of 4 windows valid, median Sharpe 0.250, 66.7% profitable"

@@ -56,3 +56,28 @@ def test_bars_and_duplicates(spark, tmp_path):
     assert sorted(map(tuple, got)) == sorted(map(tuple, want))
     twice = online.deduplicated(stream.selectExpr("'A' AS symbol", "date_trunc('minute', ts) AS ts"))
     assert run(twice, str(tmp_path), "once").count() == len({r[1].replace(second=0) for r in rows}) + 1
+
+
+def test_reset_starts_a_pair_anew(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    obs = [(float(a), float(b)) for a, b in rng.normal(5, 1, (60, 2))]
+    df = spark.createDataFrame([(p, k, a, b, p == "x" and k == 35) for p in ("x", "y") for k, (a, b) in enumerate(obs)], "pair string, idx long, lp_a double, lp_b double, reset boolean")
+    for lo, hi in ((0, 30), (30, 60)):
+        df.where(f"idx >= {lo} and idx < {hi}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    got = {(r.pair, r.idx): tuple(r)[2:] for r in run(online.hedge(stream), str(tmp_path), "out").collect()}
+    whole, again = K.Hedge(), K.Hedge()
+    want = [whole.step(*o) for o in obs]
+    anew = want[:35] + [again.step(*o) for o in obs[35:]]
+    assert [got["y", k] for k in range(60)] == want and [got["x", k] for k in range(60)] == anew and anew != want
+
+
+def test_windows_by_count_over_batches(spark, tmp_path):
+    df = spark.createDataFrame([(p, k, float(k * m)) for p, m, n in (("x", 1, 57), ("y", -1, 19)) for k in range(n)], "pair string, idx long, v double")
+    for lo, hi in ((0, 13), (13, 14), (14, 60)):
+        df.where(f"idx >= {lo} and idx < {hi}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    got = run(online.windowed(stream, 20, 6, "v"), str(tmp_path), "out").orderBy("window_id").collect()
+    want = [(w + 1, 6 * w, 6 * w + 19) for w in range((57 - 20) // 6 + 1)]
+    assert [(r.window_id, r.first_idx, r.last_idx) for r in got] == want and {r.pair for r in got} == {"x"}
+    assert all(r["values"] == [float(k) for k in range(r.first_idx, r.last_idx + 1)] for r in got)
