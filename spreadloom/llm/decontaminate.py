@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import hashlib
-from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,12 +13,17 @@ from pyspark.sql import types as T
 
 from spreadloom.llm.arrow import with_columns_from_text
 
-#: Words of a window, characters of a block, and patterns searched for in one pass (a larger benchmark takes more passes).
+#: Words of a window, bytes of a block, and patterns of one search (a larger benchmark takes more searches).
 WINDOW, BLOCK, PASS_PATTERNS = 10, 8, 200_000
-#: Item texts gathered for one pass are bounded by this many rows.
+#: Item texts gathered for one search are bounded by this many rows.
 PASS_ITEMS = 20_000
+#: The most bits of a shift table's index, and bytes of text that one of the places searched side by side starts after another.
+MOST_BITS, STRETCH = 24, 256
+#: Bytes of normalised text that are searched at a time (a longer text is searched by itself).
+STEP_BYTES = 1 << 20
 #: ASCII letters to lower case; digits and bytes of other characters stay; all else becomes a space.
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words(text: str | None) -> list[bytes]:
@@ -32,47 +36,79 @@ def windows(item: list[bytes], width: int = WINDOW) -> list[bytes]:
     return [b" " + b" ".join(item[k : k + width]) + b" " for k in range(max(1, len(item) - width + 1))] if item else []
 
 
+class _Bytes:
+    """A text whose runs of up to eight bytes can be read as numbers at any places."""
+
+    def __init__(self, text: bytes):
+        self.text = text
+        self.eight = np.ndarray((len(text) + 1,), "<u8", text + bytes(8), strides=(1,))
+
+    def at(self, place: np.ndarray, n: int) -> np.ndarray:
+        return self.eight[place] & np.uint64((1 << (8 * n)) - 1)
+
+
 class WuManber:
-    """Finds all occurrences of many byte strings.
+    """Finds all occurrences of many different byte strings.
 
-    Patterns of like length form a family. In each, a table gives for every block (the last bytes read) how far the
-    search may move on without missing a pattern; blocks that no pattern has move it furthest. Where the table says 0,
-    the bucket of that suffix block holds the patterns to compare directly.
+    Patterns of like length form a family. In each, a table of fixed size tells by the hash of a block (the last bytes
+    read) how far the search may move on without missing a pattern; where blocks share a place in the table, the
+    shortest move holds. Where it says 0, the bucket of that suffix block (and of the first bytes before it) has the
+    patterns to compare directly. Many places of a text are searched side by side.
     """
 
     def __init__(self, patterns: list[bytes], block: int = BLOCK):
+        self.size = np.array([len(p) for p in patterns], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.all = _Bytes(b"".join(patterns))
         self.families = []
-        by_size = defaultdict(list)
-        for p in dict.fromkeys(patterns):
-            by_size[min(len(p).bit_length(), 7)].append(p)
-        for _, family in sorted(by_size.items()):
-            m = min(map(len, family))
+        kind = np.minimum(np.frexp(self.size)[1], 7)
+        for k in np.unique(kind).tolist():
+            own = np.flatnonzero(kind == k)
+            m = int(self.size[own].min())
             b = min(block, m)
-            shift, bucket = {}, defaultdict(list)
-            for p in family:
-                for j in range(b, m + 1):
-                    s = p[j - b : j]
-                    shift[s] = min(shift.get(s, m), m - j)
-                bucket[p[m - b : m]].append(p)
-            self.families.append((m, b, shift, dict(bucket)))
-
-    def search(self, text: bytes) -> Iterator[tuple[int, bytes]]:
-        """Each (start, pattern) that occurs; occurrences may overlap."""
-        n = len(text)
-        for m, b, shift, bucket in self.families:
-            far, get, i = m - b + 1, shift.get, m
-            while i <= n:
-                s = get(text[i - b : i], far)
-                if s:
-                    i += s
-                    continue
-                for p in bucket[text[i - b : i]]:
-                    if text.startswith(p, i - m):
-                        yield i - m, p
-                i += 1
-
-
-def _passes(items: DataFrame, width: int) -> Iterator[dict[bytes, list[str]]]:
+            bits = min(MOST_BITS, max(12, (4 * len(own) * (m - b + 1)).bit_length()))
+            shift = np.full(1 << bits, min(255, m - b + 1), np.uint8)
+            for j in range(b, m + 1):  # ever shorter moves, so the shortest stays
+                shift[self._place(self.all.at(self.start[own] + j - b, b), bits)] = min(255, m - j)
+            bucket = self._bucket(self.all, self.start[own], m, b)
+            order = np.argsort(bucket, kind="stable")
+            self.families.append((m, b, bits, shift, bucket[order], own[order]))
+
+    @staticmethod
+    def _place(block: np.ndarray, bits: int) -> np.ndarray:
+        return (block * _ODD >> np.uint64(64 - bits)).astype(np.int64)
+
+    @staticmethod
+    def _bucket(text: _Bytes, start: np.ndarray, m: int, b: int) -> np.ndarray:
+        return (text.at(start + m - b, b) * _ODD ^ text.at(start, b)) * _ODD
+
+    def pattern(self, k: int) -> bytes:
+        return self.all.text[self.start[k] : self.start[k] + self.size[k]]
+
+    def search(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """(start, pattern) of each occurrence; occurrences may overlap."""
+        read, found = _Bytes(text), []
+        for m, b, bits, shift, bucket, own in self.families:
+            at = np.arange(m, len(text) + 1, STRETCH)
+            last, stops = np.minimum(at + STRETCH, len(text) + 1), []
+            while len(at):
+                move = shift[self._place(read.at(at - b, b), bits)]
+                stops.append(at[move == 0])
+                at = at + np.maximum(move, 1)
+                more = at < last
+                at, last = at[more], last[more]
+            start = np.concatenate(stops) - m if stops else np.empty(0, np.int64)
+            key = self._bucket(read, start, m, b)
+            lo, hi = np.searchsorted(bucket, key, "left"), np.searchsorted(bucket, key, "right")
+            n = hi - lo
+            k = own[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
+            start = np.repeat(start, n)
+            same = np.array([text.startswith(self.pattern(p), s) for s, p in zip(start.tolist(), k.tolist(), strict=True)], bool)
+            found.append((start[same], k[same]))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 2
+
+
+def _passes(items: DataFrame, width: int) -> Iterator[dict[bytes, set[str]]]:
     """The patterns of a stated query set, in blocks of bounded size: window -> ids of its items."""
     part = max(1, -(-items.count() // PASS_ITEMS))
     for k in range(part):
@@ -88,26 +124,24 @@ def _passes(items: DataFrame, width: int) -> Iterator[dict[bytes, list[str]]]:
         yield block
 
 
-def _search_pass(patterns: dict[bytes, set], width: int, first: bool, last: bool):
-    def make():
-        found_by = WuManber(list(patterns))
-
-        def spans(text: bytes, starts: list[int] | None = None) -> tuple[list[int], set]:
-            out, ids = [], set()
-            for at, p in found_by.search(text):
-                if starts is None:
-                    starts, j = [], text.find(b" ")
-                    while j >= 0:
-                        starts.append(j)
-                        j = text.find(b" ", j + 1)
-                w = bisect_left(starts, at)
-                out += (w, w + p.count(b" ") - 1)
-                ids |= patterns[p]
-            return out, ids
-
-        return spans
-
-    return make
+def _found(texts: list[bytes], searches: list[tuple[WuManber, np.ndarray, list[list[str]]]]) -> tuple[list, list, list]:
+    """(words hit, ids found, spans) of some normalised texts."""
+    offs = np.cumsum([0] + [len(t) + 1 for t in texts])
+    whole = b"\n".join(texts)  # no pattern has this byte
+    spaces = np.flatnonzero(np.frombuffer(whole, np.uint8) == 32)
+    before = np.searchsorted(spaces, offs)
+    ids, spans = [set() for _ in texts], [[] for _ in texts]
+    hit = np.zeros(len(spaces) + 1, np.int32)
+    for by, n_words, names in searches:
+        start, k = by.search(whole)
+        text, first = np.searchsorted(offs, start, "right") - 1, np.searchsorted(spaces, start)
+        np.add.at(hit, first, 1)
+        np.add.at(hit, first + n_words[k], -1)
+        for t, p, a in zip(text.tolist(), k.tolist(), (first - before[text]).tolist(), strict=True):
+            ids[t].update(names[p])
+            spans[t] += (a, a + int(n_words[p]))
+    total = np.concatenate([[0], np.cumsum(np.cumsum(hit) > 0)])
+    return (total[before[1:]] - total[before[:-1]]).tolist(), [sorted(x) for x in ids], spans
 
 
 def hits(docs: DataFrame, items: DataFrame, carry: tuple[str, ...] = ("doc_id",), width: int = WINDOW) -> DataFrame:
@@ -116,43 +150,41 @@ def hits(docs: DataFrame, items: DataFrame, carry: tuple[str, ...] = ("doc_id",)
     Adds n_words, n_hit, n_items, items_sha256 (of the sorted, comma-joined item ids), contaminated and spans (start and
     end words of the occurrences, in pairs). A null or empty text has no words and is clean; an item with a null
     id is searched for but gives no id, a null or empty item text has no windows; repeated rows and items count once each; empty
-    tables are allowed on either side. The items are a stated query set: each pass over the documents searches for a
-    bounded block of windows, and passes follow one another within the same tasks, without a shuffle.
+    tables are allowed on either side. The items are a stated query set, sent out once in blocks of bounded size; a task
+    searches its texts for one block after another, without a shuffle. A block of 200,000 windows takes about 60 MB.
     """
-    blocks = [dict(b) for b in _passes(items, width)] or [{}]
-    ints, texts = T.ArrayType(T.IntegerType()), T.ArrayType(T.StringType())
-    for k, block in enumerate(blocks):
-        more = k < len(blocks) - 1
-        new = T.StructType().add(f"__spans{k}", ints).add(f"__items{k}", texts).add("n_words", T.LongType())
-        searcher = _search_pass(block, width, k == 0, not more)
-
-        def make(searcher=searcher):
-            spans = searcher()
-
-            def run(text: pa.Array) -> list:
-                rows = []
-                for s in text.to_pylist():
-                    w = words(s)
-                    got, ids = spans(b" " + b" ".join(w) + b" ") if w else ([], ())
-                    rows.append((got, sorted(ids), len(w)))
-                return list(zip(*rows, strict=True)) if rows else [[], [], []]
-
-            return run
-
-        kept = [*carry, *(f"__{x}{j}" for j in range(k) for x in ("spans", "items"))]
-        docs = with_columns_from_text(docs, [*kept, *(["text"] if more else [])], new, make)
-    spans = F.concat(*[f"__spans{k}" for k in range(len(blocks))])
-    found = F.array_sort(F.array_distinct(F.concat(*[f"__items{k}" for k in range(len(blocks))])))
-    hit = F.expr("size(array_distinct(flatten(transform(sequence(0, cast(size(spans) / 2 as int) - 1), i -> sequence(spans[2 * i], spans[2 * i + 1] - 1)))))")
-    return (
-        docs.withColumn("spans", spans)
-        .withColumn("__found", found)
-        .select(
-            *[c for c in carry if c not in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans")], "n_words",
-            F.when(F.size("spans") > 0, hit).otherwise(0).cast("long").alias("n_hit"),
-            F.size("__found").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "__found").cast("binary"), 256).alias("items_sha256"),
-            (F.size("spans") > 0).alias("contaminated"), "spans",
-        )
+    blocks = [(list(b), [sorted(x) for x in b.values()]) for b in _passes(items, width) if b]
+    shared = docs.sparkSession.sparkContext.broadcast(blocks)
+
+    def make():
+        searches = [(WuManber(p), np.array([x.count(b" ") - 1 for x in p], np.int64), names) for p, names in shared.value]
+
+        def run(col: pa.Array) -> list:
+            count, out, held, size = [], ([], [], []), [], 0
+
+            def close():
+                for to, got in zip(out, _found(held, searches), strict=True):
+                    to.extend(got)
+
+            for s in col:
+                w = words(s.as_py())
+                count.append(len(w))
+                held.append(b" " + b" ".join(w) + b" " if w else b"")
+                size += len(held[-1])
+                if size >= STEP_BYTES:
+                    close()
+                    held, size = [], 0
+            close()
+            return [count, *out]
+
+        return run
+
+    new = T.StructType().add("n_words", T.LongType()).add("n_hit", T.LongType()).add("__found", T.ArrayType(T.StringType())).add("spans", T.ArrayType(T.IntegerType()))
+    made = with_columns_from_text(docs, [c for c in carry if c not in ("n_items", "items_sha256", "contaminated")], new, make)
+    own = [c for c in made.columns if c not in new.names]
+    return made.select(
+        *own, "n_words", "n_hit", F.size("__found").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "__found").cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"), "spans",
     )
 
 

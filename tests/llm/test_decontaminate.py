@@ -70,9 +70,24 @@ def test_empty_sides(spark):
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.text("ab ", min_size=1, max_size=12), min_size=1, max_size=8), st.text("ab ", max_size=60))
 def test_search_finds_all_occurrences(patterns, text):
-    p, t = [x.encode() for x in patterns], text.encode()
-    want = sorted((k, x) for x in set(p) for k in range(len(t)) if t.startswith(x, k))
-    assert sorted(decontaminate.WuManber(p).search(t)) == want
+    p, t = sorted({x.encode() for x in patterns}), text.encode()
+    want = sorted((k, x) for x in p for k in range(len(t)) if t.startswith(x, k))
+    start, which = decontaminate.WuManber(p).search(t)
+    assert sorted((k, p[x]) for k, x in zip(start.tolist(), which.tolist(), strict=True)) == want
+
+
+def test_long_texts_and_many_patterns_in_bounded_memory():
+    rng = random.Random(3)
+    items = [[f"w{rng.randrange(10**6)}".encode() for _ in range(2009)] for _ in range(25)]
+    patterns = [w for x in items for w in decontaminate.windows(x)]
+    assert len(patterns) == 50_000
+    by = decontaminate.WuManber(patterns)
+    held = len(by.all.text) + sum(x.nbytes for _, _, _, *arrays in by.families for x in arrays) + by.size.nbytes + by.start.nbytes
+    assert held < 25e6  # 100 MB for 200,000
+    words = [f"v{rng.randrange(10**6)}".encode() for _ in range(50_000)]
+    words[7000:7050] = items[3][100:150]
+    start, which = by.search(b" " + b" ".join(words) + b" ")
+    assert sorted(which.tolist()) == list(range(6100, 6141)) and len(set(start.tolist())) == 41
 
 
 def test_items_without_an_id_are_searched_for(spark):
