@@ -2,137 +2,54 @@
 
 Text is seen as lower-case words (A-Z) of letters, digits and non-ASCII characters between single spaces. A gate lets
 through documents with any licensing word; a keyword lets through a rule; its regular expression then finds all places.
-A place inside another one falls to it if that one's rule has the same or a higher priority.
+Places are sorted by where they start, wider ones first, and one sweep drops those that lie in an earlier one of the same
+or a higher priority.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The phrases that every result reports, and their labels.
-BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-
-#: Licences: label, keyword, pattern of the name, and words of its identifier (as in tags and addresses).
-NAMES = [
-    ("apache-2", "apache", r"apache(?: software)?(?: foundation)?(?: public)? licen[cs]e(?: version)?(?: v)? ?v?2(?: 0)?", r"apache 2(?: 0)?"),
-    ("apache-1.1", "apache", r"apache(?: software)? licen[cs]e(?: version)? 1 1", r"apache 1 1"),
-    ("apache-1.0", "apache", r"apache(?: software)? licen[cs]e(?: version)? 1 0", r"apache 1 0"),
-    ("mit", "mit", r"mit(?: x11)?(?: open source)? licen[cs]e", r"mit"),
-    ("mit-0", "mit", r"mit no attribution(?: licen[cs]e)?", r"mit 0"),
-    ("x11", "x11", r"x11 licen[cs]e", r"x11"),
-    ("bsd-2-clause", "bsd", r"(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)(?: licen[cs]e)?", r"bsd 2 clause"),
-    ("bsd-3-clause", "bsd", r"(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd)(?: licen[cs]e)?", r"bsd 3 clause"),
-    ("bsd-4-clause", "bsd", r"(?:bsd 4 clause|4 clause bsd|original bsd|old bsd)(?: licen[cs]e)?", r"bsd 4 clause"),
-    ("0bsd", "bsd", r"(?:zero clause bsd|bsd zero clause)(?: licen[cs]e)?", r"0bsd"),
-    ("bsd", "bsd", r"bsd(?: style)? licen[cs]e", r"bsd"),
-    ("isc", "isc", r"isc licen[cs]e", r"isc"),
-    ("gpl-1.0", "gpl", r"gpl ?v?1(?: 0)?", r"gpl 1 0(?: only| or later)?"),
-    ("gpl-2.0", "gpl", r"gpl(?: version)? ?v?2(?: 0)?", r"gpl 2 0(?: only| or later)?"),
-    ("gpl-3.0", "gpl", r"gpl(?: version)? ?v?3(?: 0)?", r"gpl 3 0(?: only| or later)?"),
-    ("gpl-1.0", "gnu", r"gnu general public licen[cs]e(?: as published by the free software foundation)?(?: either)?(?: version)? ?v?1(?: 0)?", r"gnu gpl 1"),
-    ("gpl-2.0", "gnu", r"gnu general public licen[cs]e(?: as published by the free software foundation)?(?: either)?(?: version)? ?v?2(?: 0)?", r"gnu gpl 2"),
-    ("gpl-3.0", "gnu", r"gnu general public licen[cs]e(?: as published by the free software foundation)?(?: either)?(?: version)? ?v?3(?: 0)?", r"gnu gpl 3"),
-    ("gpl", "gnu", r"gnu (?:general public licen[cs]e|gpl)", r"gpl"),
-    ("lgpl-2.0", "gnu", r"gnu (?:library|lesser) general public licen[cs]e(?: version)? ?v?2(?: 0)?", r"lgpl 2 0(?: only| or later)?"),
-    ("lgpl-2.1", "gnu", r"gnu lesser general public licen[cs]e(?: version)? ?v?2 1", r"lgpl 2 1(?: only| or later)?"),
-    ("lgpl-3.0", "gnu", r"gnu lesser general public licen[cs]e(?: version)? ?v?3(?: 0)?", r"lgpl 3 0(?: only| or later)?"),
-    ("lgpl", "gnu", r"gnu (?:library|lesser) general public licen[cs]e", r"lgpl"),
-    ("agpl-3.0", "gnu", r"gnu affero general public licen[cs]e(?: version)?(?: ?v?3(?: 0)?)?", r"agpl 3 0(?: only| or later)?"),
-    ("gfdl-1.3", "gnu", r"gnu free documentation licen[cs]e(?: version)?(?: 1 3)?", r"gfdl 1 3(?: only| or later)?"),
-    ("gfdl-1.2", "gnu", r"gnu free documentation licen[cs]e(?: version)? 1 2", r"gfdl 1 2(?: only| or later)?"),
-    ("mpl-1.1", "mozilla", r"mozilla public licen[cs]e(?: version)? ?v?1 1", r"mpl 1 1"),
-    ("mpl-2.0", "mozilla", r"mozilla public licen[cs]e(?: version)?(?: ?v?2(?: 0)?)?", r"mpl 2 0"),
-    ("epl-1.0", "eclipse", r"eclipse public licen[cs]e(?: version)?(?: ?v?1(?: 0)?)?", r"epl 1 0"),
-    ("epl-2.0", "eclipse", r"eclipse public licen[cs]e(?: version)? ?v?2(?: 0)?", r"epl 2 0"),
-    ("cddl-1.0", "common development", r"common development and distribution licen[cs]e(?: version)?(?: 1 0)?", r"cddl 1 0"),
-    ("cddl-1.1", "common development", r"common development and distribution licen[cs]e(?: version)? 1 1", r"cddl 1 1"),
-    ("cpl-1.0", "common public", r"common public licen[cs]e(?: version)?(?: 1 0)?", r"cpl 1 0"),
-    ("cc0-1.0", "cc0", r"cc0(?: 1 0)?(?: universal)?", r"cc0 1 0"),
-    ("cc0-1.0", "creative commons", r"creative commons (?:zero|cc0|public domain dedication)(?: 1 0)?(?: universal)?", r"publicdomain zero 1 0"),
-    ("cc-by", "cc by", r"cc by(?: [1-4] [05])?", r"cc by [1-4] [05]"),
-    ("cc-by-sa", "cc by", r"cc by sa(?: [1-4] [05])?", r"cc by sa [1-4] [05]"),
-    ("cc-by-nd", "cc by", r"cc by nd(?: [1-4] [05])?", r"cc by nd [1-4] [05]"),
-    ("cc-by-nc", "cc by", r"cc by nc(?: [1-4] [05])?", r"cc by nc [1-4] [05]"),
-    ("cc-by-nc-sa", "cc by", r"cc by nc sa(?: [1-4] [05])?", r"cc by nc sa [1-4] [05]"),
-    ("cc-by-nc-nd", "cc by", r"cc by nc nd(?: [1-4] [05])?", r"cc by nc nd [1-4] [05]"),
-    ("cc-by", "creative commons", r"creative commons attribution(?: [1-4] [05])?", r"by [1-4] [05]"),
-    ("cc-by-sa", "creative commons", r"creative commons attribution share ?alike(?: [1-4] [05])?", r"by sa [1-4] [05]"),
-    ("cc-by-nd", "creative commons", r"creative commons attribution no ?deriv(?:ative|ativework)s?(?: [1-4] [05])?", r"by nd [1-4] [05]"),
-    ("cc-by-nc", "creative commons", r"creative commons attribution non ?commercial(?: [1-4] [05])?", r"by nc [1-4] [05]"),
-    ("cc-by-nc-sa", "creative commons", r"creative commons attribution non ?commercial share ?alike(?: [1-4] [05])?", r"by nc sa [1-4] [05]"),
-    ("cc-by-nc-nd", "creative commons", r"creative commons attribution non ?commercial no ?deriv(?:ative|ativework)s?(?: [1-4] [05])?", r"by nc nd [1-4] [05]"),
-    ("unlicense", "unlicense", r"(?:the )?unlicense", r"unlicense"),
-    ("wtfpl", "wtfpl", r"wtfpl(?: version 2)?", r"wtfpl"),
-    ("zlib", "zlib", r"zlib(?: libpng)? licen[cs]e", r"zlib"),
-    ("artistic-1.0", "artistic", r"artistic licen[cs]e(?: version)?(?: 1 0)?", r"artistic 1 0"),
-    ("artistic-2.0", "artistic", r"artistic licen[cs]e(?: version)? 2(?: 0)?", r"artistic 2 0"),
-    ("bsl-1.0", "boost", r"boost software licen[cs]e(?: version)?(?: 1 0)?", r"bsl 1 0"),
-    ("busl-1.1", "business source", r"business source licen[cs]e(?: version)?(?: 1 1)?", r"busl 1 1"),
-    ("eupl-1.2", "european union", r"european union public licen[cs]e(?: version)?(?: ?v?1 2)?", r"eupl 1 2"),
-    ("eupl-1.1", "european union", r"european union public licen[cs]e(?: version)? ?v?1 1", r"eupl 1 1"),
-    ("ofl-1.1", "open font", r"(?:sil )?open font licen[cs]e(?: version)?(?: 1 1)?", r"ofl 1 1"),
-    ("postgresql", "postgresql", r"postgresql licen[cs]e", r"postgresql"),
-    ("psf-2.0", "python", r"python software foundation licen[cs]e(?: version)?(?: 2)?", r"psf 2 0"),
-    ("ruby", "ruby", r"ruby licen[cs]e", r"ruby"),
-    ("vim", "vim", r"vim licen[cs]e", r"vim"),
-    ("php-3.01", "php", r"php licen[cs]e(?: version)?(?: 3 01)?", r"php 3 01"),
-    ("openssl", "openssl", r"openssl licen[cs]e", r"openssl"),
-    ("odbl-1.0", "open data", r"open data(?:base| commons open database) licen[cs]e(?: ?v?1 0)?", r"odbl 1 0"),
-    ("odc-by-1.0", "open data", r"open data commons attribution licen[cs]e(?: ?v?1 0)?", r"odc by 1 0"),
-    ("pddl-1.0", "public domain dedication", r"public domain dedication and licen[cs]e(?: ?v?1 0)?", r"pddl 1 0"),
-    ("ms-pl", "microsoft", r"microsoft public licen[cs]e", r"ms pl"),
-    ("ms-rl", "microsoft", r"microsoft reciprocal licen[cs]e", r"ms rl"),
-    ("ncsa", "ncsa", r"(?:university of illinois )?ncsa(?: open source)? licen[cs]e", r"ncsa"),
-    ("afl-3.0", "academic free", r"academic free licen[cs]e(?: version)?(?: ?v?3(?: 0)?)?", r"afl 3 0"),
-    ("osl-3.0", "open software", r"open software licen[cs]e(?: version)?(?: ?v?3(?: 0)?)?", r"osl 3 0"),
-    ("sspl-1.0", "server side", r"server side public licen[cs]e(?: version)?(?: ?v?1)?", r"sspl 1 0"),
-    ("elastic-2.0", "elastic", r"elastic licen[cs]e(?: version)?(?: 2 0)?", r"elastic 2 0"),
-    ("qpl-1.0", "q public", r"q public licen[cs]e(?: version)?(?: 1 0)?", r"qpl 1 0"),
-    ("upl-1.0", "universal permissive", r"universal permissive licen[cs]e(?: version)?(?: 1 0)?", r"upl 1 0"),
-    ("hippocratic", "hippocratic", r"hippocratic licen[cs]e(?: version)?(?: \d \d)?", r"hippocratic 2 1"),
-    ("cecill-2.1", "cecill", r"cecill(?: free software)? licen[cs]e(?: agreement)?(?: version)?(?: 2 1)?", r"cecill 2 1"),
-    ("json", "json", r"json licen[cs]e", r"json"),
-    ("beerware", "beerware", r"beerware licen[cs]e", r"beerware"),
-]
-#: Phrases that say something about rights without naming a licence: label, keyword, pattern, priority, confidence.
-PHRASES = [
-    ("mit", "permission is hereby granted", r"permission is hereby granted free of charge to any person obtaining a copy", 85, 0.95),
-    ("isc", "permission to use copy", r"permission to use copy modify and or distribute this software for any purpose", 85, 0.9),
-    ("bsd", "redistribution and use", r"redistribution and use in source and binary forms", 85, 0.9),
-    ("gpl", "free software you can", r"free software you can redistribute it and or modify it under the terms of the gnu general public licen[cs]e", 85, 0.9),
-    ("zlib", "provided as is without", r"provided as is without any express or implied warranty", 40, 0.5),
-    ("all-rights-reserved", "all rights reserved", r"(?:copyright (?:c )?(?:\d{4} )?(?:\S+ ){0,4})?all rights reserved", 40, 0.7),
-    ("proprietary", "proprietary", r"(?:proprietary and confidential|confidential and proprietary|proprietary licen[cs]e)", 40, 0.7),
-    ("public-domain", "public domain", r"(?:released into|dedicated to|placed in|in) the public domain", 50, 0.7),
-    ("copyright", "copyright", r"copyright (?:c )?\d{4}", 20, 0.4),
-    ("no-commercial-use", "commercial use", r"(?:not for|no) commercial use", 30, 0.5),
-]
-#: How a name is put: kind, pattern around it, priority, confidence. The identifier stands in tags and addresses.
-GRANT = r"(?:licen[cs]ed|released|distributed|available|published|provided|made available|licen[cs]e[sd]? is granted|covered) under (?:the |a |an )?(?:terms of (?:the )?|conditions of (?:the )?)?(?:{name})"
-FORMS = [("grant", GRANT, 80, 0.95), ("name", "(?:{name})(?: licen[cs]e)?", 60, 0.8)]
-TAGS = [("tag", "spdx license identifier (?:{id})", 90, 1.0), ("address", "(?:opensource org licenses?|spdx org licenses|licenses|choosealicense com licenses|creativecommons org) (?:{id})(?: php| html| txt)?", 70, 0.9)]
-#: Words of which a document needs one to be looked at further.
-GATE = r"(?i) (?:[a-z]*licen[cs]\S*|spdx|copyright\S*|(?:cc|by) (?:by|nc)|cc0|wtfpl|[al]?gpl\S*|gnu|mozilla|creativecommons|all rights|(?:the|is) public domain|creative commons|commercial use|bsd|proprietary|hereby granted|permission to|redistribution and|free software|express or) "
+from spreadloom.llm.signatures import BASE, GATE, RULES
+
+RULE_TYPE = "struct<id int, kw string, rx string, label string, priority int, confidence double, base boolean>"
+#: Fields in the order that the sweep takes places in: start, end from the right, priority from above, rule.
+PLACE = "struct<s:bigint,minus_e:bigint,minus_priority:int,id:int,label:string,confidence:double,base:boolean>"
+#: Elements that a sweep takes in before it puts what came out aside.
+SWEEP = 64
 
 
 def rules() -> list[dict]:
-    """All rules in order: base phrases first, then tags, texts, grants, addresses and names."""
-    out = [{"kw": p, "rx": p, "label": label, "priority": 100, "confidence": 1.0, "base": True} for p, label in BASE.items()]
-    for label, keyword, name, ident in NAMES:
-        out += [{"kw": keyword, "rx": form.format(name=name), "label": label, "priority": pr, "confidence": c, "base": False} for _, form, pr, c in FORMS]
-        out += [{"kw": "spdx" if kind == "tag" else "creativecommons" if ident.startswith("publicdomain") else "licenses", "rx": form.format(id=ident), "label": label, "priority": pr, "confidence": c, "base": False} for kind, form, pr, c in TAGS]
-    out += [{"kw": keyword, "rx": rx, "label": label, "priority": pr, "confidence": c, "base": False} for label, keyword, rx, pr, c in PHRASES]
-    for k, r in enumerate(sorted(out, key=lambda r: -r["priority"])):
-        r["id"] = k
-        r["rx"] = f" (?:{r['rx']})(?= )"
-    return sorted(out, key=lambda r: r["id"])
+    """All rules in order of priority: the base phrases first."""
+    made = [{"kw": p, "rx": p, "label": label, "priority": 100, "confidence": 1.0, "base": True} for p, label in BASE.items()]
+    made += [{"kw": kw, "rx": rx, "label": label, "priority": priority, "confidence": confidence, "base": False} for label, kw, rx, priority, confidence in RULES]
+    made = sorted(made, key=lambda r: -r["priority"])
+    return [r | {"id": k, "rx": f" (?:{r['rx']})(?= )"} for k, r in enumerate(made)]
 
 
-RULE_TYPE = "struct<id int, kw string, rx string, label string, priority int, confidence double, base boolean>"
-PLACE = "struct<s:bigint,e:bigint,id:int,label:string,priority:int,confidence:double,base:boolean>"
+def swept(items: Column, state: Column, kind: str, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+    """What ``step(state, item)`` gives for each item in order, as it hands its state on: (new state, array of results).
+
+    Appending to an array copies it, so results are gathered in runs of SWEEP items and the runs put together at the end.
+    """
+    none = F.array().cast(f"array<{kind}>")
+    n = F.ceil(F.size(items) / F.lit(SWEEP)).cast("int")
+    run = lambda k: F.slice(items, k * SWEEP + 1, F.lit(SWEEP))
+
+    def one(acc: Column, x: Column) -> Column:
+        new, out = step(acc["state"], x)
+        return F.struct(new.alias("state"), F.concat(acc["out"], out).alias("out"))
+
+    def many(acc: Column, k: Column) -> Column:
+        part = F.aggregate(run(k), F.struct(acc["state"].alias("state"), none.alias("out")), one)
+        return F.transform(F.array(part), lambda p: F.struct(p["state"].alias("state"), F.concat(acc["outs"], F.array(p["out"])).alias("outs")))[0]
+
+    runs = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    return F.flatten(F.aggregate(runs, F.struct(state.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("outs")), many)["outs"])
 
 
 def places(norm: Column) -> Column:
@@ -149,19 +66,34 @@ def places(norm: Column) -> Column:
 
     def of(r: Column) -> Column:
         parts = F.arrays_zip(F.call_function("split", norm, r["rx"]).alias("p"), F.regexp_extract_all(norm, r["rx"], F.lit(0)).alias("m"))
-        start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{PLACE}>").alias("out"))
+        parts = F.filter(parts, lambda z: z["m"].isNotNull())
 
-        def add(acc: Column, z: Column) -> Column:
-            s = acc["at"] + spaces(z["p"])
+        def step(at: Column, z: Column) -> tuple[Column, Column]:
+            s = at + spaces(z["p"])
             e = s + spaces(z["m"])
-            place = F.struct(s.alias("s"), e.alias("e"), r["id"].alias("id"), r["label"].alias("label"), r["priority"].alias("priority"), r["confidence"].alias("confidence"), r["base"].alias("base"))
-            return F.when(z["m"].isNull(), acc).otherwise(F.struct(e.alias("at"), F.concat(acc["out"], F.array(place)).alias("out")))
+            place = F.struct(s.alias("s"), (-e).alias("minus_e"), (-r["priority"]).alias("minus_priority"), r["id"].alias("id"), r["label"].alias("label"), r["confidence"].alias("confidence"), r["base"].alias("base"))
+            return e, F.array(place)
 
-        return F.aggregate(parts, start, add)["out"]
+        return F.transform(F.array(parts), lambda ps: swept(ps, F.lit(0).cast("long"), PLACE, step))[0]
 
     return F.flatten(F.transform(found, of))
 
 
+def standing(all_places: Column) -> Column:
+    """The places that lie in no other one of the same or a higher priority; base places always stand."""
+    levels = sorted({r["priority"] for r in rules()}, reverse=True)
+    ends = F.array(*[F.lit(-1).cast("long") for _ in levels])  # the furthest end so far, of each priority and those above
+    level = F.array(*[F.lit(-p) for p in levels])
+
+    def step(far: Column, d: Column) -> tuple[Column, Column]:
+        e, k = -d["minus_e"], F.array_position(level, d["minus_priority"])
+        new = F.transform(far, lambda x, i: F.when(i + 1 >= k, F.greatest(x, e)).otherwise(x))
+        falls = ~d["base"] & (F.get(far, (k - 1).cast("int")) >= e)
+        return new, F.when(falls, F.array().cast(f"array<{PLACE}>")).otherwise(F.array(d))
+
+    return F.transform(F.array(F.array_sort(all_places)), lambda ps: swept(ps, ends, PLACE, step))[0]
+
+
 def scan(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``carry``, n_words, n_base, first_word, last_word, base_labels, labels, score, detections.
 
@@ -177,10 +109,10 @@ def scan(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     n_words = F.when(F.length("__plain") <= 2, 0).otherwise(F.length("__plain") - F.length(F.replace("__plain", F.lit(" "), F.lit(""))) - 1)
     looked = rows.select(*carry, n_words.cast("long").alias("n_words"), F.when(F.col("__plain").rlike(GATE), places(F.translate("__plain", upper, lower))).otherwise(none).alias("__all"))
     base = F.filter("__all", lambda d: d["base"])
-    beats = lambda e, d: (e["id"] != d["id"]) & (e["s"] <= d["s"]) & (e["e"] >= d["e"]) & ((e["priority"] > d["priority"]) | (e["priority"] == d["priority"]) & ((e["e"] - e["s"] > d["e"] - d["s"]) | (e["id"] < d["id"])))
-    kept = F.filter("__all", lambda d: d["base"] | ~F.exists("__all", lambda e: beats(e, d)))
     names = lambda a: F.array_join(F.array_sort(F.array_distinct(F.transform(a, lambda d: d["label"]))), ",")
-    out = looked.withColumn("detections", kept).withColumn("__base", base)
+    out = looked.withColumn("__standing", standing(F.col("__all"))).withColumn("__base", base)
+    told = F.transform("__standing", lambda d: F.struct(d["s"].alias("s"), (-d["minus_e"]).alias("e"), d["id"].alias("id"), d["label"].alias("label"), (-d["minus_priority"]).alias("priority"), d["confidence"].alias("confidence"), d["base"].alias("base")))
+    out = out.withColumn("detections", told)
     return out.select(
         *carry, "n_words", F.size("__base").cast("long").alias("n_base"), F.array_min(F.transform("__base", lambda d: d["s"])).alias("first_word"), F.array_max(F.transform("__base", lambda d: d["s"])).alias("last_word"),
         names(F.col("__base")).alias("base_labels"), names(F.col("detections")).alias("labels"), F.coalesce(F.array_max(F.transform("detections", lambda d: d["confidence"])), F.lit(0.0)).alias("score"), "detections",
