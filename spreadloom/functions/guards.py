@@ -6,7 +6,7 @@ compares above every number, so one ``abs(v) <= limit`` turns away null, NaN and
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The limits that results depend on.
@@ -90,3 +90,28 @@ def annualised(total_return, days) -> Column:
     base, days = 1.0 + _c(total_return), _c(days)
     grown = safe_exp(safe_log(base) * F.try_divide(F.lit(365.0), days)) - 1.0
     return F.when(days < 1, F.lit(0.0)).when(base <= 0, F.lit(-1.0)).otherwise(bounded(grown))
+
+
+# A guard names its argument more than once, and what is nested in it is worked out as often. Over large expressions the
+# following put each step into a column of its own, which Spark evaluates once.
+def with_ratio(df: DataFrame, name: str, numerator, denominator, fallback=0.0, limit: float = MAX_RATIO) -> DataFrame:
+    """``df`` with :func:`ratio` as column ``name``."""
+    df = df.withColumns({"__v": _c(numerator), "__w": _c(denominator)})
+    df = df.withColumns({"__v": bounded(F.col("__v"), fallback, limit), "__w": bounded(F.col("__w"), 0.0, limit)})
+    df = df.withColumn("__q", F.when(F.abs("__w") >= MIN_DENOMINATOR, F.try_divide(F.col("__v"), F.col("__w"))))
+    return df.withColumn(name, bounded(F.col("__q"), fallback, limit)).drop("__v", "__w", "__q")
+
+
+def with_annualised(df: DataFrame, name: str, total_return, days) -> DataFrame:
+    """``df`` with :func:`annualised` as column ``name``."""
+    df = df.withColumns({"__b": 1.0 + _c(total_return), "__d": _c(days)})
+    df = df.withColumn("__g", safe_log(F.col("__b")) * F.try_divide(F.lit(365.0), F.col("__d")))
+    df = df.withColumn("__g", safe_exp(F.col("__g")) - 1.0)
+    return df.withColumn(name, F.when(F.col("__d") < 1, F.lit(0.0)).when(F.col("__b") <= 0, F.lit(-1.0)).otherwise(bounded(F.col("__g")))).drop("__b", "__d", "__g")
+
+
+def with_log_return(df: DataFrame, name: str, price, before) -> DataFrame:
+    """``df`` with :func:`log_return` as column ``name``."""
+    df = df.withColumns({"__p": _c(price), "__o": _c(before)})
+    df = df.withColumn("__r", F.when(finite(F.col("__p")) & finite(F.col("__o")) & (F.col("__p") > MIN_PRICE) & (F.col("__o") > MIN_PRICE), F.try_divide(F.col("__p"), F.col("__o"))))
+    return df.withColumn(name, safe_log(F.col("__r"))).drop("__p", "__o", "__r")

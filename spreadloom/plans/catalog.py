@@ -133,13 +133,17 @@ def bars_quality_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     round(CASE WHEN l_quantity - 2 < 1 THEN 0.0 ELSE {sql_n('(exp(ln(0.95 + l_discount) * 365.0 / (l_quantity - 2)) - 1)')} END, 5) + 0.0 AS y FROM lineitem""")
 def guard_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, q, d, t = (F.col(f"l_{c}") for c in ("extendedprice", "quantity", "discount", "tax"))
-    real = lambda c: F.when(~F.isnan(c), c)
+    keys, c = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), F.col
     out = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", G.bounded(x).alias("n"), G.ratio(x, q - 25, 7.0).alias("q"), G.clamp(t * 1000 - 40, 0.0, 20.0).alias("c"), real(G.safe_log(d - 0.02)).alias("l"),
-        G.safe_sqrt(F.when(d >= 0.055, d - 0.05).otherwise(-1.0)).alias("s"), G.safe_exp(t).alias("e"), real(G.log_return(d, t)).alias("r"), G.clamp_pnl(x - 30000, q * 100).alias("p"), G.next_capital(x - 40000, q * 100).alias("k"),
-        F.round(G.annualised(d - 0.05, q - 2), 5).alias("y"),
+        *keys, x.alias("n"), (x - 30000).alias("p"), (x - 40000).alias("k"), (q * 100).alias("__size"), (q - 25).alias("__q25"), (q - 2).alias("__days"), d.alias("__d"), t.alias("__t"),
+        (t * 1000 - 40).alias("c"), (d - 0.02).alias("l"), F.when(d >= 0.055, d - 0.05).otherwise(-1.0).alias("s"), t.alias("e"),
     )
-    return rounded(out)
+    out = G.with_annualised(G.with_log_return(G.with_ratio(out, "q", c("n"), c("__q25"), 7.0), "r", c("__d"), c("__t")), "y", c("__d") - 0.05, c("__days"))
+    made = {"n": G.bounded(c("n")), "c": G.clamp(c("c"), 0.0, 20.0), "l": G.safe_log(c("l")), "s": G.safe_sqrt(c("s")), "e": G.safe_exp(c("e")), "p": G.clamp_pnl(c("p"), c("__size")), "k": G.next_capital(c("k"), c("__size"))}
+    out = out.withColumns(made)
+    real = lambda n: F.when(~F.isnan(n), F.col(n))
+    out = out.withColumns({"l": real("l"), "r": real("r"), "y": F.round("y", 5)})
+    return rounded(out.select(*keys, "n", "q", "c", "l", "s", "e", "r", "p", "k", "y"))
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 3 THEN 'unsupported symbol' WHEN o_orderkey % 7 = 0 THEN 'times must have a zone' WHEN d <= 0 THEN 'end must be after start' WHEN d < 30 THEN 'range too short' WHEN d > 730 THEN 'range too long' ELSE '' END AS error
