@@ -185,3 +185,66 @@ def test_trade_ratios(spark):
     a = np.array(r)
     assert math.isclose(m.sharpe, a.mean() / a.std(ddof=1) * math.sqrt(10)) and math.isclose(m.sortino, a.mean() / math.sqrt((a[a < 0] ** 2).mean()) * math.sqrt(10))
     assert m.wins == 7 and m.avg_holding_bars == 3 and math.isclose(m.profit_factor, a[a > 0].sum() / -a[a < 0].sum())
+
+
+def plain_regimes(x: np.ndarray, seed: int) -> tuple:
+    """Expectation-maximisation in logs, written out: (mu, sigma, trans, log-likelihoods)."""
+    total = lambda v, axis: v.max(axis) + np.log(np.exp(v - v.max(axis, keepdims=True)).sum(axis))
+    rng, t = np.random.default_rng(seed), len(x)
+    picks = [int(rng.integers(0, t))]
+    while len(picks) < 3:
+        d = np.min([((x - x[j]) ** 2).sum(1) for j in picks], axis=0)
+        picks.append(int(rng.choice(t, p=d / d.sum())))
+    mu, sigma = x[picks].copy(), np.tile(x.std(0) + 1e-6, (3, 1))
+    pi, trans, likes = np.full(3, 1 / 3), np.full((3, 3), 1 / 3), []
+    for turn in range(100):
+        density = -0.5 * (np.log(2 * np.pi * sigma**2).sum(1) + (((x[:, None] - mu) / sigma) ** 2).sum(2))
+        density[np.abs(density) > 999] = -1e300
+        ahead, behind = np.empty((t, 3)), np.zeros((t, 3))
+        ahead[0] = np.log(pi) + density[0]
+        for k in range(1, t):
+            ahead[k] = total(ahead[k - 1][:, None] + np.log(trans), 0) + density[k]
+        for k in range(t - 2, -1, -1):
+            behind[k] = total(np.log(trans) + density[k + 1] + behind[k + 1], 1)
+        likes.append(float(total(ahead[-1], 0)))
+        if turn and abs(likes[-1] - likes[-2]) < 1e-4:
+            break
+        gamma = ahead + behind
+        gamma = np.maximum(np.exp(gamma - total(gamma, 1)[:, None]), 1e-8)
+        gamma /= gamma.sum(1, keepdims=True)
+        xi = ahead[:-1, :, None] + np.log(trans) + (density + behind)[1:, None, :]
+        xi = np.exp(xi - total(xi.reshape(t - 1, 9), 1)[:, None, None]).sum(0)
+        pi = gamma[0] / gamma[0].sum()
+        trans = np.maximum(xi / xi.sum(1, keepdims=True), 1e-8)
+        trans /= trans.sum(1, keepdims=True)
+        mu = gamma.T @ x / gamma.sum(0)[:, None]
+        sigma = np.sqrt(np.maximum(np.einsum("tk,tkd->kd", gamma, (x[:, None] - mu) ** 2) / gamma.sum(0)[:, None], 1e-6))
+    return mu, sigma, trans, likes
+
+
+def test_training_equals_a_plain_one_in_logs():
+    for seed in (1, 42):
+        x = clusters(seed)[::1] + np.random.default_rng(seed).normal(0, 0.05, (900, 4))
+        m, (mu, sigma, trans, likes) = K.train_regimes(x, seed), plain_regimes(x, seed)
+        assert len(m["log_likes"]) == len(likes) and np.allclose(m["log_likes"], likes, rtol=1e-8)
+        assert np.allclose(m["mu"], mu, rtol=1e-7, atol=1e-8) and np.allclose(m["sigma"], sigma, rtol=1e-7, atol=1e-8) and np.allclose(m["trans"], trans, rtol=1e-6, atol=1e-8)
+
+
+def test_unit_root_equals_plain_regressions():
+    rng = np.random.default_rng(6)
+    for x in (reverting(900, 0.2), np.cumsum(rng.normal(0, 1, 700)), np.cumsum(np.convolve(rng.normal(0, 1, 803), [0.5, 0.3, 0.2, 0.4], "valid")) * 0.1 + reverting(800, 0.3)):
+        d, most = np.diff(x), math.ceil(12 * (len(x) / 100) ** 0.25)
+
+        def regression(lags: int, skip: int, x=x, d=d):
+            rows = range(skip, len(d))
+            z = np.array([[x[i], 1.0, *(d[i - k] for k in range(1, lags + 1))] for i in rows])
+            y = d[skip:]
+            coef = np.linalg.lstsq(z, y, rcond=None)[0]
+            rest = y - z @ coef
+            error = np.sqrt(rest @ rest / (len(y) - z.shape[1]) * np.linalg.inv(z.T @ z)[0, 0])
+            return coef[0] / error, len(y) * math.log(rest @ rest / len(y)) + 2 * z.shape[1], len(y)
+
+        lags = min(range(most + 1), key=lambda k: regression(k, most)[1])
+        stat, _, n = regression(lags, lags)
+        got = K.unit_root_test(x)
+        assert (got["n_lags"], got["n_obs"]) == (lags, n) and math.isclose(got["statistic"], stat, rel_tol=1e-8)
