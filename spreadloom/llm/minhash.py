@@ -5,7 +5,8 @@ shingle). A shingle's weight is its count in the text times a power of its inver
 for every shingle over all documents.
 
 * Documents go to chunks. A chunk asks, once for each of its different shingles, in how many documents it occurs; the
-  askings meet in blocks of shingle hashes, and each block's answers go back to the chunks.
+  askings meet in blocks of shingle hashes, and each block's answers go back to the chunks. Inside a block 40 bits of a
+  hash tell shingles apart, so one in a million is taken for another one too, however large the corpus.
 * A chunk then draws the signatures of its documents. Band keys make buckets; buckets of equal members are one bucket.
 * The most central member of a bucket is compared with all others, which is a row a member. Members that are not linked
   with it are open; an open member is then compared with all members of its bucket, in blocks. So two members of a
@@ -141,6 +142,28 @@ def _binary(data: np.ndarray, ends: np.ndarray, size: int, given: np.ndarray) ->
     return pa.Array.from_buffers(pa.binary(), len(ends), [pa.py_buffer(np.packbits(given, bitorder="little").tobytes()), pa.py_buffer(offs.tobytes()), pa.py_buffer(data.tobytes())])
 
 
+def _packed(n: np.ndarray) -> bytes:
+    """Numbers of which most are small: a byte each, and four more for those over 254."""
+    large = n > 254
+    return np.where(large, 255, n).astype(np.uint8).tobytes() + n[large].astype("<u4").tobytes()
+
+
+def _unpacked(data: bytes, n: int) -> np.ndarray:
+    out = np.frombuffer(data, np.uint8, n).astype(np.int64)
+    out[out == 255] = np.frombuffer(data, "<u4", (len(data) - n) // 4, n)
+    return out
+
+
+def _steps(values: np.ndarray) -> bytes:
+    """Sorted 40-bit numbers by the steps between them, in four bytes where all steps are that short."""
+    d = np.diff(values, prepend=np.uint64(0))
+    return (d.astype("<u4") if not len(d) or d.max() < 1 << 32 else d.astype("<u8")).tobytes()
+
+
+def _from_steps(data: bytes, n: int) -> np.ndarray:
+    return np.cumsum(np.frombuffer(data, "<u4" if len(data) == 4 * n else "<u8"), dtype=np.uint64)
+
+
 def signed(rows: DataFrame, s: Settings) -> DataFrame:
     """did, c1, c2 (what the words of a text hash to; null without words), k0.. (band keys), size, hashes and weights of
     its shingles (once for equal rows; weights are left empty where all are 1), for (did, text) rows.
@@ -158,24 +181,25 @@ def signed(rows: DataFrame, s: Settings) -> DataFrame:
         h, n = np.unique(h, return_counts=True)
         cuts = np.searchsorted(h, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.zeros(1, np.int64)
         cuts = np.append(cuts, len(h))
-        some, n = np.flatnonzero(np.diff(cuts)), n.astype(np.int32)
-        part = lambda x: pa.array([x[cuts[b] : cuts[b + 1]].tobytes() for b in some], pa.binary())
-        return pa.table({"block": pa.array(some, pa.int32()), "chunk": pa.array(np.full(len(some), chunk), pa.int32()), "h": part(h), "n": part(n)})
+        some, rest = np.flatnonzero(np.diff(cuts)), (h << np.uint64(bits)) >> np.uint64(24)
+        part = lambda f, x: pa.array([f(x[cuts[b] : cuts[b + 1]]) for b in some], pa.binary())
+        return pa.table({"block": pa.array(some, pa.int32()), "chunk": pa.array(np.full(len(some), chunk), pa.int32()), "size": pa.array(np.diff(cuts)[some], pa.int32()), "h": part(_steps, rest), "n": part(_packed, n)})
 
     def answer(table: pa.Table) -> pa.Table:
-        h = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in table["h"]])
-        n = np.concatenate([np.frombuffer(x.as_buffer(), np.int32) for x in table["n"]])
+        size = table["size"].to_pylist()
+        h, n = (np.concatenate([f(x.as_py(), k) for x, k in zip(table[c], size, strict=True)]) for c, f in (("h", _from_steps), ("n", _unpacked)))
         order = np.argsort(h)
         first = _firsts(h[order])
-        df = np.empty(len(h), np.int32)
+        df = np.empty(len(h), np.int64)
         df[order] = np.repeat(np.add.reduceat(n[order], first), np.diff(np.append(first, len(h))))
-        ends = np.cumsum([len(x.as_buffer()) // 8 for x in table["h"]])
-        return pa.table({"chunk": table["chunk"], "block": table["block"], "df": _binary(df, ends, 4, np.ones(len(ends), bool))})
+        cuts = np.cumsum([0, *size])
+        return pa.table({"chunk": table["chunk"], "block": table["block"], "size": table["size"], "df": pa.array([_packed(df[a:z]) for a, z in zip(cuts, cuts[1:], strict=False)], pa.binary())})
 
     def sign(texts: pa.Table, answers: pa.Table) -> pa.Table:
         row, h, count = shingles(texts["text"].combine_chunks(), s.width)
         by_block = np.argsort(answers["block"].to_numpy())
-        df = np.frombuffer(b"".join(answers["df"][int(k)].as_py() for k in by_block), np.int32)
+        told = [_unpacked(answers["df"][k].as_py(), answers["size"][k].as_py()) for k in by_block.tolist()]
+        df = np.concatenate(told) if told else np.empty(0, np.int64)
         values, of = np.unique(h, return_inverse=True)
         if len(values) != len(df):
             raise ValueError("a chunk's answers do not fit what it asked")
@@ -201,17 +225,17 @@ def signed(rows: DataFrame, s: Settings) -> DataFrame:
         size = np.zeros(n, np.int64)
         size[some] = np.diff(np.append(starts, len(h)))
         sent = once[row]
-        held = np.ascontiguousarray(h[sent].view(np.uint8).reshape(-1, 8)[:, 2:])
+        held = np.ascontiguousarray(h[sent].view(np.uint8).reshape(-1, 8)[:, 3:])
         plain = np.ones(n, bool)
         plain[row[weight != 1]] = False
         ends = lambda flags: np.cumsum(np.where(flags, size, 0))
         return pa.table({
             "did": texts["did"], "c1": spread(c[0]), "c2": spread(c[1]), **{f"k{j}": spread(made[:, j]) for j in range(s.bands)}, "size": spread(size[some]),
-            "hashes": _binary(held, ends(once), 6, once), "weights": _binary(weight[sent & ~plain[row]], ends(once & ~plain), 4, once),
+            "hashes": _binary(held, ends(once), 5, once), "weights": _binary(weight[sent & ~plain[row]], ends(once & ~plain), 4, once),
         })
 
-    asked = texts.groupBy("chunk").applyInArrow(ask, "block int, chunk int, h binary, n binary")
-    answers = asked.groupBy("block").applyInArrow(answer, "chunk int, block int, df binary")
+    asked = texts.groupBy("chunk").applyInArrow(ask, "block int, chunk int, size int, h binary, n binary")
+    answers = asked.groupBy("block").applyInArrow(answer, "chunk int, block int, size int, df binary")
     schema = "did long, c1 long, c2 long, " + ", ".join(f"k{j} long" for j in range(s.bands)) + ", size long, hashes binary, weights binary"
     return texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(sign, schema)
 
@@ -219,9 +243,9 @@ def signed(rows: DataFrame, s: Settings) -> DataFrame:
 # ---- candidates and verification ------------------------------------------------------------------------------------
 def _held(hashes: pa.ChunkedArray | pa.Array, weights: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, hash, weight) of the shingle sets of some rows."""
-    size = np.array([len(x.as_buffer()) // 6 for x in hashes], np.int64)
+    size = np.array([len(x.as_buffer()) // 5 for x in hashes], np.int64)
     h = np.zeros((int(size.sum()), 8), np.uint8)
-    h[:, 2:] = np.frombuffer(b"".join(x.as_buffer() for x in hashes), np.uint8).reshape(-1, 6)
+    h[:, 3:] = np.frombuffer(b"".join(x.as_buffer() for x in hashes), np.uint8).reshape(-1, 5)
     row = np.repeat(np.arange(len(size)), size)
     w = np.ones(len(row))
     own = np.array([len(x.as_buffer()) > 0 for x in weights], bool)

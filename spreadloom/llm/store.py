@@ -2,33 +2,32 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spreadloom.sources.scratch import new_path
+
 #: A side of a join is broadcast only if a count shows at most so many (thin) rows; beyond that it is shuffled.
 BROADCAST_ROWS = 1_000_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one is set only where none is and the master is local."""
-    if folder := spark.conf.get("spark.checkpoint.dir", None):
-        return folder.rstrip("/")
-    if not (folder := getattr(spark, "_spreadloom_dir", None)):
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = spark._spreadloom_dir = tempfile.mkdtemp(prefix="spreadloom-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
+#: Has Spark delete a query's shuffle files once it has ended.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: it cuts lineage and survives lost executors."""
+    """``df`` as a Parquet table in the shared folder: it cuts lineage and survives lost executors.
+
+    Nothing reads the shuffle files of the job that wrote it again, so they go at once.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = new_path(spark, name)
+    before = spark.conf.get(CLEAN_UP)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.table_path = path
     return out

@@ -164,9 +164,9 @@ def test_every_shingle_is_counted(spark):
         w = rows[r.did][1].split()
         own = Counter(" ".join(w[i : i + 5]) for i in range(len(w) - 4))
         _, h, _ = minhash.shingles(pa.array(list(own)), 5)
-        want = dict(zip((h >> np.uint64(16)).tolist(), (c * minhash.idf(np.array([often[x]]), 300, s.power)[0] for x, c in own.items()), strict=True))
+        want = dict(zip((h >> np.uint64(24)).tolist(), (c * minhash.idf(np.array([often[x]]), 300, s.power)[0] for x, c in own.items()), strict=True))
         _, h, w = minhash._held(pa.array([r.hashes]), pa.array([r.weights]))
-        assert dict(zip((h >> np.uint64(16)).tolist(), w.tolist(), strict=True)) == pytest.approx(want)
+        assert dict(zip((h >> np.uint64(24)).tolist(), w.tolist(), strict=True)) == pytest.approx(want)
 
 
 def test_rows_that_share_a_doc_id(spark):
