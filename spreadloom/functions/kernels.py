@@ -344,6 +344,52 @@ def unit_root_test(x: np.ndarray) -> dict:
     return {"statistic": bounded(stat), "pvalue": min(1.0, max(0.0, unit_root_p(stat))), "n_lags": lags, "n_obs": len(y), "error": ""}
 
 
+# ---- autocorrelation and range --------------------------------------------------------------------------------------
+def chi2_tail(q: float, k: int) -> float:
+    """P(chi-squared with ``k`` degrees > q), as :func:`spreadloom.operators.rolling.chi2_tail` has it."""
+    x = q / 2
+    if k % 2 == 0:
+        return math.exp(-x) * sum(x**i / math.factorial(i) for i in range(k // 2))
+    if x > 100:
+        return 0.0
+    return 1 - (sum(math.exp((i + k / 2) * math.log(x) - x - math.lgamma(i + 1 + k / 2)) for i in range(400)) if x > 0 else 0.0)
+
+
+def portmanteau(x: np.ndarray, lags: tuple[int, ...]) -> dict:
+    """The statistics and p-values of the autocorrelations up to each of ``lags``."""
+    x = x[np.isfinite(x)]
+    n = len(x)
+    if n < 500:
+        return {"stats": [None] * len(lags), "pvalues": [None] * len(lags), "min_pvalue": 1.0, "error": "too short"}
+    d = x - x.mean()
+    c0 = float(d @ d)
+    terms = np.array([(float(d[k:] @ d[:-k]) / c0) ** 2 / (n - k) if c0 else math.nan for k in range(1, max(lags) + 1)])
+    stats = [n * (n + 2) * float(terms[:m].sum()) for m in lags]
+    p = [min(1.0, max(0.0, chi2_tail(q, m))) if math.isfinite(q) else None for q, m in zip(stats, lags, strict=True)]
+    return {"stats": [q if math.isfinite(q) else None for q in stats], "pvalues": p, "min_pvalue": min((v for v in p if v is not None), default=1.0), "error": ""}
+
+
+def rescaled_range(v: np.ndarray, least: int = 20, sizes: int = 20) -> dict:
+    """The exponent of the rescaled range over chunks of growing size."""
+    v = v[np.isfinite(v)]
+    n, points = len(v), []
+    if n >= 500:
+        lo, hi = math.log10(least), math.log10(n // 2)
+        for size in sorted({n // 2 if k == sizes - 1 else math.floor(10 ** (lo + k * (hi - lo) / (sizes - 1)) + 1e-9) for k in range(sizes)} - set(range(least))):
+            chunks = v[: n // size * size].reshape(-1, size)
+            walk = np.cumsum(chunks - chunks.mean(1, keepdims=True), axis=1)
+            sd = chunks.std(1, ddof=1)
+            rs = ratio((walk.max(1) - walk.min(1))[sd >= MIN_DENOMINATOR], sd[sd >= MIN_DENOMINATOR])
+            rs = rs[rs > 0]
+            if len(rs) >= 2:
+                points.append((math.log(size), math.log(rs.mean())))
+    if len(points) < 4:
+        return {"exponent": 0.5, "r_squared": 0.0, "n_windows": len(points), "error": "too few points"}
+    x, y = np.array(points).T
+    dx, dy = x - x.mean(), y - y.mean()
+    return {"exponent": bounded(float(dx @ dy / (dx @ dx)), 0.5), "r_squared": bounded(float((dx @ dy) ** 2 / ((dx @ dx) * (dy @ dy)))), "n_windows": len(points), "error": ""}
+
+
 # ---- sizing and trades ----------------------------------------------------------------------------------------------
 def win_probability(theta: float, sigma: float, a: float) -> float:
     if theta <= MIN_DENOMINATOR or sigma <= MIN_DENOMINATOR or a <= 0:

@@ -63,19 +63,26 @@ def unit_root(rows: DataFrame, keys: list[str], value: str = "x") -> DataFrame:
 
 def stationarity(rows: DataFrame, keys: list[str], value: str = "x") -> DataFrame:
     """One report a key: unit root and autocorrelation of the values, rescaled range of their differences, and the edge
-    they confirm, if any."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(*keys).orderBy("idx")
-    clean = rows.where(F.abs(value) < float("inf")).select(*keys, "idx", F.col(value).alias("x"))
-    steps = clean.withColumn("x", F.col("x") - F.lag("x").over(w)).where("x is not null")
-    adf, lb, hu = unit_root(clean, keys), rolling.ljung_box(clean, keys), rolling.hurst(steps, keys)
-    n = clean.groupBy(*keys).agg(F.count("*").alias("series_length"))
-    pick = lambda df, name: df.select(*keys, F.struct(*[c for c in df.columns if c not in keys]).alias(name))
-    out = n.join(pick(adf, "adf"), keys, "left").join(pick(hu, "hurst"), keys, "left").join(pick(lb, "ljung_box"), keys, "left")
-    edge = rolling.edge_class(F.col("adf.pvalue"), F.col("ljung_box.min_pvalue"), F.col("hurst.exponent"), F.col("hurst.error") == "")
+    they confirm, if any. The three tests of a key are one call over its values: windows are shuffled once."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf.sort_values("idx")["v"].to_numpy(float)
+        x = x[np.isfinite(x)]
+        adf, lb, hu = K.unit_root_test(x), K.portmanteau(x, rolling.LB_LAGS), K.rescaled_range(np.diff(x))
+        out = {f"a_{k}": v for k, v in adf.items()} | {f"l_{k}": v for k, v in lb.items()} | {f"h_{k}": v for k, v in hu.items()}
+        return pd.DataFrame([dict(zip(keys, key, strict=True)) | out | {"series_length": len(x)}])
+
+    own = "a_statistic double, a_pvalue double, a_n_lags int, a_n_obs int, a_error string, l_stats array<double>, l_pvalues array<double>, l_min_pvalue double, l_error string, h_exponent double, h_r_squared double, h_n_windows long, h_error string, series_length long"
+    given = rows.where(F.abs(value) < float("inf")).select(*keys, "idx", F.col(value).alias("v"))
+    out = given.groupBy(*keys).applyInPandas(run, T.StructType([*given.select(*keys).schema.fields, *T.StructType.fromDDL(own).fields]))
+    c, limit = F.col, rolling.P_LIMIT
+    told = lambda p, *names: [c(f"{p}_{n}").alias(n) for n in names]
+    adf = F.struct(*told("a", "statistic", "pvalue", "n_lags", "n_obs", "error"), ((c("a_pvalue") < limit) & (c("a_error") == "")).alias("is_stationary"))
+    lb = F.struct(F.array(*[F.lit(m) for m in rolling.LB_LAGS]).alias("lags"), *told("l", "stats", "pvalues", "min_pvalue"), (c("l_min_pvalue") < limit).alias("has_autocorr"), *told("l", "error"))
+    out = out.select(*keys, "series_length", adf.alias("adf"), F.struct(*told("h", "exponent", "r_squared", "n_windows", "error")).alias("hurst"), lb.alias("ljung_box"))
+    edge = rolling.edge_class(c("adf.pvalue"), c("ljung_box.min_pvalue"), c("hurst.exponent"), c("hurst.error") == "")
     short = F.struct(F.lit(False).alias("edge_confirmed"), F.lit("none").alias("edge_type"), F.lit("series too short").alias("reason"))
-    return out.withColumn("edge", F.when(F.col("series_length") < rolling.MIN_SERIES, short).otherwise(edge)).select(*keys, "series_length", "adf", "hurst", "ljung_box", "edge.*")
+    return out.withColumn("edge", F.when(c("series_length") < rolling.MIN_SERIES, short).otherwise(edge)).select(*keys, "series_length", "adf", "hurst", "ljung_box", "edge.*")
 
 
 def entry_thresholds(fits: DataFrame) -> DataFrame:

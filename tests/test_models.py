@@ -71,6 +71,19 @@ def test_stationarity(spark):
     assert got["short"].reason == "series too short"
 
 
+def test_reports_agree_with_the_relational_tests(spark):
+    rng = np.random.default_rng(3)
+    series = {"revert": reverting(1200, 0.3), "walk": np.cumsum(rng.normal(0, 1, 900)), "short": rng.normal(0, 1, 60), "gap": np.where(rng.random(700) < 0.05, np.nan, rng.normal(0, 1, 700))}
+    rows = frame(spark, series)
+    got = {r.pair: r for r in models.stationarity(rows, ["pair"]).collect()}
+    steps = frame(spark, {k: np.diff(x[np.isfinite(x)]) for k, x in series.items()})
+    for name, want in (("adf", models.unit_root(rows, ["pair"])), ("ljung_box", rolling.ljung_box(rows, ["pair"])), ("hurst", rolling.hurst(steps, ["pair"]))):
+        for r in want.collect():
+            for k, v in r.asDict().items():
+                if k != "pair":
+                    assert getattr(got[r.pair], name)[k] == (pytest.approx(v, rel=1e-9, abs=1e-12) if isinstance(v, float | list) and v and None not in (v if isinstance(v, list) else [v]) else v), (r.pair, name, k)
+
+
 def test_chi_squared_tail(spark):
     q = spark.createDataFrame([(9.236,), (15.987,), (28.412,), (0.0,)], "q double").coalesce(1)
     got = q.select(rolling.chi2_tail(F.col("q"), 5).alias("a"), rolling.chi2_tail(F.col("q"), 10).alias("b"), rolling.chi2_tail(F.col("q"), 20).alias("c")).collect()
