@@ -1,8 +1,11 @@
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pytest
 
 from spreadloom.llm import quality, queries
 
@@ -54,3 +57,42 @@ def test_labellers_are_weighed_by_agreement():
     patterns, where, counts = np.unique(says @ (3 ** np.arange(8)), return_inverse=True, return_counts=True)
     p = quality.fit_labellers(patterns, counts.astype(float), 60)[where]
     assert ((p > 0.5) == truth).mean() > 0.93
+
+
+def plain_votes(text: str | None) -> list[int]:
+    """What each labeller says of one text, from its definition."""
+    data = (text or "").encode()
+    words = data.split()
+    if not words:
+        return [0] * 8
+    size, n = len(data), len(words)
+    capital, small = sum(65 <= b <= 90 for b in data), sum(97 <= b <= 122 for b in data)
+    lines = [tuple(x.split()) for x in data.split(b"\n") if x.split()]
+    m = [
+        sum(b in b"*#$%&@~^=<>{}[]\\|!_+" for b in data) / size, capital / max(capital + small, 1), sum(chr(b).isascii() and chr(b).isalpha() or b >= 128 or b in b" \n" for b in data) / size,
+        len(set(words)) / n * max(1, n / 300) ** 0.3, 1 - len(set(lines)) / len(lines), sum(map(len, words)) / n, data.count(b".") / size, sum(x == y for x, y in zip(words, words[1:], strict=False)) / n,
+    ]
+    return [1 if (v >= good if good > bad else v <= good) else 0 if (v <= bad if good > bad else v >= bad) else 2 for v, (_, good, bad) in zip(m, quality.LABELLERS, strict=True)]
+
+
+def plain_posteriors(votes: list[list[int]], rounds: int) -> list[float]:
+    """Expectation-maximisation document by document."""
+    p = []
+    for v in votes:
+        q = (v.count(1) + 1) / (len(v) - v.count(2) + 2)
+        p.append(min(q, 0.4) if 0 in v else q)
+    for _ in range(rounds):
+        good, bad = sum(p), sum(1 - q for q in p)
+        says = lambda k, x, w: sum(y for v, y in zip(votes, w, strict=True) if v[k] == x)
+        table = [[((says(k, x, p) + 1) / (good + 3), (says(k, x, [1 - q for q in p]) + 1) / (bad + 3)) for x in range(3)] for k in range(8)]
+        z = [math.log((good + 1) / (bad + 1)) + sum(math.log(table[k][x][0] / table[k][x][1]) for k, x in enumerate(v)) for v in votes]
+        p = [1 / (1 + math.exp(-max(-30, min(30, x)))) for x in z]
+    return p
+
+
+def test_weak_labels_equal_a_plain_version(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()
+    votes = [plain_votes(r.text) for r in docs]
+    want = dict(zip([r.doc_id for r in docs], plain_posteriors(votes, quality.Settings().rounds), strict=True))
+    got = {r.doc_id: r.weak_label for r in queries.op8_quality(spark, data).collect()}
+    assert got == pytest.approx(want, rel=1e-6, abs=1e-12) and len({tuple(v) for v in votes}) > 5

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import hashlib
+import math
 import zlib
 
 import pytest
@@ -50,3 +52,15 @@ def test_nulls_hot_keys_clashing_columns_and_empty_tables(spark):
     assert [(r["size"], r.text_crc32) for r in got if r.doc_id is None] == [(8, 0)]
     assert [r["size"] for r in got if r.doc_id == 2] == [10]
     assert sharding.shard(spark.createDataFrame([], SCHEMA), [1.0]).count() == 0
+
+
+def test_same_shards_as_a_plain_version(spark, data):
+    weights = [1.0, 2.0, 0.5, 1.5]
+
+    def best(key: str, n: int) -> int:
+        score = lambda s: -math.log((int(hashlib.md5(f"{key}#{s}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52) / [*weights, 3.0][s]
+        return min(range(n), key=score)
+
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    for r in sharding.shard(docs, weights, grown_weight=3.0).collect():
+        assert (r.shard, r.grown_shard) == (best(str(r.doc_id), 4), best(str(r.doc_id), 5))
