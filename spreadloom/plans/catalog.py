@@ -634,9 +634,40 @@ def walk_forward_short(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---- models without SQL ---------------------------------------------------------------------------------------------
-@query()
+def sql_cdf(z: str) -> str:
+    """The normal distribution function at a column, by the series of the error function."""
+    u = f"(least(abs({z}), 8) / sqrt(2.0::DOUBLE))"
+    return f"(0.5 + 0.5 * sign({z}) * exp(-{u} * {u}) * list_sum(list_transform(range(90), lambda i: pow({u}, 2 * i + 1) / gamma(i + 1.5::DOUBLE))))"
+
+
+def sql_projected(name: str, source: str, last: str) -> str:
+    """A recursive CTE over vectors (pair, t, j, v): step by step, column k = 0, 1, .. is projected out of those after it."""
+    return f"""{name} AS (SELECT pair, 0 AS k, t, j, v FROM {source} UNION ALL
+        SELECT pair, k + 1, t, j, v - c * vk FROM (SELECT *, sum(v * vk) OVER (PARTITION BY pair, j) / sum(vk * vk) OVER (PARTITION BY pair, j) AS c
+        FROM (SELECT {name}.*, max(v) FILTER (WHERE j = k) OVER (PARTITION BY pair, t) AS vk FROM {name} JOIN {last} USING (pair) WHERE k <= {last}.most)) WHERE j > k)"""
+
+
+ADF = HEDGE.replace("b0 AS", "RECURSIVE b0 AS", 1) + f""",
+    xs AS MATERIALIZED (SELECT pair, row_number() OVER w - 1 AS i, spread AS x, lead(spread) OVER w - spread AS d FROM sp WINDOW w AS (PARTITION BY pair ORDER BY idx)),
+    mx AS MATERIALIZED (SELECT pair, n, least(n // 2 - 2, ceil(12 * pow(n / 100.0::DOUBLE, 0.25)))::INT + 1 AS most FROM (SELECT pair, count(*) AS n FROM xs GROUP BY 1)),
+    lg AS MATERIALIZED (SELECT a.pair, a.i AS t, k, b.d FROM xs a JOIN mx USING (pair), range(1, 60) r(k) JOIN xs b ON b.pair = a.pair AND b.i = a.i - k WHERE k < most AND a.d IS NOT NULL),
+    v1 AS MATERIALIZED (SELECT pair, i AS t, 0 AS j, x AS v FROM xs JOIN mx USING (pair) WHERE i >= most - 1 AND d IS NOT NULL UNION ALL SELECT pair, i, 1, 1.0 FROM xs JOIN mx USING (pair) WHERE i >= most - 1 AND d IS NOT NULL
+        UNION ALL SELECT pair, t, k + 1, d FROM lg JOIN mx USING (pair) WHERE t >= most - 1 UNION ALL SELECT pair, i, 99, d FROM xs JOIN mx USING (pair) WHERE i >= most - 1 AND d IS NOT NULL),
+    {sql_projected("g1", "v1", "mx")},
+    ai AS (SELECT pair, k - 2 AS lags, count(*) * ln(sum(v * v) / count(*)) + 2 * k AS aic FROM g1 WHERE j = 99 AND k >= 2 GROUP BY pair, k),
+    pk AS MATERIALIZED (SELECT pair, arg_min(lags, (aic, lags)) AS most FROM ai GROUP BY 1),
+    v2 AS MATERIALIZED (SELECT pair, i AS t, 0 AS j, 1.0::DOUBLE AS v FROM xs JOIN pk USING (pair) WHERE i >= most AND d IS NOT NULL UNION ALL SELECT pair, t, k, d FROM lg JOIN pk USING (pair) WHERE t >= most AND k <= most
+        UNION ALL SELECT pair, i, 90, x FROM xs JOIN pk USING (pair) WHERE i >= most AND d IS NOT NULL UNION ALL SELECT pair, i, 99, d FROM xs JOIN pk USING (pair) WHERE i >= most AND d IS NOT NULL),
+    {sql_projected("g2", "v2", "pk")},
+    xy AS (SELECT pair, most AS lags, count(*) AS n, sum(a.v * b.v) AS sxy, sum(a.v * a.v) AS sxx, sum(b.v * b.v) AS syy FROM pk JOIN g2 a USING (pair) JOIN g2 b USING (pair) WHERE a.k = most + 1 AND b.k = most + 1 AND a.j = 90 AND b.j = 99 AND a.t = b.t GROUP BY 1, 2),
+    ad AS (SELECT pair, lags, n, sxy / sxx / sqrt((syy - sxy * sxy / sxx) / (n - lags - 2) / sxx) AS tau FROM xy),
+    ap AS (SELECT *, CASE WHEN tau <= -1.61 THEN 2.1659 + 1.4412 * tau + 0.038269 * tau * tau ELSE 1.7339 + 0.93202 * tau - 0.12745 * tau * tau - 0.010368 * tau * tau * tau END AS z FROM ad),
+    af AS (SELECT *, CASE WHEN tau > 2.74 THEN 1.0 WHEN tau < -18.83 THEN 0.0 ELSE {sql_cdf('z')} END AS p FROM ap)"""
+
+
+@query(f"WITH {ADF} SELECT pair, round(tau, 5) AS statistic, round(p, 5) + 0.0 AS pvalue, lags::INT AS n_lags, n::INT AS n_obs, '' AS error, p < 0.05 AS is_stationary FROM af")
 def adf_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(models.unit_root(fixtures.spreads(spark, sf_dir), ["pair"], "spread"))
+    return rounded(models.unit_root(fixtures.spreads(spark, sf_dir), ["pair"], "spread"), 5)
 
 
 @query()
