@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -103,11 +105,12 @@ def scan(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     plain = F.trim(F.regexp_replace(text, r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", " "))
-    rows = docs.select(*carry, F.concat(F.lit(" "), plain, F.lit(" ")).alias("__plain"))
+    rows = docs.select(*carry, F.concat(F.lit(" "), plain, F.lit(" ")).alias("__plain")).withColumn("__low", F.lower("__plain"))
+    # As a lambda's variable the lower-case text is made once, not for each keyword and rule.
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     none = F.array().cast(f"array<{PLACE}>")
     n_words = F.when(F.length("__plain") <= 2, 0).otherwise(F.length("__plain") - F.length(F.replace("__plain", F.lit(" "), F.lit(""))) - 1)
-    looked = rows.select(*carry, n_words.cast("long").alias("n_words"), F.when(F.col("__plain").rlike(GATE), places(F.translate("__plain", upper, lower))).otherwise(none).alias("__all"))
+    looked = rows.select(*carry, n_words.cast("long").alias("n_words"), F.when(reduce(or_, [F.contains("__low", F.lit(x)) for x in GATE]), F.transform(F.array(F.translate("__plain", upper, lower)), places)[0]).otherwise(none).alias("__all"))
     base = F.filter("__all", lambda d: d["base"])
     names = lambda a: F.array_join(F.array_sort(F.array_distinct(F.transform(a, lambda d: d["label"]))), ",")
     out = looked.withColumn("__standing", standing(F.col("__all"))).withColumn("__base", base)

@@ -24,7 +24,7 @@ def twin(text: str | None) -> tuple:
     """(detections that stand, score) by trying all rules and comparing all pairs of places."""
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER))
     norm, found = " " + " ".join(w) + " ", []
-    if not w or not re.search(licenses.GATE, norm):
+    if not w or not any(x in norm for x in licenses.GATE):
         return [], 0.0
     for r in licenses.rules():
         if " " + r["kw"] in norm:
@@ -100,7 +100,7 @@ def test_every_rule_passes_its_keyword_and_the_gate():
     for r in licenses.rules():
         for _ in range(40):
             text = " " + example(_parser.parse(r["rx"][4:-6]), rng) + " "
-            assert re.search(r["rx"], text, re.ASCII) and " " + r["kw"] in text and re.search(licenses.GATE, text), (r["rx"], text)
+            assert re.search(r["rx"], text, re.ASCII) and " " + r["kw"] in text and any(x in text for x in licenses.GATE), (r["rx"], text)
 
 
 def test_same_as_a_plain_version(spark, data):
