@@ -33,7 +33,7 @@ class Settings:
 
     ``power`` is that of the inverse document frequency. At 1 (plain TF-IDF) what copies share would weigh little just
     because they are many, and large groups of copies would fall apart; at a quarter a shingle of a thousandth of a
-    million documents weighs 0.84 of one that occurs once, and one in a third of them 0.53.
+    million documents weighs 0.85 of one that occurs once, and one in a third of them 0.54.
 
     ``chunk_bytes`` of text are one chunk, ``block_hashes`` askings one block: what a task holds. At 100 TB take 64 MB and
     16 million (1 GB a task), so that what a chunk sends to a block stays more than a few shingles.
@@ -54,6 +54,8 @@ class Settings:
 
 #: Shingles of the open members and of the members of a crowded bucket that a task compares at a time.
 OPEN_BLOCK, MEMBER_BLOCK = 1 << 15, 1 << 17
+#: In how many parts the members of a bucket look up how many blocks it has.
+SALTS = 16
 #: Shingles whose samples are drawn at a time, and how far a similarity may be below the threshold by rounding.
 SLICE, ROUNDING = 1 << 14, 1e-6
 
@@ -166,9 +168,10 @@ def _from_steps(data: bytes, n: int) -> np.ndarray:
 
 def signed(rows: DataFrame, s: Settings) -> DataFrame:
     """did, c1, c2 (what the words of a text hash to; null without words), k0.. (band keys), size, hashes and weights of
-    its shingles (once for equal rows; weights are left empty where all are 1), for (did, text) rows.
+    its shingles (once for equal rows; weights are left empty where all are 1), for (did, text) rows, as a stored table.
 
-    Document frequencies count rows, so every row asks and is counted, whatever its text.
+    Document frequencies count rows, so every row asks and is counted, whatever its text. The answers are stored before
+    the texts are dealt to their chunks again: what was asked has gone from the disks by then.
     """
     n_docs, n_bytes = rows.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
     n_chunks = max(1, (n_bytes or 0) // s.chunk_bytes)
@@ -235,9 +238,11 @@ def signed(rows: DataFrame, s: Settings) -> DataFrame:
         })
 
     asked = texts.groupBy("chunk").applyInArrow(ask, "block int, chunk int, size int, h binary, n binary")
-    answers = asked.groupBy("block").applyInArrow(answer, "chunk int, block int, size int, df binary")
+    answers = stored(asked.groupBy("block").applyInArrow(answer, "chunk int, block int, size int, df binary"), "near-answers")
     schema = "did long, c1 long, c2 long, " + ", ".join(f"k{j} long" for j in range(s.bands)) + ", size long, hashes binary, weights binary"
-    return texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(sign, schema)
+    made = stored(texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(sign, schema), "near-signed")
+    dropped(answers)
+    return made
 
 
 # ---- candidates and verification ------------------------------------------------------------------------------------
@@ -307,15 +312,17 @@ def _forest(rep: np.ndarray, leads: np.ndarray, row: np.ndarray, h: np.ndarray,
 
 def _crowded(is_open: DataFrame, members: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     """Links among the members (key, rep, size) of buckets, from comparing each one in ``is_open`` with all of its bucket.
+    Buckets without open members are passed over.
 
     Blocks of open members meet blocks of members, bounded by their shingles, so no task holds a bucket; a pair makes no
     row unless it is a link that joins two parts of its blocks.
     """
     blocks = lambda df, name, room: df.groupBy("key").agg(F.ceil(F.sum("size") / room).cast("int").alias(name))
-    counts = blocks(is_open, "na", OPEN_BLOCK).join(blocks(members, "nb", MEMBER_BLOCK), "key")
+    counts = blocks(is_open, "na", OPEN_BLOCK).join(blocks(members, "nb", MEMBER_BLOCK), "key").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     deal = lambda n, k: F.pmod(F.xxhash64("rep", F.lit(k)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    marked = members.join(counts, "key").join(is_open.select("key", "rep", F.lit(True).alias("leads")), ["key", "rep"], "left")
+    salted = members.withColumn("salt", F.pmod(F.xxhash64("rep", F.lit(3)), F.lit(SALTS)).cast("int"))
+    marked = salted.join(counts, ["key", "salt"]).drop("salt").join(is_open.select("key", "rep", F.lit(True).alias("leads")), ["key", "rep"], "left")
     others = marked.select("key", "rep", deal("nb", 2).alias("b"), every("na").alias("a"), F.col("leads").isNotNull().alias("leads"), deal("na", 1).alias("home"))
     others = others.select("key", "a", "b", "rep", (F.col("leads") & (F.col("home") == F.col("a"))).alias("leads"))
     # An open member meets the blocks of members that it is not itself dealt to.
@@ -338,8 +345,7 @@ def links(members: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     asked = stored(members.join(lead.select("key", (-F.col("top.minus")).alias("lead")), "key").where("lead <> rep").select("key", "n", "rep", "size", F.least("lead", "rep").alias("a"), F.greatest("lead", "rep").alias("b")), "near-asked")
     near = stored(similarities(asked.select("a", "b").distinct(), sets).where(F.col("similarity") >= s.similarity - ROUNDING), "near-led")
     is_open = stored(asked.where("n > 2").join(near.select("a", "b"), ["a", "b"], "left_anti").select("key", "rep", "size"), "near-open")
-    crowded = members.join(is_open.select("key").distinct(), "key", "left_semi").select("key", "rep", "size")
-    found = stored(near.unionByName(_crowded(is_open, crowded, sets, s)).dropDuplicates(["a", "b"]), "near-links")
+    found = stored(near.unionByName(_crowded(is_open, members.select("key", "rep", "size"), sets, s)).dropDuplicates(["a", "b"]), "near-links")
     dropped(asked, near, is_open)
     return found
 
@@ -379,7 +385,7 @@ def classes(docs: DataFrame, s: Settings = Settings()) -> DataFrame:  # noqa: B0
     """
     ids = docs.select(F.col("doc_id").cast("long").alias("did"), "text")
     rows = ids.where("did is not null")
-    made = stored(signed(rows, s), "near-signed")
+    made = signed(rows, s)
     keys = [f"k{j}" for j in range(s.bands)]
     texts = made.where("c1 is not null").groupBy("c1", "c2").agg(F.min("did").alias("rep"), F.count("*").alias("copies"), F.min("size").alias("size"), *[F.min(k).alias(k) for k in keys])
     texts = stored(texts, "near-texts")
