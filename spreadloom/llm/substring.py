@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from spreadloom.llm import cqf
 from spreadloom.llm.store import dropped, small_side, stored
-from spreadloom.llm.textscan import KINDS, Words, steps
+from spreadloom.llm.textscan import KINDS, Words, mix, steps
 
 #: Words of a window and of an anchor's run.
 WIDTH, RUN = 20, 8
@@ -152,7 +152,7 @@ def _repeated_anchors(docs: DataFrame, n_bytes: int, width: int, run: int) -> tu
                 at, anchor, g = _anchors(w, h, width, run)
                 if not len(at):
                     continue
-                held.append(g[np.unique(anchor)])
+                held.append(mix(g[np.unique(anchor)]))  # an anchor is the least of several hashes; spread them evenly again
                 size += len(held[-1])
                 if size >= HELD:
                     yield close()
@@ -228,13 +228,13 @@ def _later_windows(docs: DataFrame, anchors: Filter, crowded: np.ndarray, n_byte
                 if not len(at):
                     continue
                 fresh = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1)))
-                fresh = fresh[anchors.has(g[anchor[fresh]])]
+                fresh = fresh[anchors.has(mix(g[anchor[fresh]]))]
                 if not len(fresh):
                     continue
                 same = np.append(at[1:] == at[:-1] + 1, False) & np.append(anchor[1:] == anchor[:-1], False)
                 ends = np.flatnonzero(~same)
                 n = ends[np.searchsorted(ends, fresh)] - fresh + 1
-                key = g[anchor[fresh]]
+                key = mix(g[anchor[fresh]])
                 if len(crowded) and (hot := np.isin(key, crowded)).any():  # each suffix by itself
                     _, own = w.windows(h, width)
                     single = np.repeat(fresh[hot], n[hot]) + np.arange(int(n[hot].sum())) - np.repeat(np.cumsum(n[hot]) - n[hot], n[hot])
