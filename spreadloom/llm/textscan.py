@@ -66,6 +66,20 @@ def steps(col: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         a = z
 
 
+def byte_hashes(buf: np.ndarray, width: int) -> np.ndarray:
+    """A 64-bit hash of the ``width`` bytes from each place on (none for the last ``width - 1``)."""
+    n = len(buf) - width + 1
+    if n <= 0:
+        return np.empty(0, np.uint64)
+    up, down = _powers_of(0, len(buf) + 1)
+    p = np.empty(len(buf) + 1, np.uint64)
+    p[0] = 0
+    np.cumsum(_BYTES[0][buf] * up[: len(buf)], out=p[1:])
+    h = p[width:] - p[:n]
+    h *= down[:n]
+    return mix(h)
+
+
 class Words:
     """The words of some rows: byte ranges ``start`` to ``end``, and ``first``, each row's first word (and the total)."""
 
