@@ -26,8 +26,9 @@ from spreadloom.llm.textscan import Words, steps
 TOP = 50
 #: Items that are searched for at a time (more take further turns), and terms that their texts may add up to.
 BLOCK_ITEMS, BLOCK_TERMS = 2000, 200_000
-#: Postings of one shard, and documents of the first stretch that pivots are looked for in (each further one is twice as long).
-SHARD_POSTINGS, STRETCH = 4_000_000, 256
+#: Postings of one shard, and documents of the first stretch that pivots are looked for in (each further one is twice as long)
+#: and of the longest.
+SHARD_POSTINGS, STRETCH, LONGEST = 4_000_000, 256, 4096
 #: Parts that an item's shard heaps are first merged in.
 MERGE_PARTS = 16
 _TERM = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
@@ -111,6 +112,11 @@ class Heap:
         """What a document has to score at least."""
         return int(self.score[-1]) if len(self.score) >= self.top else 1
 
+    def open_to(self, most: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """Whether documents that score at most so much may come in: equal scores go by doc_id."""
+        last = self.doc[-1] if len(self.doc) >= self.top else 2**63 - 1
+        return (most > self.least) | (most == self.least) & (doc <= last)
+
     def add(self, score: np.ndarray, doc: np.ndarray) -> None:
         score, doc = np.append(self.score, score), np.append(self.doc, doc)
         order = np.lexsort((doc, -score))[: self.top]
@@ -160,13 +166,13 @@ class Shard:
                 score += own
                 # The bound held the term's largest impact where the document has it, and for terms not walked always.
                 bound += own - np.where(places[at] == pivot, most[k], 0) if k < walked else own - most[k]
-                stays = bound >= heap.least
+                stays = heap.open_to(bound, self.doc[pivot])
                 if not stays.all():
                     pivot, bound, score = pivot[stays], bound[stays], score[stays]
             good = score > 0
             heap.add(score[good], self.doc[pivot[good]])
             scored += len(pivot)
-            begin, length = end, length * 2
+            begin, length = end, min(LONGEST, length * 2)
         return scored
 
 

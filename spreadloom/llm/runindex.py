@@ -222,7 +222,7 @@ def _grouped(group: np.ndarray, items: np.ndarray) -> Iterator[tuple[int, np.nda
     order = np.argsort(group, kind="stable")
     group, items = group[order], items[order]
     cuts = np.flatnonzero(np.append(True, group[1:] != group[:-1])[: len(group)])
-    for a, z in zip(cuts.tolist(), [*cuts[1:].tolist(), len(group)], strict=True):
+    for a, z in zip(cuts.tolist(), np.append(cuts[1:], len(group)).tolist(), strict=False):
         yield int(group[a]), items[a:z]
 
 
@@ -271,7 +271,7 @@ def _survey(docs: DataFrame, crowded: list[Filter], n_bytes: int, width: int, ru
             send = items[fresh].copy()
             send["flag"] |= np.where(again[fresh], ANSWERED, 0).astype(np.int8)
             rows = [(g, x.tobytes(), b"") for g, x in _grouped((send["anchor"] % np.uint64(parts)).astype(np.int64), send)]
-            rows += [(g, b"", x.tobytes()) for g, x in _grouped(items["d"][again] % parts, items[again])]
+            rows += [(g, b"", x.tobytes()) for g, x in _grouped((items["d"] ^ items["th"])[again] % parts, items[again])]
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2))], ["group", "found", "answers"])
 
         for at, raw, lo, out in _scan(batches, shared.value, width, runs):
