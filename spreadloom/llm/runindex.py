@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from spreadloom.llm.store import dropped, stored
 from spreadloom.llm.substring import Filter
-from spreadloom.llm.textscan import byte_hashes, steps
+from spreadloom.llm.textscan import byte_hashes, mix, steps
 
 #: Bytes of a window, and of the runs that anchor windows, level by level (the last one is the window).
 WIDTH, RUNS = 400, (96, 300, 400)
@@ -176,7 +176,7 @@ def stretches(buf: np.ndarray, offs: np.ndarray, width: int, run: int) -> tuple[
         k = np.repeat(np.arange(len(n)), pieces)
         nth = np.arange(len(k)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         row, h, inner, lo, n = row[k], h[k], inner[k], lo[k] + nth * MOST_WINDOWS, np.minimum(n[k] - nth * MOST_WINDOWS, MOST_WINDOWS)
-    return row, lo, n, h, inner
+    return row, lo, n, mix(h), inner  # the least of several hashes; spread them evenly again
 
 
 def _within(cut: tuple[np.ndarray, ...], want: np.ndarray) -> tuple[np.ndarray, ...]:
