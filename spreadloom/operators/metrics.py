@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spreadloom.functions import guards as G
+from spreadloom.operators import series
 
 # Thresholds of the verdict.
 SHARPE_DEPLOY, SHARPE_STRONG, PROFITABLE_SHARE, MIN_WINDOWS, FRAGILE = 0.5, 1.0, 0.60, 3, -1.0
@@ -51,10 +52,10 @@ def trade_metrics(trades: DataFrame, keys: list[str], days: Column) -> DataFrame
     )
 
 
-def drawdowns(equity: DataFrame, keys: list[str], value: str = "equity", order: tuple[str, ...] = ("idx",)) -> DataFrame:
-    """``peak`` and ``drawdown`` of each row of an equity curve."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return equity.withColumn("peak", F.max(value).over(w)).withColumn("drawdown", (F.col("peak") - F.col(value)) / F.greatest("peak", F.lit(1.0)))
+def drawdowns(equity: DataFrame, keys: list[str], value: str = "equity", order: str = "idx", size: int = series.SIZE) -> DataFrame:
+    """``peak`` and ``drawdown`` of each row of an equity curve, in buckets of ``size`` places of the ``order`` column."""
+    found = series.running_max(equity.withColumn("__bucket", series.bucket_of(F.col(order), size)), keys, "__bucket", (order,), value, "peak")
+    return found.drop("__bucket").withColumn("drawdown", (F.col("peak") - F.col(value)) / F.greatest("peak", F.lit(1.0)))
 
 
 def regime_share(rows: DataFrame, keys: list[str]) -> DataFrame:

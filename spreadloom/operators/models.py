@@ -11,24 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spreadloom.functions import kernels as K
-from spreadloom.operators import rolling
-
-STATE_FIELDS = "beta double, alpha double, spread double, innovation double, innov_var double, p00 double, p11 double, is_warmed_up boolean"
-
-
-def kalman_states(rows: DataFrame, q: float = 1e-5, r: float = 1e-3, p0: float = 1.0) -> DataFrame:
-    """The dynamic hedge's state at each row (pair, idx, lp_a, lp_b); pairs with under 110 finite rows give none."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx")
-        a, b = pdf["lp_a"].to_numpy(float), pdf["lp_b"].to_numpy(float)
-        enough = int((np.isfinite(a) & np.isfinite(b)).sum()) >= K.MIN_ROWS
-        f = K.Hedge(q, r, p0)
-        states = [f.step(x, y) for x, y in zip(a.tolist(), b.tolist(), strict=True)] if enough else []
-        out = pd.DataFrame(states, columns=K.HEDGE_COLUMNS)
-        return pd.concat([pdf[["pair", "idx"]].reset_index(drop=True).head(len(out)), out], axis=1)
-
-    return rows.select("pair", "idx", "lp_a", "lp_b").groupBy("pair").applyInPandas(run, f"pair string, idx long, {STATE_FIELDS}")
+from spreadloom.operators import rolling, series
+from spreadloom.operators.scans import STATE_FIELDS as STATE_FIELDS
+from spreadloom.operators.scans import hedge_states as kalman_states  # noqa: F401
+from spreadloom.operators.scans import regime_states as regimes  # noqa: F401
 
 
 def kalman_summary(states: DataFrame) -> DataFrame:
@@ -40,14 +26,11 @@ def kalman_summary(states: DataFrame) -> DataFrame:
     )
 
 
-def atr(bars: DataFrame, period: int = 14) -> DataFrame:
-    """symbol, ts, atr."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts")
-        return pd.DataFrame({"symbol": pdf["symbol"], "ts": pdf["ts"], "atr": K.average_true_range(*(pdf[c].to_numpy(float) for c in ("high", "low", "close")), period)})
-
-    return bars.select("symbol", "ts", "high", "low", "close").groupBy("symbol").applyInPandas(run, "symbol string, ts timestamp, atr double")
+def atr(bars: DataFrame, period: int = 14, size: int | None = None) -> DataFrame:
+    """symbol, ts, atr: the exponential mean of the true range, in buckets of ``size`` bars (see ``series.ema``)."""
+    size = size or series.ema_size(period)
+    ranged = rolling.true_range(bars.select("symbol", "ts", "high", "low", "close"), size=size)
+    return series.ema(ranged, "symbol", F.col("tr"), period, "atr", size).select("symbol", "ts", "atr")
 
 
 def unit_root(rows: DataFrame, keys: list[str], value: str = "x") -> DataFrame:
@@ -112,20 +95,3 @@ def train_regimes(rows: DataFrame, seed: int = 42) -> DataFrame:
         return pd.DataFrame([{"pair": key[0], **_model_row(m)}])
 
     return rows.select("pair", "idx", "f0", "f1", "f2", "f3").groupBy("pair").applyInPandas(run, f"pair string, {MODEL}")
-
-
-def regimes(rows: DataFrame, models: DataFrame) -> DataFrame:
-    """pair, idx, gamma, state, kelly_scale, is_no_trade, confidence: filtered regimes of each row under its pair's
-    model."""
-
-    def run(key: tuple, pdf: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx")
-        if model.empty:
-            return pd.DataFrame({c: [] for c in ("pair", "idx", "gamma", "state", "kelly_scale", "is_no_trade", "confidence")})
-        first = model.iloc[0]
-        f = K.Regimes(first["pi"], first["trans"], first["mu"], first["sigma"])
-        out = [f.step(o) for o in pdf[["f0", "f1", "f2", "f3"]].to_numpy(float)]
-        return pd.DataFrame({"pair": key[0], "idx": pdf["idx"].to_numpy(), "gamma": [g.tolist() for g, *_ in out], "state": [s for _, s, *_ in out], "kelly_scale": [k for _, _, k, _ in out], "is_no_trade": [n for *_, n in out], "confidence": [float(g.max()) for g, *_ in out]})
-
-    own = rows.select("pair", "idx", "f0", "f1", "f2", "f3").groupBy("pair")
-    return own.cogroup(models.where("is_valid").select(F.col("pair").alias("of_pair"), "pi", "trans", "mu", "sigma").groupBy("of_pair")).applyInPandas(run, "pair string, idx long, gamma array<double>, state int, kelly_scale double, is_no_trade boolean, confidence double")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spreadloom.functions import guards as G
+from spreadloom.operators import series
 
 #: Defaults of the filter's noise and the rows it is estimated on.
 DEFAULT_Q, DEFAULT_R, WARM_UP = 1e-5, 1e-3, 100
@@ -51,9 +52,14 @@ def numbered(rows: DataFrame, key: str, bucket: Column, order: tuple[str, ...],
     return some.join(before, [key, "__bucket"]).withColumn(name, (F.col("__before") + rank).cast("long")).drop("__bucket", "__before")
 
 
+def month(ts: str = "ts") -> Column:
+    """The bucket of time that rows without a place of their own go by."""
+    return F.date_trunc("month", F.col(ts))
+
+
 def indexed(rows: DataFrame, key: str = "pair") -> DataFrame:
     """``idx``: the place of each row in time within its key, from 0; rows are ranked month by month."""
-    return numbered(rows, key, F.date_trunc("month", F.col("ts")), ("ts",))
+    return numbered(rows, key, month(), ("ts",))
 
 
 def counted(rows: DataFrame, key: str) -> DataFrame:
@@ -104,9 +110,14 @@ def windowed(rows: DataFrame, length: int, step: int, key: str = "pair", whole_i
     return out.withColumn("i", F.col("idx") - F.col("window_id") * step).withColumn("window_id", F.col("window_id") + 1).drop("__n")
 
 
-def as_of(rows: DataFrame, params: DataFrame, key: str = "pair", columns: tuple[str, ...] = ("theta",)) -> DataFrame:
-    """``rows`` with the latest of ``params`` at or before their ``idx``: one union and one window, no range join."""
+def as_of(rows: DataFrame, params: DataFrame, key: str = "pair", columns: tuple[str, ...] = ("theta",), size: int = series.SIZE) -> DataFrame:
+    """``rows`` with the latest of ``params`` at or before their ``idx``, null ones left out: no range join.
+
+    Rows and parameters meet in buckets of ``size`` places; the last parameters of a bucket are handed on to later ones,
+    so no task holds a whole key, and a parameter is found however far back it is.
+    """
     tagged = rows.select(key, "idx", F.lit(1).alias("__row"), *[F.lit(None).cast(params.schema[c].dataType).alias(c) for c in columns])
     given = params.select(key, "idx", F.lit(0).alias("__row"), *columns)
-    w = Window.partitionBy(key).orderBy("idx", "__row").rowsBetween(Window.unboundedPreceding, 0)
-    return tagged.unionByName(given).select(key, "idx", "__row", *[F.last(c, ignorenulls=True).over(w).alias(c) for c in columns]).where("__row = 1").drop("__row")
+    both = tagged.unionByName(given).withColumn("__bucket", series.bucket_of(F.col("idx"), size)).toDF(key, "idx", "__row", *[f"__p_{c}" for c in columns], "__bucket")
+    found = series.carried(both, [key], "__bucket", ("idx", "__row"), {c: F.col(f"__p_{c}") for c in columns}, own=True)
+    return found.where("__row = 1").select(key, "idx", *columns)

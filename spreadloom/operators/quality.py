@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spreadloom.functions import guards as G
+from spreadloom.operators import pairs, series
 
 SPIKE, GAP_SECONDS = 0.20, 120
 OHLC = ("open", "high", "low", "close")
@@ -17,12 +18,15 @@ def deduplicated(bars: DataFrame, order: list | None = None) -> DataFrame:
     return bars.withColumn("__k", F.row_number().over(first)).where("__k = 1").drop("__k")
 
 
-def validated(bars: DataFrame) -> DataFrame:
+def validated(bars: DataFrame, bucket: Column | None = None) -> DataFrame:
     """Deduplicated bars with valid_bar, invalid_reason and log_return.
 
     Prices at or under 0 each give a reason; of the order checks the first that fails does, and only for bars whose
     prices are fine; a negative volume adds one. Log returns go from valid bar to valid bar; one beyond the spike limit
     makes its bar invalid and stays in the chain. NaN prices fail no check, as a comparison with NaN tells nothing.
+
+    ``bucket`` (a month of ``ts`` by default) cuts a symbol's time in order: each bucket tells its last valid close and its
+    last time, and the next ones start from them.
     """
     c = {n: F.col(n) for n in (*OHLC, "volume")}
     known = lambda *names: ~F.greatest(*[F.isnan(c[n]) for n in names], F.lit(False))
@@ -36,18 +40,18 @@ def validated(bars: DataFrame) -> DataFrame:
         .withColumn("bad_volume", F.coalesce(known("volume") & (c["volume"] < 0), F.lit(False)))
         .withColumn("fine", (F.col("n_price") == 0) & F.col("order_error").isNull() & ~F.col("bad_volume"))
     )
-    w = Window.partitionBy("symbol").orderBy("ts")
-    before = F.last(F.when(F.col("fine"), F.col("close")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    change = F.when(F.col("fine") & before.isNotNull(), G.log_return(F.col("close"), before))
+    checked = checked.withColumn("__bucket", pairs.month() if bucket is None else bucket)
+    checked = series.carried(checked, ["symbol"], "__bucket", ("ts",), {"__before": F.when(F.col("fine"), F.col("close")), "__time": F.col("ts")})
+    change = F.when(F.col("fine") & F.col("__before").isNotNull(), G.log_return(F.col("close"), F.col("__before")))
     spike = F.coalesce(~F.isnan("log_return") & (F.abs("log_return") > SPIKE), F.lit(False))
     return (
         checked.withColumn("log_return", change)
         .withColumn("spike", spike)
-        .withColumn("gap", F.coalesce(F.unix_seconds("ts") - F.unix_seconds(F.lag("ts").over(w)) > GAP_SECONDS, F.lit(False)))
+        .withColumn("gap", F.coalesce(F.unix_seconds("ts") - F.unix_seconds("__time") > GAP_SECONDS, F.lit(False)))
         .withColumn("valid_bar", F.col("fine") & ~F.col("spike"))
         .withColumn("invalid_reason", F.concat_ws("|", *prices, "order_error", F.when(F.col("bad_volume"), "volume<0"), F.when(F.col("spike"), "spike")))
         .withColumn("n_ohlc", F.col("n_price") + F.col("order_error").isNotNull().cast("int"))
-        .drop("n_price", "order_error", "bad_volume", "fine")
+        .drop("n_price", "order_error", "bad_volume", "fine", "__bucket", "__before", "__time")
     )
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spreadloom.functions import guards as G
+from spreadloom.operators import pairs, series
 
 # Limits of the mean-reversion fit, and sizes of the tests.
 MIN_TRANSITIONS, MAX_HALF_LIFE, MIN_THETA, MIN_SIGMA = 50, 120.0, 1e-6, 1e-10
@@ -16,21 +17,27 @@ MIN_SERIES, HURST_LEAST, HURST_SIZES, LB_LAGS = 500, 20, 20, (5, 10, 20)
 HURST_MEAN_REVERTING, HURST_TRENDING, P_LIMIT = 0.45, 0.55, 0.05
 
 
-def true_range(bars: DataFrame, key: str = "symbol") -> DataFrame:
-    """``tr``: high - low, or the larger distance to the close before."""
-    before = F.lag("close").over(Window.partitionBy(key).orderBy("ts"))
+def true_range(bars: DataFrame, key: str = "symbol", size: int = series.SIZE) -> DataFrame:
+    """``tr``: high - low, or the larger distance to the close before; ``idx``: the bar's place within its key.
+
+    Bars are numbered in two levels and compared in buckets of ``size``, each with the last bar of the one before.
+    """
+    near = series.haloed(pairs.indexed(bars, key), 1, size)
+    before = F.lag("close").over(Window.partitionBy(key, "__bucket").orderBy("idx"))
     wide = F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))
-    return bars.withColumn("tr", wide)
+    return series.without_halo(near.withColumn("tr", wide))
 
 
-def features(rows: DataFrame, key: str | list[str] = "pair", span: int = 20) -> DataFrame:
+def features(rows: DataFrame, key: str | list[str] = "pair", span: int = 20, size: int = series.SIZE) -> DataFrame:
     """f0 to f3 of each row: spread z-score, spread change, volume ratio and innovation-variance ratio.
 
     Each compares with the ``span`` rows before, the row itself left out. A row without enough of them, or with no
-    spread in them, gets the means of its key's other rows.
+    spread in them, gets the means of its key's other rows. ``idx`` counts the rows of a key from 0; they are taken in
+    buckets of ``size``, each with the ``span`` rows before it.
     """
     keys = [key] if isinstance(key, str) else key
-    w = Window.partitionBy(*keys).orderBy("idx")
+    rows = series.haloed(rows, span, size)
+    w = Window.partitionBy(*keys, "__bucket").orderBy("idx")
     past = w.rowsBetween(-span, -1)
     spread, volume, innov = F.col("spread"), F.col("volume"), F.col("innov_var")
     ok = lambda c: F.when(G.finite(c), c)
@@ -38,7 +45,7 @@ def features(rows: DataFrame, key: str | list[str] = "pair", span: int = 20) ->
     mean, sd, n = F.avg(ok(spread)).over(past), F.stddev_samp(ok(spread)).over(past), F.count(ok(spread)).over(past)
     mean_of = lambda c: F.greatest(F.coalesce(F.avg(positive(c)).over(past), F.lit(1.0)), F.lit(G.MIN_DENOMINATOR))
     before = F.lag("spread").over(w)
-    usable = (F.row_number().over(w) > span) & (n >= 2) & (sd >= G.MIN_DENOMINATOR)
+    usable = (F.col("idx") >= span) & (n >= 2) & (sd >= G.MIN_DENOMINATOR)
     f0 = F.when(G.finite(spread), F.abs((spread - mean) / sd)).otherwise(0.0)
     f1 = F.when(G.finite(spread) & G.finite(before), F.abs(spread - before)).otherwise(0.0)
     f2 = F.when(G.finite(volume) & (volume >= 0), volume / mean_of(volume)).otherwise(1.0)
@@ -46,8 +53,9 @@ def features(rows: DataFrame, key: str | list[str] = "pair", span: int = 20) ->
     found = rows.withColumn("__ok", F.coalesce(usable, F.lit(False)))
     raw = {"f0": G.bounded(f0), "f1": G.bounded(f1), "f2": G.bounded(G.clamp(f2, 0.0, 10.0), 1.0), "f3": G.bounded(G.clamp(f3, 0.0, 10.0), 1.0)}
     found = found.withColumns({k: F.when(F.col("__ok"), v) for k, v in raw.items()})
-    every = Window.partitionBy(*keys)
-    return found.withColumns({k: F.coalesce(F.col(k), F.avg(k).over(every)) for k in raw}).drop("__ok")
+    found = series.without_halo(found).drop("__ok")
+    means = found.groupBy(*keys).agg(*[F.avg(k).alias(f"__{k}") for k in raw])
+    return found.join(means, keys).withColumns({k: F.coalesce(k, f"__{k}") for k in raw}).select(*found.columns)
 
 
 def _ou(found: DataFrame, dt: float, limit: float) -> DataFrame:
@@ -60,7 +68,7 @@ def _ou(found: DataFrame, dt: float, limit: float) -> DataFrame:
     out = out.withColumn("a", ratio(c("sxy") - c("mu") * c("sx") - c("mu") * c("sy") + c("n") * c("mu") * c("mu"), c("den_a")))
     out = out.withColumn("theta", ratio(-G.safe_log(c("a")), F.lit(float(dt))))
     rest = 1.0 - c("a")
-    out = out.withColumn("alpha", (c("syy") - 2.0 * c("a") * c("sxy") + c("a") * c("a") * c("sxx") - 2.0 * c("mu") * rest * (c("sy") - c("a") * c("sx")) + c("n") * c("mu") * c("mu") * rest * rest) / c("n"))
+    out = out.withColumn("alpha", F.try_divide(c("syy") - 2.0 * c("a") * c("sxy") + c("a") * c("a") * c("sxx") - 2.0 * c("mu") * rest * (c("sy") - c("a") * c("sx")) + c("n") * c("mu") * c("mu") * rest * rest, c("n")))
     out = out.withColumn("variance", ratio(c("alpha") * 2.0 * c("theta"), 1.0 - c("a") * c("a")))
     out = out.withColumn("sigma", G.safe_sqrt(c("variance")))
     error = (
@@ -101,6 +109,34 @@ def fit_ou(rows: DataFrame, keys: list[str], value: str = "spread", dt: float =
     return _ou(sums, dt, limit).select(*keys, "theta", "mu", "sigma", "half_life", "a_hat", "sigma_eq", "n_obs", "is_valid", F.coalesce("error", F.lit("")).alias("error"))
 
 
+def fit_ou_windows(rows: DataFrame, length: int, step: int, key: str = "pair", value: str = "spread", whole_if_short: bool = False, dt: float = 1.0, limit: float = G.MAX_RATIO, size: int = series.SIZE) -> DataFrame:
+    """The fit of :func:`fit_ou` for each window of ``length`` rows, one every ``step``, with ``window_id`` from 1.
+
+    No row goes to several windows. A step from one finite value to the next is counted by the blocks in which it begins
+    and ends (as many rows as length and step have in common), sums of steps are made by block, and a window adds up those
+    that begin and end in it. ``idx`` counts the rows of a key from 0. A window without a finite value, too, gives its row.
+    """
+    block = math.gcd(length, step)
+    v, c = F.col(value), F.col
+    counts = rows.groupBy(key).agg((F.max("idx") + 1).alias("__n"))
+    some = rows.where(G.finite(v)).select(key, "idx", v.alias("y"), series.bucket_of(c("idx"), size).alias("__bucket"))
+    steps = series.carried(some, [key], "__bucket", ("idx",), {"__p": F.struct("y", "idx")}).where("__p is not null")
+    steps = steps.select(key, "y", c("__p.y").alias("x"), F.floor(c("__p.idx") / block).alias("b0"), F.floor(c("idx") / block).alias("b1"))
+    parts = {"n": F.lit(1.0), "sx": c("x"), "sy": c("y"), "sxx": c("x") * c("x"), "syy": c("y") * c("y"), "sxy": c("x") * c("y")}
+    sums = steps.groupBy(key, "b0", "b1").agg(*[F.sum(p).alias(k) for k, p in parts.items()]).join(counts, key)
+    last = F.floor((c("__n") - length) / step)
+    lo, hi = F.greatest(F.lit(0), F.ceil(((c("b1") + 1) * block - length) / step)), F.least(last, F.floor(c("b0") * block / step))
+    ids = F.when(lo <= hi, F.sequence(lo.cast("int"), hi.cast("int"))).otherwise(F.array().cast("array<int>"))
+    every = F.when(last >= 0, F.sequence(F.lit(0), last.cast("int"))).otherwise(F.array().cast("array<int>"))
+    if whole_if_short:
+        one = F.array(F.lit(0))
+        ids, every = F.when(c("__n") < length, one).otherwise(ids), F.when(c("__n") < length, one).otherwise(every)
+    none = counts.select(key, F.explode(every).alias("window_id"), *[F.lit(0.0).alias(k) for k in parts])
+    found = sums.select(key, F.explode(ids).alias("window_id"), *parts).unionByName(none).groupBy(key, "window_id").agg(*[F.sum(k).alias(k) for k in parts])
+    out = _ou(found.withColumn("window_id", c("window_id") + 1), dt, limit)
+    return out.select(key, "window_id", "theta", "mu", "sigma", "half_life", "a_hat", "sigma_eq", "n_obs", "is_valid", F.coalesce("error", F.lit("")).alias("error"))
+
+
 def half_life_scale(valid: Column, half_life: Column) -> Column:
     """Size factor by how fast the spread reverts."""
     return F.when(~valid, 0.0).when(half_life < 5.0, 0.5).when(half_life <= 20.0, 1.0).when(half_life <= 60.0, 0.75).otherwise(0.0)

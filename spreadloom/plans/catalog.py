@@ -286,7 +286,7 @@ def ou_fit_global(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rolling_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rolling.fit_ou(pairs.windowed(fixtures.spreads(spark, sf_dir), 500, 100, whole_if_short=True), ["pair", "window_id"])
+    return rolling.fit_ou_windows(fixtures.spreads(spark, sf_dir), 500, 100, whole_if_short=True)
 
 
 @query(f"WITH {OU_ROLL} SELECT pair, window_id::INT AS window_id, {OU_OUT} FROM ou")
@@ -440,7 +440,7 @@ def profit_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drawdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("pair", "window_id").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     t = fixtures.trades(spark, sf_dir).withColumn("equity", F.lit(10_000.0) + F.sum("net_pnl").over(w))
-    return rounded(metrics.drawdowns(t, ["pair", "window_id"], order=("k",)).select("pair", "window_id", "k", F.round("equity", 4).alias("equity"), "drawdown"))
+    return rounded(metrics.drawdowns(t, ["pair", "window_id"], order="k", size=128).select("pair", "window_id", "k", F.round("equity", 4).alias("equity"), "drawdown"))
 
 
 @query(f"WITH {TRADES} SELECT pair, round(count(*) FILTER (WHERE state = 0) / count(*) * 100, 6) AS pct_high_mr, round(count(*) FILTER (WHERE state = 1) / count(*) * 100, 6) AS pct_low_mr, round(count(*) FILTER (WHERE state = 2) / count(*) * 100, 6) AS pct_breakdown FROM tw GROUP BY 1")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spreadloom.operators import metrics, pairs
-from spreadloom.sources import bars
+from spreadloom.sources import bars, scratch
 
 DAYS = 250.0
 
@@ -21,9 +21,9 @@ def smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pairs of smoothed bars, aligned and indexed."""
-    b = smooth(spark, sf_dir)
-    return pairs.indexed(pairs.aligned(b, pairs.all_pairs(b)))
+    """All pairs of smoothed bars, aligned and indexed, stored once for all that a query makes of them."""
+    b = scratch.stored(smooth(spark, sf_dir), "bars")
+    return scratch.stored(pairs.indexed(pairs.aligned(b, pairs.all_pairs(b))), "pair-rows")
 
 
 def spreads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def spreads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily bars of which some break a rule."""
-    b = bars.daily_bars(table(spark, sf_dir, "lineitem")).withColumn("k", F.row_number().over(Window.partitionBy("symbol").orderBy("ts")))
+    b = pairs.numbered(bars.daily_bars(table(spark, sf_dir, "lineitem")), "symbol", pairs.month(), ("ts",), "k").withColumn("k", F.col("k") + 1)
     every = lambda n: F.col("k") % n == 0
     c = F.col("close")
     return b.select(
@@ -56,7 +56,7 @@ def window_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A result row for each window of the derived trades."""
     t, keys = trades(spark, sf_dir), ["pair", "window_id"]
     w = Window.partitionBy(*keys).orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    down = metrics.drawdowns(t.withColumn("equity", F.lit(10_000.0) + F.sum("net_pnl").over(w)), keys, order=("k",)).groupBy(*keys).agg(F.max("drawdown").alias("max_drawdown"), (F.sum("net_pnl") / 10_000).alias("total_return"))
+    down = metrics.drawdowns(t.withColumn("equity", F.lit(10_000.0) + F.sum("net_pnl").over(w)), keys, order="k").groupBy(*keys).agg(F.max("drawdown").alias("max_drawdown"), (F.sum("net_pnl") / 10_000).alias("total_return"))
     out = metrics.trade_metrics(t, keys, F.lit(DAYS)).join(down, keys)
     yearly = F.col("total_return") * (365.0 / DAYS)
     return out.withColumn("calmar", metrics.calmar(yearly, F.col("max_drawdown"))).withColumn("ok", F.col("total_trades") >= 100)

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spreadloom.operators import pairs, series
+
 #: A bar: one row a symbol and time.
 BARS = T.StructType([T.StructField("symbol", T.StringType()), T.StructField("ts", T.TimestampType()), *(T.StructField(c, T.DoubleType()) for c in ("open", "high", "low", "close", "volume"))])
 REQUIRED = ("open", "high", "low", "close", "volume")
@@ -100,10 +102,11 @@ def daily_bars(lineitem: DataFrame) -> DataFrame:
 
 
 def smoothed_bars(lineitem: DataFrame, span: int = 60) -> DataFrame:
-    """B1: closes are means of the last ``span`` daily ones, opens the close before; partitioned by symbol."""
-    w = Window.partitionBy("symbol").orderBy("ts")
-    smooth = daily_bars(lineitem).withColumn("k", F.row_number().over(w)).withColumn("close", F.round(F.avg("close").over(w.rowsBetween(1 - span, 0)), 8)).where(F.col("k") >= span)
-    opened = smooth.withColumn("open", F.coalesce(F.lag("close").over(w), "close"))
+    """B1: closes are means of the last ``span`` daily ones, opens the close before; in buckets with the ``span`` days before."""
+    near = series.haloed(pairs.indexed(daily_bars(lineitem), "symbol"), span)
+    w = Window.partitionBy("symbol", "__bucket").orderBy("idx")
+    smooth = near.withColumn("close", F.round(F.avg("close").over(w.rowsBetween(1 - span, 0)), 8))
+    opened = series.without_halo(smooth.withColumn("open", F.when(F.col("idx") >= span, F.lag("close").over(w)).otherwise(F.col("close")))).where(F.col("idx") >= span - 1)
     return opened.select("symbol", "ts", "open", F.greatest("open", "close").alias("high"), F.least("open", "close").alias("low"), "close", "volume")
 
 
