@@ -221,7 +221,7 @@ def train_regimes(obs: np.ndarray, seed: int) -> dict | None:
         logs = log_density(x, mu, sigma)
         best = logs.max(1)
         dens = np.exp(np.maximum(logs - best[:, None], -700.0))
-        ahead, scale = _forward(pi, trans, dens)
+        ahead, scale = forward(pi, trans, dens)
         like = float(best.sum() + np.log(scale).sum())
         if not math.isfinite(like):
             break
@@ -231,7 +231,7 @@ def train_regimes(obs: np.ndarray, seed: int) -> dict | None:
             break
         if turn and like - likes[-2] < -1e-3:
             break
-        behind = _backward(trans, dens, scale)
+        behind = backward(trans, dens, scale)
         gamma = ahead * behind
         gamma = np.maximum(gamma / gamma.sum(1, keepdims=True), MIN_STATE)
         gamma /= gamma.sum(1, keepdims=True)
@@ -249,7 +249,8 @@ def train_regimes(obs: np.ndarray, seed: int) -> dict | None:
     return {"pi": pi, "trans": trans, "mu": mu, "sigma": sigma, "log_likes": likes, "converged": converged, "n_iters": len(likes), "n_train": t}
 
 
-def _forward(pi: np.ndarray, trans: np.ndarray, dens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def forward(pi: np.ndarray, trans: np.ndarray, dens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(probabilities of the states at each row given the rows up to it, factors taken out); the first row makes no transition."""
     (a, b, c), (d, e, f), (g, h, i) = trans.tolist()
     p, q, r = pi.tolist()
     out, scales = [], []
@@ -264,9 +265,10 @@ def _forward(pi: np.ndarray, trans: np.ndarray, dens: np.ndarray) -> tuple[np.nd
     return np.array(out), np.array(scales)
 
 
-def _backward(trans: np.ndarray, dens: np.ndarray, scale: np.ndarray) -> np.ndarray:
+def backward(trans: np.ndarray, dens: np.ndarray, scale: np.ndarray, last: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> np.ndarray:
+    """How likely the rows after each one are from each state, up to a factor; ``last`` is what the last row's successors say."""
     (a, b, c), (d, e, f), (g, h, i) = trans.tolist()
-    p = q = r = 1.0
+    p, q, r = last
     out = [(p, q, r)]
     rows, scales = dens.tolist(), scale.tolist()
     for k in range(len(rows) - 1, 0, -1):

@@ -165,3 +165,23 @@ def test_regimes_in_ten_buckets(spark):
             want = [f.step(o) for o in obs[:n]]
             assert own["state"].tolist() == [s for _, s, *_ in want] and own["is_no_trade"].tolist() == [x for *_, x in want]
             assert np.abs(np.array(own["gamma"].tolist()) - np.array([g for g, *_ in want])).max() < 1e-8
+
+
+def test_training_in_ten_chunks(spark, monkeypatch):
+    monkeypatch.setattr(K, "MAX_ROUNDS", 6)
+    from spreadloom.operators import training
+
+    rng = np.random.default_rng(8)
+    states = np.repeat(rng.integers(0, 3, 100), 10)
+    obs = np.clip(rng.normal(MODEL["mu"][states], 0.15 * MODEL["mu"][states] + 1e-4), 0, 10)
+    obs[[5, 400]] = np.nan
+    flat = np.ones((600, 4))
+    rows = frame(spark, {"p": list(obs.T), "flat": list(flat.T), "few": list(obs[:200].T)}, *training.FEATURES)
+    got = {r.pair: r for r in training.train_regimes(rows, 42, 100, 6).collect()}
+    assert set(got) == {"p", "flat", "few"} and not got["few"].is_valid and got["few"].pi == []
+    for name, x in (("p", obs), ("flat", flat)):
+        want, r = K.train_regimes(x, 42), got[name]
+        assert r.is_valid and r.n_iters == want["n_iters"] and r.converged == want["converged"] and r.n_train == want["n_train"]
+        assert math.isclose(r.log_like, want["log_likes"][-1], rel_tol=1e-9)
+        for c in ("pi", "trans", "mu", "sigma"):
+            assert np.abs(np.array(r[c]) - want[c].ravel()).max() < 1e-8, (name, c)
