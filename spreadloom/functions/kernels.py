@@ -346,6 +346,55 @@ def unit_root_test(x: np.ndarray) -> dict:
     return {"statistic": bounded(stat), "pvalue": min(1.0, max(0.0, unit_root_p(stat))), "n_lags": lags, "n_obs": len(y), "error": ""}
 
 
+def unit_root_rows(x: np.ndarray, lags: int) -> np.ndarray:
+    """(level, 1, lagged differences, difference) of each step that has ``lags`` differences before it."""
+    d = np.diff(x)
+    if len(d) <= lags:
+        return np.empty((0, lags + 3))
+    w = np.lib.stride_tricks.sliding_window_view(d, lags + 1)
+    return np.column_stack([x[lags : lags + len(w)], np.ones(len(w)), w[:, :lags][:, ::-1], w[:, lags]])
+
+
+def unit_root_products(x: np.ndarray, begin: int, own: int, lags: int) -> tuple[np.ndarray, np.ndarray]:
+    """(products of a block's rows, the series' first values if the block has them). ``begin`` is the place of x[0], and
+    the block's own values begin at ``own``: those before only come along."""
+    rows = unit_root_rows(x, lags)  # row k ends at place begin + k + lags + 1
+    rows = rows[max(0, own - begin - lags - 1) :]
+    return rows.T @ rows, x[: lags + 1] if begin == 0 else x[:0]
+
+
+def unit_root_of_products(gram: np.ndarray, head: np.ndarray) -> dict:
+    """:func:`unit_root_test` from the summed products of all rows and the first values."""
+    size = math.isqrt(len(gram))
+    gram, most = gram.reshape(size, size), size - 3
+
+    def left(g: np.ndarray) -> np.ndarray:
+        """The last column's square sum that each number of first columns leaves."""
+        scale = 1 / np.sqrt(np.where(np.diag(g) > 0, np.diag(g), 1.0))
+        scaled = g * scale[:, None] * scale
+        try:
+            last = np.linalg.cholesky(scaled)[-1]
+        except np.linalg.LinAlgError:  # columns that depend on each other
+            w, v = np.linalg.eigh(scaled)
+            last = np.linalg.qr(np.sqrt(np.maximum(w, 0.0))[:, None] * v.T)[1][:, -1]
+        return (scaled[-1, -1] - np.concatenate([[0], np.cumsum(last[:-1] ** 2)])) / scale[-1] ** 2
+
+    m = gram[1, 1]
+    aic = m * np.log(np.maximum(left(gram)[2:], 1e-300) / m) + 2 * np.arange(2, most + 3)
+    lags = int(np.argmin(aic))
+    keep = [*range(lags + 2), size - 1]
+    early = unit_root_rows(head, lags)
+    g = gram[np.ix_(keep, keep)] + early.T @ early
+    z, n = g[:-1, :-1], int(round(g[1, 1]))
+    scale = 1 / np.sqrt(np.where(np.diag(z) > 0, np.diag(z), 1.0))
+    inverse = np.linalg.pinv(z * scale[:, None] * scale, hermitian=True) * scale[:, None] * scale
+    coef = inverse @ g[:-1, -1]
+    rest = max(float(g[-1, -1] - coef @ g[:-1, -1]), 0.0)
+    error = math.sqrt(rest / (n - lags - 2) * inverse[0, 0])
+    stat = float(coef[0] / error) if error else 0.0
+    return {"statistic": bounded(stat), "pvalue": min(1.0, max(0.0, unit_root_p(stat))), "n_lags": lags, "n_obs": n, "error": "" if error else "degenerate series"}
+
+
 # ---- autocorrelation and range --------------------------------------------------------------------------------------
 def chi2_tail(q: float, k: int) -> float:
     """P(chi-squared with ``k`` degrees > q), as :func:`spreadloom.operators.rolling.chi2_tail` has it."""

@@ -33,15 +33,57 @@ def atr(bars: DataFrame, period: int = 14, size: int | None = None) -> DataFrame
     return series.ema(ranged, "symbol", F.col("tr"), period, "atr", size).select("symbol", "ts", "atr")
 
 
-def unit_root(rows: DataFrame, keys: list[str], value: str = "x") -> DataFrame:
-    """The augmented unit-root test by key: statistic, pvalue, n_lags, n_obs, is_stationary, error."""
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        t = K.unit_root_test(pdf.sort_values("idx")["v"].to_numpy(float))
-        return pd.DataFrame({**{k: [v] for k, v in zip(keys, key, strict=True)}, **{k: [v] for k, v in t.items()}, "is_stationary": [t["pvalue"] < rolling.P_LIMIT and not t["error"]]})
-
-    own = [T.StructField(n, k) for n, k in (("statistic", T.DoubleType()), ("pvalue", T.DoubleType()), ("n_lags", T.IntegerType()), ("n_obs", T.IntegerType()), ("error", T.StringType()), ("is_stationary", T.BooleanType()))]
-    schema = T.StructType([*rows.select(*keys).schema.fields, *own])
-    return rows.select(*keys, "idx", F.col(value).alias("v")).groupBy(*keys).applyInPandas(run, schema)
+ROOT = "statistic double, pvalue double, n_lags int, n_obs int, error string"
+
+
+def unit_root(rows: DataFrame, keys: list[str], value: str = "x", size: int = 16_384) -> DataFrame:
+    """The augmented unit-root test by key: statistic, pvalue, n_lags, n_obs, is_stationary, error.
+
+    The regression needs no more of a series than the products of its level, differences and lagged differences, added up
+    over blocks of ``size`` values that each come with the few values before them; all lag choices and the final fit are
+    read off that one small matrix and the series' first values. Values that are not finite are left out.
+    """
+    clean, c = series.compact(rows, keys, value), F.col
+    counts = clean.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("v").alias("mean"))
+    counts = counts.withColumn("lags", F.least(F.floor(c("n") / 2) - 2, F.ceil(12 * F.pow(c("n") / 100, F.lit(0.25)))).cast("int"))
+    some = clean.join(counts.where(c("n") >= rolling.MIN_SERIES), keys).withColumn("size", F.greatest(F.lit(size), 2 * (c("lags") + 2)))
+    own = F.floor(c("idx") / c("size"))
+    near = some.withColumn("block", F.explode(F.when(F.pmod("idx", "size") >= c("size") - c("lags") - 1, F.array(own, own + 1)).otherwise(F.array(own))))
+    kind = [rows.select(*keys).schema[k] for k in keys]
+    schema = lambda ddl: T.StructType([*kind, *T.StructType.fromDDL(ddl).fields])
+
+    def products(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("idx")
+        first = pdf.iloc[0]
+        gram, head = K.unit_root_products(pdf["v"].to_numpy() - first["mean"], int(first["idx"]), int(key[-1] * first["size"]), int(first["lags"]))
+        return pd.DataFrame([(*key[:-1], gram.ravel().tolist(), head.tolist())], columns=[*keys, "gram", "head"])
+
+    def solved(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        t = K.unit_root_of_products(np.sum(pdf["gram"].tolist(), axis=0), np.array(max(pdf["head"].tolist(), key=len)))
+        return pd.DataFrame([(*key, *t.values())], columns=[*keys, *t])
+
+    tested = near.groupBy(*keys, "block").applyInPandas(products, schema("gram array<double>, head array<double>")).groupBy(*keys).applyInPandas(solved, schema(ROOT))
+    every = rows.select(*keys).distinct().join(tested, keys, "left")
+    none = {"statistic": 0.0, "pvalue": 1.0, "n_lags": 0, "n_obs": 0, "error": "too short"}
+    out = every.select(*keys, *[F.coalesce(n, F.lit(v)).alias(n) for n, v in none.items()])
+    return out.withColumn("is_stationary", (c("pvalue") < rolling.P_LIMIT) & (c("error") == ""))
+
+
+def gate(rows: DataFrame, keys: list[str], value: str = "x") -> DataFrame:
+    """The report of :func:`stationarity` for whole series of any length: each of the three tests runs in blocks."""
+    clean = series.compact(rows, keys, value)
+    steps = series.lagged(clean, keys, "v", {"before": 1}).where("before is not null").select(*keys, (F.col("idx") - 1).alias("idx"), (F.col("v") - F.col("before")).alias("x"))
+    packed = lambda df, name: df.select(*keys, F.struct(*[c for c in df.columns if c not in keys]).alias(name))
+    out = clean.groupBy(*keys).agg(F.count("*").alias("series_length")).join(packed(unit_root(clean, keys, "v"), "adf"), keys)
+    out = out.join(packed(rolling.ljung_box(clean, keys, "v"), "ljung_box"), keys).join(packed(rolling.hurst(steps, keys), "hurst"), keys, "left")
+    return _confirmed(out, keys)
+
+
+def _confirmed(out: DataFrame, keys: list[str]) -> DataFrame:
+    c = F.col
+    edge = rolling.edge_class(c("adf.pvalue"), c("ljung_box.min_pvalue"), c("hurst.exponent"), F.coalesce(c("hurst.error") == "", F.lit(False)))
+    short = F.struct(F.lit(False).alias("edge_confirmed"), F.lit("none").alias("edge_type"), F.lit("series too short").alias("reason"))
+    return out.withColumn("edge", F.when(c("series_length") < rolling.MIN_SERIES, short).otherwise(edge)).select(*keys, "series_length", "adf", "hurst", "ljung_box", "edge.*")
 
 
 def stationarity(rows: DataFrame, keys: list[str], value: str = "x") -> DataFrame:
@@ -63,9 +105,7 @@ def stationarity(rows: DataFrame, keys: list[str], value: str = "x") -> DataFram
     adf = F.struct(*told("a", "statistic", "pvalue", "n_lags", "n_obs", "error"), ((c("a_pvalue") < limit) & (c("a_error") == "")).alias("is_stationary"))
     lb = F.struct(F.array(*[F.lit(m) for m in rolling.LB_LAGS]).alias("lags"), *told("l", "stats", "pvalues", "min_pvalue"), (c("l_min_pvalue") < limit).alias("has_autocorr"), *told("l", "error"))
     out = out.select(*keys, "series_length", adf.alias("adf"), F.struct(*told("h", "exponent", "r_squared", "n_windows", "error")).alias("hurst"), lb.alias("ljung_box"))
-    edge = rolling.edge_class(c("adf.pvalue"), c("ljung_box.min_pvalue"), c("hurst.exponent"), c("hurst.error") == "")
-    short = F.struct(F.lit(False).alias("edge_confirmed"), F.lit("none").alias("edge_type"), F.lit("series too short").alias("reason"))
-    return out.withColumn("edge", F.when(c("series_length") < rolling.MIN_SERIES, short).otherwise(edge)).select(*keys, "series_length", "adf", "hurst", "ljung_box", "edge.*")
+    return _confirmed(out, keys)
 
 
 def entry_thresholds(fits: DataFrame) -> DataFrame:

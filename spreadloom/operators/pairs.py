@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spreadloom.functions import guards as G
 from spreadloom.operators import series
+from spreadloom.operators.series import numbered as numbered
 
 #: Defaults of the filter's noise and the rows it is estimated on.
 DEFAULT_Q, DEFAULT_R, WARM_UP = 1e-5, 1e-3, 100
@@ -39,19 +40,6 @@ def aligned(bars: DataFrame, pairs: DataFrame) -> DataFrame:
     )
 
 
-def numbered(rows: DataFrame, key: str, bucket: Column, order: tuple[str, ...], name: str = "idx") -> DataFrame:
-    """``name``: the place of each row within its key, from 0, in the order of ``bucket`` and then of ``order``.
-
-    Rows are ranked within their bucket and moved on by the counts of the buckets before, so a key is spread over as many
-    tasks as it has buckets; only the counts of a key meet in one. A row whose bucket is null has no place and goes.
-    """
-    some = rows.withColumn("__bucket", bucket).where("__bucket is not null")
-    past = Window.partitionBy(key).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    before = some.groupBy(key, "__bucket").agg(F.count("*").alias("__n")).select(key, "__bucket", F.coalesce(F.sum("__n").over(past), F.lit(0)).alias("__before"))
-    rank = F.row_number().over(Window.partitionBy(key, "__bucket").orderBy(*order)) - 1
-    return some.join(before, [key, "__bucket"]).withColumn(name, (F.col("__before") + rank).cast("long")).drop("__bucket", "__before")
-
-
 def month(ts: str = "ts") -> Column:
     """The bucket of time that rows without a place of their own go by."""
     return F.date_trunc("month", F.col(ts))

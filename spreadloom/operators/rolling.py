@@ -156,8 +156,8 @@ def hurst(rows: DataFrame, keys: list[str], value: str = "x") -> DataFrame:
     Each value goes once to every chunk size of its series; sizes follow from the series' length, which is known by key,
     so series of different lengths are done together. Chunks are groups of their own, however long a series is.
     """
-    v = F.col(value)
-    clean = rows.where(G.finite(v)).select(*keys, v.alias("v"), (F.row_number().over(Window.partitionBy(*keys).orderBy("idx")) - 1).alias("j"), F.count("*").over(Window.partitionBy(*keys)).alias("n"))
+    clean = series.compact(rows, keys, value)
+    clean = clean.join(clean.groupBy(*keys).agg(F.count("*").alias("n")), keys).withColumnRenamed("idx", "j")
     lengths = clean.groupBy(*keys).agg(F.first("n").alias("n")).where(F.col("n") >= MIN_SERIES)
     # The sizes of the logarithmic grid, worked out once a key; the join keeps the partitioning by key.
     sized = lengths.select(*keys, F.expr(f"""array_distinct(filter(transform(sequence(0, {HURST_SIZES - 1}), k -> cast(
@@ -195,10 +195,9 @@ def chi2_tail(q: Column, k: int) -> Column:
 
 def ljung_box(rows: DataFrame, keys: list[str], value: str = "x", lags: tuple[int, ...] = LB_LAGS) -> DataFrame:
     """Portmanteau statistics and p-values by key: lags, stats, pvalues, min_pvalue, has_autocorr, error."""
-    v = F.col(value)
-    w = Window.partitionBy(*keys).orderBy("idx")
-    clean = rows.where(G.finite(v)).select(*keys, "idx", (v - F.avg(v).over(Window.partitionBy(*keys))).alias("d"))
-    lagged = clean.select(*keys, "d", *[F.lag("d", k).over(w).alias(f"d{k}") for k in range(1, max(lags) + 1)])
+    clean = series.compact(rows, keys, value)
+    clean = clean.join(clean.groupBy(*keys).agg(F.avg("v").alias("__mean")), keys).select(*keys, "idx", (F.col("v") - F.col("__mean")).alias("d"))
+    lagged = series.lagged(clean, keys, "d", {f"d{k}": k for k in range(1, max(lags) + 1)})
     sums = lagged.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(F.col("d") * F.col("d")).alias("c0"), *[F.sum(F.col("d") * F.col(f"d{k}")).alias(f"c{k}") for k in range(1, max(lags) + 1)])
     q = lambda m: F.col("n") * (F.col("n") + 2) * sum((F.pow(F.try_divide(F.col(f"c{k}"), F.col("c0")), F.lit(2.0)) / (F.col("n") - k) for k in range(1, m + 1)), F.lit(0.0))
     ok = F.col("n") >= MIN_SERIES
@@ -211,9 +210,7 @@ def ljung_box(rows: DataFrame, keys: list[str], value: str = "x", lags: tuple[in
 
 def unit_root_stat(rows: DataFrame, keys: list[str], value: str = "x") -> DataFrame:
     """The unit-root t statistic with a constant and no lagged differences, by key."""
-    v = F.col(value)
-    w = Window.partitionBy(*keys).orderBy("idx")
-    steps = rows.where(G.finite(v)).select(*keys, F.lag(v).over(w).alias("x"), (v - F.lag(v).over(w)).alias("dy")).where("x is not null")
+    steps = series.lagged(series.compact(rows, keys, value), keys, "v", {"x": 1}).where("x is not null").withColumn("dy", F.col("v") - F.col("x"))
     f = steps.groupBy(*keys).agg(F.count("*").alias("n"), F.regr_slope("dy", "x").alias("b"), F.regr_sxx("dy", "x").alias("sxx"), F.regr_syy("dy", "x").alias("syy"), F.regr_sxy("dy", "x").alias("sxy"))
     s2 = (F.col("syy") - F.col("b") * F.col("sxy")) / (F.col("n") - 2)
     return f.select(*keys, "n", (F.col("b") / F.sqrt(s2 / F.col("sxx"))).alias("statistic"))

@@ -25,6 +25,33 @@ def bucket_of(idx: Column, size: int = SIZE) -> Column:
     return F.floor(idx / F.lit(size)).cast("long")
 
 
+def numbered(rows: DataFrame, key: str | list[str], bucket: Column, order: tuple[str, ...], name: str = "idx") -> DataFrame:
+    """``name``: the place of each row within its key, from 0, in the order of ``bucket`` and then of ``order``.
+
+    Rows are ranked within their bucket and moved on by the counts of the buckets before, so a key is spread over as many
+    tasks as it has buckets; only the counts of a key meet in one. A row whose bucket is null has no place and goes.
+    """
+    keys = [key] if isinstance(key, str) else key
+    some = rows.withColumn("__bucket", bucket).where("__bucket is not null")
+    past = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = some.groupBy(*keys, "__bucket").agg(F.count("*").alias("__n")).select(*keys, "__bucket", F.coalesce(F.sum("__n").over(past), F.lit(0)).alias("__before"))
+    rank = F.row_number().over(Window.partitionBy(*keys, "__bucket").orderBy(*order)) - 1
+    return some.join(before, [*keys, "__bucket"]).withColumn(name, (F.col("__before") + rank).cast("long")).drop("__bucket", "__before")
+
+
+def compact(rows: DataFrame, keys: list[str], value: str, size: int = SIZE) -> DataFrame:
+    """keys, idx, v: the finite values of each key, numbered anew from 0 without the gaps the others leave."""
+    v = F.col(value).cast("double")
+    some = rows.where(F.abs(v) < float("inf")).select(*keys, "idx", v.alias("v"))
+    return numbered(some, keys, bucket_of(F.col("idx"), size), ("idx",), "__j").select(*keys, F.col("__j").alias("idx"), "v")
+
+
+def lagged(rows: DataFrame, keys: list[str], value: str, lags: dict[str, int], size: int = SIZE) -> DataFrame:
+    """``rows`` with earlier values of theirs; ``idx`` counts the rows of a key from 0."""
+    w = Window.partitionBy(*keys, "__bucket").orderBy("idx")
+    return without_halo(haloed(rows, max(lags.values()), size).withColumns({n: F.lag(value, k).over(w) for n, k in lags.items()}))
+
+
 def haloed(rows: DataFrame, span: int, size: int = SIZE, idx: str = "idx") -> DataFrame:
     """``rows`` with ``__bucket``, each of the last ``span`` rows of a bucket also in the next one, where ``__halo`` is true.
 

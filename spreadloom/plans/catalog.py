@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spreadloom.functions import guards as G
-from spreadloom.operators import metrics, models, pairs, quality, rolling, sizing
+from spreadloom.operators import metrics, models, pairs, quality, rolling, series, sizing
 from spreadloom.plans import backtest, fixtures
 from spreadloom.plans.fixtures import table
 from spreadloom.sources import bars, scratch, sinks
@@ -308,8 +308,8 @@ def hmm_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("pair").orderBy("idx")
-    return fixtures.rows(spark, sf_dir).select("pair", "idx", (F.col("lp_a") - F.lag("lp_a").over(w)).alias("x")).where("x is not null")
+    found = series.lagged(fixtures.rows(spark, sf_dir).select("pair", "idx", "lp_a"), ["pair"], "lp_a", {"before": 1}).where("before is not null")
+    return found.select("pair", "idx", (F.col("lp_a") - F.col("before")).alias("x"))
 
 
 STEPS = ROWS + ", d AS (SELECT * FROM (SELECT pair, idx, lp_a - lag(lp_a) OVER (PARTITION BY pair ORDER BY idx) AS x FROM r) WHERE x IS NOT NULL)"
@@ -680,7 +680,7 @@ GATE += _hurst[: _hurst.index("SELECT pair, round(regr_slope")].replace("FROM d)
 @query(f"WITH {GATE} SELECT pair, round(tau, 5) AS statistic, round(p, 5) + 0.0 AS pvalue, round(q, 6) + 0.0 AS min_pvalue, round(h, 5) AS exponent, n_windows, reason = 'all three tests pass' AS edge_confirmed, CASE WHEN reason <> 'all three tests pass' THEN 'none' WHEN h < 0.45 THEN 'mean_reverting' ELSE 'trending' END AS edge_type, reason FROM gt")
 def stationarity_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three tests of each whole series and the edge they confirm."""
-    made = models.stationarity(fixtures.spreads(spark, sf_dir), ["pair"], "spread")
+    made = models.gate(fixtures.spreads(spark, sf_dir), ["pair"], "spread")
     at = lambda c, k=5: (F.round(c, k) + 0.0).alias(c.rpartition(".")[2])
     return made.select("pair", at("adf.statistic"), at("adf.pvalue"), at("ljung_box.min_pvalue", 6), at("hurst.exponent"), "hurst.n_windows", "edge_confirmed", "edge_type", "reason")
 

@@ -185,3 +185,31 @@ def test_training_in_ten_chunks(spark, monkeypatch):
         assert math.isclose(r.log_like, want["log_likes"][-1], rel_tol=1e-9)
         for c in ("pi", "trans", "mu", "sigma"):
             assert np.abs(np.array(r[c]) - want[c].ravel()).max() < 1e-8, (name, c)
+
+
+def test_unit_root_by_block_and_whole_gate(spark):
+    rng = np.random.default_rng(9)
+    ar = np.zeros(1500)
+    for k in range(1, 1500):
+        ar[k] = 0.7 * ar[k - 1] + rng.normal(0, 1) + (0.4 * (ar[k - 1] - ar[k - 2]) if k > 1 else 0.0)
+    gaps = ar.copy()
+    gaps[rng.integers(0, 1500, 100)] = np.nan
+    values = {"ar": ar + 1000, "gaps": gaps, "walk": np.cumsum(rng.normal(0, 1, 900)), "short": ar[:300], "flat": np.ones(600)}
+    rows = frame(spark, {"ar": [values["ar"]]}, "x")
+    for k in ("gaps", "walk", "short", "flat"):
+        rows = rows.unionByName(frame(spark, {k: [values[k]]}, "x"))
+    for size in (64, 16_384):
+        got = {r.pair: r for r in models.unit_root(rows, ["pair"], size=size).collect()}
+        assert set(got) == set(values) and got["flat"].error and not got["flat"].is_stationary and got["short"].error == "too short"
+        for k in ("ar", "gaps", "walk"):
+            want = K.unit_root_test(values[k])
+            assert (got[k].n_lags, got[k].n_obs, got[k].error) == (want["n_lags"], want["n_obs"], "") and math.isclose(got[k].statistic, want["statistic"], rel_tol=1e-7)
+            assert math.isclose(got[k].pvalue, want["pvalue"], rel_tol=1e-6, abs_tol=1e-9)
+    some = rows.where("pair <> 'flat'")
+    want = {r.pair: r for r in models.stationarity(some, ["pair"]).collect()}
+    for r in models.gate(some, ["pair"]).collect():
+        w = want.pop(r.pair)
+        assert (r.series_length, r.edge_confirmed, r.edge_type, r.reason) == (w.series_length, w.edge_confirmed, w.edge_type, w.reason)
+        assert math.isclose(r.adf.pvalue, w.adf.pvalue, rel_tol=1e-6, abs_tol=1e-9) and r.hurst.n_windows == w.hurst.n_windows and math.isclose(r.hurst.exponent, w.hurst.exponent, rel_tol=1e-9)
+        assert math.isclose(r.ljung_box.min_pvalue, w.ljung_box.min_pvalue, rel_tol=1e-7, abs_tol=1e-12)
+    assert not want
