@@ -674,20 +674,33 @@ _hurst = ORACLE["hurst_rs"][len(f"WITH {STEPS}") :]
 GATE = ADF + ", dl AS (SELECT pair, idx, spread AS x FROM sp), dh AS (SELECT pair, i AS idx, d AS x FROM xs WHERE d IS NOT NULL)" + LB[len(STEPS) :].replace("FROM d)", "FROM dl)").replace("lg AS", "ll AS").replace("FROM lg", "FROM ll")
 GATE += _hurst[: _hurst.index("SELECT pair, round(regr_slope")].replace("FROM d)", "FROM dh)") + f""", hu AS (SELECT pair, regr_slope(ln(rs), ln(size)) AS h, count(*) AS n_windows FROM pt GROUP BY 1),
     qs AS (SELECT pair, {_q(5)} AS q5, {_q(10)} AS q10, {_q(20)} AS q20 FROM ac), lb AS (SELECT pair, least({sql_tail('q5', 5)}, {sql_tail('q10', 10)}, {sql_tail('q20', 20)}) AS q FROM qs),
-    gt AS (SELECT pair, tau, p, q, h, n_windows, CASE WHEN NOT p < 0.05 THEN 'unit root not rejected' WHEN NOT q < 0.05 THEN 'no autocorrelation' WHEN NOT n_windows >= 4 THEN 'no exponent' WHEN h < 0.45 OR h > 0.55 THEN 'all three tests pass' ELSE 'random walk zone' END AS reason FROM af JOIN lb USING (pair) JOIN hu USING (pair))"""
+    gt AS (SELECT pair, tau, p, q, CASE WHEN n_windows >= 4 THEN h ELSE 0.5 END AS h, coalesce(n_windows, 0) AS n_windows, CASE WHEN NOT p < 0.05 THEN 'unit root not rejected' WHEN NOT q < 0.05 THEN 'no autocorrelation' WHEN NOT coalesce(n_windows >= 4, false) THEN 'no exponent' WHEN h < 0.45 OR h > 0.55 THEN 'all three tests pass' ELSE 'random walk zone' END AS reason FROM af JOIN lb USING (pair) LEFT JOIN hu USING (pair))"""
+GATE_OUT = "round(tau, 5) AS statistic, round(p, 5) + 0.0 AS pvalue, round(q, 6) + 0.0 AS min_pvalue, round(h, 5) AS exponent, n_windows, reason = 'all three tests pass' AS edge_confirmed, CASE WHEN reason <> 'all three tests pass' THEN 'none' WHEN h < 0.45 THEN 'mean_reverting' ELSE 'trending' END AS edge_type, reason"
 
 
-@query(f"WITH {GATE} SELECT pair, round(tau, 5) AS statistic, round(p, 5) + 0.0 AS pvalue, round(q, 6) + 0.0 AS min_pvalue, round(h, 5) AS exponent, n_windows, reason = 'all three tests pass' AS edge_confirmed, CASE WHEN reason <> 'all three tests pass' THEN 'none' WHEN h < 0.45 THEN 'mean_reverting' ELSE 'trending' END AS edge_type, reason FROM gt")
+def _gate_out(made: DataFrame, *keys: str) -> DataFrame:
+    at = lambda c, k=5: (F.round(c, k) + 0.0).alias(c.rpartition(".")[2])
+    return made.select(*keys, at("adf.statistic"), at("adf.pvalue"), at("ljung_box.min_pvalue", 6), at("hurst.exponent"), "hurst.n_windows", "edge_confirmed", "edge_type", "reason")
+
+
+@query(f"WITH {GATE} SELECT pair, {GATE_OUT} FROM gt")
 def stationarity_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three tests of each whole series and the edge they confirm."""
-    made = models.gate(fixtures.spreads(spark, sf_dir), ["pair"], "spread")
-    at = lambda c, k=5: (F.round(c, k) + 0.0).alias(c.rpartition(".")[2])
-    return made.select("pair", at("adf.statistic"), at("adf.pvalue"), at("ljung_box.min_pvalue", 6), at("hurst.exponent"), "hurst.n_windows", "edge_confirmed", "edge_type", "reason")
+    return _gate_out(models.gate(fixtures.spreads(spark, sf_dir), ["pair"], "spread"), "pair")
 
 
-@query()
+# The same tests, with each window of five hundred rows as a series of its own.
+_head = HEDGE.replace("b0 AS", "RECURSIVE b0 AS", 1)
+GATE_ROLL = _head.replace(" sp AS (", " s0 AS (") + """,
+    wn AS (SELECT pair, count(*) AS n FROM s0 GROUP BY 1), ws AS (SELECT pair, unnest(range(0, (n - 500) // 100 + 1)) AS w FROM wn WHERE n >= 500),
+    sp AS (SELECT s0.pair || '#' || (w + 1) AS pair, idx, spread FROM s0 JOIN ws ON ws.pair = s0.pair AND idx BETWEEN w * 100 AND w * 100 + 499)""" + GATE[len(_head) :]
+
+
+@query(f"WITH {GATE_ROLL} SELECT split_part(pair, '#', 1) AS pair, split_part(pair, '#', 2)::INT AS window_id, {GATE_OUT} FROM gt")
 def stationarity_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return models.stationarity(pairs.windowed(fixtures.spreads(spark, sf_dir), 500, 100, whole_if_short=True), ["pair", "window_id"], "spread")
+    """The three tests of each window of five hundred rows, one every hundred."""
+    made = models.stationarity(pairs.windowed(fixtures.spreads(spark, sf_dir), 500, 100), ["pair", "window_id"], "spread")
+    return _gate_out(made, "pair", "window_id")
 
 
 @query()
