@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import time
 
 import numpy as np
 
@@ -81,3 +82,49 @@ def test_windows_by_count_over_batches(spark, tmp_path):
     want = [(w + 1, 6 * w, 6 * w + 19) for w in range((57 - 20) // 6 + 1)]
     assert [(r.window_id, r.first_idx, r.last_idx) for r in got] == want and {r.pair for r in got} == {"x"}
     assert all(r["values"] == [float(k) for k in range(r.first_idx, r.last_idx + 1)] for r in got)
+
+
+def test_windows_and_regimes_after_a_reset(spark, tmp_path):
+    df = spark.createDataFrame([("x", k, float(k), k == 17) for k in range(45)], "pair string, idx long, v double, reset boolean")
+    for lo, hi in ((0, 12), (12, 45)):
+        df.where(f"idx >= {lo} and idx < {hi}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    got = run(online.windowed(stream, 10, 5, "v"), str(tmp_path), "out").orderBy("first_idx").collect()
+    assert [(r.window_id, r.first_idx, r.last_idx) for r in got] == [(1, 0, 9), (2, 5, 14), *((k + 1, 17 + 5 * k, 26 + 5 * k) for k in range(4))]
+    rng = np.random.default_rng(6)
+    obs = np.abs(np.concatenate([rng.normal(m, 0.2, (250, 4)) for m in (0.5, 1.5, 3.0)]))
+    m = K.train_regimes(obs, 1)
+    part = obs[rng.integers(0, 750, 60)]
+    rows = spark.createDataFrame([("p", k, *map(float, o), k in (20, 40)) for k, o in enumerate(part)], "pair string, idx long, f0 double, f1 double, f2 double, f3 double, reset boolean")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/obs")
+    want = []
+    for k, o in enumerate(part):
+        f = K.Regimes(m["pi"], m["trans"], m["mu"], m["sigma"]) if k in (0, 20, 40) else f
+        want.append(f.step(o)[1])
+    stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/obs")
+    assert [r.state for r in run(online.regimes(stream, m), str(tmp_path), "states").orderBy("idx").collect()] == want
+
+
+def test_an_idle_pair_loses_its_state(spark, tmp_path):
+    rng = np.random.default_rng(7)
+    obs = [(float(a), float(b)) for a, b in rng.normal(5, 1, (40, 2))]
+    df = spark.createDataFrame([("x", k, *o) for k, o in enumerate(obs)], "pair string, idx long, lp_a double, lp_b double")
+    whole, again = K.Hedge(), K.Hedge()
+    want = [whole.step(*o) for o in obs]
+    for idle, name in ((200, "short"), (3_600_000, "long")):
+        folder = f"{tmp_path}/{name}"
+        df.where("idx < 20").coalesce(1).write.parquet(f"{folder}/in/a")
+        stream = online.hedge(spark.readStream.schema(df.schema).option("recursiveFileLookup", True).parquet(f"{folder}/in"), idle_ms=idle)
+        q = stream.writeStream.format("memory").queryName(f"idle_{name}").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(processingTime="300 milliseconds").start()
+        try:
+            for n in (20, 40):
+                end = time.time() + 40
+                while spark.table(f"idle_{name}").count() < n and time.time() < end:
+                    time.sleep(0.3)
+                if n == 20:
+                    time.sleep(1.5)  # far beyond the short idle time
+                    df.where("idx >= 20").coalesce(1).write.parquet(f"{folder}/in/b")
+            got = {r.idx: tuple(r)[2:] for r in spark.table(f"idle_{name}").collect()}
+        finally:
+            q.stop()
+        assert [got[k] for k in range(40)] == (want if name == "long" else want[:20] + [again.step(*o) for o in obs[20:]])
