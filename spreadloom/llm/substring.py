@@ -39,6 +39,8 @@ MOST_BITS = 30
 CROWDED, CROWDED_PART = 2000, 1 << 16
 #: Documents with a null doc_id come before all others, in the order of their texts' hashes.
 NULL_ID, NULL_IDS = -(2**63), 1 << 61
+#: Of rows that share a doc_id with different texts, the k-th one's words count from k times two to this.
+ROW_BITS = 31
 
 
 def _anchors(w: Words, h: np.ndarray, width: int, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -216,12 +218,12 @@ def _later_windows(docs: DataFrame, anchors: Filter, crowded: np.ndarray, n_byte
             start, n = start + first, last - first + 1
             order = np.array(send, np.int64)[np.argsort(group[send], kind="stable")]
             cuts = np.flatnonzero(np.diff(group[order], prepend=-1)) if len(order) else order
-            rows = [(int(group[order[a]]), [b"\n".join(words[order[a:z]]), did[order[a:z]].tobytes(), start[order[a:z]].astype(np.int32).tobytes(), n[order[a:z]].astype(np.int32).tobytes()]) for a, z in zip(cuts, [*cuts[1:], len(order)], strict=True)]
-            return _batch(rows + [(g, [b"", x, y, z]) for g, (x, y, z) in _packed(d % parts, d, p.astype(np.int32), m.astype(np.int32))], 4)
+            rows = [(int(group[order[a]]), [b"\n".join(words[order[a:z]]), did[order[a:z]].tobytes(), start[order[a:z]].astype(np.int64).tobytes(), n[order[a:z]].astype(np.int32).tobytes()]) for a, z in zip(cuts, [*cuts[1:], len(order)], strict=True)]
+            return _batch(rows + [(g, [b"", x, y, z]) for g, (x, y, z) in _packed(d % parts, d, p, m.astype(np.int32))], 4)
 
         for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for a, buf, offs in steps(b.column(1)):
+            ids, nth = (b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
+            for a, buf, offs in steps(b.column(2)):
                 w = Words(buf, offs, "space")
                 h = w.hashes()
                 at, anchor, g = _anchors(w, h, width, run)
@@ -247,7 +249,7 @@ def _later_windows(docs: DataFrame, anchors: Filter, crowded: np.ndarray, n_byte
                 words = np.empty(len(n), object)
                 words[:] = [raw[x:y] if ok else b" ".join(raw[x:y].split()) for x, y, ok in zip(lo.tolist(), hi.tolist(), plain.tolist(), strict=True)]
                 row = w.rows_of(begin)
-                held.append(((key >> np.uint64(20)) % np.uint64(parts), words, ids[a + row], begin - w.first[row], n))
+                held.append(((key >> np.uint64(20)) % np.uint64(parts), words, ids[a + row], (nth[a + row] << ROW_BITS) + begin - w.first[row], n))
                 held[-1] = (held[-1][0].astype(np.int64), *held[-1][1:])
                 size += int(n.sum())
                 if size >= HELD_SUFFIXES:
@@ -261,32 +263,35 @@ def _later_windows(docs: DataFrame, anchors: Filter, crowded: np.ndarray, n_byte
         out = []
         if new := [r for r in rows if r[0]]:
             words = pa.array([x for r in new for x in r[0].split(b"\n")], pa.binary())
-            did, start, n = (np.frombuffer(b"".join(r[k] for r in new), t) for k, t in ((1, np.int64), (2, np.int32), (3, np.int32)))
-            out.append(Segments(words, did, start.astype(np.int64), n.astype(np.int64)).later(width)[0])
-        out += [(np.frombuffer(r[1], np.int64), np.frombuffer(r[2], np.int32), np.frombuffer(r[3], np.int32)) for r in rows if not r[0]]
+            did, start, n = (np.frombuffer(b"".join(r[k] for r in new), t) for k, t in ((1, np.int64), (2, np.int64), (3, np.int32)))
+            out.append(Segments(words, did, start, n.astype(np.int64)).later(width)[0])
+        out += [(np.frombuffer(r[1], np.int64), np.frombuffer(r[2], np.int64), np.frombuffer(r[3], np.int32)) for r in rows if not r[0]]
         did, start, n = (np.concatenate(x) for x in zip(*out, strict=True))
-        return pa.table({"did": did, "start": start.astype(np.int32), "length": n.astype(np.int32)})
+        return pa.table({"did": did, "start": start.astype(np.int64), "length": n.astype(np.int32)})
 
-    sent = docs.select("did", "text").mapInArrow(suffixes, "group int, c0 binary, c1 binary, c2 binary, c3 binary")
-    found = sent.groupBy("group").applyInArrow(group, "did long, start int, length int")
-    found = stored(found.groupBy("did").agg(F.collect_list(F.struct("start", "length")).alias("runs")), "passage-runs")
+    sent = docs.select("did", "nth", "text").mapInArrow(suffixes, "group int, c0 binary, c1 binary, c2 binary, c3 binary")
+    found = sent.groupBy("group").applyInArrow(group, "did long, start long, length int")
+    word = F.col("start").bitwiseAND(F.lit((1 << ROW_BITS) - 1))
+    found = found.select("did", F.shiftright("start", ROW_BITS).alias("nth"), F.struct(word.alias("start"), "length").alias("run"))
+    found = stored(found.groupBy("did", "nth").agg(F.collect_list("run").alias("runs")), "passage-runs")
     shared.destroy()
     return found
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text) with ``did``, which orders documents: doc_id, unless that repeats with different texts."""
+    """``docs`` (doc_id, text) with ``did`` and ``nth``, which order documents: doc_id, and where that repeats with different
+    texts the place of the text among those by hash (else 0)."""
     of_null = F.lit(NULL_ID) + F.pmod(F.xxhash64("text"), F.lit(NULL_IDS))
     did = F.coalesce(F.col("doc_id").cast("long"), of_null)
     texts = docs.where("doc_id is not null").select(did.alias("did"), F.xxhash64("text").alias("th"))
     several = texts.groupBy("did").agg(F.countDistinct("th").alias("n")).where("n > 1")
-    most = several.agg(F.max("n")).first()[0]
-    if not most:
-        return docs.withColumn("did", did)
+    several = stored(several.select("did"), "passage-several")
+    if several.isEmpty():
+        return docs.withColumn("did", did).withColumn("nth", F.lit(0).cast("long"))
     rank = F.row_number().over(Window.partitionBy("did").orderBy("th")) - 1
-    names = stored(texts.join(several.select("did"), "did", "left_semi").distinct().withColumn("k", rank), "passage-names")
+    names = stored(texts.join(several, "did", "left_semi").distinct().withColumn("k", rank), "passage-names")
     named = docs.withColumn("d0", did).withColumn("th", F.xxhash64("text")).join(small_side(names.withColumnRenamed("did", "d0")), ["d0", "th"], "left")
-    return named.withColumn("did", F.when(F.col("doc_id").isNull(), F.col("d0")).otherwise(F.col("d0") * most + F.coalesce("k", F.lit(0)))).select(*docs.columns, "did")
+    return named.select(*docs.columns, F.col("d0").alias("did"), F.coalesce("k", F.lit(0)).cast("long").alias("nth"))
 
 
 def without_repeats(docs: DataFrame, width: int = WIDTH, with_text: bool = False) -> DataFrame:
@@ -321,5 +326,5 @@ def without_repeats(docs: DataFrame, width: int = WIDTH, with_text: bool = False
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=False))], names)
 
     names = ["doc_id", "n_words", "n_removed", "kept_sha256", *(["kept_text"] if with_text else [])]
-    joined = docs.join(per_doc, "did", "left").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "runs")
+    joined = docs.join(per_doc, ["did", "nth"], "left").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "runs")
     return joined.mapInArrow(rest, "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else ""))

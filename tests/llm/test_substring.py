@@ -84,3 +84,16 @@ def test_repeated_and_null_ids_and_empty(spark):
     assert {(r.doc_id, r.n_removed) for r in got if r.doc_id in (None, 2)} == {(None, 0), (2, 30)}
     assert len({r.n_removed for r in got if r.doc_id == 1 and r.n_words == 30}) == 1
     assert substring.without_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_large_ids_that_repeat(spark):
+    rng = random.Random(5)
+    fresh = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    a, b = fresh(30), fresh(25)
+    ids = (6 * 10**18, -6 * 10**18, 2**63 - 1, -(2**63) + 2**62)
+    rows = [(k, f"{fresh(9)} {t} {fresh(4)}") for k in ids for t in (a, b, fresh(30))] + [(ids[0], f"{a} and {a}"), (5, a), (5, fresh(40))]
+    got = substring.without_repeats(spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA).repartition(4), with_text=True).collect()
+    assert len(got) == len(rows) and sum(r.n_removed for r in got) == 30 * 6 + 25 * 3
+    least = min(ids)  # the smallest doc_id has the first of each passage
+    assert {t for t in (a, b) for r in got if r.doc_id == least and t in r.kept_text} == {a, b}
+    assert not [r for r in got if r.doc_id != least and (a in r.kept_text or b in r.kept_text)]
