@@ -85,13 +85,13 @@ def hedge_noise(a: np.ndarray, b: np.ndarray, share: float = 0.3) -> tuple[float
     return max(r * 0.01, 1e-8), r
 
 
-def average_true_range(high: np.ndarray, low: np.ndarray, close: np.ndarray, period: int = 14) -> np.ndarray:
-    """Exponential mean of the true range, started at the first."""
-    before = np.concatenate([[np.nan], close[:-1]])
+def average_true_range(high: np.ndarray, low: np.ndarray, close: np.ndarray, period: int = 14, before: float = np.nan, last: float | None = None) -> np.ndarray:
+    """Exponential mean of the true range, started at the first, or from the ``last`` mean and the close ``before``."""
+    before = np.concatenate([[before], close[:-1]])
     tr = np.fmax(high - low, np.fmax(np.abs(high - before), np.abs(low - before)))
-    k, out, last = 2.0 / (period + 1), np.empty(len(tr)), 0.0
+    k, out = 2.0 / (period + 1), np.empty(len(tr))
     for i, t in enumerate(tr.tolist()):
-        last = t if i == 0 else t * k + last * (1 - k)
+        last = t if last is None else t * k + last * (1 - k)
         out[i] = last
     return out
 

@@ -4,6 +4,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -170,6 +171,37 @@ def test_backtest(spark):
         backtest.Settings(risk=0.5)
 
 
+@pytest.mark.parametrize("batch", [75, 10_000])
+def test_whole_series_in_batches(spark, batch):
+    """Handing state from batch to batch gives what one window with all bars gives."""
+    rows = market(spark).unionByName(market(spark, 399, 5).withColumn("pair", F.lit("C-D"))).unionByName(market(spark, 1100, 7).withColumn("pair", F.lit("E-F")).withColumn("valid", F.col("idx") % 5 != 0))
+    want, want_runs = backtest.run(rows.withColumn("window_id", F.lit(1)).withColumn("i", F.col("idx")), SETTINGS)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got, runs = backtest.backtest(rows, SETTINGS)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    for a, b, order in ((got, want, ["pair"]), (backtest.trades(runs), backtest.trades(want_runs), ["pair", "bar_entry"]), (backtest.equity(runs), backtest.equity(want_runs), ["pair", "idx"])):
+        assert a.columns == b.columns
+        a, b = (x.orderBy(*order).collect() for x in (a, b))
+        assert len(a) == len(b) > 2
+        for x, y in zip(a, b, strict=True):
+            assert all(u == v or math.isclose(u, v, rel_tol=1e-12) for u, v in zip(x, y, strict=True)), (x, y)
+    assert [r.ok for r in got.orderBy("pair").collect()] == [True, False, True] and runs.where("state is null and i >= 300").count() > 0
+
+
+def test_state_of_a_whole_series_is_bounded():
+    s = SETTINGS
+    f = backtest._Filter(s)
+    n = 400
+    for k in range(12):
+        i = np.arange(k * n, (k + 1) * n)
+        x = np.sin(i / 9.0) / 100
+        f(pd.DataFrame({"pair": "p", "i": i, "lp_a": x, "lp_b": x / 2, "close_a": 100.0, "high_a": 101.0, "low_a": 99.0, "volume_a": 1.0, "valid": True}))
+    assert len(f.spread) == len(f.innov) == len(f.volume) == 500 and not f.waiting and f.k == 12 * n
+
+
 def test_walk_forward(spark):
     verdicts, made, runs = backtest.walk_forward(market(spark), 600, 300, 300, SETTINGS)
     rows = made.orderBy("window_id").collect()
