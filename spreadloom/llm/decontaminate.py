@@ -7,14 +7,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spreadloom.llm.arrow import with_columns_from_text
+from spreadloom.llm.store import small_side, stored
 
 #: Words of a window, bytes of a block, and patterns of one search (a larger benchmark takes more searches).
 WINDOW, BLOCK, PASS_PATTERNS = 10, 8, 200_000
+#: Windows sent out at a time: some 250 MB in each worker. A benchmark with more takes several scans of the documents.
+SENT_PATTERNS = 1_000_000
 #: Item texts gathered for one search are bounded by this many rows.
 PASS_ITEMS = 20_000
 #: The most bits of a shift table's index, and bytes of text that one of the places searched side by side starts after another.
@@ -124,6 +128,19 @@ def _passes(items: DataFrame, width: int) -> Iterator[dict[bytes, set[str]]]:
         yield block
 
 
+def _sendings(items: DataFrame, width: int) -> Iterator[list[tuple[list[bytes], list[list[str]]]]]:
+    """Blocks of patterns with the ids of each, as many at a time as are sent out together; at least one sending."""
+    group, n = [], 0
+    for block in _passes(items, width):
+        if group and n + len(block) > SENT_PATTERNS:
+            yield group
+            group, n = [], 0
+        if block:
+            group.append((list(block), [sorted(x) for x in block.values()]))
+            n += len(block)
+    yield group
+
+
 def _found(texts: list[bytes], searches: list[tuple[WuManber, np.ndarray, list[list[str]]]]) -> tuple[list, list, list]:
     """(words hit, ids found, spans) of some normalised texts."""
     offs = np.cumsum([0] + [len(t) + 1 for t in texts])
@@ -144,17 +161,8 @@ def _found(texts: list[bytes], searches: list[tuple[WuManber, np.ndarray, list[l
     return (total[before[1:]] - total[before[:-1]]).tolist(), [sorted(x) for x in ids], spans
 
 
-def hits(docs: DataFrame, items: DataFrame, carry: tuple[str, ...] = ("doc_id",), width: int = WINDOW) -> DataFrame:
-    """For each document: words, words inside any occurrence of an item's window, and the items found.
-
-    Adds n_words, n_hit, n_items, items_sha256 (of the sorted, comma-joined item ids), contaminated and spans (start and
-    end words of the occurrences, in pairs). A null or empty text has no words and is clean; an item with a null
-    id is searched for but gives no id, a null or empty item text has no windows; repeated rows and items count once each; empty
-    tables are allowed on either side. The items are a stated query set, sent out once in blocks of bounded size; a task
-    searches its texts for one block after another, without a shuffle. A block of 200,000 windows takes about 60 MB.
-    """
-    blocks = [(list(b), [sorted(x) for x in b.values()]) for b in _passes(items, width) if b]
-    shared = docs.sparkSession.sparkContext.broadcast(blocks)
+def _searched(docs: DataFrame, carry: list[str], shared: Broadcast) -> DataFrame:
+    """``carry``, n_words, n_hit, __found and spans of each document, from the windows of one sending."""
 
     def make():
         searches = [(WuManber(p), np.array([x.count(b" ") - 1 for x in p], np.int64), names) for p, names in shared.value]
@@ -180,8 +188,51 @@ def hits(docs: DataFrame, items: DataFrame, carry: tuple[str, ...] = ("doc_id",)
         return run
 
     new = T.StructType().add("n_words", T.LongType()).add("n_hit", T.LongType()).add("__found", T.ArrayType(T.StringType())).add("spans", T.ArrayType(T.IntegerType()))
-    made = with_columns_from_text(docs, [c for c in carry if c not in ("n_items", "items_sha256", "contaminated")], new, make)
-    own = [c for c in made.columns if c not in new.names]
+    return with_columns_from_text(docs, carry, new, make)
+
+
+def _joined(made: DataFrame, earlier: list[DataFrame]) -> DataFrame:
+    """``made`` of the last sending with what the earlier ones found in the same texts."""
+    both = earlier[0]
+    for more in earlier[1:]:
+        both = both.unionByName(more)
+    all_of = lambda c: F.flatten(F.collect_list(c))
+    found = stored(both.groupBy("__text").agg(all_of("__found").alias("__f"), all_of("spans").alias("__s")), "leaks")
+    out = made.join(small_side(found), "__text", "left")
+    none = lambda c: F.coalesce(c, F.array())
+    out = out.withColumn("__found", F.array_sort(F.array_union("__found", none("__f")))).withColumn("spans", F.concat("spans", none("__s")))
+    # Words inside any span: in order of their starts, each adds what stands beyond the ends so far.
+    n = (F.size("spans") / 2).cast("int")
+    ends = F.array_sort(F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), lambda k: F.struct(F.get("spans", 2 * k).alias("a"), F.get("spans", 2 * k + 1).alias("b"))))
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
+    add = lambda acc, p: F.struct((acc["n"] + F.greatest(p["b"] - F.greatest(p["a"], acc["end"]), F.lit(0))).alias("n"), F.greatest(acc["end"], p["b"]).alias("end"))
+    return out.withColumn("n_hit", F.aggregate(ends, start, add, lambda acc: acc["n"].cast("long"))).drop("__text", "__f", "__s")
+
+
+def hits(docs: DataFrame, items: DataFrame, carry: tuple[str, ...] = ("doc_id",), width: int = WINDOW) -> DataFrame:
+    """For each document: words, words inside any occurrence of an item's window, and the items found.
+
+    Adds n_words, n_hit, n_items, items_sha256 (of the sorted, comma-joined item ids), contaminated and spans (start and
+    end words of the occurrences, in pairs). A null or empty text has no words and is clean; an item with a null
+    id is searched for but gives no id, a null or empty item text has no windows; repeated rows and items count once each; empty
+    tables are allowed on either side. The items are a stated query set. Up to ``SENT_PATTERNS`` windows are sent out at a
+    time, and a task searches its texts for them without a shuffle. Of a larger benchmark all sendings but the last are a
+    scan of their own, whose hits are stored by text and joined with those of the last: a worker's memory has a bound, and
+    the scans grow with the items.
+    """
+    context, earlier, waiting = docs.sparkSession.sparkContext, [], None
+    for blocks in _sendings(items, width):
+        if waiting is not None:
+            docs = docs.withColumn("__text", F.sha2(F.col("text").cast("binary"), 256)) if not earlier else docs
+            shared = context.broadcast(waiting)
+            hit = _searched(docs, ["__text"], shared).where("n_hit > 0")
+            earlier.append(stored(hit.groupBy("__text").agg(F.first("__found").alias("__found"), F.first("spans").alias("spans")), "leaks-part"))
+            shared.destroy()
+        waiting = blocks
+    own = [c for c in carry if c not in ("n_items", "items_sha256", "contaminated")]
+    made = _searched(docs, own + ["__text"] * bool(earlier), context.broadcast(waiting))
+    made = _joined(made, earlier) if earlier else made
+    own = [c for c in made.columns if c not in ("n_words", "n_hit", "__found", "spans")]
     return made.select(
         *own, "n_words", "n_hit", F.size("__found").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "__found").cast("binary"), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"), "spans",

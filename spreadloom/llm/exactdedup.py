@@ -92,17 +92,19 @@ def without_copies(docs: DataFrame) -> DataFrame:
     Documents go by doc_id; where one doc_id has both kept and dropped rows (repeated rows), one row of each of its kept
     texts stays.
     """
+    own = [f"__c{k}" for k in range(len(docs.columns))]
+    doc_id, text = (F.col(own[docs.columns.index(c)]) for c in ("doc_id", "text"))
     rows, found = groups(docs)
     placed = rows.join(small_side(found), "__sha").withColumn("kept", F.col("__row") == F.col("__keep_row"))
     verdict = stored(placed.groupBy(F.coalesce("doc_id", F.lit(-(2**63))).alias("__id"), F.col("doc_id").isNull().alias("__none")).agg(F.max("kept").alias("any"), F.min("kept").alias("all")), "exact-verdicts").where("not all")
-    keyed = docs.withColumn("__id", F.coalesce("doc_id", F.lit(-(2**63)))).withColumn("__none", F.col("doc_id").isNull())
+    keyed = docs.toDF(*own).select(*own, F.coalesce(doc_id, F.lit(-(2**63))).alias("__id"), doc_id.isNull().alias("__none"))
     dropped, mixed = verdict.where("not any").select("__id", "__none"), verdict.where("any").select("__id", "__none")
     if verdict.where("any").isEmpty() and verdict.where("__none").isEmpty():
-        return keyed.join(small_side(dropped), ["__id", "__none"], "left_anti").drop("__id", "__none")
+        return keyed.join(small_side(dropped), ["__id", "__none"], "left_anti").select(own).toDF(*docs.columns)
     # Rows that repeat a doc_id: each is set against the groups by its text.
     bad = dropped.unionByName(mixed)
     rest = keyed.join(small_side(bad), ["__id", "__none"], "left_anti")
-    odd = fingerprinted(keyed.join(small_side(bad), ["__id", "__none"], "left_semi"))
+    odd = fingerprinted(keyed.join(small_side(bad), ["__id", "__none"], "left_semi").withColumn("text", text))
     firsts = found.select("__sha", F.col("keep_id").alias("__keep_id"), F.lit(True).alias("__grouped"))
-    odd = odd.join(small_side(firsts), "__sha", "left").where("__grouped is null or doc_id <=> __keep_id")
-    return rest.unionByName(odd.dropDuplicates(["__id", "__none", "__sha"]).select(rest.columns)).drop("__id", "__none")
+    odd = odd.join(small_side(firsts), "__sha", "left").where(F.col("__grouped").isNull() | doc_id.eqNullSafe(F.col("__keep_id")))
+    return rest.unionByName(odd.dropDuplicates(["__id", "__none", "__sha"]).select(rest.columns)).select(own).toDF(*docs.columns)

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -44,7 +45,8 @@ def test_documents(spark, data):
     assert sorted(map(tuple, got)) == sorted(want) and any(x[5] for x in want)
 
 
-def test_corners_in_several_passes(spark, monkeypatch):
+@pytest.mark.parametrize("sent", [10, 20, 10**6])
+def test_corners_in_several_passes(spark, monkeypatch, sent):
     rng = random.Random(5)
     vocabulary = ["a", "B", "ab", "é", "ß9", "Z"]
     text = lambda n: rng.choice([" ", "-", "\n"]).join(rng.choice(vocabulary) for _ in range(n))
@@ -52,7 +54,9 @@ def test_corners_in_several_passes(spark, monkeypatch):
     docs = [(k, text(rng.randrange(40)), "x", 1) for k in range(60)] + [(100, None, None, None), (101, "", "x", 0), (102, text(20_000), "x", 1), (None, "ab ab ab", "x", 1), (1, "a", "x", 1)]
     monkeypatch.setattr(decontaminate, "PASS_PATTERNS", 9)
     monkeypatch.setattr(decontaminate, "PASS_ITEMS", 7)
+    monkeypatch.setattr(decontaminate, "SENT_PATTERNS", sent)
     d, i = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)
+    assert (len(list(decontaminate._sendings(i, 10))) > 1) == (sent < 10**6)
     got = decontaminate.hits(d, i).collect()
     want = brute([r[:2] for r in docs], [r[:2] for r in items if r[0] is not None])
     key = lambda r: (r[0] is not None, r)

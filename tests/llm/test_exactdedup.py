@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from spreadloom.llm import cqf, exactdedup, queries
 
@@ -55,6 +56,10 @@ def test_repeated_rows_null_ids_and_empty(spark):
     assert all(sum(r.kept for r in g) == 1 and {r.group_size for r in g} == {len(g)} for g in by.values())
     kept = exactdedup.without_copies(docs).collect()
     assert sorted((r.text, r.doc_id or 0) for r in kept) == [("a", 1), ("b", 0), ("c", 2), ("d", 2)]
+    clash = docs.toDF("doc_id", "text", "__id", "__none").withColumn("__sha", F.lit("x")).withColumn("__c0", F.lit(7))
+    again = exactdedup.without_copies(clash)
+    assert again.columns == clash.columns and sorted((r.text, r.doc_id or 0) for r in again.collect()) == sorted((r.text, r.doc_id or 0) for r in kept)
+    assert {(r["__id"], r["__none"], r["__sha"], r["__c0"]) for r in again.collect()} == {(1, "z", "x", 7)}
     empty = spark.createDataFrame([], SCHEMA)
     assert exactdedup.exact_duplicates(empty).count() == 0 and exactdedup.without_copies(empty).count() == 0
 
