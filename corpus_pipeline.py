@@ -1,6 +1,7 @@
 """The corpus pipeline: five stages, each over all that the one before it kept.
 
-``run`` writes what each stage returns as Parquet into the shared folder and reads it again for the next one.
+``run`` writes what each stage returns as Parquet into the shared folder and reads it again for the next one; once the next
+one's rows are written, they go.
 """
 
 from __future__ import annotations
@@ -8,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from spreadloom.llm import bpe, decontaminate, exactdedup, langid, minhash
-from spreadloom.llm.store import stored
+from spreadloom.llm.store import dropped, stored
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +51,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages in order, from ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        dropped(*last)
+        last = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
