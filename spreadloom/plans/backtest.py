@@ -418,25 +418,40 @@ def backtest(rows: DataFrame, s: Settings = Settings()) -> tuple[DataFrame, Data
 
 
 # ---- windows ----------------------------------------------------------------------------------------------------------
-def run(rows: DataFrame, s: Settings = Settings()) -> tuple[DataFrame, DataFrame]:  # noqa: B008
+def given_regimes(windows: DataFrame, regimes: DataFrame, s: Settings) -> DataFrame:
+    """(pair, window_id, at, model) of models that were fitted elsewhere, a table of some rows a pair.
+
+    ``regimes`` has pair, pi, trans, mu, sigma and is_valid; with a ``window_id`` a model is of that window alone, else of
+    each window of its pair, and with ``at`` it holds from that bar of the window on, else from the warm-up's end.
+    """
+    keys = ["pair", "window_id"] if "window_id" in regimes.columns else ["pair"]
+    at = F.col("at") if "at" in regimes.columns else F.lit(s.warm_up)
+    known = regimes.select(*keys, at.cast("int").alias("at"), "pi", "trans", "mu", "sigma", "is_valid")
+    return windows.select("pair", "window_id").join(known, keys).select("pair", "window_id", "at", "pi", "trans", "mu", "sigma", "is_valid")
+
+
+def run(rows: DataFrame, s: Settings = Settings(), regimes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:  # noqa: B008
     """(results, runs) of rows that have their ``window_id`` and ``i``, the place within it.
 
+    With ``regimes``, models that are given (see ``given_regimes``), none are fitted; a window without one stays in state 1.
     The hedge's spreads and the runs are written to the shared folder, so that a lost executor costs no fit twice.
     """
     windows = stored(filtered(rows, s), "backtest-windows")
-    runs = stored(simulated(windows, regime_fits(windows, s), s), "backtest-runs")
+    fits = regime_fits(windows, s) if regimes is None else given_regimes(windows, regimes, s)
+    runs = stored(simulated(windows, fits, s), "backtest-runs")
     base = windows.select("pair", "window_id", F.col("n").alias("n_bars"), F.col("days").alias("observation_days"), F.col("start").alias("start_date"), F.col("end").alias("end_date"))
     return results(base, runs.drop("trades", "equity"), trades(runs), s), runs
 
 
-def walk_forward(rows: DataFrame, train: int = 2000, test: int = 500, step: int = 500, s: Settings = Settings()) -> tuple[DataFrame, DataFrame, DataFrame]:  # noqa: B008
-    """(verdicts, results, runs): every window of ``train`` + ``test`` rows, one each ``step``, is traded by itself.
+def walk_forward(rows: DataFrame, train: int = 2000, test: int = 500, step: int = 500, s: Settings = Settings(), regimes: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:  # noqa: B008
+    """(verdicts, results, runs): every window of ``train`` + ``test`` rows, one each ``step``, is traded by itself, under
+    regime models that are fitted on the way or given (see ``run``).
 
     A pair with fewer rows than a window has no row in any of the three.
     """
     if train < 500 or test < 100:
         raise ValueError("at least 500 rows to train and 100 to test")
-    made, runs = run(pairs.windowed(rows, train + test, step), s)
+    made, runs = run(pairs.windowed(rows, train + test, step), s, regimes)
     return metrics.verdict(made), made, runs
 
 

@@ -514,7 +514,14 @@ FIXED = {
     "pi": [0.5, 0.3, 0.2], "trans": [[0.9, 0.07, 0.03], [0.1, 0.8, 0.1], [0.05, 0.15, 0.8]],
     "mu": [[0.3, 0.001, 1.0, 1.0], [1.0, 0.003, 1.0, 0.8], [2.5, 0.01, 2.5, 3.0]], "sigma": [[0.8, 0.05, 0.8, 0.8], [1.2, 0.1, 0.9, 0.8], [2.0, 0.2, 1.5, 2.0]],
 }
-_dens = ", ".join("exp(-0.5 * (" + " + ".join(f"pow((f{j} - {FIXED['mu'][k][j]}) / {FIXED['sigma'][k][j]}, 2) + 2 * ln({FIXED['sigma'][k][j]}) + ln(2 * pi())" for j in range(4)) + f")) AS e{k}" for k in range(3))
+#: The same with a third regime that spreads far from their mean belong to.
+APART = FIXED | {"mu": [*FIXED["mu"][:2], [2.4, 0.006, 1.0, 1.0]], "sigma": [*FIXED["sigma"][:2], [0.6, 0.05, 0.8, 0.8]]}
+
+
+def sql_dens(model: dict) -> str:
+    return ", ".join("exp(-0.5 * (" + " + ".join(f"pow((f{j} - {model['mu'][k][j]}) / {model['sigma'][k][j]}, 2) + 2 * ln({model['sigma'][k][j]}) + ln(2 * pi())" for j in range(4)) + f")) AS e{k}" for k in range(3))
+
+
 _ahead = ", ".join(f"e{k} * (" + " + ".join(f"g{i} * {FIXED['trans'][i][k]}" for i in range(3)) + f") AS a{k}" for k in range(3))
 
 
@@ -525,30 +532,47 @@ def _fixed_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 HMM = ORACLE["hmm_features"].replace("WITH b0 AS", "WITH RECURSIVE b0 AS", 1).replace(", 5) AS f", ", 6) AS f")
-HMM = HMM[: HMM.rindex("SELECT pair, idx, round(")] + ", ft AS (" + HMM[HMM.rindex("SELECT pair, idx, round(") :] + f"), dn AS (SELECT pair, idx, {_dens} FROM ft), hm AS (SELECT DISTINCT pair, -1::BIGINT AS idx, {', '.join(f'{p}::DOUBLE AS g{k}' for k, p in enumerate(FIXED['pi']))} FROM dn UNION ALL SELECT pair, idx, a0 / (a0 + a1 + a2), a1 / (a0 + a1 + a2), a2 / (a0 + a1 + a2) FROM (SELECT dn.pair, dn.idx, {_ahead} FROM hm JOIN dn ON dn.pair = hm.pair AND dn.idx = hm.idx + 1))"
+HMM = HMM[: HMM.rindex("SELECT pair, idx, round(")] + ", ft AS (" + HMM[HMM.rindex("SELECT pair, idx, round(") :] + f"), dn AS (SELECT pair, idx, {sql_dens(FIXED)} FROM ft), hm AS (SELECT DISTINCT pair, -1::BIGINT AS idx, {', '.join(f'{p}::DOUBLE AS g{k}' for k, p in enumerate(FIXED['pi']))} FROM dn UNION ALL SELECT pair, idx, a0 / (a0 + a1 + a2), a1 / (a0 + a1 + a2), a2 / (a0 + a1 + a2) FROM (SELECT dn.pair, dn.idx, {_ahead} FROM hm JOIN dn ON dn.pair = hm.pair AND dn.idx = hm.idx + 1))"
 
 
 @query(HMM + " SELECT pair, idx, round(g0, 5) + 0.0 AS g0, round(g1, 5) + 0.0 AS g1, round(g2, 5) + 0.0 AS g2, CASE WHEN g0 >= g1 AND g0 >= g2 THEN 0 WHEN g1 >= g2 THEN 1 ELSE 2 END AS state, CASE WHEN g0 >= g1 AND g0 >= g2 THEN 1.0 WHEN g1 >= g2 THEN 0.5 ELSE 0.0 END::DOUBLE AS kelly_scale, g2 > g0 AND g2 > g1 AS is_no_trade FROM hm WHERE idx >= 0")
 def hmm_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Filtered regimes under a fixed model: emission, recursion and the state's scale, without training."""
-    flat = {k: [float(x) for r in v for x in r] if isinstance(v[0], list) else v for k, v in FIXED.items()}
     f = _fixed_features(spark, sf_dir)
-    model = f.select("pair").distinct().select("pair", *[F.array(*[F.lit(x) for x in v]).alias(k) for k, v in flat.items()], F.lit(True).alias("is_valid"))
-    out = models.regimes(f, model)
+    out = models.regimes(f, _fixed_model(f.select("pair").distinct(), FIXED))
     return rounded(out.select("pair", "idx", *[F.col("gamma")[k].alias(f"g{k}") for k in range(3)], "state", "kelly_scale", "is_no_trade"), 5)
 
 
-# ---- the backtest in SQL: windows too short for a regime model -----------------------------------------------------
+# ---- the backtest in SQL: windows too short for a regime model, and windows with a given one -----------------------
 _SZ, _AR = sql_win("theta", "sigma", sql_div("(0.5 * atr)", "price"))
-BACKTEST = ROWS.replace("b0 AS", "RECURSIVE b0 AS", 1) + f""",
-    rv AS (SELECT pair, idx, ts, 0.1 * (lp_b - ln(2500.0::DOUBLE)) AS b, 0.1 * (0.1 * (lp_b - ln(2500.0::DOUBLE)) - ln(2500.0::DOUBLE)) + 0.1 * (avg(volume) OVER (PARTITION BY pair ORDER BY idx ROWS 9 PRECEDING) / avg(volume) OVER (PARTITION BY pair ORDER BY idx ROWS 99 PRECEDING) - 1) AS a FROM r),
-    ww AS (SELECT pair, unnest(range(0, CASE WHEN n < 700 THEN 0 ELSE (n - 700) // 400 + 1 END)) AS w FROM (SELECT pair, count(*) AS n FROM rv GROUP BY 1)),
-    wv AS MATERIALIZED (SELECT pair, (w + 1)::INT AS window_id, idx - w * 400 AS i, ts, a, b, 1000 * exp(a) AS price FROM rv JOIN ww USING (pair) WHERE idx BETWEEN w * 400 AND w * 400 + 699),
+#: Regimes of each bar from the warm-up on under a fixed model; a bar without features keeps what was known before it.
+REGIMES = f"""fw AS (SELECT *, avg(spread) OVER p AS m, stddev_samp(spread) OVER p AS sd, lag(spread) OVER o AS ps, avg(CASE WHEN iv > 0 THEN iv END) OVER p AS mi, lag(volume) OVER o AS vol, avg(CASE WHEN volume > 0 THEN volume END) OVER q AS mv
+        FROM (SELECT kf.pair, kf.window_id, kf.i, kf.spread, kf.iv, wv.volume FROM kf JOIN wv ON wv.pair = kf.pair AND wv.window_id = kf.window_id AND wv.i = kf.i)
+        WINDOW o AS (PARTITION BY pair, window_id ORDER BY i), p AS (PARTITION BY pair, window_id ORDER BY i ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING), q AS (PARTITION BY pair, window_id ORDER BY i ROWS BETWEEN 21 PRECEDING AND 2 PRECEDING)),
+    fx AS (SELECT pair, window_id, i, sd >= 1e-10 AS known, {sql_n('(abs((spread - m) / sd))')} AS f0, {sql_n('abs(spread - ps)')} AS f1, greatest(0.0, least(10.0, vol / greatest(mv, 1e-10))) AS f2, greatest(0.0, least(10.0, iv / greatest(mi, 1e-10))) AS f3 FROM fw WHERE i >= 300),
+    dn AS MATERIALIZED (SELECT pair, window_id, i, known, {sql_dens(APART)} FROM fx),
+    rm AS (
+        SELECT pair, window_id, 299::BIGINT AS i, {', '.join(f'{p}::DOUBLE AS g{k}' for k, p in enumerate(FIXED['pi']))}, false AS known FROM nz
+        UNION ALL
+        SELECT pair, window_id, i, {', '.join(f'CASE WHEN known THEN a{k} / (a0 + a1 + a2) ELSE g{k} END' for k in range(3))}, known FROM (SELECT dn.pair, dn.window_id, dn.i, dn.known, g0, g1, g2, {_ahead} FROM rm JOIN dn ON dn.pair = rm.pair AND dn.window_id = rm.window_id AND dn.i = rm.i + 1)
+    ),
+    rg AS MATERIALIZED (SELECT pair, window_id, i, state, CASE state WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 ELSE 0.0 END::DOUBLE AS scale FROM (SELECT pair, window_id, i, CASE WHEN NOT known THEN 1 WHEN g0 >= g1 AND g0 >= g2 THEN 0 WHEN g1 >= g2 THEN 1 ELSE 2 END AS state FROM rm WHERE i >= 300))"""
+#: Without a model, each bar is in state 1 at half size.
+NO_REGIMES = "rg AS MATERIALIZED (SELECT pair, window_id, i, 1 AS state, 0.5::DOUBLE AS scale FROM kf WHERE i >= 300)"
+
+
+def sql_backtest(length: int, step: int, regimes: str) -> str:
+    """CTEs of the backtest over windows of ``length`` rows, one every ``step``; ``bt`` has a row for each bar."""
+    refits = ", ".join(f"({k}, {max(0, k - 499)}, {k - 1})" for k in range(400, length, 100))
+    return ROWS.replace("b0 AS", "RECURSIVE b0 AS", 1) + f""",
+    rv AS (SELECT pair, idx, ts, volume, 0.1 * (lp_b - ln(2500.0::DOUBLE)) AS b, 0.1 * (0.1 * (lp_b - ln(2500.0::DOUBLE)) - ln(2500.0::DOUBLE)) + 0.1 * (avg(volume) OVER (PARTITION BY pair ORDER BY idx ROWS 9 PRECEDING) / avg(volume) OVER (PARTITION BY pair ORDER BY idx ROWS 99 PRECEDING) - 1) AS a FROM r),
+    ww AS (SELECT pair, unnest(range(0, CASE WHEN n < {length} THEN 0 ELSE (n - {length}) // {step} + 1 END)) AS w FROM (SELECT pair, count(*) AS n FROM rv GROUP BY 1)),
+    wv AS MATERIALIZED (SELECT pair, (w + 1)::INT AS window_id, idx - w * {step} AS i, ts, a, b, 1000 * exp(a) AS price, volume FROM rv JOIN ww USING (pair) WHERE idx BETWEEN w * {step} AND w * {step} + {length - 1}),
     nz AS MATERIALIZED (SELECT pair, window_id, r, greatest(r * 0.01, 1e-8) AS q FROM (SELECT pair, window_id, greatest((regr_syy(a, b) - regr_slope(a, b) * regr_sxy(a, b)) / (count(*) - 2), 1e-10) AS r FROM wv WHERE i < 110 GROUP BY 1, 2)),
     kf AS (
-        SELECT pair, window_id, -1::BIGINT AS i, 1.0::DOUBLE AS be, 0.0::DOUBLE AS al, 1.0::DOUBLE AS p00, 0.0::DOUBLE AS p01, 1.0::DOUBLE AS p11, 0.0::DOUBLE AS spread FROM nz
+        SELECT pair, window_id, -1::BIGINT AS i, 1.0::DOUBLE AS be, 0.0::DOUBLE AS al, 1.0::DOUBLE AS p00, 0.0::DOUBLE AS p01, 1.0::DOUBLE AS p11, 0.0::DOUBLE AS spread, 0.0::DOUBLE AS iv FROM nz
         UNION ALL
-        SELECT pair, window_id, i, be, al, greatest(t00 * (1 - k0 * b) - t01 * k0 + k0 * k0 * r, 1e-10), ((-t00 * k1 * b + t01 * (1 - k1) + k0 * k1 * r) + (t10 * (1 - k0 * b) - t11 * k0 + k0 * k1 * r)) / 2, greatest(-t10 * k1 * b + t11 * (1 - k1) + k1 * k1 * r, 1e-10), a - be * b - al
+        SELECT pair, window_id, i, be, al, greatest(t00 * (1 - k0 * b) - t01 * k0 + k0 * k0 * r, 1e-10), ((-t00 * k1 * b + t01 * (1 - k1) + k0 * k1 * r) + (t10 * (1 - k0 * b) - t11 * k0 + k0 * k1 * r)) / 2, greatest(-t10 * k1 * b + t11 * (1 - k1) + k1 * k1 * r, 1e-10), a - be * b - al, s
         FROM (SELECT *, (1 - k0 * b) * q00 - k0 * p01 AS t00, (1 - k0 * b) * p01 - k0 * q11 AS t01, -k1 * b * q00 + (1 - k1) * p01 AS t10, -k1 * b * p01 + (1 - k1) * q11 AS t11, be0 + k0 * e AS be, al0 + k1 * e AS al
         FROM (SELECT *, (b * q00 + p01) / s AS k0, (b * p01 + q11) / s AS k1
         FROM (SELECT *, greatest((b * q00 + p01) * b + b * p01 + q11 + r, 1e-8) AS s
@@ -557,83 +581,144 @@ BACKTEST = ROWS.replace("b0 AS", "RECURSIVE b0 AS", 1) + f""",
     ),
     tr AS MATERIALIZED (SELECT pair, window_id, i, greatest(price * 1.0005 - price * 0.9995, abs(price * 1.0005 - lag(price) OVER o), abs(price * 0.9995 - lag(price) OVER o)) AS tr FROM wv WINDOW o AS (PARTITION BY pair, window_id ORDER BY i)),
     em AS (SELECT pair, window_id, i, tr AS atr FROM tr WHERE i = 0 UNION ALL SELECT tr.pair, tr.window_id, tr.i, tr.tr * (2.0 / 15) + em.atr * (1 - 2.0 / 15) FROM em JOIN tr ON tr.pair = em.pair AND tr.window_id = em.window_id AND tr.i = em.i + 1),
-    fl AS (SELECT pair, window_id, k, spread AS y, lag(spread) OVER (PARTITION BY pair, window_id, k ORDER BY i) AS x FROM kf JOIN (VALUES (300, 0, 298), (400, 0, 399), (500, 1, 499), (600, 101, 599)) t(k, lo, hi) ON i BETWEEN lo AND hi),
+    fl AS (SELECT pair, window_id, k, spread AS y, lag(spread) OVER (PARTITION BY pair, window_id, k ORDER BY i) AS x FROM kf JOIN (VALUES (300, 0, 298), {refits}) t(k, lo, hi) ON i BETWEEN lo AND hi),
     os AS (SELECT pair, window_id, k, {OU_SUMS} FROM fl GROUP BY 1, 2, 3), {OU_STEPS},
     fits AS (SELECT pair, window_id, k, CASE WHEN error = '' THEN theta ELSE 0.0 END AS theta, CASE WHEN error = '' THEN mu ELSE 0.0 END AS mu, CASE WHEN error = '' THEN sg ELSE 0.0 END AS sigma, half_life, sigma_eq, error = '' AND half_life <= 120 AS is_valid FROM ou),
     {sql_threshold("fits", "pair, window_id, k", "th")},
+    {regimes},
     fa AS (SELECT * FROM th WHERE k = 300 OR is_valid),
-    s1 AS (SELECT kf.pair, kf.window_id, kf.i, kf.spread AS x, em.atr, wv.price, wv.ts FROM kf JOIN em USING (pair, window_id, i) JOIN wv USING (pair, window_id, i) WHERE kf.i >= 300),
+    s1 AS (SELECT kf.pair, kf.window_id, kf.i, kf.spread AS x, em.atr, wv.price, wv.ts, rg.state, rg.scale FROM kf JOIN em USING (pair, window_id, i) JOIN wv USING (pair, window_id, i) JOIN rg USING (pair, window_id, i) WHERE kf.i >= 300),
     s2 AS (SELECT s1.*, theta, mu, sigma, half_life, sigma_eq, threshold / greatest(sigma_eq, 1e-10) AS enter, is_valid AND sigma_eq >= 1e-10 AS ok FROM s1 ASOF JOIN fa ON s1.pair = fa.pair AND s1.window_id = fa.window_id AND s1.i >= fa.k),
     s3 AS (SELECT *, {_AR}, {sql_div("(x - mu)", "sigma_eq")} AS z, {sql_div("(2.5 * atr)", "(0.5 * atr)")} AS reward FROM s2),
     s4 AS (SELECT *, CASE WHEN theta <= 1e-10 OR sigma <= 1e-10 OR abs(far) < 1e-10 THEN 0.5 ELSE {_SZ} END AS p FROM s3),
-    st AS MATERIALIZED (SELECT pair, window_id, i, x, z, ok, price, atr, half_life, greatest(0.0, least(0.25, {sql_div("(reward * p - (1 - p))", "reward")})) AS f, ok AND half_life >= 2 AND half_life <= 60 AND abs(z) > enter AND atr > 0 AND price > 0 AND 0.5 * atr >= 1e-10 AND reward >= 0.1 AS may FROM s4),
+    st AS MATERIALIZED (SELECT pair, window_id, i, x, z, ok, price, atr, half_life, state, scale, greatest(0.0, least(0.25, {sql_div("(reward * p - (1 - p))", "reward")})) AS f, state <> 2 AND ok AND half_life >= 2 AND half_life <= 60 AND abs(z) > enter AND atr > 0 AND price > 0 AND 0.5 * atr >= 1e-10 AND reward >= 0.1 AS may FROM s4),
     bt AS (
         SELECT pair, window_id, 299::BIGINT AS i, 10000.0::DOUBLE AS cap, 10000.0::DOUBLE AS peak, 0.0::DOUBLE AS worst, false AS held, 0::BIGINT AS e_i, 0 AS d, 0.0::DOUBLE AS e_x, 0.0::DOUBLE AS stop, 0.0::DOUBLE AS e_p, 0.0::DOUBLE AS size, 0 AS bars, 0.0::DOUBLE AS hl,
-            '' AS why, 0::BIGINT AS t_i, 0 AS t_d, 0.0::DOUBLE AS t_x, 0.0::DOUBLE AS x, 0.0::DOUBLE AS t_p, 0.0::DOUBLE AS t_s, 0.0::DOUBLE AS raw, 0.0::DOUBLE AS net, 0.0::DOUBLE AS ret, 0.0::DOUBLE AS t_hl FROM nz
+            '' AS why, 0::BIGINT AS t_i, 0 AS t_d, 0.0::DOUBLE AS t_x, 0.0::DOUBLE AS x, 0.0::DOUBLE AS t_p, 0.0::DOUBLE AS t_s, 0.0::DOUBLE AS raw, 0.0::DOUBLE AS net, 0.0::DOUBLE AS ret, 0.0::DOUBLE AS t_hl, 0 AS e_s, 0 AS t_st, 0 AS state FROM nz
         UNION ALL
         SELECT pair, window_id, i, cap1, CASE WHEN ok THEN greatest(peak, cap1) ELSE peak END, CASE WHEN ok THEN greatest(worst, (greatest(peak, cap1) - cap1) / greatest(greatest(peak, cap1), 1)) ELSE worst END,
             held1 OR buy, CASE WHEN buy THEN i ELSE e_i END, CASE WHEN buy THEN dn ELSE d END, CASE WHEN buy THEN x ELSE e_x END, CASE WHEN buy THEN x - dn * 0.5 * seq ELSE stop END, CASE WHEN buy THEN price ELSE e_p END, CASE WHEN buy THEN usd ELSE size END, CASE WHEN buy THEN 0 ELSE bars1 END, CASE WHEN buy THEN half_life ELSE hl END,
-            why, e_i, d, e_x, x, e_p, size, raw, net, net / greatest(cap, 1), hl
+            why, e_i, d, e_x, x, e_p, size, raw, net, net / greatest(cap, 1), hl, CASE WHEN buy THEN state ELSE e_s END, e_s, state
         FROM (SELECT *, NOT held1 AND may AND cap1 >= 1 AND usd >= 0.005 * cap1 AND usd > 0 AS buy, CASE WHEN z < 0 THEN 1 ELSE -1 END AS dn
-        FROM (SELECT *, held AND why = '' AS held1, least(least(0.3 * cap1, least(0.25, f * 0.5) * cap1), least(0.3 * cap1, greatest(0.0, {sql_div("(cap1 * 0.01)", "(0.5 * atr)")} * price))) AS usd
+        FROM (SELECT *, held AND why = '' AS held1, least(least(0.3 * cap1, least(0.25, f * scale) * cap1), least(0.3 * cap1, greatest(0.0, {sql_div("(cap1 * 0.01)", "(0.5 * atr)")} * price))) AS usd
         FROM (SELECT *, CASE WHEN why = '' THEN cap WHEN cap + net < 1 THEN 1.0 WHEN cap + net > 10 * cap THEN cap ELSE cap + net END AS cap1
         FROM (SELECT *, greatest(-0.5 * size, least(0.5 * size, raw)) - 0.002 * size AS net
         FROM (SELECT *, d * (x - e_x) / greatest(e_p, 1e-8) * size AS raw, CASE WHEN NOT (ok AND held) THEN '' WHEN d * z >= 0 THEN 'target' WHEN abs(z) > 3.5 THEN 'emergency' WHEN d * (x - stop) < 0 THEN 'stop' WHEN bars1 >= 60 THEN 'time' ELSE '' END AS why
-        FROM (SELECT bt.pair, bt.window_id, st.i, st.x, st.z, st.ok, st.price, st.atr, st.half_life, st.f, st.may, s2.sigma_eq AS seq, cap, peak, worst, held, e_i, d, e_x, stop, e_p, size, CASE WHEN st.ok AND held THEN bars + 1 ELSE bars END AS bars1, hl
+        FROM (SELECT bt.pair, bt.window_id, st.i, st.x, st.z, st.ok, st.price, st.atr, st.half_life, st.f, st.may, st.state, st.scale, s2.sigma_eq AS seq, cap, peak, worst, held, e_i, d, e_x, stop, e_p, size, CASE WHEN st.ok AND held THEN bars + 1 ELSE bars END AS bars1, hl, e_s
             FROM bt JOIN st ON st.pair = bt.pair AND st.window_id = bt.window_id AND st.i = bt.i + 1 JOIN se s2 ON s2.pair = st.pair AND s2.window_id = st.window_id AND s2.i = st.i))))))
     )""".replace("    bt AS (\n", "    se AS MATERIALIZED (SELECT pair, window_id, i, sigma_eq FROM s2),\n    bt AS (\n", 1)
 
 
-def _short(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Results and runs of windows of 700 rows, one every 400: too short for a regime model, so SQL can follow them."""
-    return backtest.run(pairs.windowed(fixtures.reverting(spark, sf_dir), 700, 400), TRADING)
+def sql_results(length: int, source: str) -> str:
+    """``source`` with ``res``: the numbers of each window from its trades and bars."""
+    return source + f"""
+    , lw AS (SELECT pair, window_id, min(ts) AS t0, max(ts) AS t1, greatest(date_diff('day', min(ts), max(ts)), 1) AS days FROM wv GROUP BY 1, 2),
+    tc AS (SELECT bt.*, days, t_s, net AS pnl, ret AS r, i - t_i AS held_bars FROM bt JOIN lw USING (pair, window_id) WHERE why <> ''),
+    ta AS (SELECT pair, window_id, count(*) AS n, count(*) FILTER (WHERE pnl > 0) / count(*) AS win_rate, {_pf} AS profit_factor, sum(pnl) / count(*) AS avg_trade_usd, avg(held_bars) AS avg_holding_bars, {sql_n('(count(*) * (365.0::DOUBLE / greatest(any_value(days), 1)))')} AS trades_per_year,
+        CASE WHEN count(*) < 2 OR NOT stddev_samp(r) >= 1e-10 THEN 0.0 ELSE {sql_n(f'(avg(r) / stddev_samp(r) * sqrt({_py}))')} END AS sharpe, CASE WHEN count(*) FILTER (WHERE r < 0) < 2 THEN 0.0 ELSE {sql_n(f'(avg(r) / sqrt(avg(r * r) FILTER (WHERE r < 0)) * sqrt({_py}))')} END AS sortino FROM tc GROUP BY 1, 2),
+    sn AS (SELECT pair, window_id, {', '.join(f'count(*) FILTER (WHERE i >= 300 AND state = {k}) AS n{k}' for k in range(3))} FROM bt GROUP BY 1, 2),
+    fe AS (SELECT pair, window_id, cap, worst, (cap - 10000) / 10000 AS tret FROM bt WHERE i = {length - 1}),
+    fr AS (SELECT *, CASE WHEN 1 + tret <= 0 THEN -1.0 ELSE {sql_n('(exp(ln(greatest(1 + tret, 1e-8)) * 365.0 / days) - 1)')} END AS yearly FROM fe JOIN lw USING (pair, window_id) JOIN sn USING (pair, window_id) LEFT JOIN ta USING (pair, window_id)),
+    res AS (SELECT *, CASE WHEN worst < 1e-10 THEN 0.0 ELSE {sql_div('yearly', 'worst')} END AS calmar FROM fr)"""
 
 
-@query(f"""WITH {BACKTEST} SELECT pair, window_id, t_i::INT AS bar_entry, i::INT AS bar_exit, t_d AS direction, round(t_x, 5) + 0.0 AS entry_spread, round(x, 5) + 0.0 AS exit_spread, round(t_p, 5) AS entry_price_a, round(t_s, 4) AS position_usd, round(raw, 4) + 0.0 AS raw_pnl, round(net, 4) + 0.0 AS net_pnl,
-    round(ret, 7) + 0.0 AS trade_return, why AS exit_reason, 1 AS regime_state, round(t_hl, 4) AS half_life, round(cap, 4) AS capital_after FROM bt WHERE why <> ''""")
-def backtest_trades_short(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = backtest.trades(_short(spark, sf_dir)[1])
+_py = "greatest(count(*) * 365.0::DOUBLE / greatest(any_value(days), 1), 1)"
+BACKTEST, GIVEN = sql_backtest(700, 400, NO_REGIMES), sql_backtest(900, 300, REGIMES)
+SHORT, GIVEN_RESULTS = sql_results(700, BACKTEST), sql_results(900, GIVEN)
+TRADES_OUT = """SELECT pair, window_id, t_i::INT AS bar_entry, i::INT AS bar_exit, t_d AS direction, round(t_x, 5) + 0.0 AS entry_spread, round(x, 5) + 0.0 AS exit_spread, round(t_p, 5) AS entry_price_a, round(t_s, 4) AS position_usd, round(raw, 4) + 0.0 AS raw_pnl, round(net, 4) + 0.0 AS net_pnl,
+    round(ret, 7) + 0.0 AS trade_return, why AS exit_reason, t_st AS regime_state, round(t_hl, 4) AS half_life, round(cap, 4) AS capital_after FROM bt WHERE why <> ''"""
+RESULTS_OUT = """SELECT pair, window_id, strftime(t0, '%Y-%m-%d') AS start_date, strftime(t1, '%Y-%m-%d') AS end_date, {n} AS n_bars, days::INT AS observation_days, round(cap, 4) AS final_capital, round(tret, 6) + 0.0 AS total_return, round(yearly, 6) + 0.0 AS annualised_return, round(calmar, 4) + 0.0 AS calmar, round(worst, 6) AS max_drawdown,
+    coalesce(n, 0) AS total_trades, round(coalesce(win_rate, 0), 6) AS win_rate, round(coalesce(profit_factor, 0), 5) AS profit_factor, round(coalesce(avg_trade_usd, 0), 4) + 0.0 AS avg_trade_usd, round(coalesce(avg_holding_bars, 0), 4) AS avg_holding_bars, round(coalesce(trades_per_year, 0), 4) AS trades_per_year,
+    round(coalesce(sharpe, 0), 5) + 0.0 AS sharpe, round(coalesce(sortino, 0), 5) + 0.0 AS sortino, round(n0 / greatest(n0 + n1 + n2, 1) * 100, 6)::DOUBLE AS pct_high_mr, round(n1 / greatest(n0 + n1 + n2, 1) * 100, 6)::DOUBLE AS pct_low_mr, round(n2 / greatest(n0 + n1 + n2, 1) * 100, 6)::DOUBLE AS pct_breakdown, true AS ok FROM res"""
+VERDICT_OUT = f""", vg AS (SELECT pair, count(*) AS n_windows, count(*) AS n_valid, median(tret) AS mr, median(coalesce(sharpe, 0)) AS ms, median(worst) AS md, count(*) FILTER (WHERE tret > 0) / count(*) * 100 AS pp FROM res GROUP BY 1)
+    SELECT pair, n_windows, n_valid, {_keep('mr', 'median_return')}, {_keep('ms', 'median_sharpe')}, {_keep('md', 'median_maxdd')}, {_keep('pp', 'pct_profitable')},
+        CASE WHEN n_valid < 3 THEN 'INSUFFICIENT_DATA' WHEN pp < 60 THEN 'NOT_ROBUST' WHEN ms >= 1 THEN 'STRONG_EDGE' WHEN ms >= 0.5 THEN 'DEPLOYABLE' ELSE 'WEAK_EDGE' END AS verdict FROM vg"""
+
+
+def _trades_out(runs: DataFrame) -> DataFrame:
     at = lambda c, k: (F.round(c, k) + 0.0).alias(c)
-    return t.select(
+    return backtest.trades(runs).select(
         "pair", "window_id", "bar_entry", "bar_exit", "direction", at("entry_spread", 5), at("exit_spread", 5), at("entry_price_a", 5), at("position_usd", 4), at("raw_pnl", 4), at("net_pnl", 4), at("trade_return", 7),
         "exit_reason", "regime_state", at("half_life", 4), at("capital_after", 4),
     )
 
 
+def _results_out(made: DataFrame) -> DataFrame:
+    digits = {"final_capital": 4, "calmar": 4, "avg_trade_usd": 4, "avg_holding_bars": 4, "trades_per_year": 4, "profit_factor": 5, "sharpe": 5, "sortino": 5}
+    return rounded(made.drop("initial_capital", "error").withColumns({c: F.round(c, k) for c, k in digits.items()}))
+
+
+def _verdict_out(verdicts: DataFrame) -> DataFrame:
+    return rounded(verdicts.select("pair", "n_windows", "n_valid", "median_return", "median_sharpe", "median_maxdd", "pct_profitable", "verdict"))
+
+
+def _short(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Results and runs of windows of 700 rows, one every 400: too short for a regime model, so SQL can follow them."""
+    return backtest.run(pairs.windowed(fixtures.reverting(spark, sf_dir), 700, 400), TRADING)
+
+
+def _fixed_model(keys: DataFrame, model: dict) -> DataFrame:
+    """The model for each row of ``keys``."""
+    flat = {k: [float(x) for r in v for x in r] if isinstance(v[0], list) else v for k, v in model.items()}
+    return keys.select("*", *[F.array(*[F.lit(x) for x in v]).alias(k) for k, v in flat.items()], F.lit(True).alias("is_valid"))
+
+
+def _given(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Verdicts, results and runs of walk-forward windows under a given regime model, in force from the warm-up on."""
+    rows = fixtures.reverting(spark, sf_dir)
+    return backtest.walk_forward(rows, 600, 300, 300, TRADING, _fixed_model(rows.select("pair").distinct(), APART))
+
+
+@query(f"WITH {BACKTEST} {TRADES_OUT}")
+def backtest_trades_short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _trades_out(_short(spark, sf_dir)[1])
+
+
 @query(f"WITH {BACKTEST} SELECT pair, window_id, i::INT AS idx, round(cap, 4) AS equity FROM bt")
 def backtest_equity_short(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equity from the last bar of the warm-up on."""
     return rounded(backtest.equity(_short(spark, sf_dir)[1]).where("idx >= 299"), 4)
 
 
-_py = "greatest(count(*) * 365.0::DOUBLE / greatest(any_value(days), 1), 1)"
-SHORT = BACKTEST + f""",
-    lw AS (SELECT pair, window_id, min(ts) AS t0, max(ts) AS t1, greatest(date_diff('day', min(ts), max(ts)), 1) AS days FROM wv GROUP BY 1, 2),
-    tc AS (SELECT bt.*, days, t_s, net AS pnl, ret AS r, i - t_i AS held_bars FROM bt JOIN lw USING (pair, window_id) WHERE why <> ''),
-    ta AS (SELECT pair, window_id, count(*) AS n, count(*) FILTER (WHERE pnl > 0) / count(*) AS win_rate, {_pf} AS profit_factor, sum(pnl) / count(*) AS avg_trade_usd, avg(held_bars) AS avg_holding_bars, {sql_n('(count(*) * (365.0::DOUBLE / greatest(any_value(days), 1)))')} AS trades_per_year,
-        CASE WHEN count(*) < 2 OR NOT stddev_samp(r) >= 1e-10 THEN 0.0 ELSE {sql_n(f'(avg(r) / stddev_samp(r) * sqrt({_py}))')} END AS sharpe, CASE WHEN count(*) FILTER (WHERE r < 0) < 2 THEN 0.0 ELSE {sql_n(f'(avg(r) / sqrt(avg(r * r) FILTER (WHERE r < 0)) * sqrt({_py}))')} END AS sortino FROM tc GROUP BY 1, 2),
-    fe AS (SELECT pair, window_id, cap, worst, (cap - 10000) / 10000 AS tret FROM bt WHERE i = 699),
-    fr AS (SELECT *, CASE WHEN 1 + tret <= 0 THEN -1.0 ELSE {sql_n('(exp(ln(greatest(1 + tret, 1e-8)) * 365.0 / days) - 1)')} END AS yearly FROM fe JOIN lw USING (pair, window_id) LEFT JOIN ta USING (pair, window_id)),
-    res AS (SELECT *, CASE WHEN worst < 1e-10 THEN 0.0 ELSE {sql_div('yearly', 'worst')} END AS calmar FROM fr)"""
-
-
-@query(f"""WITH {SHORT} SELECT pair, window_id, strftime(t0, '%Y-%m-%d') AS start_date, strftime(t1, '%Y-%m-%d') AS end_date, 700 AS n_bars, days::INT AS observation_days, round(cap, 4) AS final_capital, round(tret, 6) + 0.0 AS total_return, round(yearly, 6) + 0.0 AS annualised_return, round(calmar, 4) + 0.0 AS calmar, round(worst, 6) AS max_drawdown,
-    coalesce(n, 0) AS total_trades, round(coalesce(win_rate, 0), 6) AS win_rate, round(coalesce(profit_factor, 0), 5) AS profit_factor, round(coalesce(avg_trade_usd, 0), 4) + 0.0 AS avg_trade_usd, round(coalesce(avg_holding_bars, 0), 4) AS avg_holding_bars, round(coalesce(trades_per_year, 0), 4) AS trades_per_year,
-    round(coalesce(sharpe, 0), 5) + 0.0 AS sharpe, round(coalesce(sortino, 0), 5) + 0.0 AS sortino, 0.0::DOUBLE AS pct_high_mr, 100.0::DOUBLE AS pct_low_mr, 0.0::DOUBLE AS pct_breakdown, true AS ok FROM res""")
+@query(f"WITH {SHORT} {RESULTS_OUT.replace('{n}', '700')}")
 def backtest_results_short(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = _short(spark, sf_dir)[0].drop("initial_capital", "error")
-    digits = {"final_capital": 4, "calmar": 4, "avg_trade_usd": 4, "avg_holding_bars": 4, "trades_per_year": 4, "profit_factor": 5, "sharpe": 5, "sortino": 5}
-    return rounded(made.withColumns({c: F.round(c, k) for c, k in digits.items()}))
+    return _results_out(_short(spark, sf_dir)[0])
 
 
-@query(f"""WITH {SHORT}, vg AS (SELECT pair, count(*) AS n_windows, count(*) AS n_valid, median(tret) AS mr, median(coalesce(sharpe, 0)) AS ms, median(worst) AS md, count(*) FILTER (WHERE tret > 0) / count(*) * 100 AS pp FROM res GROUP BY 1)
-    SELECT pair, n_windows, n_valid, {_keep('mr', 'median_return')}, {_keep('ms', 'median_sharpe')}, {_keep('md', 'median_maxdd')}, {_keep('pp', 'pct_profitable')},
-        CASE WHEN n_valid < 3 THEN 'INSUFFICIENT_DATA' WHEN pp < 60 THEN 'NOT_ROBUST' WHEN ms >= 1 THEN 'STRONG_EDGE' WHEN ms >= 0.5 THEN 'DEPLOYABLE' ELSE 'WEAK_EDGE' END AS verdict FROM vg""")
+@query(f"WITH {SHORT}{VERDICT_OUT}")
 def walk_forward_short(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(metrics.verdict(_short(spark, sf_dir)[0]).select("pair", "n_windows", "n_valid", "median_return", "median_sharpe", "median_maxdd", "pct_profitable", "verdict"))
+    return _verdict_out(metrics.verdict(_short(spark, sf_dir)[0]))
+
+
+@query(f"WITH {GIVEN} {TRADES_OUT}")
+def backtest_trades_given(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _trades_out(_given(spark, sf_dir)[2])
+
+
+@query(f"WITH {GIVEN} SELECT pair, window_id, i::INT AS idx, round(cap, 4) AS equity FROM bt")
+def backtest_equity_given(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equity from the last bar of the warm-up on."""
+    return rounded(backtest.equity(_given(spark, sf_dir)[2]).where("idx >= 299"), 4)
+
+
+@query(f"WITH {GIVEN_RESULTS} {RESULTS_OUT.replace('{n}', '900')}")
+def backtest_results_given(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _results_out(_given(spark, sf_dir)[1])
+
+
+@query(f"WITH {GIVEN_RESULTS}{VERDICT_OUT}")
+def walk_forward_given(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _verdict_out(_given(spark, sf_dir)[0])
+
+
+@query(f"""WITH {GIVEN_RESULTS}, bw AS (SELECT pair, window_id FROM (SELECT pair, window_id, row_number() OVER (PARTITION BY pair ORDER BY coalesce(sharpe, 0) DESC, window_id) AS k FROM res) WHERE k = 1)
+    SELECT pair, t_i::INT AS bar_entry, i::INT AS bar_exit, CASE WHEN t_d = 1 THEN 'long' ELSE 'short' END AS direction, round(t_x, 5) + 0.0 AS entry_spread, round(x, 5) + 0.0 AS exit_spread, round(t_s, 2) AS position_usd, round(raw, 2) + 0.0 AS raw_pnl, round(net, 2) + 0.0 AS net_pnl,
+        round(ret * 100, 4) + 0.0 AS trade_return, why AS exit_reason, t_st AS regime_state, round(t_hl, 2) AS half_life_bars, round(cap, 2) AS capital_after FROM bt JOIN bw USING (pair, window_id) WHERE why <> ''""")
+def trade_log_given(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, made, runs = _given(spark, sf_dir)
+    return rounded(sinks.trade_log(backtest.trades(runs), made), 5)
 
 
-# ---- models without SQL ---------------------------------------------------------------------------------------------
 def sql_cdf(z: str) -> str:
     """The normal distribution function at a column, by the series of the error function."""
     u = f"(least(abs({z}), 8) / sqrt(2.0::DOUBLE))"

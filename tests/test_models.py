@@ -214,6 +214,27 @@ def test_walk_forward(spark):
         backtest.walk_forward(market(spark), 400, 300)
 
 
+def test_given_regimes(spark):
+    """A model for one window, one that holds from a later bar on, one that is not valid, and none."""
+    def model(state: int) -> tuple:
+        return ([float(k == state) for k in range(3)], [float(k == state) for _ in range(3) for k in range(3)], [1.0] * 12, [5.0] * 12)
+
+    rows = market(spark)
+    schema = "pair string, window_id int, at int, pi array<double>, trans array<double>, mu array<double>, sigma array<double>, is_valid boolean"
+    table = spark.createDataFrame([("A-B", 1, 300, *model(2), True), ("A-B", 2, 600, *model(0), True), ("A-B", 3, 300, *model(2), False), ("X-Y", 1, 300, *model(0), True)], schema)
+    _, made, runs = backtest.walk_forward(rows, 600, 300, 300, SETTINGS, table)
+    got = {r.window_id: r for r in made.collect()}
+    assert got[1].total_trades == 0 and got[1].pct_breakdown == 100 and got[3].pct_low_mr == 100
+    assert math.isclose(got[2].pct_high_mr, 50) and math.isclose(got[2].pct_low_mr, 50)
+    _, none, _ = backtest.walk_forward(rows, 600, 300, 300, SETTINGS, table.where("false"))
+    plain = {r.window_id: r for r in none.collect()}
+    assert plain[3] == got[3] and all(r.pct_low_mr == 100 for r in plain.values())
+    early = backtest.trades(runs).where("window_id = 2 and bar_exit < 600").collect()
+    assert early and all(t.regime_state == 1 for t in early)
+    _, each, _ = backtest.walk_forward(rows, 600, 300, 300, SETTINGS, table.where("window_id = 1").drop("window_id", "at"))
+    assert {(r.window_id, r.total_trades) for r in each.collect()} == {(1, 0), (2, 0), (3, 0)}
+
+
 def test_verdicts(spark):
     def word(sharpes: list, returns: list, ok: list | None = None) -> str:
         rows = [("p", k, float(s), float(r), 1.0, 1.0, 0.1, 0.5, o) for k, (s, r, o) in enumerate(zip(sharpes, returns, ok or [True] * len(sharpes), strict=True))]
