@@ -16,6 +16,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import accumulate
 
 import pandas as pd
@@ -41,9 +42,13 @@ ARTICLE = re.compile(r"^(?:article|post|entry|story|main|content|article-?body|p
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>", re.I | re.S)
 _MARK = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _BARE = re.compile(r"^[^\"'=]*=[^\"']*$")  # an attribute with a value without quotes, to which a slash at its end belongs
-#: Cells of the table of a full alignment (longer ones are cut at tokens that either side has once), and elements at
-#: which a wrapper stops growing: pages that it does not match then are read by their own elements.
+#: Cells of the table of a full alignment (longer ones are cut at tokens that either side has once), and elements that a
+#: wrapper of whole pages has at most, or a quarter more than the largest page. Hosts that need more have wrappers of
+#: shallow pages, all of them in each.
 CELLS, MOST_ELEMENTS = 160_000, 4000
+#: How deep elements count in those; what stands deeper is one text. 0 stands for whole pages, a depth below 0 for tags
+#: without their classes, which hosts have too that reach less than ENOUGH_DEEP with classes.
+DEPTHS, ENOUGH_DEEP = (12, 8, 6, 4, 3, 2, 1), 4
 #: Different pages that must have an equal text before it counts as template, and elements that can hold an article.
 REPEATED = 3
 HOLDERS = frozenset("article body center div main section table td".split())
@@ -298,6 +303,55 @@ def _closed(stream: list[str]) -> dict[int, int]:
     return ends
 
 
+@lru_cache(1 << 14)
+def _general(token: str, classes: bool) -> str:
+    """A tag with 0 for each part of its class that has a digit, or with no more than what its class says of the article."""
+    if token[0] != "<":
+        return token
+    mark = token.partition(".")[2]
+    kind = "sidebar" if _marks_aside(mark) else "article" if ARTICLE.match(mark) else ""
+    return f"<{_name(token)}.{kind or classes * re.sub('[^-_]*[0-9][^-_]*', '0', mark)}"
+
+
+def nested(stream: list[str]) -> tuple[list[int], list[str], list[int], list[int]]:
+    """What ``shallow`` reads: how deep each token stands, the hashes of texts, and before each token, the number of texts
+    and their length outside of links."""
+    deep, link = [0] * (len(stream) + 1), [0] * (len(stream) + 1)
+    for a, e in _closed(stream).items():
+        for step in (deep, link) if _name(stream[a]) == "a" else (deep,):
+            step[a + 1] += 1
+            step[e] -= 1
+    told = [t[1:].split(".") if t[0] == "#" else None for t in stream]
+    count = [0, *accumulate(x is not None for x in told)]
+    length = [0, *accumulate(int(x[1]) if x and not inside else 0 for x, inside in zip(told, accumulate(link[:-1]), strict=True))]
+    return list(accumulate(deep)), [x[0] for x in told if x], count, length
+
+
+def shallow(stream: list[str], depth: int, read: tuple | None = None) -> tuple[list[str], list[int]]:
+    """A stream with what stands ``depth`` elements deep as one text, and where each of its tokens starts (and the end).
+
+    Such a text is as long as its texts outside of links. Classes count without digits, or not at all below 0. ``read`` is
+    what ``nested`` gives for the stream.
+    """
+    classes, depth = depth > 0, abs(depth)
+    deep, hashes, count, length = read or nested(stream)
+    out, places, k = [], [], 0
+    while k < len(stream):
+        z = k + 1
+        if deep[k] < depth:
+            out.append(_general(stream[k], classes))
+            places.append(k)
+        else:
+            while z < len(stream) and deep[z] >= depth:
+                z += 1
+            if own := hashes[count[k] : count[z]]:
+                own = own[0] if len(own) == 1 else hashlib.blake2b(" ".join(own).encode(), digest_size=6).hexdigest()
+                out.append(f"#{own}.{length[z] - length[k]}")
+                places.append(k)
+        k = z
+    return out, [*places, len(stream)]
+
+
 def main_span(stream: list[str], lengths: list[int]) -> tuple[int, int] | None:
     """Where tags say the article stands: inside ``article``, else ``main``, else an element marked as one; of several,
     the one with the longest text (``lengths`` by token), and of those the first."""
@@ -383,10 +437,13 @@ def article_span(elements: list[list]) -> tuple[int, int, bool] | None:
 
 
 class Wrapper:
-    """A compiled wrapper: elements, and a regular expression over one character a token."""
+    """A compiled wrapper: elements, and a regular expression over one character a token.
+
+    ``depth`` tells the streams that it matches (see ``shallow``), ``most`` the elements of the largest page in it.
+    """
 
-    def __init__(self, elements: list[list], main: list | tuple | None = None):
-        self.elements = elements
+    def __init__(self, elements: list[list], main: list | tuple | None = None, depth: int = 0, most: int = 0):
+        self.elements, self.depth, self.most = elements, depth, most
         self.chars: dict[str, str] = {}
         self.texts: list[int] = []
         self.main = main or article_span(elements)
@@ -432,7 +489,7 @@ class Wrapper:
                 own, length = _told(stream[a:z])
                 new[j][3:] = _read_too(new[j], own, [mark], length)
         if [(x[3], len(x[4])) for x in new if len(x) > 3] != [(x[3], len(x[4])) for x in self.elements if len(x) > 3]:
-            self.__init__(new)
+            self.__init__(new, None, self.depth, self.most)
         else:
             self.elements = new
 
@@ -456,34 +513,43 @@ class Wrapper:
         """What extraction needs, as text."""
         main = self.main
         cut = lambda j, e: e if main and not main[2] and is_template(e) and not main[0] <= j < main[1] else e[:3]
-        return json.dumps([[cut(j, e) for j, e in enumerate(self.elements)], main])
+        return json.dumps([[cut(j, e) for j, e in enumerate(self.elements)], main, self.depth])
 
     @property
     def heads(self) -> frozenset:
         return frozenset(e[1][0][1] for e in self.elements if e[0] == "+")
 
 
-def widened(wrapper: Wrapper | None, stream: list[str]) -> Wrapper:
-    """The wrapper after one more page."""
+def widened(wrapper: Wrapper | None, stream: list[str]) -> Wrapper | None:
+    """The wrapper after one more page, or None if it would take too many elements."""
     if wrapper and wrapper.elements and (m := wrapper.match(stream)):
         wrapper.learn(m, stream)
         return wrapper
     if wrapper is None or not wrapper.elements:
-        return Wrapper(fold(stream))
-    merged = align(wrapper.elements, fold(stream, wrapper.heads))
-    return Wrapper(merged) if _size(merged) <= MOST_ELEMENTS else wrapper
+        own = fold(stream)
+        return Wrapper(own, most=_size(own))
+    own = fold(stream, wrapper.heads)
+    wider, most = align(wrapper.elements, own), max(wrapper.most, _size(own))
+    return Wrapper(wider, most=most) if _fits(wider, most) else None
 
 
 def _size(elements: list[list]) -> int:
     return sum(1 + (_size(e[1]) if e[0] == "+" else 0) for e in elements)
 
 
-def merged(texts: list[str]) -> list[list]:
-    """The elements that cover several wrappers, written as text."""
+def _fits(elements: list[list], most: int) -> bool:
+    return _size(elements) <= max(MOST_ELEMENTS, most * 5 // 4)
+
+
+def merged(texts: list[str | None], most: int) -> list[list] | None:
+    """The elements that cover several wrappers, written as text, or None if they or one of them would take too many."""
+    if None in texts:
+        return None
     out: list[list] = []
     for elements in filter(None, map(json.loads, sorted(texts))):
-        wider = align(out, elements) if out else elements
-        out = wider if not out or _size(wider) <= MOST_ELEMENTS else out
+        out = align(out, elements) if out else elements
+        if not _fits(out, most):
+            return None
     return out
 
 
@@ -517,18 +583,35 @@ def article(found: list[tuple[str, str, str]], whole: bool = False) -> str:
     return "\n".join(b for b in clean if b)
 
 
-def extract(page: str | None, wrapper: Wrapper | None) -> tuple[str, bool]:
-    """The main text, and whether the wrapper told where it stands."""
+def extract(page: str | None, *known: Wrapper | None) -> tuple[str, bool]:
+    """The main text, and whether a wrapper told where it stands: the first that does so."""
     found = tokens(page) if page else []
     solid = [k for k, t in enumerate(found) if t[0] != " "]
-    stream = valued(found) if wrapper and wrapper.main and not wrapper.main[2] else [found[k][0] for k in solid]
-    told = wrapper and wrapper.article(stream)
-    span = told or main_span(stream, [len(found[k][2]) for k in solid])
-    a, z = span or (0, len(stream))
-    wrapped = bool(told)
+    plain, lengths = [found[k][0] for k in solid], [len(found[k][2]) for k in solid]
+    told = next(filter(None, (_told_by(w, found, plain, lengths) for w in known if w and w.main)), None)
+    span = told or main_span(plain, lengths)
+    a, z = span or (0, len(plain))
     a = solid[a] if a < len(solid) else len(found)
     z = solid[z] if z < len(solid) else len(found)
-    return article(found[a:z], not span), wrapped
+    return article(found[a:z], not span), bool(told)
+
+
+def _told_by(w: Wrapper, found: list[tuple[str, str, str]], plain: list[str], lengths: list[int]) -> tuple[int, int] | None:
+    """Where a wrapper says that the article of a page stands. One of shallow pages says nothing if that is all of the
+    page, and tags inside may tell more."""
+    if not w.depth:
+        return w.article(plain if w.main[2] else valued(found))
+    stream, places = shallow(valued(found), w.depth)
+    span = w.article(stream)
+    if not span:
+        return None
+    a, z = places[span[0]], places[span[1]]
+    if (not a or _name(plain[a - 1]) in ("html", "body")) and (z == len(plain) or plain[z] in ("/html", "/body")):
+        return None
+    inner = None if w.main[2] else main_span(plain[a:z], lengths[a:z])
+    if inner and 2 * sum(lengths[a + inner[0] : a + inner[1]]) >= sum(lengths[a:z]):
+        a, z = a + inner[0], a + inner[1]
+    return a, z
 
 
 # ---- Spark ----------------------------------------------------------------------------------------------------------
@@ -536,60 +619,91 @@ def host(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
 
 
-def infer(pages: DataFrame) -> DataFrame:
-    """(host, wrapper): one wrapper a host, from all of its pages.
+def infer(pages: DataFrame, depths: tuple[int, ...] = (0,)) -> DataFrame:
+    """(host, depth, wrapper): one wrapper a host and depth, from all of its pages; null if it takes too many elements.
 
     Each task folds its own pages of a host into one wrapper. Those are aligned again in parts of a host, and the parts by
     host, so a host with a third of all pages is one row a task, dealt over many tasks.
     """
 
     def of_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[str, Wrapper] = {}
-        give = lambda: pd.DataFrame({"host": list(held), "wrapper": [json.dumps(w.elements) for w in held.values()]})
+        held: dict[tuple[str, int], Wrapper | None] = {}
+        give = lambda: pd.DataFrame([(*k, w and json.dumps(w.elements), w.most if w else 0) for k, w in held.items()], columns=["host", "depth", "wrapper", "most"])
         for pdf in batches:
             for name, page in zip(pdf["host"], pdf["html"], strict=True):
-                if page:
-                    held[name] = widened(held.get(name), valued(tokens(page)))
+                open_ = [k for d in depths if held.get(k := (name, d), True)] if page else []
+                stream = valued(tokens(page)) if open_ else []
+                read = nested(stream) if open_ and depths != (0,) else None
+                for key in open_:
+                    held[key] = widened(held.get(key), shallow(stream, key[1], read)[0] if key[1] else stream)
             if len(held) > HOSTS:
                 yield give()
                 held = {}
         if held:
             yield give()
 
+    def together(pdf: pd.DataFrame) -> tuple[list[list] | None, int]:
+        most = int(pdf["most"].max())
+        return merged([w if isinstance(w, str) else None for w in pdf["wrapper"]], most), most
+
     def of_part(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"host": [key[0]], "wrapper": [json.dumps(merged(list(pdf["wrapper"])))]})
+        own, most = together(pdf)
+        return pd.DataFrame({"host": [key[0]], "depth": [key[1]], "wrapper": [None if own is None else json.dumps(own)], "most": [most]})
 
     def of_host(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"host": [key[0]], "wrapper": [Wrapper(merged(list(pdf["wrapper"]))).told()]})
+        own, _ = together(pdf)
+        return pd.DataFrame({"host": [key[0]], "depth": [key[1]], "wrapper": [None if own is None else Wrapper(own, depth=int(key[1])).told()]})
 
     named = pages.select(host(F.col("url")).alias("host"), F.col("html").cast("string").alias("html"))
-    own = named.mapInPandas(of_task, "host string, wrapper string").withColumn("part", F.pmod(F.xxhash64("wrapper"), F.lit(PARTS)))
-    parts = own.groupBy("host", "part").applyInPandas(of_part, "host string, wrapper string")
-    return parts.groupBy("host").applyInPandas(of_host, "host string, wrapper string")
+    schema = "host string, depth int, wrapper string, most int"
+    own = named.mapInPandas(of_task, schema).withColumn("part", F.pmod(F.xxhash64("wrapper"), F.lit(PARTS)))
+    parts = own.groupBy("host", "depth", "part").applyInPandas(of_part, schema)
+    return parts.groupBy("host", "depth").applyInPandas(of_host, "host string, depth int, wrapper string")
+
+
+def inferred(pages: DataFrame) -> DataFrame:
+    """(host, wrapper), a stored table: the wrapper of a host's whole pages in a list, or those of its shallow pages, the
+    deepest first and those without classes last, where whole pages take too many elements."""
+    found = [stored(infer(pages), "wrappers")]
+    full = found[0].where("wrapper is null").select(F.col("host").alias("full"))
+    for depths in (DEPTHS, tuple(-d for d in DEPTHS)):
+        if full.isEmpty():
+            break
+        own = pages.select("url", "html").join(small_side(full), host(F.col("url")) == F.col("full"), "left_semi")
+        found.append(stored(infer(own, depths), "wrappers-shallow"))
+        reached = F.max(F.when(F.col("wrapper").isNotNull(), F.col("depth")))
+        full = found[-1].groupBy(F.col("host").alias("full")).agg(F.coalesce(reached, F.lit(0)).alias("reached")).where(F.col("reached") < ENOUGH_DEEP).select("full")
+    if len(found) == 1:
+        return found[0]
+    every = found[0]
+    for f in found[1:]:
+        every = every.unionByName(f)
+    by_depth = F.array_sort(F.collect_list(F.struct(F.expr("depth < 0"), -F.abs("depth"), "wrapper")))
+    return stored(every.where("wrapper is not null").groupBy("host").agg(F.array_join(by_depth["wrapper"], ",").alias("wrapper")), "wrappers-by-host")
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars, wrapped: the article of each page.
 
     Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, markup and readers' comments are left
-    out; a block is a line, white space in it one space. A page that its host's wrapper does not match is read by its
-    own elements (wrapped is false). A null or empty html gives an empty text, a null url counts as host ''; repeated rows
-    are read alike and other columns are left out.
+    out; a block is a line, white space in it one space. All pages of a host count in its wrappers, however different; a
+    page that none of them matches is read by its own elements (wrapped is false). A null or empty html gives an empty
+    text, a null url counts as host ''; repeated rows are read alike and other columns are left out.
     """
-    found = stored(infer(pages), "wrappers")
+    found = inferred(pages).select("host", F.concat(F.lit("["), "wrapper", F.lit("]")).alias("wrapper"))
     rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), host(F.col("url")).alias("host"))
     joined = rows.join(small_side(found, 8_000_000, F.length("wrapper")), "host", "left").select("page_id", "url", "html", "wrapper")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, Wrapper] = {}
+        known: dict[str, list[Wrapper]] = {}
         for pdf in batches:
             texts, flags = [], []
             for page, w in zip(pdf["html"], pdf["wrapper"], strict=True):
                 if w and w not in known:
                     if len(known) > HOSTS:
                         known.clear()
-                    known[w] = Wrapper(*json.loads(w))
-                text, wrapped = extract(page, known.get(w) if w else None)
+                    known[w] = [Wrapper(*x) for x in json.loads(w)]
+                text, wrapped = extract(page, *(known[w] if w else ()))
                 texts.append(text)
                 flags.append(wrapped)
             yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": texts, "n_chars": [len(t) for t in texts], "wrapped": flags})

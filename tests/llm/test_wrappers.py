@@ -123,6 +123,42 @@ def test_long_pages_are_aligned_too(spark):
         assert got[k].wrapped and got[k].text == "\n".join(lines)
 
 
+def test_hosts_whose_pages_differ_too_much_for_one_wrapper(spark):
+    """Every page counts and is read by the host's wrappers, also where those of whole pages would take too many elements."""
+    rng = random.Random(3)
+
+    def page(body: str) -> str:
+        return f"<html><body><div class=top><b>The Site</b><a href=/>Home</a></div><div class=c1>{body}</div><div class=low>Imprint</div></body></html>"
+
+    def slugs(k: int) -> tuple[str, list]:  # class words of letters that no two elements share
+        word = lambda j: "".join(chr(97 + int(c)) for c in f"{k}{j:03}")
+        return "".join(f"<p class=w{word(j)}>Par {j} of {k}</p>" for j in range(150)), [f"Par {j} of {k}" for j in range(150)]
+
+    def named(k: int) -> tuple[str, list]:
+        return "".join(f"<p class=w{k}-{j}>Par {j} of {k}</p>" for j in range(150)), [f"Par {j} of {k}" for j in range(150)]
+
+    def mixed(k: int) -> tuple[str, list]:  # elements in no order that two pages share
+        parts = [(rng.choice(["p", "h3", "pre", "blockquote", "section"]), "".join(f"<{t}>{rng.randrange(9)} of {k}</{t}>" for t in rng.choices(["i", "b", "u", "code", "em", "q"], k=9))) for _ in range(120)]
+        return "".join(f"<{t}>{x}</{t}>" for t, x in parts), [re.sub("<.*?>", "", x) for _, x in parts]
+
+    made = [(host, k, *kind(k)) for host, kind in (("named", named), ("slugs", slugs), ("mixed", mixed)) for k in range(36)]
+    rows = [(n, f"http://{host}.example/{k}", page(body)) for n, (host, k, body, _) in enumerate(made)]
+    rows += [(1000 + k, "http://bare.example/", bare(k)) for k in range(6)]
+    got = texts(spark, rows)
+    assert all(got[1000 + k].text == bare_text(k) and got[1000 + k].wrapped for k in range(6))
+    for n, (_, _, _, lines) in enumerate(made):
+        assert got[n].text == "\n".join(lines) and got[n].wrapped
+
+
+def test_shallow_streams():
+    stream = ["<body.x9", "<div.menu", "<a.", "#aa.4", "/a", "#bb.3", "/div", "#cc.2", "<br.", "<p.post", "<i.", "/i", "/p", "/body"]
+    assert wrappers.shallow(stream, 9)[0] == ["<body.0", "<div.sidebar", *stream[2:9], "<p.article", *stream[10:]]
+    assert wrappers.shallow(stream, -9)[0] == ["<body.", "<div.sidebar", *stream[2:9], "<p.article", *stream[10:]]
+    out, places = wrappers.shallow(stream, 2)
+    assert [t[:1] if t[0] == "#" else t for t in out] == ["<body.0", "<div.sidebar", "#", "/div", "#", "<br.", "<p.article", "/p", "/body"]
+    assert places == [0, 1, 2, 6, 7, 8, 9, 12, 13, 14] and out[2].endswith(".3") and out[4] == "#cc.2"
+
+
 def test_alignment_of_long_streams_covers_both():
     rng = random.Random(5)
     a = [["t", f"<i.{rng.randrange(3000)}", 0] for _ in range(1500)]
